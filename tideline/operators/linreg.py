@@ -53,7 +53,8 @@ def fit_linreg(
         raise ValueError("at least one feature besides the label is required")
     p = len(features) - 1
     windows = CountWindows(options.batch_size, options.shift)
-    rows = index_rows(df, features, order_by, partition_by, on_null, base)
+    arrived = index_rows(df, features, order_by, partition_by, on_null, base)
+    rows = arrived.rows
     values = typed(features, on_null)
     numeric = rows.select(
         *[F.col(f"`{k}`") for k in keys],
@@ -65,20 +66,13 @@ def fit_linreg(
         numeric, keys, p, windows,
         options.num_iterations, options.mini_batch_fraction, options.seed,
     )
-    longest = windows.count(longest_key(rows, keys, windows, chunk))
-    models = chain_models(stats, keys, p, options, start, longest, chunk)
+    models = chain_models(
+        stats, keys, p, options, start, windows.count(arrived.longest), chunk
+    )
     models = _exact_errors(materialise(models, "models"), numeric, keys, p, windows)
     return Fit(rows, models, keys, windows)
 
 
-def longest_key(
-    rows: DataFrame, keys: Sequence[str], windows: CountWindows, chunk: int | None
-) -> int:
-    """Highest number of rows of one key; an upper bound where that is enough."""
-    total = rows.select(F.max(RN)).first()[0]
-    return 0 if total is None else total + 1
-
-
 def _exact_errors(
     models: DataFrame, numeric: DataFrame, keys: Sequence[str], p: int, windows: CountWindows
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,14 @@ _TIE = "_tl_tie"
 _PARTITION_SHIFT = 33
 
 
+@dataclass(frozen=True)
+class Arrived:
+    """Indexed rows, and one more than the highest index of any key."""
+
+    rows: DataFrame
+    longest: int
+
+
 def as_names(columns: str | Sequence[str] | None) -> list[str]:
     if columns is None:
         return []
@@ -45,7 +54,7 @@ def arrival_index(
     partition_by: str | Sequence[str] | None = None,
     base: DataFrame | None = None,
     name: str = RN,
-) -> DataFrame:
+) -> Arrived:
     """Add ``name``: 0, 1, 2 … in ``order_by`` order, separately per key.
 
     Rows are range-partitioned on (keys, order), so a key that holds most of
@@ -74,44 +83,69 @@ def arrival_index(
         "arrival",
     )
 
-    pid = F.shiftright(_POS, _PARTITION_SHIFT)
-    run_keys = [f"_tl_k{i}" for i in range(len(keys))]
-    runs = laid.groupBy(
-        pid.alias("_tl_pid"), *[F.col(f"`{k}`").alias(r) for k, r in zip(keys, run_keys)]
+    counts = _run_counts(laid, keys)
+    offsets, longest = (
+        _keyed_offsets(counts, keys, base) if keys else _plain_offsets(counts, base)
+    )
+    match = F.shiftright(_POS, _PARTITION_SHIFT) == F.col("_tl_pid")
+    if keys:
+        match = match & same_keys(
+            [F.col(f"`{k}`") for k in keys], [F.col(f"_tl_k{i}") for i in range(len(keys))]
+        )
+    rows = laid.join(offsets, match).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        (F.col(_POS) + F.col("_tl_offset")).alias(name),
+    )
+    return Arrived(rows, longest)
+
+
+def _run_counts(laid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of each key in each partition of the sorted table."""
+    return laid.groupBy(
+        F.shiftright(_POS, _PARTITION_SHIFT).alias("_tl_pid"),
+        *[F.col(f"`{k}`").alias(f"_tl_k{i}") for i, k in enumerate(keys)],
     ).agg(F.count("*").alias("_tl_n"), F.min(_POS).alias("_tl_first"))
+
+
+def _plain_offsets(counts: DataFrame, base: DataFrame | None) -> tuple[DataFrame, int]:
+    # One small row per partition of the sorted table, whatever the table holds.
+    spark = counts.sparkSession
+    head = base.first() if base is not None else None
+    seen = head["base"] if head is not None else 0
+    out = []
+    for pid, n, first in sorted(counts.collect()):
+        out.append((pid, seen - first))
+        seen += n
+    return F.broadcast(spark.createDataFrame(out, "_tl_pid long, _tl_offset long")), seen
+
+
+def _keyed_offsets(
+    counts: DataFrame, keys: Sequence[str], base: DataFrame | None
+) -> tuple[DataFrame, int]:
+    names = [f"_tl_k{i}" for i in range(len(keys))]
     before = F.sum("_tl_n").over(
-        Window.partitionBy(*run_keys)
-        .orderBy("_tl_pid")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    runs = runs.select(
-        "_tl_pid",
-        *run_keys,
-        (F.coalesce(before, F.lit(0)) - F.col("_tl_first")).alias("_tl_offset"),
+        Window.partitionBy(*names).orderBy("_tl_pid").rowsBetween(Window.unboundedPreceding, -1)
     )
+    runs = counts.withColumn("_tl_before", F.coalesce(before, F.lit(0)))
     if base is not None:
         shifts = base.select(
             *[F.col(f"`{k}`").alias(f"_tl_b{i}") for i, k in enumerate(keys)],
             F.col("base").alias("_tl_base"),
         )
-        if keys:
-            match = same_keys(
-                [F.col(r) for r in run_keys], [F.col(f"_tl_b{i}") for i in range(len(keys))]
-            )
-            runs = runs.join(shifts, match, "left")
-        else:
-            runs = runs.join(F.broadcast(shifts), F.lit(True), "left")
-        runs = runs.withColumn(
-            "_tl_offset", F.col("_tl_offset") + F.coalesce(F.col("_tl_base"), F.lit(0))
-        ).select("_tl_pid", *run_keys, "_tl_offset")
-
-    match = pid == F.col("_tl_pid")
-    if keys:
-        match = match & same_keys([F.col(f"`{k}`") for k in keys], [F.col(r) for r in run_keys])
-    else:
-        # One row per partition of the sorted table, whatever the table holds.
-        runs = F.broadcast(runs)
-    return laid.join(runs, match).select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        (F.col(_POS) + F.col("_tl_offset")).alias(name),
+        match = same_keys(
+            [F.col(n) for n in names], [F.col(f"_tl_b{i}") for i in range(len(keys))]
+        )
+        runs = runs.join(shifts, match, "left").withColumn(
+            "_tl_before", F.col("_tl_before") + F.coalesce(F.col("_tl_base"), F.lit(0))
+        )
+    runs = materialise(
+        runs.select(
+            "_tl_pid",
+            *names,
+            (F.col("_tl_before") - F.col("_tl_first")).alias("_tl_offset"),
+            (F.col("_tl_before") + F.col("_tl_n")).alias("_tl_end"),
+        ),
+        "runs",
     )
+    longest = runs.agg(F.max("_tl_end")).first()[0] or 0
+    return runs.drop("_tl_end"), longest

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.plans.arrival import RN, arrival_index, as_names, same_keys
+from tideline.plans.arrival import RN, Arrived, arrival_index, as_names, same_keys
 from tideline.plans.count_windows import WINDOW_ID, CountWindows
 
 
@@ -46,7 +46,7 @@ def index_rows(
     partition_by: str | Sequence[str] | None,
     on_null: str,
     base: DataFrame | None = None,
-) -> DataFrame:
+) -> Arrived:
     """Rows with their arrival index, after the null rule."""
     if on_null not in ("error", "drop"):
         raise ValueError(f"on_null must be 'error' or 'drop', got {on_null!r}")
