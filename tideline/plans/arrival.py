@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,11 +113,15 @@ def _plain_offsets(counts: DataFrame, base: DataFrame | None) -> tuple[DataFrame
     spark = counts.sparkSession
     head = base.first() if base is not None else None
     seen = head["base"] if head is not None else 0
-    out = []
+    pids, offsets = [], []
     for pid, n, first in sorted(counts.collect()):
-        out.append((pid, seen - first))
+        pids.append(pid)
+        offsets.append(seen - first)
         seen += n
-    return F.broadcast(spark.createDataFrame(out, "_tl_pid long, _tl_offset long")), seen
+    table = pa.table(
+        {"_tl_pid": pa.array(pids, pa.int64()), "_tl_offset": pa.array(offsets, pa.int64())}
+    )
+    return F.broadcast(spark.createDataFrame(table)), seen
 
 
 def _keyed_offsets(

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -33,6 +34,23 @@ def out_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def _plain(scalar: pa.Scalar):
+    value = scalar.as_py()
+    # Spark groups all NaN together.
+    return "NaN" if isinstance(value, float) and value != value else value
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """For each row but the first, whether it differs from the row before."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    differs = pc.fill_null(pc.not_equal(a, b), False)
+    if pa.types.is_floating(column.type):
+        both = pc.and_(pc.is_nan(a), pc.is_nan(b))
+        differs = pc.and_not(differs, pc.fill_null(both, False))
+    differs = pc.or_(differs, pc.xor(pc.is_null(a), pc.is_null(b)))
+    return differs.to_numpy(zero_copy_only=False)
+
+
 def ordered_map(
     df: DataFrame,
     groups: Sequence[str],
@@ -56,12 +74,12 @@ def ordered_map(
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                columns = [batch.column(g).to_pylist() for g in group_names]
-                flags = []
-                for values in zip(*columns):
-                    key = tuple(None if v != v else v for v in values)
-                    flags.append(key != last)
-                    last = key
+                flags = np.zeros(batch.num_rows, dtype=bool)
+                for name in group_names:
+                    flags[1:] |= _changes(batch.column(name))
+                key = [_plain(batch.column(g)[0]) for g in group_names]
+                flags[0] = key != last
+                last = [_plain(batch.column(g)[batch.num_rows - 1]) for g in group_names]
                 yield batch, flags
 
         yield from body(marked())
