@@ -53,7 +53,8 @@ def fit_kmeans(
         *[v.alias(feature(i)) for i, v in enumerate(typed(given, on_null))],
     )
     models = fit_windows(
-        windows.members(numeric), keys, dims, options, windows.size, gather
+        windows.members(numeric), keys, dims, options, windows.size, gather,
+        most=arrived.total // windows.shift + 1,
     )
     if options.update == "decay":
         last = windows.count(arrived.longest)

@@ -20,7 +20,7 @@ from tideline.scratch import materialise
 
 # Below this share of the mean squared label, the error computed from the sums
 # has lost too many digits and is computed from the rows.
-_CANCELLED = 1e-6
+CANCELLED = 1e-6
 
 
 @dataclass
@@ -67,7 +67,8 @@ def fit_linreg(
         options.num_iterations, options.mini_batch_fraction, options.seed,
     )
     models = chain_models(
-        stats, keys, p, options, start, windows.count(arrived.longest), chunk
+        stats, keys, p, options, start,
+        windows.count(arrived.longest), arrived.total // windows.shift + 1, chunk,
     )
     models = _exact_errors(materialise(models, "models"), numeric, keys, p, windows)
     return Fit(rows, models, keys, windows)
@@ -83,7 +84,7 @@ def _exact_errors(
     """
     names = [f"`{k}`" for k in keys]
     close = models.where(
-        (F.col("stderr") < F.col("mean_yy") * F.lit(_CANCELLED)) & (F.col("mean_yy") > 0)
+        (F.col("stderr") < F.col("mean_yy") * F.lit(CANCELLED)) & (F.col("mean_yy") > 0)
     )
     if close.isEmpty():
         return models.drop("mean_yy")
@@ -100,7 +101,7 @@ def _exact_errors(
         match = match & same_keys(
             [F.col(n) for n in names], [F.col(f"_tl_c{i}") for i in range(len(keys))]
         )
-    residual = F.col(LABEL) - _predict([F.col(feature(i)) for i in range(p)], F.col("weights"))
+    residual = F.col(LABEL) - predict([F.col(feature(i)) for i in range(p)], F.col("weights"))
     errors = (
         paned.join(wanted, match)
         .groupBy(*[f"_tl_c{i}" for i in range(len(keys))], "_tl_win")
@@ -120,7 +121,7 @@ def _exact_errors(
     )
 
 
-def _predict(xs: Sequence[Column], weights: Column) -> Column:
+def predict(xs: Sequence[Column], weights: Column) -> Column:
     if len(xs) <= 48:
         return reduce(lambda a, b: a + b, [x * F.get(weights, F.lit(i)) for i, x in enumerate(xs)])
     return dot(F.array(*xs), weights)
@@ -191,7 +192,7 @@ def score(
     """Add the prediction ``weights · xs + intercept``."""
     features = [x.cast("double") for x in as_columns(xs)]
     if isinstance(weights, Column):
-        value = _predict(features, weights)
+        value = predict(features, weights)
     else:
         if len(weights) != len(features):
             raise ValueError(f"{len(weights)} weights for {len(features)} features")

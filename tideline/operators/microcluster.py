@@ -28,7 +28,12 @@ SNAPSHOT = 128
 
 
 def _blocks(
-    rows: DataFrame, keys: Sequence[str], dims: int, options: MicroClusterOptions, gather: int
+    rows: DataFrame,
+    keys: Sequence[str],
+    dims: int,
+    options: MicroClusterOptions,
+    gather: int,
+    total: int,
 ) -> DataFrame:
     """Kernels of every block of rows: keys, window_id, block, n, acc.
 
@@ -79,7 +84,7 @@ def _blocks(
         if pieces:
             yield finish(head, pieces)
 
-    return ordered_map(sent, groups, [RN], body, schema)
+    return ordered_map(sent, groups, [RN], body, schema, most=total // length + 1)
 
 
 def _empty() -> np.ndarray:
@@ -101,11 +106,13 @@ def _walk_periods(
     dims: int,
     options: MicroClusterOptions,
     totals_only: bool,
+    most: int,
 ) -> DataFrame:
     """Fold the blocks of each chunk; per period, or once per chunk.
 
-    ``blocks`` carries ``_tl_chunk``, ``_tl_before`` (kernels before the chunk)
-    and ``_tl_own`` (kernels of earlier periods of the chunk).
+    ``blocks`` carries ``_tl_chunk``, ``_tl_before`` (kernels before the chunk),
+    and, where a feed continues, ``_tl_own`` (kernels of the chunk so far) and
+    ``_tl_state`` (kernels reached so far).
     """
     groups = [*keys, "_tl_chunk"]
     fold = _merger(options, dims)
@@ -169,7 +176,8 @@ def _walk_periods(
                     before, own = vector(batch.column("_tl_before")[i]), vector(
                         batch.column("_tl_own")[i]
                     )
-                    state = before if len(own) == 0 else fold(before, own)
+                    reached = batch.column("_tl_state")[i]
+                    state = vector(reached) if reached.is_valid else before
                     window = None
                 if windows[i] != window:
                     window, n = windows[i], 0
@@ -184,7 +192,7 @@ def _walk_periods(
         if held is not None and totals_only:
             yield total(held, own)
 
-    return ordered_map(blocks, groups, [WINDOW_ID, "block"], body, schema)
+    return ordered_map(blocks, groups, [WINDOW_ID, "block"], body, schema, most)
 
 
 def fit_microclusters(
@@ -218,27 +226,32 @@ def fit_microclusters(
         RN,
         *[v.alias(feature(i)) for i, v in enumerate(typed(given, on_null))],
     )
-    blocks = _blocks(numeric, keys, dims, options, gather).withColumn(
+    blocks = _blocks(
+        numeric, keys, dims, options, gather, arrived.total
+    ).withColumn(
         "_tl_chunk", int_div(F.col(WINDOW_ID), snapshot)
     )
     periods = -(-arrived.longest // options.batch_size)
     chunks = -(-periods // snapshot)
+    most = arrived.total // options.batch_size + 1 if keys else chunks
     if chunks > 1:
         blocks = materialise(blocks, "kernels")
     nothing = F.lit(None).cast(_DOUBLES)
     if start is None:
-        started = blocks.withColumn("_tl_before", nothing).withColumn("_tl_own", nothing)
+        started = blocks.select(
+            "*", *[nothing.alias(c) for c in ("_tl_before", "_tl_own", "_tl_state")]
+        )
     else:
         started = _with_history(blocks, keys, start, snapshot)
     if chunks > 1:
-        totals = _walk_periods(started, keys, dims, options, totals_only=True)
+        totals = _walk_periods(started, keys, dims, options, True, most)
         low = totals.agg(F.min("idx")).first()[0] or 0
         totals = totals.withColumn("idx", F.col("idx") - F.lit(low))
         if start is not None:
-            totals = _fold_start(totals, keys, start, dims, options, low)
+            totals = _fold_start(totals, keys, start, dims, options, low, snapshot)
         before = exclusive_prefix(totals, keys, _merger(options, dims), chunks - low)
         started = _with_prefix(started, keys, before, low)
-    models = _walk_periods(started, keys, dims, options, totals_only=False)
+    models = _walk_periods(started, keys, dims, options, False, most)
     return ClusterFit(arrived.rows, models, keys, windows)
 
 
@@ -253,18 +266,21 @@ def _with_history(blocks, keys, start, snapshot):
         int_div(F.col("next_window"), snapshot).alias("_tl_h_chunk"),
         F.col("before").alias("_tl_before"),
         F.col("own").alias("_tl_own"),
+        F.col("state").alias("_tl_state"),
     )
     left, right = _key_match(keys, "h")
     match = same_keys([*left, F.col("_tl_chunk")], [*right, F.col("_tl_h_chunk")])
-    return blocks.join(renamed, match, "left").select(*blocks.columns, "_tl_before", "_tl_own")
+    return blocks.join(renamed, match, "left").select(
+        *blocks.columns, "_tl_before", "_tl_own", "_tl_state"
+    )
 
 
-def _fold_start(totals, keys, start, dims, options, low):
+def _fold_start(totals, keys, start, dims, options, low, snapshot):
     """Put the kernels before the first chunk in front of that chunk's total."""
     fold = _merger(options, dims)
     renamed = start.select(
         *[F.col(f"`{k}`").alias(f"_tl_f{i}") for i, k in enumerate(keys)],
-        F.col("chunk").alias("_tl_f_chunk"),
+        int_div(F.col("next_window"), snapshot).alias("_tl_f_chunk"),
         F.col("before").alias("_tl_f_before"),
     )
     left, right = _key_match(keys, "f")
@@ -308,6 +324,52 @@ def _with_prefix(started, keys, before, low):
     )
 
 
+def next_history(
+    models: DataFrame,
+    keys: Sequence[str],
+    dims: int,
+    options: MicroClusterOptions,
+    snapshot: int = SNAPSHOT,
+) -> DataFrame:
+    """Where a feed stands after ``models``: keys, next_window, before, own, state."""
+    names = [f"`{k}`" for k in keys]
+    last = models.groupBy(*names).agg(
+        F.max(WINDOW_ID).alias("last"),
+        F.max_by(F.struct("before", "own", "kernels"), WINDOW_ID).alias("at"),
+    ).select(
+        *names,
+        (F.col("last") + 1).alias("next_window"),
+        F.col("at.before").alias("before"),
+        F.col("at.own").alias("own"),
+        F.col("at.kernels").alias("state"),
+    )
+    fold = _merger(options, dims)
+    arrow = to_arrow_schema(last.schema)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            befores, owns, states = [], [], []
+            for window, *parts in zip(
+                *(batch.column(c).to_pylist() for c in ("next_window", "before", "own", "state"))
+            ):
+                before, own, state = (np.array(v, dtype=float) for v in parts)
+                if window % snapshot == 0:
+                    # A stretch ends here: the next one starts from the merge.
+                    before = fold(before, own) if len(before) else own
+                    own, state = _empty(), before
+                befores.append(before)
+                owns.append(own)
+                states.append(state)
+            for name, values in (("before", befores), ("own", owns), ("state", states)):
+                columns[name] = double_arrays(values)
+            yield out_batch(columns, arrow)
+
+    return last.mapInArrow(run, last.schema)
+
+
 def limit_rows(rows: DataFrame, instance_limit: int, index: str = RN) -> DataFrame:
     """The first ``instance_limit`` rows of each key; -1 takes all."""
     return rows if instance_limit < 0 else rows.where(F.col(index) < instance_limit)
@@ -372,11 +434,11 @@ def micro_clusters(
         RN,
         *[v.alias(feature(i)) for i, v in enumerate(typed(given, on_null))],
     )
-    blocks = _blocks(numeric, keys, dims, options, gather)
+    blocks = _blocks(numeric, keys, dims, options, gather, arrived.total)
     w = width(dims)
     names = [f"`{k}`" for k in keys]
     cut = F.transform(
-        F.sequence(F.lit(0), F.size("acc") / F.lit(w) - 1).cast("array<int>"),
+        F.sequence(F.lit(0), (int_div(F.size("acc"), w) - 1).cast("int")),
         lambda i: F.slice("acc", i * w + 1, F.lit(w)),
     )
     one = F.col("cf")

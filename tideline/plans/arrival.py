@@ -22,10 +22,11 @@ _PARTITION_SHIFT = 33
 
 @dataclass(frozen=True)
 class Arrived:
-    """Indexed rows, and one more than the highest index of any key."""
+    """Indexed rows, one more than the highest index of any key, and their number."""
 
     rows: DataFrame
     longest: int
+    total: int
 
 
 def as_names(columns: str | Sequence[str] | None) -> list[str]:
@@ -85,7 +86,7 @@ def arrival_index(
     )
 
     counts = _run_counts(laid, keys)
-    offsets, longest = (
+    offsets, longest, total = (
         _keyed_offsets(counts, keys, base) if keys else _plain_offsets(counts, base)
     )
     match = F.shiftright(_POS, _PARTITION_SHIFT) == F.col("_tl_pid")
@@ -97,7 +98,7 @@ def arrival_index(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col(_POS) + F.col("_tl_offset")).alias(name),
     )
-    return Arrived(rows, longest)
+    return Arrived(rows, longest, total)
 
 
 def _run_counts(laid: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -108,7 +109,7 @@ def _run_counts(laid: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).agg(F.count("*").alias("_tl_n"), F.min(_POS).alias("_tl_first"))
 
 
-def _plain_offsets(counts: DataFrame, base: DataFrame | None) -> tuple[DataFrame, int]:
+def _plain_offsets(counts: DataFrame, base: DataFrame | None) -> tuple[DataFrame, int, int]:
     # One small row per partition of the sorted table, whatever the table holds.
     spark = counts.sparkSession
     head = base.first() if base is not None else None
@@ -121,12 +122,13 @@ def _plain_offsets(counts: DataFrame, base: DataFrame | None) -> tuple[DataFrame
     table = pa.table(
         {"_tl_pid": pa.array(pids, pa.int64()), "_tl_offset": pa.array(offsets, pa.int64())}
     )
-    return F.broadcast(spark.createDataFrame(table)), seen
+    total = seen - (head["base"] if head is not None else 0)
+    return F.broadcast(spark.createDataFrame(table)), seen, total
 
 
 def _keyed_offsets(
     counts: DataFrame, keys: Sequence[str], base: DataFrame | None
-) -> tuple[DataFrame, int]:
+) -> tuple[DataFrame, int, int]:
     names = [f"_tl_k{i}" for i in range(len(keys))]
     before = F.sum("_tl_n").over(
         Window.partitionBy(*names).orderBy("_tl_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,8 +151,9 @@ def _keyed_offsets(
             *names,
             (F.col("_tl_before") - F.col("_tl_first")).alias("_tl_offset"),
             (F.col("_tl_before") + F.col("_tl_n")).alias("_tl_end"),
+            "_tl_n",
         ),
         "runs",
     )
-    longest = runs.agg(F.max("_tl_end")).first()[0] or 0
-    return runs.drop("_tl_end"), longest
+    longest, total = runs.agg(F.max("_tl_end"), F.sum("_tl_n")).first()
+    return runs.drop("_tl_end", "_tl_n"), longest or 0, total or 0

@@ -145,18 +145,20 @@ def fit_windows(
     options: KMeansOptions,
     size: int | None,
     gather: int = GATHER_DOUBLES,
+    most: int | None = None,
 ) -> DataFrame:
     """(keys, window_id, n, wssse, centers, weights) of every complete window.
 
     ``rows`` holds keys, window_id, the arrival index and the features. ``size``
     is the row count of a complete window; None takes every window as it is.
+    ``most`` bounds the number of windows.
     """
     if size is not None and size * dims <= gather:
-        return _gathered(rows, keys, dims, options, size)
+        return _gathered(rows, keys, dims, options, size, most)
     return _aggregated(rows, keys, dims, options, size)
 
 
-def _gathered(rows, keys, dims, options: KMeansOptions, size) -> DataFrame:
+def _gathered(rows, keys, dims, options: KMeansOptions, size, most) -> DataFrame:
     schema = model_schema(rows, keys)
     arrow = to_arrow_schema(schema)
     groups = [*keys, WINDOW_ID]
@@ -213,7 +215,7 @@ def _gathered(rows, keys, dims, options: KMeansOptions, size) -> DataFrame:
             if result is not None:
                 yield result
 
-    return ordered_map(sent, groups, [RN], body, schema)
+    return ordered_map(sent, groups, [RN], body, schema, most)
 
 
 def _renamed(table: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:

@@ -57,15 +57,23 @@ def ordered_map(
     order: Sequence[str],
     body: Callable,
     schema: T.StructType,
+    most: int | None = None,
 ) -> DataFrame:
     """Run ``body`` over the rows of each group in ``order``.
 
     ``body`` receives an iterator of (record batch, flags), where a flag marks
     the first row of a group, and yields record batches. Memory stays at one
-    batch however long a group is.
+    batch however long a group is. ``most`` bounds the number of groups; given
+    it, the number of tasks is fixed, because the work of a group is not in
+    proportion to its bytes, by which tasks would be merged otherwise.
     """
     names = [f"`{g}`" for g in groups]
-    laid = df.repartition(*names).sortWithinPartitions(*names, *order)
+    if most is None:
+        spread = df.repartition(*names)
+    else:
+        limit = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = df.repartition(max(1, min(limit, most)), *names)
+    laid = spread.sortWithinPartitions(*names, *order)
     group_names = list(groups)
 
     def run(batches):

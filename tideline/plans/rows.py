@@ -33,7 +33,7 @@ def check_numeric(df: DataFrame, features: Sequence[Column]) -> None:
             )
 
 
-def _missing(features: Sequence[Column]) -> Column:
+def missing(features: Sequence[Column]) -> Column:
     return reduce(
         lambda a, b: a | b, [f.isNull() | F.isnan(f.cast("double")) for f in features]
     )
@@ -55,7 +55,7 @@ def index_rows(
         if name.startswith("_tl_"):
             raise ValueError(f"column names starting with _tl_ are reserved, got {name}")
     if on_null == "drop":
-        df = df.where(~_missing(features))
+        df = df.where(~missing(features))
     return arrival_index(df, order_by, partition_by, base)
 
 
@@ -98,5 +98,5 @@ def attach_models(
 
 __all__ = [
     "array_elements", "as_columns", "as_names", "attach_models", "check_numeric",
-    "index_rows", "typed",
+    "index_rows", "missing", "typed",
 ]

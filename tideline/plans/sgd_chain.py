@@ -110,7 +110,9 @@ def _walk(marked, p: int, options: LinRegOptions, track: bool):
         yield batch, out
 
 
-def _emit(staged: DataFrame, keys: Sequence[str], p: int, options: LinRegOptions) -> DataFrame:
+def _emit(
+    staged: DataFrame, keys: Sequence[str], p: int, options: LinRegOptions, most: int
+) -> DataFrame:
     schema = T.StructType(
         [staged.schema[k] for k in keys]
         + [
@@ -148,10 +150,12 @@ def _emit(staged: DataFrame, keys: Sequence[str], p: int, options: LinRegOptions
             }
             yield out_batch(columns, arrow)
 
-    return ordered_map(staged, [*keys, CHUNK], [WINDOW_ID, STEP], body, schema)
+    return ordered_map(staged, [*keys, CHUNK], [WINDOW_ID, STEP], body, schema, most)
 
 
-def _summarise(staged: DataFrame, keys: Sequence[str], p: int, options: LinRegOptions) -> DataFrame:
+def _summarise(
+    staged: DataFrame, keys: Sequence[str], p: int, options: LinRegOptions, most: int
+) -> DataFrame:
     """Start, end and derivative of every chunk."""
     schema = T.StructType(
         [staged.schema[k] for k in keys]
@@ -186,7 +190,7 @@ def _summarise(staged: DataFrame, keys: Sequence[str], p: int, options: LinRegOp
         if held is not None:
             yield flush()
 
-    return ordered_map(staged, [*keys, CHUNK], [WINDOW_ID, STEP], body, schema)
+    return ordered_map(staged, [*keys, CHUNK], [WINDOW_ID, STEP], body, schema, most)
 
 
 def _fold_affine(p: int):
@@ -225,12 +229,13 @@ def chain_models(
     options: LinRegOptions,
     start: DataFrame | None,
     longest: int,
+    most: int,
     chunk: int | None = None,
 ) -> DataFrame:
     """Model of every window, each trained from the weights of the one before.
 
     ``start`` holds (keys, w), the weights before the first window. ``longest``
-    bounds the number of windows of a key.
+    bounds the number of windows of a key, ``most`` that of all keys together.
 
     A chain is sequential, but a window maps its starting weights to its final
     ones by an affine map as long as the number of steps taken does not change.
@@ -243,29 +248,30 @@ def chain_models(
     chunk = chunk or chunk_windows(p)
     if longest <= chunk:
         staged = _attach(stats.withColumn(CHUNK, F.lit(0).cast("long")), keys, start, False)
-        return _emit(staged, keys, p, options)
+        return _emit(staged, keys, p, options, most if keys else 1)
 
     low, high = stats.agg(F.min(WINDOW_ID), F.max(WINDOW_ID)).first()
     if low is None:
         staged = _attach(stats.withColumn(CHUNK, F.lit(0).cast("long")), keys, start, False)
-        return _emit(staged, keys, p, options)
+        return _emit(staged, keys, p, options, 1)
     base = low // chunk
     chunks = high // chunk - base + 1
     stats = materialise(
         stats.withColumn(CHUNK, int_div(F.col(WINDOW_ID), chunk) - F.lit(base)), "gram"
     )
+    most = most if keys else chunks
     starts = None
     for turn in range(chunks + 1):
         staged = _attach(stats, keys, starts, True) if starts is not None else _attach(
             stats, keys, start, False
         )
-        summary = materialise(_summarise(staged, keys, p, options), "chunks")
+        summary = materialise(_summarise(staged, keys, p, options, most), "chunks")
         starts = materialise(_next_starts(summary, keys, p, start, chunks), "starts")
         gap = _seam_gap(summary, starts, keys)
         log.info("chain round %d over %d chunks: gap %s", turn, chunks, gap)
         if gap <= _SEAM:
             break
-    return _emit(_attach(stats, keys, starts, True), keys, p, options)
+    return _emit(_attach(stats, keys, starts, True), keys, p, options, most)
 
 
 def _next_starts(summary, keys, p, start, chunks):

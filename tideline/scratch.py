@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCOPE: ContextVar[list | None] = ContextVar("tideline_scratch", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,10 +33,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for an intermediate table."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a scratch table and return a reader of it."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,8 +56,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the intermediate tables made inside the block when it ends.
+
+    Frames returned by operators read those tables, so run their actions inside.
+    """
+    made: list[str] = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in made:
+            delete_path(spark, path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables.
+    """Delete all intermediate tables of this application.
 
     Call it when the frames returned by the operators are no longer needed.
     """

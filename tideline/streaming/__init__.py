@@ -1,0 +1,13 @@
+from tideline.streaming.runner import (
+    KMeansStream,
+    LinRegStream,
+    MicroClusterStream,
+    late_rows,
+    run_stream,
+)
+from tideline.streaming.time_feed import run_time_windows
+
+__all__ = [
+    "KMeansStream", "LinRegStream", "MicroClusterStream", "late_rows", "run_stream",
+    "run_time_windows",
+]

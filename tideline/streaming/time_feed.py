@@ -1,0 +1,99 @@
+"""Event-time regression over a feed: Spark closes the windows, the chain trains."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from tideline.config import LinRegOptions
+from tideline.operators.linreg import beta_columns
+from tideline.plans.arrival import as_names
+from tideline.plans.count_windows import WINDOW_ID
+from tideline.plans.rows import as_columns, check_numeric, missing
+from tideline.plans.sgd_chain import chain_models
+from tideline.plans.time_stats import chain_input, duration_micros, time_stats, window_bounds
+from tideline.scratch import delete_path, materialise, scratch_scope
+from tideline.streaming.runner import carried_over, last_of, read_version, state_version
+
+
+def run_time_windows(
+    stream: DataFrame,
+    ts: str,
+    y: str | Column,
+    xs: Sequence[str | Column],
+    frame: str,
+    sink: str | Callable[[DataFrame, int], None],
+    checkpoint: str,
+    delay: str = "0 seconds",
+    slide: str | None = None,
+    partition_by: str | Sequence[str] | None = None,
+    options: LinRegOptions = LinRegOptions(),
+    on_null: str = "error",
+    fmt: str = "parquet",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Train on each event-time window once the watermark has passed it.
+
+    Rows more than ``delay`` behind the latest time seen are late, and dropped
+    when their window has closed.
+    """
+    if options.mini_batch_fraction < 1:
+        raise ValueError("time windows train on all their rows: mini_batch_fraction must be 1")
+    spark = stream.sparkSession
+    keys = as_names(partition_by)
+    features = as_columns([y]) + as_columns(xs)
+    p = len(features) - 1
+    check_numeric(stream, features)
+    if on_null == "drop":
+        stream = stream.where(~missing(features))
+    kind = stream.schema[ts].dataType.simpleString()
+    if not isinstance(stream.schema[ts].dataType, T.TimestampType):
+        # Watermarks need a timestamp with a time zone.
+        stream = stream.withColumn(ts, F.col(f"`{ts}`").cast("timestamp"))
+    length = duration_micros(spark, frame)
+    step = duration_micros(spark, slide) if slide else length
+    closed = time_stats(
+        stream.withWatermark(ts, delay), ts, keys, features, frame, slide, on_null
+    )
+
+    def advance(micro: DataFrame, batch_id: int) -> None:
+        session = micro.sparkSession
+        with scratch_scope(session):
+            stats = materialise(chain_input(micro, keys, step, options.num_iterations + 1), "time")
+            low, high, most = stats.agg(
+                F.min(WINDOW_ID), F.max(WINDOW_ID), F.count("*")
+            ).first()
+            state = read_version(session, checkpoint, batch_id - 1, "model") if batch_id else None
+            longest = 0 if low is None else high - low + 1
+            models = materialise(
+                chain_models(stats, keys, p, options, state, longest, most), "models"
+            )
+            output = window_bounds(models, step, length, kind).select(
+                *[f"`{k}`" for k in keys], "window_start", "window_end", "n", *beta_columns(p)
+            )
+            if callable(sink):
+                sink(output, batch_id)
+            else:
+                output.write.mode("overwrite").format(fmt).save(
+                    f"{sink.rstrip('/')}/batch_id={batch_id}"
+                )
+            model = last_of(models, keys, F.col("weights").alias("w"))
+            if state is not None:
+                model = carried_over(state, model, keys)
+            model.write.mode("overwrite").parquet(
+                f"{state_version(checkpoint, batch_id)}/model"
+            )
+        if batch_id > 1:
+            delete_path(session, state_version(checkpoint, batch_id - 2))
+
+    return (
+        closed.writeStream.outputMode("append")
+        .foreachBatch(advance)
+        .option("checkpointLocation", f"{checkpoint.rstrip('/')}/query")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
