@@ -184,7 +184,7 @@ def kmeans_history(
     alpha: float,
 ) -> str:
     """Centres and weights per window after merging with decayed history."""
-    sums = ", ".join(f"sum(x{j}) AS s{j}" for j in range(1, dims + 1))
+    sums = ", ".join(f"m * x{j} AS s{j}" for j in range(1, dims + 1))
     grow = ", ".join(
         f"h.s{j} * {alpha!r} + coalesce(o.s{j}, 0)" for j in range(1, dims + 1)
     )
@@ -193,7 +193,8 @@ def kmeans_history(
     return (
         f"WITH RECURSIVE idx AS ({indexed(table, order, columns)}), "
         f"{kmeans_steps(dims, k, steps, size, size)}, "
-        f"own AS (SELECT win, cid, count(*)::DOUBLE AS m, {sums} FROM asg GROUP BY win, cid), "
+        "cnt AS (SELECT win, cid, count(*)::DOUBLE AS m FROM asg GROUP BY win, cid), "
+        f"own AS (SELECT win, cid, m, {sums} FROM c{steps} JOIN cnt USING (win, cid)), "
         f"h AS (SELECT win, cid, m, {first} FROM own WHERE win = 0 UNION ALL "
         f"SELECT h.win + 1, h.cid, h.m * {alpha!r} + coalesce(o.m, 0), {grow} "
         f"FROM h LEFT JOIN own o ON o.win = h.win + 1 AND o.cid = h.cid "
