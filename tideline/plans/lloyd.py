@@ -108,7 +108,7 @@ def _start(points, draws, window, options: KMeansOptions):
         total = cost.sum()
         if total <= 0:
             break
-        taken = points[draws[:, turn] < 2.0 * k * cost / total]
+        taken = points[draws[:, turn] * total < 2.0 * k * cost]
         candidates = np.concatenate([candidates, taken])
     candidates = first_distinct(candidates, np.arange(len(candidates)), len(candidates))
     cid, _ = assign(points, candidates)
@@ -352,7 +352,7 @@ def _starts(points, counts, keys, dims, options: KMeansOptions, small):
         totals = costed.groupBy(*groups).agg(F.sum("cost").alias("total"))
         taken = (
             _matched(costed, totals, keys, small)
-            .where(F.col(f"_tl_u{turn}") < 2.0 * k * F.col("cost") / F.col("total"))
+            .where(F.col(f"_tl_u{turn}") * F.col("total") < 2.0 * k * F.col("cost"))
             .groupBy(*groups)
             .agg(F.sort_array(F.collect_list(F.struct(RN, "x")))["x"].alias("more"))
         )
