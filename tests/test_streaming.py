@@ -134,7 +134,7 @@ def test_kmeans_feed_equals_table(spark, tmp_path, update):
     same_rows(out, stream_kmeans(df, ["x0", "x1"], "seq", "k", options))
 
 
-@pytest.mark.parametrize("snapshot", [128, 2])
+@pytest.mark.parametrize("snapshot", [32, 2])
 def test_microcluster_feed_equals_table(spark, tmp_path, snapshot, monkeypatch):
     import functools
 

@@ -24,7 +24,7 @@ from tideline.scratch import materialise
 
 _DOUBLES = T.ArrayType(T.DoubleType())
 # Periods that one task walks in sequence.
-SNAPSHOT = 128
+SNAPSHOT = 32
 
 
 def _blocks(
@@ -107,6 +107,7 @@ def _walk_periods(
     options: MicroClusterOptions,
     totals_only: bool,
     most: int,
+    resumable: bool,
 ) -> DataFrame:
     """Fold the blocks of each chunk; per period, or once per chunk.
 
@@ -183,7 +184,8 @@ def _walk_periods(
                     window, n = windows[i], 0
                 held = batch.slice(i, 1)
                 kernels = vector(accs[i])
-                own = fold(own, kernels)
+                if totals_only or resumable:
+                    own = fold(own, kernels)
                 n += sizes[i]
                 if not totals_only:
                     state = fold(state, kernels)
@@ -206,6 +208,7 @@ def fit_microclusters(
     start: DataFrame | None = None,
     gather: int = GATHER_DOUBLES,
     snapshot: int = SNAPSHOT,
+    resumable: bool = False,
 ) -> ClusterFit:
     """Kernels and centres after each period of ``batch_size`` rows.
 
@@ -213,6 +216,7 @@ def fit_microclusters(
     from period to period. Chains longer than ``snapshot`` periods are cut:
     the kernels of each stretch of that length are built in parallel, merged
     along the stretches, and every stretch continues from its merged start.
+    ``resumable`` keeps what ``next_history`` needs.
     """
     if options.learn_type == LearnType.TIME:
         raise ValueError("this operator has no time windows")
@@ -244,14 +248,15 @@ def fit_microclusters(
     else:
         started = _with_history(blocks, keys, start, snapshot)
     if chunks > 1:
-        totals = _walk_periods(started, keys, dims, options, True, most)
-        low = totals.agg(F.min("idx")).first()[0] or 0
+        totals = _walk_periods(started, keys, dims, options, True, most, resumable)
+        low = blocks.agg(F.min("_tl_chunk")).first()[0] or 0
         totals = totals.withColumn("idx", F.col("idx") - F.lit(low))
         if start is not None:
             totals = _fold_start(totals, keys, start, dims, options, low, snapshot)
+        totals = materialise(totals, "totals")
         before = exclusive_prefix(totals, keys, _merger(options, dims), chunks - low)
         started = _with_prefix(started, keys, before, low)
-    models = _walk_periods(started, keys, dims, options, False, most)
+    models = _walk_periods(started, keys, dims, options, False, most, resumable)
     return ClusterFit(arrived.rows, models, keys, windows)
 
 

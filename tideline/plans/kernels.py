@@ -11,7 +11,7 @@ from statistics import NormalDist
 
 import numpy as np
 
-from tideline.plans.lloyd import assign, first_distinct, lloyd
+from tideline.plans.lloyd import assign, assign_by_products, first_distinct, lloyd
 
 # Passes that settle the kernels of one block of rows.
 _BLOCK_STEPS = 3
@@ -25,8 +25,9 @@ def summarise_block(points: np.ndarray, times: np.ndarray, limit: int) -> np.nda
     """At most ``limit`` kernels of one block, ordered by mean arrival."""
     # Starting points are spread over the block, so drift within it is covered.
     spread = np.argsort(np.arange(len(points)) % max(1, len(points) // limit), kind="stable")
-    centers = lloyd(points, first_distinct(points, spread, limit), _BLOCK_STEPS, 0.0)
-    cid, _ = assign(points, centers)
+    centers = first_distinct(points, spread, limit)
+    centers = lloyd(points, centers, _BLOCK_STEPS, 0.0, nearest=assign_by_products)
+    cid, _ = assign_by_products(points, centers)
     base = times.min()
     shifted = times - base
     k = len(centers)

@@ -32,6 +32,8 @@ _BROADCAST_DOUBLES = 4_000_000
 # Fixed values of the k-means|| start: sampling rounds, and steps of the
 # clustering of the sampled candidates.
 _PARALLEL_ROUNDS = 2
+# Rows per wanted centre that are looked at first for different points.
+_HEAD = 16
 _CANDIDATE_STEPS = 30
 
 
@@ -48,12 +50,25 @@ def assign(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cid, best
 
 
-def lloyd(points, centers, iterations, epsilon, weights=None):
+def assign_by_products(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``assign`` for many centres: one matrix product, at the cost of digits."""
+    shift = points.mean(axis=0)
+    points, centers = points - shift, centers - shift
+    dist = (
+        np.einsum("ij,ij->i", points, points)[:, None]
+        - 2.0 * (points @ centers.T)
+        + np.einsum("ij,ij->i", centers, centers)
+    )
+    cid = dist.argmin(axis=1)
+    return cid, np.maximum(dist[np.arange(len(points)), cid], 0.0)
+
+
+def lloyd(points, centers, iterations, epsilon, weights=None, nearest=assign):
     """Move the centres to the means of their points until they rest."""
     k = len(centers)
     scaled = points if weights is None else points * weights[:, None]
     for _ in range(iterations):
-        cid, _ = assign(points, centers)
+        cid, _ = nearest(points, centers)
         mass = np.bincount(cid, weights, minlength=k)
         sums = np.stack(
             [np.bincount(cid, scaled[:, j], minlength=k) for j in range(points.shape[1])], axis=1
@@ -233,7 +248,8 @@ def _matched(points: DataFrame, table: DataFrame, keys: Sequence[str], small: bo
             [F.col(f"`{k}`") for k in keys], [F.col(f"_tl_j{i}") for i in range(len(keys))]
         )
     drop = [f"_tl_j{i}" for i in range(len(keys) + 1)]
-    return points.join(F.broadcast(right) if small else right, match, how).drop(*drop)
+    joined = points.join(F.broadcast(right) if small else right, match, how)
+    return joined if how == "left_anti" else joined.drop(*drop)
 
 
 def _aggregated(rows, keys, dims, options: KMeansOptions, size) -> DataFrame:
@@ -247,13 +263,13 @@ def _aggregated(rows, keys, dims, options: KMeansOptions, size) -> DataFrame:
         ),
         "points",
     )
-    counts = points.groupBy(*groups).agg(F.count("*").alias("n"))
+    counts = points.groupBy(*groups).agg(F.count("*").alias("n"), F.min(RN).alias("first"))
     if size is not None:
         counts = counts.where(F.col("n") == size)
     counts = materialise(counts, "windows")
     # The number of windows is known, so the size of the centre table is too.
     small = counts.count() * k * dims <= _BROADCAST_DOUBLES
-    centers = _matched(counts, _starts(points, counts, keys, dims, options, small), keys, False)
+    centers = _matched(counts.drop("first"), _starts(points, counts, keys, dims, options, small), keys, False)
     centers = materialise(centers.withColumn("rested", F.lit(False)), "centers")
     for _ in range(options.num_iterations):
         active = centers.where(~F.col("rested"))
@@ -319,8 +335,25 @@ def _move(centers, moved, keys, options):
     )
 
 
-def _ranked_start(points, keys, by, k):
-    """The first ``k`` different points of each window in the order of ``by``."""
+def _ranked_start(points, counts, keys, by, near, k, small):
+    """The first ``k`` different points of each window in the order of ``by``.
+
+    ``near`` holds for the first rows in that order. They settle most windows;
+    only windows with too many copies among them are ranked in full.
+    """
+    groups = [*[f"`{c}`" for c in keys], WINDOW_ID]
+    first = materialise(_ranked(points.where(near), keys, by, k), "starts")
+    short = _matched(counts, first, keys, False, "left").where(
+        F.coalesce(F.size("centers"), F.lit(0)) < k
+    )
+    short = materialise(short.select(*groups), "short")
+    if short.isEmpty():
+        return first
+    rest = _ranked(_matched(points, short, keys, small), keys, by, k)
+    return _matched(first, short, keys, False, "left_anti").unionByName(rest)
+
+
+def _ranked(points, keys, by, k):
     groups = [*[f"`{c}`" for c in keys], WINDOW_ID]
     distinct = points.groupBy(*groups, "x").agg(F.min(by).alias("at"))
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy("at"))
@@ -334,11 +367,13 @@ def _ranked_start(points, keys, by, k):
 
 def _starts(points, counts, keys, dims, options: KMeansOptions, small):
     k = options.num_clusters
-    complete = _matched(points, counts.drop("n"), keys, small)
+    complete = _matched(points, counts, keys, small)
     if options.init == "first_k":
-        return _ranked_start(complete, keys, F.struct(RN), k)
+        near = F.col(RN) < F.col("first") + _HEAD * k
+        return _ranked_start(complete, counts, keys, F.struct(RN), near, k, small)
     if options.init == "random":
-        return _ranked_start(complete, keys, F.struct("_tl_u0", RN), k)
+        near = F.col("_tl_u0") * F.col("n") < 2 * _HEAD * k
+        return _ranked_start(complete, counts, keys, F.struct("_tl_u0", RN), near, k, small)
 
     groups = [*[f"`{c}`" for c in keys], WINDOW_ID]
     rank = F.struct("_tl_u0", RN)

@@ -67,6 +67,8 @@ def descend(w, draws, options: LinRegOptions, jacobian=None):
 
 def _walk(marked, p: int, options: LinRegOptions, track: bool):
     """Train window after window; yields one list of results per batch."""
+    # Divergence is reported by the caller, where it is asked for.
+    np.seterr(all="ignore")
     steps = options.num_iterations
     full = steps + 1
     rows_up, cols_up = (np.array(side) for side in zip(*upper(p)))
@@ -79,6 +81,9 @@ def _walk(marked, p: int, options: LinRegOptions, track: bool):
         its = batch.column(STEP).to_numpy(zero_copy_only=False)
         wins = batch.column(WINDOW_ID).to_numpy(zero_copy_only=False)
         bs, gs = doubles(batch, "b"), doubles(batch, "g")
+        grams = np.empty((batch.num_rows, p, p))
+        grams[:, rows_up, cols_up] = gs
+        grams[:, cols_up, rows_up] = gs
         starts = batch.column(_START)
         out = []
         for i, first in enumerate(flags):
@@ -93,9 +98,7 @@ def _walk(marked, p: int, options: LinRegOptions, track: bool):
                 window = None
             if wins[i] != window:
                 window, drawn = wins[i], {}
-            gram = np.empty((p, p))
-            gram[rows_up, cols_up] = gs[i]
-            gram[cols_up, rows_up] = gs[i]
+            gram = grams[i]
             this = (ns[i], gram, bs[i])
             if its[i] < full:
                 if ns[i] > 0:
@@ -103,9 +106,8 @@ def _walk(marked, p: int, options: LinRegOptions, track: bool):
                 continue
             draws = [drawn.get(s) for s in range(1, full)] if sampled else [this] * steps
             before = w
-            with np.errstate(all="ignore"):
-                w, taken = descend(w, draws, options, jac)
-                mse = max(0.0, (yys[i] - 2 * (w @ bs[i]) + w @ gram @ w) / ns[i])
+            w, taken = descend(w, draws, options, jac)
+            mse = max(0.0, (yys[i] - 2 * (w @ bs[i]) + w @ gram @ w) / ns[i])
             out.append((i, first, before, w, taken, mse, ns[i], yys[i] / ns[i], jac))
         yield batch, out
 
@@ -133,7 +135,7 @@ def _emit(
             if not out:
                 continue
             at, _, _, weights, taken, mse, n, mean_yy, _ = zip(*out)
-            if options.on_diverge == "error":
+            if options.on_diverge == "error" and not np.isfinite(np.stack(weights)).all():
                 for i, w in zip(at, weights):
                     if not np.isfinite(w).all():
                         where = {c: batch.column(c)[i].as_py() for c in kept}

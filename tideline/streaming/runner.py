@@ -96,7 +96,7 @@ class MicroClusterStream:
     def step(self, rows: DataFrame, base: DataFrame | None, state: DataFrame | None) -> Step:
         fit = fit_microclusters(
             rows, self.features, self.order_by, self.partition_by,
-            self.options, self.on_null, base, state,
+            self.options, self.on_null, base, state, resumable=True,
         )
         models = materialise(fit.models, "models")
         columns = center_columns(self.options.num_clusters, "ssq")
