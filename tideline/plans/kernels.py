@@ -51,15 +51,25 @@ class Kernels:
         self.rows = np.zeros((limit, width(dims)))
         self.rows[: self.count] = rows
         self.centers = np.zeros((limit, dims))
-        if self.count:
-            self.centers[: self.count] = rows[:, 3 : 3 + dims] / rows[:, :1]
         self.gaps = np.full((limit, limit), np.inf)
-        for i in range(self.count):
-            self._measure(i)
+        self._measure_all()
 
     def used(self) -> np.ndarray:
         return self.rows[: self.count]
 
+    def _measure_all(self) -> None:
+        """Refresh all centres and distances."""
+        c = self.count
+        if c == 0:
+            return
+        centers = self.rows[:c, 3 : 3 + self.dims] / self.rows[:c, :1]
+        self.centers[:c] = centers
+        dist = np.zeros((c, c))
+        for j in range(self.dims):
+            dist += np.subtract.outer(centers[:, j], centers[:, j]) ** 2
+        np.fill_diagonal(dist, np.inf)
+        self.gaps[:c, :c] = dist
+
     def _measure(self, i: int) -> None:
         """Refresh the distances from kernel ``i`` to all others."""
         diff = self.centers[: self.count] - self.centers[i]
@@ -81,6 +91,27 @@ class Kernels:
         spread = row[3 + self.dims :] / row[0] - self.centers[i] ** 2
         return self.factor**2 * max(0.0, spread.sum())
 
+    def _reaches(self) -> np.ndarray:
+        """``_reach`` of every kernel."""
+        rows = self.used()
+        spread = (rows[:, 3 + self.dims :] / rows[:, :1]).sum(axis=1)
+        spread -= (self.centers[: self.count] ** 2).sum(axis=1)
+        nearest = self.gaps[: self.count, : self.count].min(axis=1)
+        single = nearest if self.count > 1 else np.zeros(1)
+        return np.where(rows[:, 0] < 2, single, self.factor**2 * np.maximum(spread, 0.0))
+
+    def take(self, rows: np.ndarray) -> None:
+        """Absorb what lies within reach of a kernel at once; insert the rest in order."""
+        if self.count and len(rows):
+            cid, dist = assign_by_products(rows[:, 3 : 3 + self.dims] / rows[:, :1],
+                                           self.centers[: self.count])
+            inside = dist <= self._reaches()[cid]
+            np.add.at(self.rows, cid[inside], rows[inside])
+            self._measure_all()
+            rows = rows[~inside]
+        for row in rows:
+            self.insert(row)
+
     def _stalest(self, now: float) -> int | None:
         """The kernel whose recent rows are oldest, if all left the horizon."""
         rows = self.used()
@@ -124,8 +155,7 @@ class Kernels:
 def merge(earlier, later, limit: int, factor: float, horizon: int, dims: int) -> np.ndarray:
     """Kernels of a span of rows followed by another; flat in, flat out."""
     held = Kernels(earlier.reshape(-1, width(dims)), limit, factor, horizon, dims)
-    for row in later.reshape(-1, width(dims)):
-        held.insert(row)
+    held.take(later.reshape(-1, width(dims)))
     return held.used().ravel().copy()
 
 
