@@ -57,10 +57,7 @@ def fit_kmeans(
         most=arrived.total // windows.shift + 1,
     )
     if options.update == "decay":
-        last = windows.count(arrived.longest)
-        models = decay_centers(
-            materialise(models, "models"), keys, options.alpha, start=start, span=last
-        )
+        models = decay_centers(models, keys, options.alpha, start)
     return ClusterFit(arrived.rows, models, keys, windows)
 
 
@@ -69,7 +66,6 @@ def decay_centers(
     keys: str | Sequence[str] | None,
     alpha: float,
     start: DataFrame | None = None,
-    span: int | None = None,
     fan: int = 256,
 ) -> DataFrame:
     """Merge each window's centres into a history that loses weight.
@@ -82,6 +78,7 @@ def decay_centers(
     """
     keys = as_names(keys)
     names = [f"`{k}`" for k in keys]
+    models = materialise(models, "models")
     # Weight and weighted sum of coordinates both follow a linear recurrence, so
     # windows can be combined in any grouping: [factor, weights…, sums…].
     dims_of = F.transform("centers", lambda c: F.size(c))

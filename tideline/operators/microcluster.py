@@ -17,7 +17,7 @@ from tideline.plans.count_windows import WINDOW_ID, CountWindows, int_div
 from tideline.plans.gram import feature
 from tideline.plans.kernels import macro_centers, merge, summarise_block, width
 from tideline.plans.lloyd import GATHER_DOUBLES
-from tideline.plans.ordered import double_arrays, ordered_map, out_batch
+from tideline.plans.ordered import double_arrays, joined, ordered_map, out_batch
 from tideline.plans.prefix import exclusive_prefix
 from tideline.plans.rows import as_columns, attach_models, index_rows, typed
 from tideline.scratch import materialise
@@ -72,15 +72,16 @@ def _blocks(
                 [batch.column(feature(i)).to_numpy(zero_copy_only=False) for i in range(dims)]
             )
             times = batch.column(RN).to_numpy(zero_copy_only=False)
-            at = 0
+            at, done = 0, []
             for edge in [*np.flatnonzero(flags).tolist(), batch.num_rows]:
                 if edge > at:
                     pieces.append((points[at:edge], times[at:edge]))
                 if edge < batch.num_rows:
                     if pieces:
-                        yield finish(head, pieces)
+                        done.append(finish(head, pieces))
                     head, pieces = batch.slice(edge, 1).select(groups), []
                 at = edge
+            yield from joined(done)
         if pieces:
             yield finish(head, pieces)
 
@@ -170,10 +171,11 @@ def _walk_periods(
         for batch, flags in marked:
             accs, sizes = batch.column("acc"), batch.column("n").to_pylist()
             windows = batch.column(WINDOW_ID).to_pylist()
+            done = []
             for i, first in enumerate(flags):
                 if first:
                     if held is not None and totals_only:
-                        yield total(held, own)
+                        done.append(total(held, own))
                     before, own = vector(batch.column("_tl_before")[i]), vector(
                         batch.column("_tl_own")[i]
                     )
@@ -190,7 +192,8 @@ def _walk_periods(
                 if not totals_only:
                     state = fold(state, kernels)
                     if n == size:
-                        yield period(held, n, before, own, state)
+                        done.append(period(held, n, before, own, state))
+            yield from joined(done)
         if held is not None and totals_only:
             yield total(held, own)
 

@@ -146,7 +146,7 @@ def kmeans_time_windows(
     )
     models = fit_windows(numbered, keys, len(given), options, None)
     if options.update == "decay":
-        models = decay_centers(materialise(models, "models"), keys, options.alpha)
+        models = decay_centers(models, keys, options.alpha)
     kind = df.schema[ts].dataType.simpleString()
     return window_bounds(models, step, length, kind).select(
         *names, "window_start", "window_end", "n", *center_columns(options.num_clusters)

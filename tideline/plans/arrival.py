@@ -18,6 +18,8 @@ _POS = "_tl_pos"
 _TIE = "_tl_tie"
 # The position column holds the partition number above its lowest 33 bits.
 _PARTITION_SHIFT = 33
+# Largest table of per-key offsets that is sent to every executor.
+_BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -155,5 +157,12 @@ def _keyed_offsets(
         ),
         "runs",
     )
-    longest, total = runs.agg(F.max("_tl_end"), F.sum("_tl_n")).first()
-    return runs.drop("_tl_end", "_tl_n"), longest or 0, total or 0
+    key_bytes = F.sum(F.octet_length(F.to_json(F.struct(*names))))
+    longest, total, count, size = runs.agg(
+        F.max("_tl_end"), F.sum("_tl_n"), F.count("*"), key_bytes
+    ).first()
+    offsets = runs.drop("_tl_end", "_tl_n")
+    if (size or 0) + 32 * count <= _BROADCAST_BYTES:
+        # Joining on the partition and key would move all rows once more.
+        offsets = F.broadcast(offsets)
+    return offsets, longest or 0, total or 0

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +20,7 @@ from tideline.functions.vectors import hash_unit, nearest_center, squared_distan
 from tideline.plans.arrival import RN, same_keys
 from tideline.plans.count_windows import WINDOW_ID
 from tideline.plans.gram import feature
-from tideline.plans.ordered import ordered_map, out_batch
+from tideline.plans.ordered import joined, ordered_map, out_batch
 from tideline.scratch import materialise
 
 _CENTERS = T.ArrayType(T.ArrayType(T.DoubleType()))
@@ -223,8 +222,7 @@ def _gathered(rows, keys, dims, options: KMeansOptions, size, most) -> DataFrame
                             done.append(result)
                     head, pieces = batch.slice(edge, 1).select(groups), []
                 at = edge
-            if done:
-                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+            yield from joined(done)
         if pieces:
             result = finish(head, pieces)
             if result is not None:

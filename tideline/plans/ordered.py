@@ -34,6 +34,12 @@ def out_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def joined(batches: list):
+    """Small record batches as one, if there are any."""
+    if batches:
+        yield from pa.Table.from_batches(batches).combine_chunks().to_batches()
+
+
 def _plain(scalar: pa.Scalar):
     value = scalar.as_py()
     # Spark groups all NaN together.

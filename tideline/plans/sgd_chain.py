@@ -67,8 +67,6 @@ def descend(w, draws, options: LinRegOptions, jacobian=None):
 
 def _walk(marked, p: int, options: LinRegOptions, track: bool):
     """Train window after window; yields one list of results per batch."""
-    # Divergence is reported by the caller, where it is asked for.
-    np.seterr(all="ignore")
     steps = options.num_iterations
     full = steps + 1
     rows_up, cols_up = (np.array(side) for side in zip(*upper(p)))
@@ -86,29 +84,31 @@ def _walk(marked, p: int, options: LinRegOptions, track: bool):
         grams[:, cols_up, rows_up] = gs
         starts = batch.column(_START)
         out = []
-        for i, first in enumerate(flags):
-            if first:
-                start = starts[i]
-                w = (
-                    np.array(start.values.to_numpy(zero_copy_only=False))
-                    if start.is_valid
-                    else np.zeros(p)
-                )
-                jac = np.eye(p) if track else None
-                window = None
-            if wins[i] != window:
-                window, drawn = wins[i], {}
-            gram = grams[i]
-            this = (ns[i], gram, bs[i])
-            if its[i] < full:
-                if ns[i] > 0:
-                    drawn[int(its[i])] = this
-                continue
-            draws = [drawn.get(s) for s in range(1, full)] if sampled else [this] * steps
-            before = w
-            w, taken = descend(w, draws, options, jac)
-            mse = max(0.0, (yys[i] - 2 * (w @ bs[i]) + w @ gram @ w) / ns[i])
-            out.append((i, first, before, w, taken, mse, ns[i], yys[i] / ns[i], jac))
+        # Divergence is reported by the caller, where it is asked for.
+        with np.errstate(all="ignore"):
+            for i, first in enumerate(flags):
+                if first:
+                    start = starts[i]
+                    w = (
+                        np.array(start.values.to_numpy(zero_copy_only=False))
+                        if start.is_valid
+                        else np.zeros(p)
+                    )
+                    jac = np.eye(p) if track else None
+                    window = None
+                if wins[i] != window:
+                    window, drawn = wins[i], {}
+                gram = grams[i]
+                this = (ns[i], gram, bs[i])
+                if its[i] < full:
+                    if ns[i] > 0:
+                        drawn[int(its[i])] = this
+                    continue
+                draws = [drawn.get(s) for s in range(1, full)] if sampled else [this] * steps
+                before = w
+                w, taken = descend(w, draws, options, jac)
+                mse = max(0.0, (yys[i] - 2 * (w @ bs[i]) + w @ gram @ w) / ns[i])
+                out.append((i, first, before, w, taken, mse, ns[i], yys[i] / ns[i], jac))
         yield batch, out
 
 
