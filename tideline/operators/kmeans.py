@@ -82,7 +82,9 @@ def decay_centers(
     # Weight and weighted sum of coordinates both follow a linear recurrence, so
     # windows can be combined in any grouping: [factor, weights…, sums…].
     dims_of = F.transform("centers", lambda c: F.size(c))
-    dims = models.select(F.max(F.array_max(dims_of))).first()[0]
+    dims, low, high = models.agg(
+        F.max(F.array_max(dims_of)), F.min(WINDOW_ID), F.max(WINDOW_ID)
+    ).first()
     if dims is None:
         return models
     flat_sums = F.flatten(
@@ -96,7 +98,6 @@ def decay_centers(
     )
     own = F.concat(F.array(F.lit(float(alpha))), F.col("weights"), flat_sums)
     parts = models.select(*names, F.col(WINDOW_ID).alias("idx"), own.alias("acc"))
-    low, high = models.agg(F.min(WINDOW_ID), F.max(WINDOW_ID)).first()
     parts = parts.withColumn("idx", F.col("idx") - F.lit(low))
 
     def fold(a, b):
