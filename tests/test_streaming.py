@@ -275,3 +275,18 @@ def test_time_window_feed(spark, tmp_path):
         spark.read.parquet(f"{tmp_path}/out").drop("batch_id"),
         static.where(F.col("window_end") <= F.lit(closed)),
     )
+
+
+def test_times_without_zone_do_not_depend_on_the_session(spark):
+    _, rows = timed(spark)
+    plain = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, y double, x double")
+    seen = []
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            out = linreg_time_windows(plain, "ts", "y", ["x"], "1 day")
+            seen.append(out.select("window_start", "window_end", "n").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seen[0] == seen[1]
+    assert seen[0][0].window_start == datetime(2024, 1, 1)

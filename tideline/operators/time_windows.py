@@ -85,7 +85,10 @@ def _exact_errors(models, df, ts, keys, features, frame, slide, on_null, step) -
         values[0].alias(LABEL),
         *[v.alias(feature(i)) for i, v in enumerate(values[1:])],
         F.window(F.col(f"`{ts}`"), frame, slide).alias("_tl_w"),
-    ).withColumn("_tl_number", window_number(F.col("_tl_w.start"), step))
+    ).withColumn(
+        "_tl_number",
+        window_number(F.col("_tl_w.start"), step, df.schema[ts].dataType.simpleString()),
+    )
     wanted = close.select(
         *[F.col(n).alias(f"_tl_c{i}") for i, n in enumerate(names)],
         F.col(WINDOW_ID).alias("_tl_win"),
@@ -132,6 +135,7 @@ def kmeans_time_windows(
     step = duration_micros(spark, slide) if slide else length
     arrived = index_rows(df, given, order_by or ts, partition_by, on_null)
     names = [f"`{k}`" for k in keys]
+    kind = df.schema[ts].dataType.simpleString()
     rows = arrived.rows.select(
         *names,
         RN,
@@ -140,14 +144,13 @@ def kmeans_time_windows(
     )
     numbered = rows.select(
         *names,
-        window_number(F.col("_tl_w.start"), step).alias(WINDOW_ID),
+        window_number(F.col("_tl_w.start"), step, kind).alias(WINDOW_ID),
         RN,
         *[feature(i) for i in range(len(given))],
     )
     models = fit_windows(numbered, keys, len(given), options, None)
     if options.update == "decay":
         models = decay_centers(models, keys, options.alpha)
-    kind = df.schema[ts].dataType.simpleString()
     return window_bounds(models, step, length, kind).select(
         *names, "window_start", "window_end", "n", *center_columns(options.num_clusters)
     )

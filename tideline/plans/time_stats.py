@@ -18,9 +18,26 @@ def duration_micros(spark: SparkSession, duration: str) -> int:
     return spark.range(1).select(F.unix_micros(moved)).first()[0]
 
 
-def window_number(start: Column, step: int) -> Column:
+def as_instant(ts: Column, kind: str) -> Column:
+    """The time as a timestamp; a time without zone is taken as UTC."""
+    if kind != "timestamp_ntz":
+        return ts.cast("timestamp")
+    second = F.extract(F.lit("SECOND"), ts)
+    return F.make_timestamp(
+        F.year(ts), F.month(ts), F.day(ts), F.hour(ts), F.minute(ts), second, F.lit("UTC")
+    )
+
+
+def _from_micros(micros: Column, kind: str) -> Column:
+    if kind != "timestamp_ntz":
+        return F.timestamp_micros(micros).cast(kind)
+    seconds = (micros / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr("timestamp_ntz'1970-01-01'") + F.make_dt_interval(secs=seconds)
+
+
+def window_number(start: Column, step: int, kind: str) -> Column:
     """A number that grows by one from window to window."""
-    return int_div(F.unix_micros(start.cast("timestamp")), step)
+    return int_div(F.unix_micros(as_instant(start, kind)), step)
 
 
 def time_stats(
@@ -63,9 +80,10 @@ def time_stats(
 
 def chain_input(stats: DataFrame, keys: Sequence[str], step: int, full: int) -> DataFrame:
     """The statistics in the shape of the count-window chain."""
+    kind = stats.schema["window_start"].dataType.simpleString()
     return stats.select(
         *[f"`{k}`" for k in keys],
-        window_number(F.col("window_start"), step).alias(WINDOW_ID),
+        window_number(F.col("window_start"), step, kind).alias(WINDOW_ID),
         F.lit(full).alias(STEP),
         "n", "yy", "b", "g",
     )
@@ -76,7 +94,7 @@ def window_bounds(models: DataFrame, step: int, length: int, ts_type: str) -> Da
     start = F.col(WINDOW_ID) * F.lit(step)
     kept = [c for c in models.columns if c != WINDOW_ID]
     return models.select(
-        F.timestamp_micros(start).cast(ts_type).alias("window_start"),
-        F.timestamp_micros(start + F.lit(length)).cast(ts_type).alias("window_end"),
+        _from_micros(start, ts_type).alias("window_start"),
+        _from_micros(start + F.lit(length), ts_type).alias("window_end"),
         *kept,
     )

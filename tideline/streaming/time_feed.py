@@ -15,7 +15,13 @@ from tideline.plans.arrival import as_names
 from tideline.plans.count_windows import WINDOW_ID
 from tideline.plans.rows import as_columns, check_numeric, missing
 from tideline.plans.sgd_chain import chain_models
-from tideline.plans.time_stats import chain_input, duration_micros, time_stats, window_bounds
+from tideline.plans.time_stats import (
+    as_instant,
+    chain_input,
+    duration_micros,
+    time_stats,
+    window_bounds,
+)
 from tideline.scratch import delete_path, materialise, scratch_scope
 from tideline.streaming.runner import carried_over, last_of, read_version, state_version
 
@@ -53,7 +59,7 @@ def run_time_windows(
     kind = stream.schema[ts].dataType.simpleString()
     if not isinstance(stream.schema[ts].dataType, T.TimestampType):
         # Watermarks need a timestamp with a time zone.
-        stream = stream.withColumn(ts, F.col(f"`{ts}`").cast("timestamp"))
+        stream = stream.withColumn(ts, as_instant(F.col(f"`{ts}`"), kind))
     length = duration_micros(spark, frame)
     step = duration_micros(spark, slide) if slide else length
     closed = time_stats(
