@@ -47,6 +47,11 @@ from tideline.streaming import (  # noqa: E402
     run_time_windows,
 )
 
+try:
+    from tideline.llm import queries as llm_queries
+except ImportError:  # the text operators are an optional part
+    llm_queries = None
+
 LINE_KEY = O.LINE_KEY
 SIZE, STEPS, RATE = 1000, 20, 1e-4
 
@@ -468,7 +473,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (session, folder of the tables)."""
-    return {
+    found = {
         f.__name__: f
         for f in (
             linreg_tumbling, linreg_call, linreg_defaults, linreg_five_columns, linreg_sliding,
@@ -483,6 +488,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             center_text, csv_round_trip, feed_linreg, feed_kmeans, feed_time_window,
         )
     }
+    return found | (llm_queries.QUERIES if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
@@ -666,4 +672,4 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT * FROM ({out['linreg_time_window']}) "
         "WHERE window_end <= (SELECT max(ts) FROM events)"
     )
-    return out
+    return out | (llm_queries.ORACLES if llm_queries else {})
