@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
+from tideline.llm.simhash import near_duplicates
 from tideline.llm.suffix_dedup import remove_repeats
 
 
@@ -25,7 +26,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_exact_dedup)}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return out.select(
+        F.col("_id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_exact_dedup, op4_simhash)}
 
 ORACLES = {
     "op3_exact_dedup": """
