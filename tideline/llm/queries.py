@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
+from tideline.llm.packing import pack
 from tideline.llm.simhash import near_duplicates
 from tideline.llm.suffix_dedup import remove_repeats
 
@@ -35,7 +36,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_exact_dedup, op4_simhash)}
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return out.withColumnRenamed("_id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_exact_dedup, op4_simhash, op7_packing)}
 
 ORACLES = {
     "op3_exact_dedup": """
