@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.bpe import encode
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
 from tideline.llm.packing import pack
@@ -47,7 +48,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_exact_dedup, op4_simhash, op7_packing)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return out.withColumnRenamed("_id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_exact_dedup, op4_simhash, op7_packing, op10_bpe)}
 
 ORACLES = {
     "op3_exact_dedup": """
