@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import encode
+from tideline.llm.chat_format import format_chats, read_back
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
 from tideline.llm.packing import pack
@@ -48,12 +49,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_id", "doc_id")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sample = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", sample), (-7, 1, "assistant", sample)], "conv_id long, turn long, role string, text string"
+    )
+    return read_back(format_chats(chats.union(more))).withColumnRenamed("_id", "conv_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return out.withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_exact_dedup, op4_simhash, op7_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_exact_dedup, op4_simhash, op7_packing, op9_chat_format, op10_bpe)}
 
 ORACLES = {
     "op3_exact_dedup": """
