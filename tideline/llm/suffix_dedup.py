@@ -259,7 +259,7 @@ def settle(alive: DataFrame, digit: str, whole: list[str], spot: list[str]):
     groups = materialise(groups, "groups")
     many = groups.where("members > 1").select(digit, *whole)
     finished = alive.join(many, [digit, *whole], "left_semi").select("s1", "s2", *spot)
-    shared = groups.groupBy(digit).count().where("count > 1").select(digit)
+    shared = materialise(groups.groupBy(digit).count().where("count > 1").select(digit), "shared")
     return finished, groups.join(shared, digit, "left_semi").select("one.*")
 
 
@@ -282,7 +282,8 @@ def repeated_ranges(
         return ", ".join(f"{c} long" for c in names.split())
 
     every = rows.select("_text").mapInArrow(_anchor_digits(threshold, digit), "d1 long")
-    repeated = every.groupBy("d1").count().where("count > 1").select("d1")
+    # Written first, so that both sides of the join are shuffled and a hot digit is split.
+    repeated = materialise(every.groupBy("d1").count().where("count > 1").select("d1"), "repeated")
     anchors = narrow.mapInArrow(_anchor_rows(threshold, digit), longs("d1 n1 n2 s1 s2 spot"))
     alive = materialise(anchors.join(repeated, "d1", "left_semi"), "anchors")
     finished, going = settle(alive, "d1", ["n1", "n2"], ["spot"])
