@@ -12,6 +12,8 @@ from tideline.llm.exact_dedup import exact_groups
 from tideline.llm.packing import pack
 from tideline.llm.simhash import near_duplicates
 from tideline.llm.suffix_dedup import remove_repeats
+from tideline.llm.warc import read_archives, write_pages
+from tideline.scratch import scratch_path
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_pages(table(spark, sf_dir, "pages"), path)
+    records = read_archives(spark, path).where("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_groups(table(spark, sf_dir, "documents"), with_text=True)
     return out.select(
@@ -63,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_exact_dedup, op4_simhash, op7_packing, op9_chat_format, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_exact_dedup, op4_simhash, op7_packing, op9_chat_format, op10_bpe)}
 
 ORACLES = {
     "op3_exact_dedup": """
