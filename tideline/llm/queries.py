@@ -9,6 +9,7 @@ from tideline.llm.bpe import encode
 from tideline.llm.chat_format import format_chats, read_back
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
+from tideline.llm.hmm import score_texts
 from tideline.llm.packing import pack
 from tideline.llm.simhash import near_duplicates
 from tideline.llm.suffix_dedup import remove_repeats
@@ -47,6 +48,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    out = score_texts(table(spark, sf_dir, "documents"), held_out=held_out)
+    return out.withColumnRenamed("_id", "doc_id")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -72,7 +79,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_exact_dedup, op4_simhash, op7_packing, op9_chat_format, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_exact_dedup, op4_simhash, op5_hmm, op7_packing, op9_chat_format, op10_bpe)}
 
 ORACLES = {
     "op3_exact_dedup": """
