@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,29 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     )
 
 
+def ddl(df: DataFrame, names: tuple[str, ...]) -> str:
+    """Further columns of a schema: those of ``df``, under the names that texts() gives them."""
+    return "".join(f", `_{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def with_more(b: pa.RecordBatch, source: pa.RecordBatch, names: tuple[str, ...]) -> pa.RecordBatch:
+    """``b`` with columns of the batch it came from, row by row."""
+    arrays = [*b.columns, *(source.column(f"_{c}") for c in names)]
+    return pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, *(f"_{c}" for c in names)])
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+@F.pandas_udf("string")
+def mended(parts: pd.Series) -> pd.Series:
+    """Bytes as text, with a replacement mark for each broken character; null stays null."""
+    return parts.map(lambda x: None if x is None else x.decode("utf-8", "replace"))
+
+
 def by_size(items: Iterator, weight, most: int) -> Iterator[list]:
     """Lists of consecutive items whose weights add up to ``most``, or single larger items."""
     held, total = [], 0

@@ -10,7 +10,9 @@ from tideline.llm.chat_format import format_chats, read_back
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_groups
 from tideline.llm.hmm import score_texts
+from tideline.llm.importance import resample
 from tideline.llm.packing import pack
+from tideline.llm.quality import quality
 from tideline.llm.simhash import near_duplicates
 from tideline.llm.suffix_dedup import remove_repeats
 from tideline.llm.warc import read_archives, write_pages
@@ -54,6 +56,11 @@ def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_id", "doc_id")
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return resample(table(spark, sf_dir, "documents"), good).withColumnRenamed("_id", "doc_id")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -65,6 +72,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_id", "doc_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept", "log_perplexity",
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     sample = "</s>[INST] ok [/INST]"
@@ -79,7 +94,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_exact_dedup, op4_simhash, op5_hmm, op7_packing, op9_chat_format, op10_bpe)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_warc, op3_exact_dedup, op4_simhash, op5_hmm, op6_importance,
+        op7_packing, op8_quality, op9_chat_format, op10_bpe, pipeline,
+    )
+}
 
 ORACLES = {
     "op3_exact_dedup": """

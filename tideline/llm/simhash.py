@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_bytes, batch, texts
+from tideline.llm.common import as_bytes, batch, ddl, texts, with_more
 from tideline.llm.components import components
 from tideline.scratch import materialise
 
@@ -74,23 +74,25 @@ def simhash(hashes: np.ndarray, length: int = 1) -> np.ndarray:
     return out
 
 
-def _fingerprint_rows(words: int, length: int):
+def _fingerprint_rows(words: int, length: int, keep: tuple[str, ...]):
     def run(batches):
         schema = pa.schema([("_id", pa.int64()), *((f"f{i}", pa.int64()) for i in range(length))])
         for b in batches:
             found = [simhash(shingle_hashes(t, words), length) for t in as_bytes(b.column("_text"))]
             prints = np.array(found, np.uint64).reshape(-1, length).view(np.int64)
-            yield batch(schema, b.column("_id"), *np.ascontiguousarray(prints.T))
+            out = batch(schema, b.column("_id"), *np.ascontiguousarray(prints.T))
+            yield with_more(out, b, keep)
 
     return run
 
 
 def fingerprints(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, length: int = 1
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, length: int = 1,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(_id, f0, f1 ...) of every row; texts without a word get zero."""
-    kinds = "_id long" + "".join(f", f{i} long" for i in range(length))
-    return texts(df, id_col, text_col).mapInArrow(_fingerprint_rows(words, length), kinds)
+    """(_id, f0, f1 ...) of every row, and ``keep`` as ``_<name>``; texts without a word get zero."""
+    kinds = "_id long" + "".join(f", f{i} long" for i in range(length)) + ddl(df, keep)
+    return texts(df, id_col, text_col, *keep).mapInArrow(_fingerprint_rows(words, length, keep), kinds)
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -319,10 +321,12 @@ def fingerprint_links(
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-    length: int = 1, radius: int = 4, compared: int = COMPARED,
+    length: int = 1, radius: int = 4, compared: int = COMPARED, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: ``_id, f0 ..., component_id``, the smallest identifier reachable.
 
+    ``keep`` names columns to pass on, as ``_<name>``.
+
     Texts are lower-cased (A-Z) and cut into shingles of ``words`` words; null counts
     as empty, and texts without a word share the fingerprint zero. Two fingerprints
     link if they differ in at most ``radius`` of ``64 * length`` bits. Repeated rows
@@ -332,7 +336,7 @@ def near_duplicates(
     if length == 1 and radius not in (0, 2, 4):
         raise ValueError("one word of fingerprint takes a radius of 0, 2 or 4")
     cols = [f"f{i}" for i in range(length)]
-    prints = materialise(fingerprints(df, id_col, text_col, words, length), "prints")
+    prints = materialise(fingerprints(df, id_col, text_col, words, length, keep), "prints")
     links = materialise(fingerprint_links(prints, length, radius, compared).distinct(), "links")
     def node(side: str):
         own = [F.col(f"{side}{i}") for i in range(length)]

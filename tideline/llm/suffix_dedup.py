@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_bytes, batch, key_filter, texts, with_filter
+from tideline.llm.common import as_bytes, batch, ddl, key_filter, texts, with_filter, with_more
 from tideline.scratch import materialise
 
 THRESHOLD = 400
@@ -217,7 +217,7 @@ def covered(first: np.ndarray, last: np.ndarray, threshold: int) -> tuple[np.nda
     return start[new], end[np.append(new[1:], len(start)) - 1]
 
 
-def _cut(threshold: int, with_text: bool):
+def _cut(threshold: int, with_text: bool, keep: tuple[str, ...]):
     fields = [
         ("_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
         ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
@@ -242,7 +242,7 @@ def _cut(threshold: int, with_text: bool):
                     column.append(x)
             out[0] = b.column("_id")
             if n:
-                yield batch(schema, *out)
+                yield with_more(batch(schema, *out), b, keep)
 
     return run
 
@@ -326,6 +326,7 @@ def repeated_ranges(
 def remove_repeats(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     threshold: int = THRESHOLD, digit: int = DIGIT, with_text: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: what stays after repeated passages have been cut out.
 
@@ -335,24 +336,25 @@ def remove_repeats(
     Repeated rows count as other texts, so both lose everything; texts shorter than
     the threshold stay whole. Null and repeated identifiers are passed on. Columns:
     ``_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (start and end of each
-    cut) and, with ``with_text``, the bytes that stay as ``_kept``.
+    cut), ``keep`` as ``_<name>`` and, with ``with_text``, the bytes that stay as ``_kept``.
     """
     if not 0 < digit <= threshold:
         raise ValueError("digit must lie between 1 and threshold")
     if threshold > 0xFFFF:
         raise ValueError("threshold must be below 65,536")
-    rows = texts(df, id_col, text_col).withColumns(
+    rows = texts(df, id_col, text_col, *keep).withColumns(
         {"s1": F.xxhash64("_text"), "s2": F.xxhash64(F.lit("second"), "_text")}
     )
     ranges = repeated_ranges(rows, threshold, digit)
     rows = with_filter(rows, materialise(key_filter(ranges, "s1", "s2"), "filter"), "s1", "s2")
     per_text = ranges.groupBy("s1", "s2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    more = [f"_{c}" for c in keep]
     whole = rows.where("not _maybe").select(
-        "_id", "_text", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("ranges")
+        "_id", "_text", *more, F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("ranges")
     )
-    cut = rows.where("_maybe").join(per_text, ["s1", "s2"], "left").select("_id", "_text", "ranges")
+    cut = rows.where("_maybe").join(per_text, ["s1", "s2"], "left").select("_id", "_text", *more, "ranges")
     schema = (
         "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-        "spans array<array<long>>" + ", _kept binary" * with_text
+        "spans array<array<long>>" + ", _kept binary" * with_text + ddl(df, keep)
     )
-    return whole.union(cut).mapInArrow(_cut(threshold, with_text), schema)
+    return whole.union(cut).mapInArrow(_cut(threshold, with_text, keep), schema)
