@@ -11,6 +11,9 @@ in such a block is compared in full. If so many meet at one value that comparing
 them would grow with the square, they are sent on instead to the ball of the whole
 fingerprint, where all that meet are linked by construction, as a star.
 
+Longer fingerprints, for wider radii, meet in the same blocks. Rows then carry the number
+of a fingerprint only; who meets is a candidate, and is verified by a join.
+
 Equal fingerprints are one node. Links are never expanded into all pairs of a group.
 """
 
@@ -32,6 +35,8 @@ SEED = 42
 BLOCK = 32
 #: More fingerprints than this at one value of a block go on to the whole ball.
 COMPARED = 256
+#: Neighbours at one value that are candidates of each other, for longer fingerprints.
+NEIGHBOURS = 16
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -107,15 +112,15 @@ def _block_rows(length: int, radius: int):
     """Every value within the radius of each block, tagged with the number of the block."""
 
     def run(batches):
-        schema = pa.schema([("meet", pa.int64()), *((f"f{i}", pa.int64()) for i in range(length))])
+        schema = pa.schema([("meet", pa.int64()), ("node", pa.int64())])
         flips = ball(BLOCK, radius)
         for b in batches:
-            prints = np.stack([b.column(f"f{i}").to_numpy() for i in range(length)], 1).view(np.uint64)
+            node = np.repeat(b.column("node").to_numpy(), len(flips))
             for block in range(2 * length):
-                half = prints[:, block // 2] >> np.uint64(BLOCK * (block % 2)) & np.uint64(0xFFFFFFFF)
+                word = b.column(f"f{block // 2}").to_numpy().view(np.uint64)
+                half = word >> np.uint64(BLOCK * (block % 2)) & np.uint64(0xFFFFFFFF)
                 meet = (half[:, None] ^ flips[None, :]) | np.uint64(block << BLOCK)
-                each = np.repeat(prints, len(flips), axis=0).view(np.int64)
-                yield batch(schema, meet.ravel().view(np.int64), *np.ascontiguousarray(each.T))
+                yield batch(schema, meet.ravel().view(np.int64), node)
 
     return run
 
@@ -124,10 +129,10 @@ def _ball_rows(radius: int):
     """Every value within the radius of each whole fingerprint."""
 
     def run(batches):
-        schema = pa.schema([("meet", pa.int64()), ("f0", pa.int64())])
+        schema = pa.schema([("meet", pa.int64()), ("node", pa.int64())])
         flips = ball(64, radius)
         for b in batches:
-            prints = b.column("f0").to_numpy().view(np.uint64)
+            prints = b.column("node").to_numpy().view(np.uint64)
             for at in range(0, len(prints), 256):
                 part = prints[at : at + 256]
                 yield batch(
@@ -139,9 +144,8 @@ def _ball_rows(radius: int):
 
 
 def spanning(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links between rows of fingerprints at most ``radius`` bits apart that span their groups."""
-    n = len(prints)
-    root = list(range(n))
+    """Links between fingerprints at most ``radius`` bits apart that span their groups."""
+    root = list(range(len(prints)))
 
     def top(i):
         while root[i] != i:
@@ -150,173 +154,146 @@ def spanning(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return i
 
     out = []
-    for i in range(n - 1):
-        apart = np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1, dtype=np.int64)
-        for j in (np.flatnonzero(apart <= radius) + i + 1).tolist():
+    for i in range(len(prints) - 1):
+        near = np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= radius
+        for j in (np.flatnonzero(near) + i + 1).tolist():
             x, y = top(i), top(j)
             if x != y:
                 root[y] = x
-                out.append((i, j))
+                out.append((prints[i], prints[j]))
     return out
 
 
-def _meetings(length: int, radius: int, compared: int):
-    """Links of the fingerprints that meet, from rows sorted by value.
+_FOUND = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _found(kind: int, a, b) -> pa.RecordBatch:
+    a, b = (np.asarray(x, np.uint64).view(np.int64) for x in (a, b))
+    return batch(_FOUND, np.full(len(a), kind, np.int64), a, b)
 
-    Yields links (kind 0: from, to) and, for values where too many meet, their
-    members (kind 1). At most ``compared`` rows of a value are held.
-    """
-    names = ["kind", *(f"a{i}" for i in range(length)), *(f"b{i}" for i in range(length))]
-    schema = pa.schema([(c, pa.int64()) for c in names])
 
-    def emit(kind, a, b):
-        a, b = (np.asarray(x, np.uint64).reshape(-1, length).view(np.int64) for x in (a, b))
-        kinds = np.full(len(a), kind, np.int64)
-        return batch(schema, kinds, *np.ascontiguousarray(a.T), *np.ascontiguousarray(b.T))
+def _compared(radius: int, compared: int):
+    """Links of the fingerprints of one word that meet, from rows sorted by value.
+
+    Yields links (kind 0) and, for values where too many meet, their members (kind 1).
+    At most ``compared`` rows of a value are held.
+    """
 
     def run(batches):
         value, held, large = None, [], False  # rows of the value that is not over yet
+
+        def close(links):
+            if held and not large:
+                group = np.concatenate(held)
+                links.extend(spanning(group, radius) if len(group) > 1 else ())
+
         for b in batches:
             meet = b.column("meet").to_numpy()
             if len(meet) == 0:
                 continue
-            prints = np.stack([b.column(f"f{i}").to_numpy() for i in range(length)], 1).view(np.uint64)
+            prints = b.column("node").to_numpy().view(np.uint64)
             cuts = np.append(np.flatnonzero(np.append(True, meet[1:] != meet[:-1])), len(meet))
             sizes = np.diff(cuts)
-            froms, tos, many = [], [], []
-
-            def close():
-                if held and not large:
-                    group = np.concatenate(held)
-                    for i, j in spanning(group, radius) if len(group) > 1 else ():
-                        froms.append(group[i])
-                        tos.append(group[j])
-
+            links, many = [], []
             # A value alone in this batch matters only at the edges of the batch.
             inner = np.ones(len(sizes), bool)
             inner[[0, -1]] = False
             two = cuts[:-1][inner & (sizes == 2)]
-            near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1, dtype=np.int64) <= radius
-            froms.extend(prints[two[near]])
-            tos.extend(prints[two[near] + 1])
+            near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
+            if len(near):
+                yield _found(0, prints[near], prints[near + 1])
             for k in np.flatnonzero(~inner | (sizes > 2)):
                 rows = prints[cuts[k] : cuts[k + 1]]
                 if meet[cuts[k]] != value:
-                    close()
+                    close(links)
                     value, held, large = meet[cuts[k]], [], False
                 if not large and sum(map(len, held)) + len(rows) > compared:
                     large = True
                     many.extend(held)
                     held = []
-                if large:
-                    many.append(rows)
-                else:
-                    held.append(rows)
-            if froms:
-                yield emit(0, froms, tos)
+                (many if large else held).append(rows)
+            if links:
+                yield _found(0, *zip(*links))
             if many:
                 rows = np.concatenate(many)
-                yield emit(1, rows, rows)
-        froms, tos = [], []
-        if held and not large:
-            group = np.concatenate(held)
-            for i, j in spanning(group, radius):
-                froms.append(group[i])
-                tos.append(group[j])
-        if froms:
-            yield emit(0, froms, tos)
+                yield _found(1, rows, rows)
+        links = []
+        close(links)
+        if links:
+            yield _found(0, *zip(*links))
 
     return run
 
 
-def _stars_of_balls():
-    """Links of every fingerprint to the first one at the same value, from sorted rows."""
+def _by_run(meet: np.ndarray, node: np.ndarray, value, first) -> np.ndarray:
+    """The first node at the value of each row; ``first`` is that of a value begun before."""
+    new = np.flatnonzero(np.append(meet[0] != value, meet[1:] != meet[:-1]))
+    lead = np.full(len(meet), -1)
+    lead[new] = new
+    lead = np.maximum.accumulate(lead)
+    return np.where(lead >= 0, node[lead], node[0] if first is None else first)
+
+
+def _stars(neighbours: int = 0):
+    """Pairs of every node with the first one at the same value, and with ``neighbours``
+    before it, from rows sorted by value."""
 
     def run(batches):
-        schema = pa.schema([("a0", pa.int64()), ("b0", pa.int64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         value = first = None
+        tail_meet, tail_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            meet, f = b.column("meet").to_numpy(), b.column("f0").to_numpy()
+            meet, node = b.column("meet").to_numpy(), b.column("node").to_numpy()
             if len(meet) == 0:
                 continue
-            new = np.flatnonzero(np.append(meet[0] != value, meet[1:] != meet[:-1]))
-            lead = np.full(len(meet), -1)
-            lead[new] = new
-            lead = np.maximum.accumulate(lead)
-            heads = np.where(lead >= 0, f[lead], first if first is not None else f[0])
+            heads = _by_run(meet, node, value, first)
+            pairs = [np.stack([heads, node], 1)[heads != node]]
             value, first = meet[-1], heads[-1]
-            pairs = np.unique(np.stack([heads, f], 1)[heads != f], axis=0)
-            if len(pairs):
-                yield batch(schema, *np.ascontiguousarray(pairs.T))
-
-    return run
-
-
-def _leaders(length: int, radius: int):
-    """Links of crowded fingerprints of several words to leaders at the same value.
-
-    Rows are sorted by value; a row is linked to the first leader within the radius,
-    or becomes a leader.
-    """
-
-    def run(batches):
-        names = [*(f"a{i}" for i in range(length)), *(f"b{i}" for i in range(length))]
-        schema = pa.schema([(c, pa.int64()) for c in names])
-        value, leaders = None, np.zeros((0, length), np.uint64)
-        for b in batches:
-            meet = b.column("meet").to_numpy()
-            prints = np.stack([b.column(f"f{i}").to_numpy() for i in range(length)], 1).view(np.uint64)
-            out = []
-            for m, row in zip(meet.tolist(), prints):
-                if m != value:
-                    value, leaders = m, np.zeros((0, length), np.uint64)
-                near = np.flatnonzero(
-                    np.bitwise_count(leaders ^ row).sum(axis=1, dtype=np.int64) <= radius
-                )
-                if len(near):
-                    out.append(np.concatenate([leaders[near[0]], row]))
-                else:
-                    leaders = np.vstack([leaders, row])
-            if out:
-                yield batch(schema, *np.ascontiguousarray(np.array(out).view(np.int64).T))
+            meet, node = np.concatenate([tail_meet, meet]), np.concatenate([tail_node, node])
+            for d in range(1, neighbours + 1):
+                same = np.flatnonzero(meet[d:] == meet[:-d])
+                if len(same) == 0:
+                    break
+                pairs.append(np.stack([node[same], node[same + d]], 1))
+            tail_meet, tail_node = meet[len(meet) - neighbours :], node[len(node) - neighbours :]
+            found = np.unique(np.concatenate(pairs), axis=0)
+            if len(found):
+                yield batch(schema, *np.ascontiguousarray(found.T))
 
     return run
 
 
-def _sorted_by(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.repartition("meet").sortWithinPartitions("meet", *more)
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("meet").sortWithinPartitions("meet", "node")
 
 
 def fingerprint_links(
     prints: DataFrame, length: int = 1, radius: int = 4, compared: int = COMPARED
 ) -> DataFrame:
-    """Links (a0 ..., b0 ...) between distinct fingerprints that span all groups within the radius.
+    """Links (a, b) between nodes that span all groups of fingerprints within the radius.
 
-    With one word of 64 bits no link that joins two groups is
-    missed. With more words, pairs are compared if a block of theirs differs by at
-    most 2 bits: certain up to ``6 * length - 1`` bits, and likely beyond.
+    ``prints`` has ``node`` and ``f0 ...``. With one word of 64 bits no link that joins two
+    groups is missed. With more words, pairs are found if a block of theirs differs by at
+    most 2 bits: certain up to ``6 * length - 1`` bits and likely beyond. Where more than
+    NEIGHBOURS meet, each is compared with its neighbours and with the first.
     """
-    cols = [f"f{i}" for i in range(length)]
-    kinds = ", ".join(f"{c} long" for c in cols)
-    distinct = materialise(prints.select(*cols).distinct(), "prints")
-    met = distinct.mapInArrow(_block_rows(length, 1), f"meet long, {kinds}")
-    names = [*(f"a{i}" for i in range(length)), *(f"b{i}" for i in range(length))]
-    found = _sorted_by(met, *cols).mapInArrow(
-        _meetings(length, radius, compared), ", ".join(f"{c} long" for c in ["kind", *names])
-    )
-    found = materialise(found.distinct(), "meetings")
-    links = found.where("kind = 0").select(*names)
-    crowded = found.where("kind = 1").select(*[F.col(f"a{i}").alias(f"f{i}") for i in range(length)])
-    crowded = crowded.distinct()
+    distinct = materialise(prints.select("node", *[f"f{i}" for i in range(length)]).distinct(), "distinct")
+    met = _sorted(distinct.mapInArrow(_block_rows(length, 1), "meet long, node long"))
     if length == 1:
-        whole = crowded.mapInArrow(_ball_rows(radius // 2), "meet long, f0 long")
-        more = _sorted_by(whole, "f0").mapInArrow(_stars_of_balls(), "a0 long, b0 long")
-    else:
-        again = crowded.mapInArrow(_block_rows(length, 1), f"meet long, {kinds}")
-        more = _sorted_by(again, *cols).mapInArrow(
-            _leaders(length, radius), ", ".join(f"{c} long" for c in names)
-        )
-    return links.union(more)
+        found = met.mapInArrow(_compared(radius, compared), "kind long, a long, b long")
+        found = materialise(found.distinct(), "meetings")
+        crowded = found.where("kind = 1").select(F.col("a").alias("node")).distinct()
+        whole = _sorted(crowded.mapInArrow(_ball_rows(radius // 2), "meet long, node long"))
+        return found.where("kind = 0").select("a", "b").union(whole.mapInArrow(_stars(), "a long, b long"))
+    pairs = met.mapInArrow(_stars(NEIGHBOURS), "a long, b long").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    )
+    pairs = materialise(pairs.where("a != b").distinct(), "pairs")
+    for side in "ab":
+        own = distinct.select(F.col("node").alias(side), *[F.col(f"f{i}").alias(f"{side}{i}") for i in range(length)])
+        pairs = pairs.join(own, side)
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(length)), F.lit(0))
+    return pairs.where(apart <= radius).select("a", "b")
 
 
 def near_duplicates(
@@ -335,17 +312,13 @@ def near_duplicates(
     """
     if length == 1 and radius not in (0, 2, 4):
         raise ValueError("one word of fingerprint takes a radius of 0, 2 or 4")
-    cols = [f"f{i}" for i in range(length)]
     prints = materialise(fingerprints(df, id_col, text_col, words, length, keep), "prints")
-    links = materialise(fingerprint_links(prints, length, radius, compared).distinct(), "links")
-    def node(side: str):
-        own = [F.col(f"{side}{i}") for i in range(length)]
-        return own[0] if length == 1 else F.struct(*[c.alias(f"f{i}") for i, c in enumerate(own)])
-
-    found = components(links.select(node("a").alias("a"), node("b").alias("b")))
+    node = F.col("f0") if length == 1 else F.xxhash64(*[f"f{i}" for i in range(length)])
+    prints = prints.withColumn("node", node)
+    found = components(materialise(fingerprint_links(prints, length, radius, compared).distinct(), "links"))
     found = materialise(found, "components")
-    named = prints.groupBy(node("f").alias("node")).agg(F.min("_id").alias("_least"))
+    named = prints.groupBy("node").agg(F.min("_id").alias("_least"))
     roots = named.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = roots.groupBy("component").agg(F.min("_least").alias("component_id"))
     roots = roots.join(least, "component").select("node", "component_id")
-    return prints.withColumn("node", node("f")).join(roots, "node").drop("node")
+    return prints.join(roots, "node").drop("node")
