@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space between words: the bytes that ``bytes.split()`` cuts at.
 SPACE = b" \t\n\r\x0b\x0c"
@@ -43,7 +44,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mended(parts: pd.Series) -> pd.Series:
     """Bytes as text, with a replacement mark for each broken character; null stays null."""
     return parts.map(lambda x: None if x is None else x.decode("utf-8", "replace"))
