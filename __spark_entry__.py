@@ -40,7 +40,7 @@ from tideline.plans.gram import LABEL, feature, gram_stats  # noqa: E402
 from tideline.plans.rows import array_elements  # noqa: E402
 from tideline.scratch import scratch_path  # noqa: E402
 from tideline.sources import read_csv_rows, stream_table, write_rows  # noqa: E402
-from tideline.streaming import (  # noqa: E402
+from tideline.feeds import (  # noqa: E402
     KMeansStream,
     LinRegStream,
     run_stream,

@@ -16,7 +16,7 @@ from tideline.operators import (
 )
 from tideline.operators.microcluster import fit_microclusters
 from tideline.sources import read_csv_rows, row_schema, stream_csv_rows, stream_table, write_rows
-from tideline.streaming import (
+from tideline.feeds import (
     KMeansStream,
     LinRegStream,
     MicroClusterStream,
@@ -104,7 +104,7 @@ def test_restart_and_late_rows(spark, tmp_path):
 
 
 def test_replayed_micro_batch_gives_the_same_result(spark, tmp_path):
-    from tideline.streaming.runner import _Feed
+    from tideline.feeds.runner import _Feed
 
     df = frame(spark, 60)
     options = LinRegOptions(batch_size=20, num_iterations=6, step_size=0.02)
@@ -134,19 +134,7 @@ def test_kmeans_feed_equals_table(spark, tmp_path, update):
     same_rows(out, stream_kmeans(df, ["x0", "x1"], "seq", "k", options))
 
 
-@pytest.mark.parametrize("snapshot", [32, 2])
-def test_microcluster_feed_equals_table(spark, tmp_path, snapshot, monkeypatch):
-    import functools
-
-    from tideline.operators import microcluster
-    from tideline.streaming import runner
-
-    short = functools.partial(fit_microclusters, snapshot=snapshot)
-    monkeypatch.setattr(microcluster, "fit_microclusters", short)
-    monkeypatch.setattr(runner, "fit_microclusters", short)
-    monkeypatch.setattr(
-        runner, "next_history", functools.partial(microcluster.next_history, snapshot=snapshot)
-    )
+def test_microcluster_feed_equals_table(spark, tmp_path):
     df = frame(spark, 130)
     options = MicroClusterOptions(batch_size=10, num_clusters=2, max_kernels=6, horizon=50)
     pieces(df, f"{tmp_path}/in", CUTS)

@@ -20,11 +20,11 @@ def frame(spark, n, seed=0):
     return spark.createDataFrame(rows, "seq long, k string, a double, b double"), points
 
 
-@pytest.mark.parametrize("gather", [10**6, 30])
-def test_kernels_add_up_to_the_rows(spark, gather):
+@pytest.mark.parametrize("block_rows", [10**6, 15])
+def test_kernels_add_up_to_the_rows(spark, block_rows):
     df, points = frame(spark, 130)
-    options = MicroClusterOptions(batch_size=50, max_kernels=7)
-    cf = micro_clusters(df.repartition(3), ["a", "b"], "seq", options=options, gather=gather)
+    options = MicroClusterOptions(batch_size=50, max_kernels=7, block_rows=block_rows)
+    cf = micro_clusters(df.repartition(3), ["a", "b"], "seq", options=options)
     rows = cf.collect()
     for w in range(3):
         part = points[50 * w : 50 * w + 50]
@@ -34,16 +34,15 @@ def test_kernels_add_up_to_the_rows(spark, gather):
         assert np.allclose(np.sum([r.ss for r in mine], axis=0), (part**2).sum(axis=0))
         assert sum(r.lst for r in mine) == sum(range(50 * w, min(130, 50 * w + 50)))
         assert max(r.cf_id for r in mine) < 7
-    assert (max(r.block for r in rows) > 0) == (gather == 30)
+    assert (max(r.block for r in rows) > 0) == (block_rows == 15)
 
 
-@pytest.mark.parametrize("snapshot", [128, 2])
-def test_one_cluster_is_the_running_mean(spark, snapshot):
+def test_one_cluster_is_the_running_mean(spark):
     df, points = frame(spark, 205)
     options = MicroClusterOptions(
         batch_size=20, num_clusters=1, num_iterations=1, max_kernels=6, horizon=10**9
     )
-    models = fit_microclusters(df, ["a", "b"], "seq", options=options, snapshot=snapshot).models
+    models = fit_microclusters(df, ["a", "b"], "seq", options=options).models
     found = models.orderBy("window_id").collect()
     assert [r.window_id for r in found] == list(range(10))
     for r in found:
@@ -54,6 +53,32 @@ def test_one_cluster_is_the_running_mean(spark, snapshot):
         assert len(kernels) <= 6 and kernels[:, 0].sum() == len(seen)
 
 
+@pytest.mark.parametrize("periods,size", [(100, 7), (10_000, 1)])
+def test_long_chains_equal_the_plain_walk(spark, periods, size):
+    df, points = frame(spark, periods * size)
+    options = MicroClusterOptions(batch_size=size, num_clusters=2, max_kernels=5, horizon=40)
+    found = microcluster_models(df.repartition(5), ["a", "b"], "seq", options=options)
+    kernels = {r.window_id: r.kernels for r in found.select("window_id", "kernels").collect()}
+    assert len(kernels) == periods
+    state = np.empty(0)
+    for w in range(periods):
+        part = slice(w * size, (w + 1) * size)
+        block = summarise_block(points[part], np.arange(part.start, part.stop, dtype=float), 5)
+        state = merge(state, block.ravel(), 5, options.radius_factor, 40, 2)
+        assert np.allclose(kernels[w], state, rtol=1e-9)
+
+
+def test_any_learn_type_runs_alike(spark):
+    df, _ = frame(spark, 40)
+    runs = [
+        microcluster_models(
+            df, ["a", "b"], "seq", options=MicroClusterOptions(learn_type=t, batch_size=10)
+        ).orderBy("window_id").collect()
+        for t in (0, 1, 2, 9)
+    ]
+    assert all(r == runs[0] for r in runs)
+
+
 def test_two_far_blobs(spark):
     df, points = frame(spark, 200)
     out = stream_microcluster_call(

@@ -172,7 +172,10 @@ class KMeansOptions(_Options):
 class MicroClusterOptions(_Options):
     """Options of the two-level clustering.
 
-    ``batch_size`` is the number of rows between two emitted clusterings.
+    ``batch_size`` is the number of rows between two emitted clusterings. A period is
+    summarised in blocks of ``block_rows`` rows at most, each in one task; the kernels
+    of a longer period depend on it. Any integer is taken as ``learn_type``: all
+    types run alike.
     """
 
     learn_type: int = LearnType.BATCH
@@ -188,18 +191,19 @@ class MicroClusterOptions(_Options):
     weighted: bool = True
     instance_limit: int = -1
     seed: int = 42
+    block_rows: int = 10_000
 
     POSITIONAL = KMeansOptions.POSITIONAL
     CONSTANT_TYPES = KMeansOptions.CONSTANT_TYPES
 
     def __post_init__(self):
-        if self.learn_type == LearnType.MOVING:
-            # The shift is accepted and has no effect on this operator.
-            _check_int("window_shift", self.window_shift, 0)
-            _check_int("batch_size", self.batch_size, 1)
-            _check_int("num_iterations", self.num_iterations, 0)
-        else:
-            self._check_window()
+        # Type and shift are accepted and have no effect on this operator.
+        if not isinstance(self.learn_type, int) or isinstance(self.learn_type, bool):
+            raise TypeError("learn_type must be int")
+        _check_int("window_shift", self.window_shift, 0)
+        _check_int("batch_size", self.batch_size, 1)
+        _check_int("num_iterations", self.num_iterations, 0)
+        _check_int("block_rows", self.block_rows, 1)
         self._check_ci()
         _check_int("num_clusters", self.num_clusters, 1)
         _check_int("max_kernels", self.max_kernels, 1)

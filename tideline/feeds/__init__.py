@@ -1,11 +1,11 @@
-from tideline.streaming.runner import (
+from tideline.feeds.runner import (
     KMeansStream,
     LinRegStream,
     MicroClusterStream,
     late_rows,
     run_stream,
 )
-from tideline.streaming.time_feed import run_time_windows
+from tideline.feeds.time_feed import run_time_windows
 
 __all__ = [
     "KMeansStream", "LinRegStream", "MicroClusterStream", "late_rows", "run_stream",

@@ -96,13 +96,13 @@ class MicroClusterStream:
     def step(self, rows: DataFrame, base: DataFrame | None, state: DataFrame | None) -> Step:
         fit = fit_microclusters(
             rows, self.features, self.order_by, self.partition_by,
-            self.options, self.on_null, base, state, resumable=True,
+            self.options, self.on_null, base, state,
         )
         models = materialise(fit.models, "models")
         columns = center_columns(self.options.num_clusters, "ssq")
         columns[0] = F.lit(0.0).alias("stderr")
         output = attach_models(fit.rows, models, fit.keys, fit.windows, columns)
-        last = next_history(models, fit.keys, len(as_columns(self.features)), self.options)
+        last = next_history(models, fit.keys)
         return Step(fit.rows, output, fit.windows, last)
 
 

@@ -23,7 +23,7 @@ from tideline.plans.time_stats import (
     window_bounds,
 )
 from tideline.scratch import delete_path, materialise, scratch_scope
-from tideline.streaming.runner import carried_over, last_of, read_version, state_version
+from tideline.feeds.runner import carried_over, last_of, read_version, state_version
 
 
 def run_time_windows(

@@ -10,21 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tideline.config import LearnType, MicroClusterOptions
+from tideline.config import MicroClusterOptions
 from tideline.operators.kmeans import ClusterFit, center_columns
 from tideline.plans.arrival import RN, as_names, same_keys
 from tideline.plans.count_windows import WINDOW_ID, CountWindows, int_div
 from tideline.plans.gram import feature
 from tideline.plans.kernels import macro_centers, merge, summarise_block, width
-from tideline.plans.lloyd import GATHER_DOUBLES
 from tideline.plans.ordered import double_arrays, joined, ordered_map, out_batch
-from tideline.plans.prefix import exclusive_prefix
 from tideline.plans.rows import as_columns, attach_models, index_rows, typed
-from tideline.scratch import materialise
 
 _DOUBLES = T.ArrayType(T.DoubleType())
-# Periods that one task walks in sequence.
-SNAPSHOT = 32
 
 
 def _blocks(
@@ -32,15 +27,14 @@ def _blocks(
     keys: Sequence[str],
     dims: int,
     options: MicroClusterOptions,
-    gather: int,
     total: int,
 ) -> DataFrame:
     """Kernels of every block of rows: keys, window_id, block, n, acc.
 
-    A block is a period, or a part of it where a period is too long for a task.
+    A block is a period, or ``block_rows`` rows of it where a period is longer.
     """
     size = options.batch_size
-    length = min(size, max(1, gather // dims))
+    length = min(size, options.block_rows)
     rn = F.col(RN)
     sent = rows.select(
         *[f"`{k}`" for k in keys],
@@ -106,50 +100,33 @@ def _walk_periods(
     keys: Sequence[str],
     dims: int,
     options: MicroClusterOptions,
-    totals_only: bool,
-    most: int,
-    resumable: bool,
 ) -> DataFrame:
-    """Fold the blocks of each chunk; per period, or once per chunk.
+    """Fold the blocks of each key in order; one row per full period.
 
-    ``blocks`` carries ``_tl_chunk``, ``_tl_before`` (kernels before the chunk),
-    and, where a feed continues, ``_tl_own`` (kernels of the chunk so far) and
-    ``_tl_state`` (kernels reached so far).
+    The rows are summarised already, so a key's walk reads at most ``max_kernels``
+    kernels a block. ``blocks`` carries ``_tl_state``: the kernels that a feed had
+    reached, or null.
     """
-    groups = [*keys, "_tl_chunk"]
+    groups = [*keys, "_tl_all"]
     fold = _merger(options, dims)
     size, k, seed = options.batch_size, options.num_clusters, options.seed
     steps, weighted = options.num_iterations, options.weighted
-    if totals_only:
-        schema = T.StructType(
-            [blocks.schema[c] for c in keys]
-            + [T.StructField("idx", T.LongType()), T.StructField("acc", _DOUBLES)]
-        )
-    else:
-        schema = T.StructType(
-            [blocks.schema[c] for c in keys]
-            + [
-                T.StructField(WINDOW_ID, T.LongType()),
-                T.StructField("n", T.LongType()),
-                T.StructField("ssq", T.DoubleType()),
-                T.StructField("centers", T.ArrayType(_DOUBLES)),
-                T.StructField("kernels", _DOUBLES),
-                T.StructField("before", _DOUBLES),
-                T.StructField("own", _DOUBLES),
-            ]
-        )
+    schema = T.StructType(
+        [blocks.schema[c] for c in keys]
+        + [
+            T.StructField(WINDOW_ID, T.LongType()),
+            T.StructField("n", T.LongType()),
+            T.StructField("ssq", T.DoubleType()),
+            T.StructField("centers", T.ArrayType(_DOUBLES)),
+            T.StructField("kernels", _DOUBLES),
+        ]
+    )
     arrow = to_arrow_schema(schema)
 
     def vector(scalar):
         return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else _empty()
 
-    def total(held, own):
-        columns = {c: held.column(c) for c in keys}
-        columns["idx"] = held.column("_tl_chunk")
-        columns["acc"] = double_arrays([own])
-        return out_batch(columns, arrow)
-
-    def period(row, n, before, own, state):
+    def period(row, n, state):
         window = row.column(WINDOW_ID)[0].as_py()
         kernels = state.reshape(-1, width(dims))
         centers, ssq = macro_centers(kernels, dims, k, steps, weighted, [seed, window])
@@ -159,45 +136,29 @@ def _walk_periods(
             "ssq": [ssq],
             "centers": [[c.tolist() for c in centers] + [None] * (k - len(centers))],
             "kernels": double_arrays([state]),
-            "before": double_arrays([before]),
-            "own": double_arrays([own]),
         }
         return out_batch(columns, arrow)
 
     def body(marked):
-        held = None
-        before = own = state = _empty()
-        window, n = None, 0
+        state, window, n = _empty(), None, 0
         for batch, flags in marked:
             accs, sizes = batch.column("acc"), batch.column("n").to_pylist()
-            windows = batch.column(WINDOW_ID).to_pylist()
+            windows, starts = batch.column(WINDOW_ID).to_pylist(), batch.column("_tl_state")
             done = []
             for i, first in enumerate(flags):
                 if first:
-                    if held is not None and totals_only:
-                        done.append(total(held, own))
-                    before, own = vector(batch.column("_tl_before")[i]), vector(
-                        batch.column("_tl_own")[i]
-                    )
-                    reached = batch.column("_tl_state")[i]
-                    state = vector(reached) if reached.is_valid else before
-                    window = None
+                    state, window = vector(starts[i]), None
                 if windows[i] != window:
                     window, n = windows[i], 0
-                held = batch.slice(i, 1)
-                kernels = vector(accs[i])
-                if totals_only or resumable:
-                    own = fold(own, kernels)
+                state = fold(state, vector(accs[i]))
                 n += sizes[i]
-                if not totals_only:
-                    state = fold(state, kernels)
-                    if n == size:
-                        done.append(period(held, n, before, own, state))
+                if n == size:
+                    done.append(period(batch.slice(i, 1), n, state))
             yield from joined(done)
-        if held is not None and totals_only:
-            yield total(held, own)
 
-    return ordered_map(blocks, groups, [WINDOW_ID, "block"], body, schema, most)
+    return ordered_map(
+        blocks.withColumn("_tl_all", F.lit(0)), groups, [WINDOW_ID, "block"], body, schema
+    )
 
 
 def fit_microclusters(
@@ -209,20 +170,13 @@ def fit_microclusters(
     on_null: str = "error",
     base: DataFrame | None = None,
     start: DataFrame | None = None,
-    gather: int = GATHER_DOUBLES,
-    snapshot: int = SNAPSHOT,
-    resumable: bool = False,
 ) -> ClusterFit:
     """Kernels and centres after each period of ``batch_size`` rows.
 
-    Rows are summarised block by block in parallel; kernels are then carried
-    from period to period. Chains longer than ``snapshot`` periods are cut:
-    the kernels of each stretch of that length are built in parallel, merged
-    along the stretches, and every stretch continues from its merged start.
-    ``resumable`` keeps what ``next_history`` needs.
+    Rows are summarised block by block in parallel; the kernels of a key are then
+    carried from block to block in order, in one walk over the small summaries.
+    ``start`` (keys, ``state``) continues a feed.
     """
-    if options.learn_type == LearnType.TIME:
-        raise ValueError("this operator has no time windows")
     keys = as_names(partition_by)
     given = as_columns(features)
     dims = len(given)
@@ -233,149 +187,35 @@ def fit_microclusters(
         RN,
         *[v.alias(feature(i)) for i, v in enumerate(typed(given, on_null))],
     )
-    blocks = _blocks(
-        numeric, keys, dims, options, gather, arrived.total
-    ).withColumn(
-        "_tl_chunk", int_div(F.col(WINDOW_ID), snapshot)
-    )
-    periods = -(-arrived.longest // options.batch_size)
-    chunks = -(-periods // snapshot)
-    most = arrived.total // options.batch_size + 1 if keys else chunks
-    if chunks > 1:
-        blocks = materialise(blocks, "kernels")
-    nothing = F.lit(None).cast(_DOUBLES)
+    blocks = _blocks(numeric, keys, dims, options, arrived.total)
     if start is None:
-        started = blocks.select(
-            "*", *[nothing.alias(c) for c in ("_tl_before", "_tl_own", "_tl_state")]
-        )
+        started = blocks.withColumn("_tl_state", F.lit(None).cast(_DOUBLES))
     else:
-        started = _with_history(blocks, keys, start, snapshot)
-    if chunks > 1:
-        totals = _walk_periods(started, keys, dims, options, True, most, resumable)
-        low = blocks.agg(F.min("_tl_chunk")).first()[0] or 0
-        totals = totals.withColumn("idx", F.col("idx") - F.lit(low))
-        if start is not None:
-            totals = _fold_start(totals, keys, start, dims, options, low, snapshot)
-        totals = materialise(totals, "totals")
-        before = exclusive_prefix(totals, keys, _merger(options, dims), chunks - low)
-        started = _with_prefix(started, keys, before, low)
-    models = _walk_periods(started, keys, dims, options, False, most, resumable)
-    return ClusterFit(arrived.rows, models, keys, windows)
-
-
-def _key_match(keys, tag):
-    return [F.col(f"`{k}`") for k in keys], [F.col(f"_tl_{tag}{i}") for i in range(len(keys))]
-
-
-def _with_history(blocks, keys, start, snapshot):
-    """Attach (before, own) of a running feed to the chunk it continues."""
-    renamed = start.select(
-        *[F.col(f"`{k}`").alias(f"_tl_h{i}") for i, k in enumerate(keys)],
-        int_div(F.col("next_window"), snapshot).alias("_tl_h_chunk"),
-        F.col("before").alias("_tl_before"),
-        F.col("own").alias("_tl_own"),
-        F.col("state").alias("_tl_state"),
-    )
-    left, right = _key_match(keys, "h")
-    match = same_keys([*left, F.col("_tl_chunk")], [*right, F.col("_tl_h_chunk")])
-    return blocks.join(renamed, match, "left").select(
-        *blocks.columns, "_tl_before", "_tl_own", "_tl_state"
-    )
+        started = _with_state(blocks, keys, start)
+    return ClusterFit(arrived.rows, _walk_periods(started, keys, dims, options), keys, windows)
 
 
-def _fold_start(totals, keys, start, dims, options, low, snapshot):
-    """Put the kernels before the first chunk in front of that chunk's total."""
-    fold = _merger(options, dims)
+def _with_state(blocks: DataFrame, keys: Sequence[str], start: DataFrame) -> DataFrame:
+    """Attach the kernels that a feed had reached to the blocks of their key."""
+    if not keys:
+        row = start.first()
+        state = None if row is None else row["state"]
+        return blocks.withColumn("_tl_state", F.lit(state).cast(_DOUBLES))
     renamed = start.select(
-        *[F.col(f"`{k}`").alias(f"_tl_f{i}") for i, k in enumerate(keys)],
-        int_div(F.col("next_window"), snapshot).alias("_tl_f_chunk"),
-        F.col("before").alias("_tl_f_before"),
+        *[F.col(f"`{k}`").alias(f"_tl_h{i}") for i, k in enumerate(keys)],
+        F.col("state").alias("_tl_state"),
     )
-    left, right = _key_match(keys, "f")
     match = same_keys(
-        [*left, F.col("idx") + F.lit(low)], [*right, F.col("_tl_f_chunk")]
-    )
-    joined = totals.join(renamed, match, "left").select(*totals.columns, "_tl_f_before")
-    schema = totals.schema
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            out = []
-            for acc, before in zip(batch.column("acc"), batch.column("_tl_f_before")):
-                own = acc.values.to_numpy(zero_copy_only=False)
-                out.append(
-                    fold(before.values.to_numpy(zero_copy_only=False), own)
-                    if before.is_valid and len(before.values)
-                    else own
-                )
-            columns = {c: batch.column(c) for c in schema.names if c != "acc"}
-            columns["acc"] = double_arrays(out)
-            yield out_batch(columns, arrow)
-
-    return joined.mapInArrow(run, schema)
-
-
-def _with_prefix(started, keys, before, low):
-    renamed = before.select(
-        *[F.col(f"`{k}`").alias(f"_tl_p{i}") for i, k in enumerate(keys)],
-        (F.col("idx") + F.lit(low)).alias("_tl_p_chunk"),
-        F.col("acc").alias("_tl_p_acc"),
-    )
-    left, right = _key_match(keys, "p")
-    match = same_keys([*left, F.col("_tl_chunk")], [*right, F.col("_tl_p_chunk")])
-    kept = [c for c in started.columns if c != "_tl_before"]
-    return started.join(renamed, match, "left").select(
-        *kept, F.coalesce("_tl_p_acc", "_tl_before").alias("_tl_before")
+        [F.col(f"`{k}`") for k in keys], [F.col(f"_tl_h{i}") for i in range(len(keys))]
     )
+    return blocks.join(renamed, match, "left").select(*blocks.columns, "_tl_state")
 
 
-def next_history(
-    models: DataFrame,
-    keys: Sequence[str],
-    dims: int,
-    options: MicroClusterOptions,
-    snapshot: int = SNAPSHOT,
-) -> DataFrame:
-    """Where a feed stands after ``models``: keys, next_window, before, own, state."""
+def next_history(models: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Where a feed stands after ``models``: keys and ``state``."""
     names = [f"`{k}`" for k in keys]
-    last = models.groupBy(*names).agg(
-        F.max(WINDOW_ID).alias("last"),
-        F.max_by(F.struct("before", "own", "kernels"), WINDOW_ID).alias("at"),
-    ).select(
-        *names,
-        (F.col("last") + 1).alias("next_window"),
-        F.col("at.before").alias("before"),
-        F.col("at.own").alias("own"),
-        F.col("at.kernels").alias("state"),
-    )
-    fold = _merger(options, dims)
-    arrow = to_arrow_schema(last.schema)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            columns = {c: batch.column(c) for c in batch.schema.names}
-            befores, owns, states = [], [], []
-            for window, *parts in zip(
-                *(batch.column(c).to_pylist() for c in ("next_window", "before", "own", "state"))
-            ):
-                before, own, state = (np.array(v, dtype=float) for v in parts)
-                if window % snapshot == 0:
-                    # A stretch ends here: the next one starts from the merge.
-                    before = fold(before, own) if len(before) else own
-                    own, state = _empty(), before
-                befores.append(before)
-                owns.append(own)
-                states.append(state)
-            for name, values in (("before", befores), ("own", owns), ("state", states)):
-                columns[name] = double_arrays(values)
-            yield out_batch(columns, arrow)
-
-    return last.mapInArrow(run, last.schema)
+    last = models.groupBy(*names).agg(F.max_by("kernels", WINDOW_ID).alias("state"))
+    return last.where("state is not null")
 
 
 def limit_rows(rows: DataFrame, instance_limit: int, index: str = RN) -> DataFrame:
@@ -416,7 +256,7 @@ def microcluster_models(
 ) -> DataFrame:
     """Model history: keys, window_id, n, ssq, centers, kernels."""
     fit = fit_microclusters(df, features, order_by, partition_by, options, on_null)
-    return fit.models.drop("before", "own")
+    return fit.models
 
 
 def micro_clusters(
@@ -426,7 +266,6 @@ def micro_clusters(
     partition_by: str | Sequence[str] | None = None,
     options: MicroClusterOptions = MicroClusterOptions(),
     on_null: str = "error",
-    gather: int = GATHER_DOUBLES,
 ) -> DataFrame:
     """Kernels of every block of rows, one row each.
 
@@ -442,7 +281,7 @@ def micro_clusters(
         RN,
         *[v.alias(feature(i)) for i, v in enumerate(typed(given, on_null))],
     )
-    blocks = _blocks(numeric, keys, dims, options, gather, arrived.total)
+    blocks = _blocks(numeric, keys, dims, options, arrived.total)
     w = width(dims)
     names = [f"`{k}`" for k in keys]
     cut = F.transform(
