@@ -14,7 +14,6 @@ from tideline.operators import (
     stream_linreg,
     stream_microcluster,
 )
-from tideline.operators.microcluster import fit_microclusters
 from tideline.sources import read_csv_rows, row_schema, stream_csv_rows, stream_table, write_rows
 from tideline.feeds import (
     KMeansStream,
@@ -84,23 +83,47 @@ def test_linreg_feed_equals_table(spark, tmp_path, key, shift):
     same_rows(out, stream_linreg(df, "y", ["x0", "x1"], "seq", key, options))
 
 
-def test_restart_and_late_rows(spark, tmp_path):
+def test_restart_and_rows_set_aside(spark, tmp_path):
     df = frame(spark, 130)
     options = LinRegOptions(batch_size=20, num_iterations=6, step_size=0.02)
     op = LinRegStream("y", ["x0", "x1"], "seq", None, options)
-    folder, out, check = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck"
+    folder, out, check, late = (f"{tmp_path}/{n}" for n in ("in", "out", "ck", "late"))
     pieces(df, folder, [0, 33, 71])
-    run_stream(op, feed(spark, folder, df.schema), out, check).awaitTermination()
+    run_stream(op, feed(spark, folder, df.schema), out, check, late_to=late).awaitTermination()
     assert late_rows(spark, check) == 0
     pieces(df, folder, [0, 33, 71, 130])
-    # Rows that repeat what was taken before are late.
     pq.write_table(df.where("seq < 5").toArrow(), f"{folder}/zzz.parquet")
-    run_stream(op, feed(spark, folder, df.schema), out, check).awaitTermination()
+    run_stream(op, feed(spark, folder, df.schema), out, check, late_to=late).awaitTermination()
     same_rows(
         spark.read.parquet(out).drop("batch_id"),
         stream_linreg(df, "y", ["x0", "x1"], "seq", None, options),
     )
     assert late_rows(spark, check) == 5
+    same_rows(spark.read.parquet(late).drop("batch_id"), df.where("seq < 5"))
+
+
+@pytest.mark.parametrize("key", [None, "k"])
+def test_late_and_tied_rows_count_where_they_arrive(spark, tmp_path, key):
+    df = frame(spark, 61).withColumn("at", F.expr("seq div 2"))
+    options = LinRegOptions(batch_size=10, num_iterations=6, step_size=0.02)
+    op = LinRegStream("y", ["x0", "x1"], "at", key, options)
+    # A cut between two tied rows, then rows that are out of order.
+    parts = [df.where("seq < 31"), df.where("seq >= 50"), df.where("seq >= 31 and seq < 50")]
+    folder, out, check = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck"
+    os.makedirs(folder)
+    arrived = []
+    for i, part in enumerate(parts):
+        pq.write_table(part.toArrow(), f"{folder}/{i}.parquet")
+        os.utime(f"{folder}/{i}.parquet", (1000 + i, 1000 + i))
+        arrived.append(part.withColumn("batch", F.lit(i)))
+    run_stream(op, feed(spark, folder, df.schema), out, check).awaitTermination()
+    found = spark.read.parquet(out).drop("batch_id")
+    whole = arrived[0].union(arrived[1]).union(arrived[2])
+    table = stream_linreg(whole, "y", ["x0", "x1"], ["batch", "at"], key, options)
+    if key is None:
+        assert found.count() == 6
+    assert found.count() == table.count()
+    assert late_rows(spark, check) == 19
 
 
 def test_replayed_micro_batch_gives_the_same_result(spark, tmp_path):

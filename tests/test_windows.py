@@ -6,8 +6,11 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tideline.config import LinRegOptions
+from tideline.operators import stream_linreg
 from tideline.plans.arrival import RN, arrival_index
 from tideline.plans.count_windows import PANE, WINDOW_ID, CountWindows, window_sums
+from tideline.plans.rows import array_elements, one_row, with_one_row
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -92,3 +95,34 @@ def test_window_sums_equal_direct_sums(spark, size, shift, n):
     assert len(a) == 2 * windows.count(n)
     closing = rows.where(windows.closes(F.col(RN))).select(windows.closed_by(F.col(RN)))
     assert sorted(r[0] for r in closing.distinct().collect()) == list(range(windows.count(n)))
+
+
+@pytest.mark.parametrize("name", ["stderr", "weights", "intercept", "window_id", "beta0", "n"])
+def test_results_and_clashing_names_can_be_inputs(spark, name):
+    rows = [(i, "ab"[i % 2], float(i % 7), float(i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "seq long, k string, y double, x double")
+    options = LinRegOptions(batch_size=5, num_iterations=3, step_size=0.01)
+    plain = stream_linreg(df, "y", ["x"], "seq", "k", options).drop("k")
+    as_key = stream_linreg(df.withColumnRenamed("k", name), "y", ["x"], "seq", name, options)
+    extra = stream_linreg(df.withColumn(name, F.lit(1)), "y", ["x"], "seq", "k", options)
+    made = ["seq", "stderr", "beta0", "beta1"]
+    want = sorted(map(tuple, plain.select(*made).collect()))
+    assert sorted(map(tuple, as_key.select(*made).collect())) == want
+    assert sorted(map(tuple, extra.select(*made).collect())) == want
+    again = stream_linreg(plain, "beta1", ["stderr"], "seq", None, options)
+    assert again.count() == 1 and again.columns == ["seq", "y", "x", *made[1:]]
+
+
+def test_arrays_of_another_length_fail(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "seq long, v array<double>")
+    assert df.select(*array_elements("v", 2)).collect()[1][0] is None
+    with pytest.raises(Exception, match="does not have 3 elements"):
+        df.select(*array_elements("v", 3)).collect()
+
+
+def test_one_row_is_checked(spark):
+    assert one_row(spark.range(0)) is None
+    assert with_one_row(spark.range(3), spark.range(1).toDF("x")).count() == 3
+    assert with_one_row(spark.range(3), spark.range(0).toDF("x")).columns == ["id", "x"]
+    with pytest.raises(ValueError):
+        one_row(spark.range(2))

@@ -1,6 +1,7 @@
 """Count-window operators over unbounded feeds.
 
-Each micro-batch continues where the last one stopped. What it needs is kept in
+Rows are numbered in the order of their arrival: by micro-batch, and by ``order_by``
+within one. No row is lost. Each micro-batch continues where the last one stopped. What it needs is kept in
 a versioned folder: the rows of windows not complete yet, the position of every
 key, and the model. Version n is written by micro-batch n from version n-1, so a
 micro-batch that is replayed after a failure gives the same result again.
@@ -19,9 +20,9 @@ from tideline.config import KMeansOptions, LinRegOptions, MicroClusterOptions
 from tideline.operators.kmeans import center_columns, fit_kmeans
 from tideline.operators.linreg import beta_columns, fit_linreg
 from tideline.operators.microcluster import fit_microclusters, next_history
-from tideline.plans.arrival import RN, as_names, same_keys
+from tideline.plans.arrival import RN, SEQ, as_names, same_keys
 from tideline.plans.count_windows import WINDOW_ID, CountWindows
-from tideline.plans.rows import as_columns, attach_models
+from tideline.plans.rows import as_columns, attach_models, with_one_row
 from tideline.scratch import delete_path, materialise, scratch_scope
 
 
@@ -121,7 +122,7 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) ->
     for i, key in enumerate(keys):
         right = right.withColumnRenamed(key, f"_tl_r{i}")
     if not keys:
-        return left.join(right, F.lit(True), how)
+        return with_one_row(left, right)
     match = same_keys(
         [F.col(f"`{k}`") for k in keys], [F.col(f"_tl_r{i}") for i in range(len(keys))]
     )
@@ -136,6 +137,14 @@ def carried_over(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
     return new.unionByName(kept)
 
 
+def _latest(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``new`` with the larger of both last order values: late rows do not set it back."""
+    before = old.select(*[f"`{k}`" for k in keys], F.col("last").alias("_tl_before"))
+    return _joined(new, before, keys, "left").select(
+        *[f"`{k}`" for k in keys], "base", F.greatest("last", "_tl_before").alias("last")
+    )
+
+
 def state_version(checkpoint: str, batch_id: int) -> str:
     return f"{checkpoint.rstrip('/')}/state/v={batch_id}"
 
@@ -153,8 +162,9 @@ def read_version(
 class _Feed:
     """Reads version n-1, runs the operator, writes the output and version n."""
 
-    def __init__(self, op, sink: str | Callable, checkpoint: str, fmt: str):
+    def __init__(self, op, sink: str | Callable, checkpoint: str, fmt: str, late_to: str | None = None):
         self.op, self.sink, self.checkpoint, self.fmt = op, sink, checkpoint, fmt
+        self.late_to = late_to
         self.keys = as_names(op.partition_by)
         self.order = as_names(op.order_by)
 
@@ -175,21 +185,25 @@ class _Feed:
         keys, names = self.keys, [f"`{k}`" for k in self.keys]
         columns = micro.columns
         progress = self._read(spark, batch_id - 1, "progress") if batch_id else None
-        rows, late, state = micro, 0, None
+        # New rows come after all rows that were kept.
+        rows, late, state = micro.withColumn(SEQ, F.lit(1 << 62).cast("long")), 0, None
         if progress is not None:
-            # Rows at or before the last one taken came too late.
             seen = _joined(
-                micro, progress.select(*names, F.col("last").alias("_tl_last")), keys, "left"
+                rows, progress.select(*names, F.col("last").alias("_tl_last")), keys, "left"
             ).withColumn(
                 "_tl_late",
                 F.coalesce(
-                    F.struct(*[F.col(f"`{o}`") for o in self.order]) <= F.col("_tl_last"),
+                    F.struct(*[F.col(f"`{o}`") for o in self.order]) < F.col("_tl_last"),
                     F.lit(False),
                 ),
             )
             late = seen.where("_tl_late").count()
-            carry = self._read(spark, batch_id - 1, "carry")
-            rows = carry.select(*columns).unionByName(seen.where("not _tl_late").select(*columns))
+            if self.late_to is not None:
+                seen.where("_tl_late").select(*columns).write.mode("overwrite").parquet(
+                    f"{self.late_to.rstrip('/')}/batch_id={batch_id}"
+                )
+                rows = seen.where("not _tl_late").select(*columns, SEQ)
+            rows = self._read(spark, batch_id - 1, "carry").select(*columns, SEQ).unionByName(rows)
             state = self._read(spark, batch_id - 1, "model")
 
         step = self.op.step(rows, progress, state)
@@ -211,10 +225,11 @@ class _Feed:
         now = materialise(ends.select(*names, opened.alias("base"), "last"), "progress")
         carry = _joined(step.rows, now.select(*names, F.col("base").alias("_tl_base")), keys, "left")
         self._write(
-            carry.where(F.col(RN) >= F.col("_tl_base")).select(*columns), batch_id, "carry"
+            carry.where(F.col(RN) >= F.col("_tl_base")).select(*columns, F.col(RN).alias(SEQ)),
+            batch_id, "carry",
         )
         if progress is not None:
-            now = carried_over(progress, now, keys)
+            now = carried_over(progress, _latest(progress, now, keys), keys)
         self._write(now, batch_id, "progress")
         model = step.state
         if state is not None:
@@ -233,19 +248,22 @@ def run_stream(
     checkpoint: str,
     fmt: str = "parquet",
     trigger: dict | None = None,
+    late_to: str | None = None,
 ) -> StreamingQuery:
-    """Run an operator over a streaming frame and return the started query.
+    """Run an operator over the frame of a feed and return the started query.
 
     The output of micro-batch n goes to ``sink/batch_id=n`` (overwritten when it
-    is replayed), or to ``sink(frame, n)``. It equals the output of the static
-    operator over all rows so far. Rows must arrive in ``order_by`` order across
-    micro-batches, in any order within one; rows at or before the last one taken
-    for their key are dropped and counted (``late_rows``).
+    is replayed), or to ``sink(frame, n)``. Rows are numbered by micro-batch, and by
+    ``order_by`` within one. So the output equals that of the table operator over all
+    rows so far if order values are unique and micro-batches arrive in their order;
+    if not, rows out of order count where they arrive, and none is lost. Rows before
+    the last one taken for their key are counted (``late_rows``). With ``late_to``
+    they are written to that folder and take no part; ties are never late.
 
     ``checkpoint`` holds the query's own checkpoint and the operator state; both
     survive a restart together.
     """
-    feed = _Feed(op, sink, checkpoint, fmt)
+    feed = _Feed(op, sink, checkpoint, fmt, late_to)
     writer = (
         stream.writeStream.foreachBatch(feed)
         .option("checkpointLocation", f"{checkpoint.rstrip('/')}/query")
@@ -255,6 +273,6 @@ def run_stream(
 
 
 def late_rows(spark: SparkSession, checkpoint: str) -> int:
-    """Rows that a feed has dropped as late."""
+    """Rows that came to a feed after a later one of their key."""
     found = spark.read.parquet(f"{checkpoint.rstrip('/')}/metrics")
     return found.agg(F.sum("late")).first()[0] or 0

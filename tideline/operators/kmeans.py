@@ -15,7 +15,7 @@ from tideline.plans.count_windows import WINDOW_ID, CountWindows
 from tideline.plans.gram import feature
 from tideline.plans.lloyd import GATHER_DOUBLES, fit_windows
 from tideline.plans.prefix import exclusive_prefix
-from tideline.plans.rows import as_columns, attach_models, check_numeric, index_rows, typed
+from tideline.plans.rows import as_columns, attach_models, check_numeric, index_rows, safe_keys, typed, with_one_row
 from tideline.scratch import materialise
 
 
@@ -122,12 +122,13 @@ def decay_centers(
             *[F.col(n).alias(f"_tl_e{i}") for i, n in enumerate(names)],
             F.col("acc").alias("_tl_start"),
         )
-        match = (
-            same_keys([F.col(n) for n in names], [F.col(f"_tl_e{i}") for i in range(len(keys))])
-            if keys
-            else F.lit(True)
-        )
-        joined = joined.join(first, match, "left")
+        if keys:
+            match = same_keys(
+                [F.col(n) for n in names], [F.col(f"_tl_e{i}") for i in range(len(keys))]
+            )
+            joined = joined.join(first, match, "left")
+        else:
+            joined = with_one_row(joined, first)
         history = F.when(F.col("_tl_start").isNull(), history).otherwise(
             F.coalesce(_fold_columns(F.col("_tl_start"), history), F.col("_tl_start"))
         )
@@ -186,10 +187,11 @@ def stream_kmeans(
     model. Centres are strings of comma-separated coordinates, null where the
     window has fewer different points than clusters.
     """
+    df, partition_by, helpers = safe_keys(df, partition_by)
     fit = fit_kmeans(df, features, order_by, partition_by, options, on_null)
     return attach_models(
         fit.rows, fit.models, fit.keys, fit.windows, center_columns(options.num_clusters)
-    )
+    ).drop(*helpers)
 
 
 def kmeans_models(

@@ -14,7 +14,7 @@ from tideline.functions.vectors import dot
 from tideline.plans.arrival import RN, as_names, same_keys
 from tideline.plans.count_windows import PANE, WINDOW_ID, CountWindows
 from tideline.plans.gram import LABEL, feature, gram_stats
-from tideline.plans.rows import as_columns, attach_models, index_rows, typed
+from tideline.plans.rows import as_columns, attach_models, index_rows, safe_keys, typed
 from tideline.plans.sgd_chain import chain_models
 from tideline.scratch import materialise
 
@@ -152,9 +152,10 @@ def stream_linreg(
     leaves at 0. Each window starts from the weights of the window before.
     Select the columns the result needs first: all columns of ``df`` are sorted.
     """
+    df, partition_by, helpers = safe_keys(df, partition_by)
     fit = fit_linreg(df, y, xs, order_by, partition_by, options, on_null)
     p = len(as_columns(xs))
-    return attach_models(fit.rows, fit.models, fit.keys, fit.windows, beta_columns(p))
+    return attach_models(fit.rows, fit.models, fit.keys, fit.windows, beta_columns(p)).drop(*helpers)
 
 
 def linreg_models(

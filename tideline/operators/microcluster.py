@@ -17,7 +17,7 @@ from tideline.plans.count_windows import WINDOW_ID, CountWindows, int_div
 from tideline.plans.gram import feature
 from tideline.plans.kernels import macro_centers, merge, summarise_block, width
 from tideline.plans.ordered import double_arrays, joined, ordered_map, out_batch
-from tideline.plans.rows import as_columns, attach_models, index_rows, typed
+from tideline.plans.rows import as_columns, attach_models, index_rows, safe_keys, typed
 
 _DOUBLES = T.ArrayType(T.DoubleType())
 
@@ -238,12 +238,13 @@ def stream_microcluster(
     squared error of the rows behind the kernels as ``ssq``. Centres are strings,
     null where there are fewer kernels than clusters.
     """
+    df, partition_by, helpers = safe_keys(df, partition_by)
     fit = fit_microclusters(df, features, order_by, partition_by, options, on_null)
     columns = center_columns(options.num_clusters, "ssq")
     columns[0] = F.lit(0.0).alias("stderr")
     if with_ssq:
         columns.append(F.col("ssq"))
-    return attach_models(fit.rows, fit.models, fit.keys, fit.windows, columns)
+    return attach_models(fit.rows, fit.models, fit.keys, fit.windows, columns).drop(*helpers)
 
 
 def microcluster_models(

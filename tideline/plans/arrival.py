@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from tideline.scratch import materialise
 
 RN = "_tl_rn"
+# Puts the rows a feed kept before those of its new micro-batch, in their old order.
+SEQ = "_tl_seq"
 _POS = "_tl_pos"
 _TIE = "_tl_tie"
 # The position column holds the partition number above its lowest 33 bits.
@@ -67,7 +69,7 @@ def arrival_index(
     before it, which is one small row per (partition, key). Rows that tie on
     ``order_by`` are ordered by a hash of the whole row.
 
-    ``base`` (keys, ``base``) shifts the index of a key, for a feed that
+    A column ``SEQ`` goes before ``order_by``. ``base`` (keys, ``base``) shifts the index of a key, for a feed that
     continues earlier rows.
     """
     order = as_names(order_by)
@@ -75,9 +77,10 @@ def arrival_index(
     if not order:
         raise ValueError("order_by is required: a table has no arrival order")
     # Maps can not be hashed.
-    fields = [f.name for f in df.schema.fields if _hashable(f.dataType)]
+    fields = [f.name for f in df.schema.fields if f.name != SEQ and _hashable(f.dataType)]
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in fields])
-    ranked = [F.col(f"`{c}`") for c in [*keys, *order]] + [F.col(_TIE)]
+    lead = [SEQ] if SEQ in df.columns else []
+    ranked = [F.col(f"`{c}`") for c in [*keys, *lead, *order]] + [F.col(_TIE)]
     laid = materialise(
         df.withColumn(_TIE, tie)
         .repartitionByRange(*ranked)

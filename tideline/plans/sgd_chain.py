@@ -20,6 +20,7 @@ from tideline.plans.count_windows import WINDOW_ID, int_div
 from tideline.plans.gram import STEP, upper
 from tideline.plans.ordered import double_arrays, doubles, ordered_map, out_batch
 from tideline.plans.prefix import exclusive_prefix
+from tideline.plans.rows import with_one_row
 from tideline.scratch import materialise
 
 log = logging.getLogger(__name__)
@@ -220,8 +221,9 @@ def _attach(stats: DataFrame, keys: Sequence[str], starts: DataFrame | None, by_
     right = [F.col(f"_tl_s{i}") for i in range(len(keys))]
     if by_chunk:
         left, right = [*left, F.col(CHUNK)], [*right, F.col("_tl_s_idx")]
-    match = same_keys(left, right) if left else F.lit(True)
-    return stats.join(renamed, match, "left").select(*stats.columns, _START)
+    if not left:
+        return with_one_row(stats, renamed).select(*stats.columns, _START)
+    return stats.join(renamed, same_keys(left, right), "left").select(*stats.columns, _START)
 
 
 def chain_models(
