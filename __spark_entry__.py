@@ -43,6 +43,7 @@ from tideline.sources import read_csv_rows, stream_table, write_rows  # noqa: E4
 from tideline.feeds import (  # noqa: E402
     KMeansStream,
     LinRegStream,
+    MicroClusterStream,
     run_stream,
     run_time_windows,
 )
@@ -54,6 +55,7 @@ except ImportError:  # the text operators are an optional part
 
 LINE_KEY = O.LINE_KEY
 SIZE, STEPS, RATE = 1000, 20, 1e-4
+CAP = 5000
 
 
 def _line(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -387,9 +389,9 @@ def window_index_per_key(spark, sf):
 
 
 def instance_limit(spark, sf):
-    """Rows up to the cap of one million that the learner is fed."""
+    """Rows up to a cap on what the learner is fed."""
     rows = arrival_index(_events(spark, sf).drop("ts"), "event_id", name="rn").rows
-    return limit_rows(rows, 1_000_000, "rn")
+    return limit_rows(rows, CAP, "rn")
 
 
 def evaluation_split(spark, sf):
@@ -397,7 +399,8 @@ def evaluation_split(spark, sf):
 
 
 def evaluation_ssq(spark, sf):
-    return held_out_ssq(_line(spark, sf, "l_quantity"), _points(), CENTERS, LINE_KEY, 0.5)
+    out = held_out_ssq(_line(spark, sf, "l_quantity"), _points(), CENTERS, LINE_KEY, 0.5)
+    return out.withColumn("ssq", F.round("ssq", 3))
 
 
 def center_text(spark, sf):
@@ -423,13 +426,25 @@ def csv_round_trip(spark, sf):
     return _betas(stream_linreg(back, "value", ["hour", F.lit(1.0)], "event_id", options=options), 2)
 
 
-def _replay(spark, sf, table, op, columns):
-    """Run an operator over a table read as a feed, and read its sink."""
-    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    feed = stream_table(spark, sf, schema, f"{table}.parquet").select(*columns)
-    sink, state = scratch_path(spark, "sink"), scratch_path(spark, "feed")
-    query = run_stream(op, feed, sink, state)
-    query.awaitTermination()
+FILES = 3
+
+
+def _replay(spark, sf, table, op, columns, key, restart=False):
+    """Run an operator over a table that arrives in three micro-batches, and read its sink.
+
+    The cuts lie at thirds of the range of ``key``, inside windows. With ``restart`` the
+    feed is stopped after the first micro-batch and started again.
+    """
+    rows = spark.read.parquet(f"{sf}/{table}.parquet").select(*columns)
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    part = F.least(F.floor((F.col(key) - low) * FILES / (high - low + 1)), F.lit(FILES - 1))
+    folder, sink, state = (scratch_path(spark, n) for n in ("pieces", "sink", "feed"))
+    for i in range(FILES):
+        # One file is one micro-batch.
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+        if restart or i == FILES - 1:
+            feed = stream_table(spark, folder, rows.schema, files_per_trigger=1)
+            run_stream(op, feed, sink, state).awaitTermination()
     return spark.read.parquet(sink).drop("batch_id")
 
 
@@ -438,8 +453,18 @@ def feed_linreg(spark, sf):
         "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEY,
         options=LinRegOptions(batch_size=SIZE, num_iterations=STEPS, step_size=RATE),
     )
-    out = _replay(spark, sf, "lineitem", op, [*LINE_KEY, "l_quantity", "l_discount"])
-    return _betas(out, 2, 0)
+    columns = [*LINE_KEY, "l_quantity", "l_discount"]
+    return _betas(_replay(spark, sf, "lineitem", op, columns, "l_orderkey"), 2, 0)
+
+
+def feed_restart(spark, sf):
+    """The regression over a feed that is started anew for each of three files."""
+    op = LinRegStream(
+        "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEY,
+        options=LinRegOptions(batch_size=SIZE, num_iterations=STEPS, step_size=RATE),
+    )
+    columns = [*LINE_KEY, "l_quantity", "l_discount"]
+    return _betas(_replay(spark, sf, "lineitem", op, columns, "l_orderkey", restart=True), 2, 0)
 
 
 def feed_kmeans(spark, sf):
@@ -449,7 +474,44 @@ def feed_kmeans(spark, sf):
             batch_size=SIZE, num_iterations=5, num_clusters=2, init="first_k", epsilon=0.0
         ),
     )
-    return _numbers(_replay(spark, sf, "lineitem", op, [*LINE_KEY, "l_quantity"]), 2, 2)
+    columns = [*LINE_KEY, "l_quantity"]
+    return _numbers(_replay(spark, sf, "lineitem", op, columns, "l_orderkey"), 2, 2)
+
+
+LONG = MicroClusterOptions(
+    batch_size=1, num_clusters=2, num_iterations=1, max_kernels=2, horizon=10**12
+)
+
+
+def _two_centers(df):
+    """The two centres, smaller first: which is which depends on a random start."""
+    found = [F.col(f"center{i}").cast("double") for i in range(2)]
+    return df.select(
+        "event_id", "user_id", "event_type", "value",
+        F.round(F.least(*found), 6).alias("low"),
+        F.round(F.when(found[1].isNotNull(), F.greatest(*found)), 6).alias("high"),
+    )
+
+
+def microcluster_long(spark, sf):
+    """A period for every row, so the walk of each key is as long as the key."""
+    rows = _events(spark, sf).drop("ts")
+    return _two_centers(
+        stream_microcluster(rows, ["value"], "event_id", "event_type", options=LONG)
+    )
+
+
+def feed_microcluster(spark, sf):
+    op = MicroClusterStream(["value"], "event_id", "event_type", options=LONG)
+    columns = ["event_id", "user_id", "event_type", "value"]
+    return _two_centers(_replay(spark, sf, "events", op, columns, "event_id"))
+
+
+def linreg_over_kmeans(spark, sf):
+    """One operator over the result of another: errors of k-means windows from a centre."""
+    rows = kmeans_tumbling_first_k(spark, sf)
+    options = LinRegOptions(batch_size=10, num_iterations=STEPS, step_size=1e-4)
+    return _betas(stream_linreg(rows, "stderr", ["c0_0", "c0_1"], LINE_KEY, options=options), 2, -1)
 
 
 def feed_time_window(spark, sf):
@@ -486,6 +548,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             microcluster_closing_rows, microcluster_embeddings,
             window_index, window_index_per_key, instance_limit, evaluation_split, evaluation_ssq,
             center_text, csv_round_trip, feed_linreg, feed_kmeans, feed_time_window,
+            feed_restart, microcluster_long, feed_microcluster, linreg_over_kmeans,
         )
     }
     return found | (llm_queries.QUERIES if llm_queries else {})
@@ -516,7 +579,7 @@ def oracle_sql() -> dict[str, str]:
         "lineitem", LINE_KEY, line2, [*LINE_KEY, "l_quantity", "l_discount"], 2,
         SIZE, SIZE, STEPS, RATE, digits=0,
     )
-    out["feed_linreg"] = out["linreg_tumbling"]
+    out["feed_linreg"] = out["feed_restart"] = out["linreg_tumbling"]
     out["linreg_call"] = O.linreg(
         "lineitem", LINE_KEY, line2 + ", l_tax AS x3",
         [*LINE_KEY, "l_quantity", "l_discount", "l_tax"], 3, SIZE, SIZE, STEPS, RATE, digits=0,
@@ -587,6 +650,23 @@ def oracle_sql() -> dict[str, str]:
         "lineitem", LINE_KEY, xy, [*LINE_KEY, "l_quantity"], 2, 2, SIZE, SIZE, 5
     )
     out["feed_kmeans"] = out["kmeans_tumbling_first_k"]
+    inner = out["kmeans_tumbling_first_k"]
+    out["linreg_over_kmeans"] = O.linreg(
+        f"(SELECT * RENAME (stderr AS cost) FROM ({inner})) km", LINE_KEY,
+        "cost AS y, c0_0 AS x1, c0_1 AS x2",
+        [*LINE_KEY, "l_quantity", "c0_0", "c0_1", "c1_0", "c1_1"], 2, 10, 10, STEPS, 1e-4, digits=-1,
+    )
+    out["microcluster_long"] = out["feed_microcluster"] = O.two_kernels(LONG.radius_factor)
+    marked = (
+        f"(SELECT *, CAST('0x' || substr(md5(concat_ws('|', {key}, 42)), 1, 8) AS BIGINT) "
+        "/ 4294967296.0 < 0.5 AS held_out FROM lineitem)"
+    )
+    out["evaluation_split"] = f"SELECT {key}, l_quantity, held_out FROM {marked}"
+    out["evaluation_ssq"] = (
+        "SELECT held_out, count(*) AS n, round(sum(d), 3) AS ssq FROM (SELECT held_out, least("
+        + ", ".join(f"(l_quantity - {a}) ** 2 + (l_extendedprice / 1000 - {b}) ** 2" for a, b in CENTERS)
+        + f") AS d FROM {marked}) GROUP BY held_out"
+    )
     out["kmeans_sliding"] = O.kmeans(
         "lineitem", LINE_KEY, xy, [*LINE_KEY, "l_quantity"], 2, 3, 1000, 500, 4
     )
@@ -657,7 +737,7 @@ def oracle_sql() -> dict[str, str]:
     out["instance_limit"] = (
         "SELECT event_id, user_id, event_type, value, rn FROM "
         "(SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM events) "
-        "WHERE rn < 1000000"
+        f"WHERE rn < {CAP}"
     )
     out["center_text"] = (
         f"SELECT {key}, CAST(2 AS BIGINT) AS parts, round(l_quantity, 6) AS p0, "

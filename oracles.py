@@ -201,3 +201,41 @@ def kmeans_history(
         f"WHERE h.win + 1 <= (SELECT max(win) FROM own)) "
         f"SELECT win AS window_id, cid AS cluster_id, round(m, 6) AS weight, {outs} FROM h"
     )
+
+
+def two_kernels(factor: float) -> str:
+    """The walk of two kernels over the values of each event type, row by row.
+
+    A kernel is (rows n, sum s, sum of squares q). A row joins the nearest kernel if it
+    is within its reach: the distance to the other one for a single row, else ``factor``
+    deviations. Otherwise it opens the second kernel, or the two are merged to make room.
+    """
+    gap = "(sb / nb - sa / na) ** 2"
+
+    def reach(x: str) -> str:
+        return (
+            f"CASE WHEN n{x} < 2 THEN coalesce({gap}, 0.0) ELSE {factor ** 2} * "
+            f"greatest(0.0, q{x} / n{x} - (s{x} / n{x}) ** 2) END"
+        )
+
+    near_b = "(nb IS NOT NULL AND (sb / nb - v) ** 2 < (sa / na - v) ** 2)"
+    joins_a = f"(NOT {near_b} AND (sa / na - v) ** 2 <= {reach('a')})"
+    joins_b = f"({near_b} AND (sb / nb - v) ** 2 <= {reach('b')})"
+    step = ", ".join(
+        f"CASE WHEN {joins_a} THEN {x}a + {d} WHEN {joins_b} OR nb IS NULL THEN {x}a ELSE {x}a + {x}b END AS {x}a, "
+        f"CASE WHEN {joins_a} THEN {x}b WHEN {joins_b} THEN {x}b + {d} ELSE {d} END AS {x}b"
+        for x, d in (("n", "1.0"), ("s", "v"), ("q", "v * v"))
+    )
+    return (
+        "WITH RECURSIVE r AS MATERIALIZED (SELECT event_id, user_id, event_type, value, value AS v, "
+        "row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events), "
+        "walk(event_type, rn, na, nb, sa, sb, qa, qb) AS ("
+        "SELECT event_type, rn, 1.0::DOUBLE, NULL::DOUBLE, v, NULL::DOUBLE, v * v, NULL::DOUBLE "
+        "FROM r WHERE rn = 1 UNION ALL "
+        f"SELECT event_type, rn, na, nb, sa, sb, qa, qb FROM (SELECT r.event_type, r.rn, {step} "
+        "FROM walk w JOIN r ON r.event_type = w.event_type AND r.rn = w.rn + 1)) "
+        "SELECT event_id, user_id, event_type, value, "
+        "round(least(sa / na, sb / nb), 6) AS low, "
+        "round(CASE WHEN nb IS NOT NULL THEN greatest(sa / na, sb / nb) END, 6) AS high "
+        "FROM walk JOIN r USING (event_type, rn)"
+    )

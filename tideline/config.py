@@ -100,7 +100,7 @@ class LinRegOptions(_Options):
     ci: float = 0.95
     convergence_tol: float = 0.001
     seed: int = 42
-    on_diverge: str = "error"
+    on_diverge: str = "emit"
 
     POSITIONAL = (
         "learn_type", "window_shift", "batch_size", "num_iterations",

@@ -18,6 +18,7 @@ from tideline.plans.sgd_chain import chain_models
 from tideline.plans.time_stats import (
     as_instant,
     chain_input,
+    checked_time,
     duration_micros,
     time_stats,
     window_bounds,
@@ -54,6 +55,7 @@ def run_time_windows(
     features = as_columns([y]) + as_columns(xs)
     p = len(features) - 1
     check_numeric(stream, features)
+    stream = checked_time(stream, ts, on_null)
     if on_null == "drop":
         stream = stream.where(~missing(features))
     kind = stream.schema[ts].dataType.simpleString()

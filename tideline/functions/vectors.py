@@ -58,6 +58,12 @@ def format_center(center: Column) -> Column:
     return F.when(center.isNotNull(), text)
 
 
+def text_unit(*parts: Column) -> Column:
+    """Uniform value in [0, 1) from the MD5 of the parts' text, as any SQL engine computes it."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
 def hash_unit(*parts: Column) -> Column:
     """Uniform value in [0, 1) that depends on ``parts`` alone."""
     return F.pmod(F.xxhash64(*parts), F.lit(_BUCKETS)) / F.lit(float(_BUCKETS))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.vectors import hash_unit
+from tideline.functions.vectors import text_unit
 from tideline.operators.kmeans import assign_clusters
 from tideline.plans.arrival import as_names
 
@@ -19,11 +19,14 @@ def eval_split(
     seed: int = 42,
     name: str = "held_out",
 ) -> DataFrame:
-    """Mark a share ``ratio`` of the rows as held out, by a hash of their order key."""
+    """Mark a share ``ratio`` of the rows as held out, by a hash of their order key.
+
+    The key is read as text, so null parts of it are left out.
+    """
     if not 0 <= ratio <= 1:
         raise ValueError(f"ratio must lie between 0 and 1, got {ratio}")
     order = [F.col(f"`{c}`") for c in as_names(order_by)]
-    return df.withColumn(name, hash_unit(*order, F.lit(seed)) < F.lit(float(ratio)))
+    return df.withColumn(name, text_unit(*order, F.lit(seed)) < F.lit(float(ratio)))
 
 
 def held_out_ssq(

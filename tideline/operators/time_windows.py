@@ -18,6 +18,7 @@ from tideline.plans.rows import as_columns, check_numeric, index_rows, missing,
 from tideline.plans.sgd_chain import chain_models
 from tideline.plans.time_stats import (
     chain_input,
+    checked_time,
     duration_micros,
     time_stats,
     window_bounds,
@@ -48,6 +49,7 @@ def linreg_time_windows(
     features = as_columns([y]) + as_columns(xs)
     p = len(features) - 1
     check_numeric(df, features)
+    df = checked_time(df, ts, on_null)
     if on_null == "drop":
         df = df.where(~missing(features))
     length = duration_micros(spark, frame)
@@ -133,6 +135,7 @@ def kmeans_time_windows(
     given = as_columns(features)
     length = duration_micros(spark, frame)
     step = duration_micros(spark, slide) if slide else length
+    df = checked_time(df, ts, on_null)
     arrived = index_rows(df, given, order_by or ts, partition_by, on_null)
     names = [f"`{k}`" for k in keys]
     kind = df.schema[ts].dataType.simpleString()

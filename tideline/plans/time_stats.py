@@ -35,6 +35,15 @@ def _from_micros(micros: Column, kind: str) -> Column:
     return F.expr("timestamp_ntz'1970-01-01'") + F.make_dt_interval(secs=seconds)
 
 
+def checked_time(df: DataFrame, ts: str, on_null: str) -> DataFrame:
+    """The null rule for the time column: rows without a time fail the query or go."""
+    if on_null == "drop":
+        return df.where(F.col(f"`{ts}`").isNotNull())
+    stop = F.raise_error(F.lit("null time; use on_null='drop' to skip such rows"))
+    kind = df.schema[ts].dataType
+    return df.withColumn(ts, F.coalesce(F.col(f"`{ts}`"), stop.cast(kind)))
+
+
 def window_number(start: Column, step: int, kind: str) -> Column:
     """A number that grows by one from window to window."""
     return int_div(F.unix_micros(as_instant(start, kind)), step)

@@ -7,14 +7,12 @@ loss of executors, and keeps column pruning for the passes that read it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
 _SCOPE: ContextVar[list | None] = ContextVar("tideline_scratch", default=None)
 
 
@@ -28,9 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder that all executors share"
         )
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tideline-")
-    return _LOCAL_ROOTS[app]
+    # One machine: beside the tables of the session.
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tideline-{app}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -78,4 +75,3 @@ def drop_scratch(spark: SparkSession) -> None:
     Call it when the frames returned by the operators are no longer needed.
     """
     delete_path(spark, scratch_root(spark))
-    _LOCAL_ROOTS.pop(spark.sparkContext.applicationId, None)
