@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import texts
+from tideline.llm.common import per_worker, texts
 
 _NONE = np.int64(1 << 62)
 _LATIN = 0x250
@@ -253,7 +253,7 @@ def _encode_rows(path: str, with_ids: bool):
         ]
         more = [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
         schema = pa.schema(fields + more * with_ids)
-        encoder = WordEncoder(path)
+        encoder = per_worker(("bpe", path), lambda: WordEncoder(path))
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for b in batches:
             for at in range(0, b.num_rows, 512):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: White space between words: the bytes that ``bytes.split()`` cuts at.
 SPACE = b" \t\n\r\x0b\x0c"
@@ -44,10 +44,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
-@F.pandas_udf(StringType())
-def mended(parts: pd.Series) -> pd.Series:
-    """Bytes as text, with a replacement mark for each broken character; null stays null."""
-    return parts.map(lambda x: None if x is None else x.decode("utf-8", "replace"))
+def per_worker(key: tuple, make: Callable):
+    """An object that a Python worker keeps from task to task, made at the first use."""
+    kept = sys.modules.setdefault("_tideline_worker", types.ModuleType("_tideline_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def by_size(items: Iterator, weight, most: int) -> Iterator[list]:
