@@ -181,10 +181,11 @@ def linreg_mini_batch(spark, sf):
     options = LinRegOptions(
         batch_size=SIZE, num_iterations=STEPS, step_size=RATE, mini_batch_fraction=0.5
     )
-    return stream_linreg(
+    df = stream_linreg(
         _line(spark, sf, "l_quantity", "l_discount"),
         "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEY, options=options,
     )
+    return _betas(df, 2, 0)
 
 
 def linreg_gram_tumbling(spark, sf):
@@ -580,6 +581,10 @@ def oracle_sql() -> dict[str, str]:
         SIZE, SIZE, STEPS, RATE, digits=0,
     )
     out["feed_linreg"] = out["feed_restart"] = out["linreg_tumbling"]
+    out["linreg_mini_batch"] = O.linreg_drawn(
+        "lineitem", LINE_KEY, line2, [*LINE_KEY, "l_quantity", "l_discount"], 2,
+        SIZE, STEPS, RATE, 0.5, 42, digits=0,
+    )
     out["linreg_call"] = O.linreg(
         "lineitem", LINE_KEY, line2 + ", l_tax AS x3",
         [*LINE_KEY, "l_quantity", "l_discount", "l_tax"], 3, SIZE, SIZE, STEPS, RATE, digits=0,
@@ -676,7 +681,7 @@ def oracle_sql() -> dict[str, str]:
     out["kmeans_large_windows"] = O.kmeans(
         "lineitem", LINE_KEY, xy, [*LINE_KEY, "l_quantity"], 2, 2, 5000, 5000, 3
     )
-    out["kmeans_decay"] = O.kmeans_history("lineitem", LINE_KEY, xy, 2, 2, SIZE, 3, 0.5)
+    out["kmeans_decay"] = O.kmeans_history("lineitem", LINE_KEY, xy, SIZE, 3, 0.5)
     out["kmeans_assign"] = (
         f"SELECT {key}, l_quantity, CAST(cid AS INTEGER) AS cluster_id, "
         f"round(dist, 6) AS distance_sq FROM ({near}) WHERE nearest = 1"

@@ -180,26 +180,79 @@ def kmeans(
 
 
 def kmeans_history(
-    table: str, order: list[str], columns: str, dims: int, k: int, size: int, steps: int,
-    alpha: float,
+    table: str, order: list[str], columns: str, size: int, steps: int, alpha: float,
 ) -> str:
-    """Centres and weights per window after merging with decayed history."""
-    sums = ", ".join(f"m * x{j} AS s{j}" for j in range(1, dims + 1))
-    grow = ", ".join(
-        f"h.s{j} * {alpha!r} + coalesce(o.s{j}, 0)" for j in range(1, dims + 1)
+    """Two held centres in the plane: each window's centres join the nearest, history decays."""
+    near = [
+        f"((o.x{i} - h.a1) ** 2 + (o.y{i} - h.b1) ** 2 < (o.x{i} - h.a0) ** 2 + (o.y{i} - h.b0) ** 2)"
+        for i in (0, 1)
+    ]
+
+    def gained(value: str, j: int) -> str:
+        return " + ".join(
+            f"CASE WHEN {'' if j else 'NOT '}{near[i]} THEN {value.format(i=i)} ELSE 0 END" for i in (0, 1)
+        )
+
+    grown = []
+    for j in (0, 1):
+        m = f"({gained('o.m{i}', j)})"
+        grown.append(f"h.n{j} * {alpha!r} + {m}")
+        for c, x in (("a", "x"), ("b", "y")):
+            moved = gained("o.m{i} * o." + x + "{i}", j)
+            grown.append(
+                f"CASE WHEN {m} > 0 THEN (h.{c}{j} * h.n{j} * {alpha!r} + {moved}) / "
+                f"(h.n{j} * {alpha!r} + {m}) ELSE h.{c}{j} END"
+            )
+    own = ", ".join(
+        f"max(CASE WHEN cid = {i} THEN m END) AS m{i}, max(CASE WHEN cid = {i} THEN x1 END) AS x{i}, "
+        f"max(CASE WHEN cid = {i} THEN x2 END) AS y{i}"
+        for i in (0, 1)
+    )
+    each = " UNION ALL ".join(
+        f"SELECT win AS window_id, {j}::BIGINT AS cluster_id, round(n{j}, 6) AS weight, "
+        f"round(a{j}, 6) AS center_0, round(b{j}, 6) AS center_1 FROM h"
+        for j in (0, 1)
     )
-    first = ", ".join(f"s{j}" for j in range(1, dims + 1))
-    outs = ", ".join(f"round(s{j} / m, 6) AS center_{j - 1}" for j in range(1, dims + 1))
     return (
         f"WITH RECURSIVE idx AS ({indexed(table, order, columns)}), "
-        f"{kmeans_steps(dims, k, steps, size, size)}, "
+        f"{kmeans_steps(2, 2, steps, size, size)}, "
         "cnt AS (SELECT win, cid, count(*)::DOUBLE AS m FROM asg GROUP BY win, cid), "
-        f"own AS (SELECT win, cid, m, {sums} FROM c{steps} JOIN cnt USING (win, cid)), "
-        f"h AS (SELECT win, cid, m, {first} FROM own WHERE win = 0 UNION ALL "
-        f"SELECT h.win + 1, h.cid, h.m * {alpha!r} + coalesce(o.m, 0), {grow} "
-        f"FROM h LEFT JOIN own o ON o.win = h.win + 1 AND o.cid = h.cid "
-        f"WHERE h.win + 1 <= (SELECT max(win) FROM own)) "
-        f"SELECT win AS window_id, cid AS cluster_id, round(m, 6) AS weight, {outs} FROM h"
+        f"own AS MATERIALIZED (SELECT win, {own} FROM c{steps} JOIN cnt USING (win, cid) GROUP BY win), "
+        "h(win, n0, a0, b0, n1, a1, b1) AS (SELECT win, m0, x0, y0, m1, x1, y1 FROM own WHERE win = 0 "
+        f"UNION ALL SELECT o.win, {', '.join(grown)} FROM h JOIN own o ON o.win = h.win + 1) "
+        f"{each}"
+    )
+
+
+def drawn(p: int, steps: int, fraction: float, seed: int) -> str:
+    """Sums over the rows that each step of a window draws; reads ``mem``."""
+    unit = (
+        f"CAST('0x' || substr(md5(concat_ws('|', rn, step, {seed})), 1, 8) AS BIGINT) / 4294967296.0"
+    )
+    rows = (
+        f"(SELECT * FROM (SELECT *, unnest(generate_series(1, {steps})) AS step FROM mem) "
+        f"WHERE {unit} < {fraction!r}) drawn"
+    )
+    sums = gram(p, rows, ["step"])
+    return f"gs AS MATERIALIZED ({sums})"
+
+
+def linreg_drawn(
+    table: str, order: list[str], columns: str, carried: list[str], p: int,
+    size: int, steps: int, rate: float, fraction: float, seed: int, digits: int = 2,
+) -> str:
+    """The regression whose steps each train on a drawn share of the window."""
+    walk = chain(p, steps, rate).replace(
+        "FROM chain c JOIN g USING (win)",
+        f"FROM chain c JOIN gs ON gs.win = c.win AND gs.step = least(c.it + 1, {steps})",
+    )
+    kept = ", ".join(f"idx.{c}" for c in carried)
+    return (
+        f"WITH RECURSIVE idx AS ({indexed(table, order, columns)}), "
+        f"mem AS ({members(size, size)}), g AS ({gram(p, 'mem', [], size)}), "
+        f"{drawn(p, steps, fraction, seed)}, {walk}, {trained(p)} "
+        f"SELECT {kept}, {betas(p, digits)} FROM idx JOIN m ON idx.rn >= {size - 1} AND "
+        f"(idx.rn - {size - 1}) % {size} = 0 AND (idx.rn - {size - 1}) // {size} = m.win"
     )
 
 

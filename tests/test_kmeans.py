@@ -114,26 +114,49 @@ def test_sliding_windows_per_key(spark, gather):
             assert np.allclose(r.centers, centers) and r.wssse == pytest.approx(cost)
 
 
-@pytest.mark.parametrize("alpha,fan", [(0.0, 256), (0.5, 256), (1.0, 2)])
-def test_decay(spark, alpha, fan):
+@pytest.mark.parametrize("alpha", [0.0, 0.5, 1.0])
+def test_decay_matches_centres_by_distance(spark, alpha):
     rng = np.random.default_rng(4)
-    rows, want, n, s = [], {}, np.zeros(2), np.zeros((2, 2))
+    rows, want, held = [], {}, None
     for w in range(9):
-        centers = [list(map(float, rng.normal(size=2))), None if w == 0 else [1.0 * w, 2.0]]
-        weights = [5.0, 0.0 if w in (0, 3) else 2.0]
-        rows.append((w, centers, weights))
-        n = alpha * n + weights
-        s = alpha * s + [np.array(c or [0, 0]) * m for c, m in zip(centers, weights)]
-        want[w] = [list(s[i] / n[i]) if n[i] > 0 else None for i in range(2)]
+        spots = np.array([[0.0, 0.0], [50.0, 0.0], [0.0, 50.0]]) + rng.normal(size=(3, 2))
+        order = rng.permutation(3)
+        weights = rng.integers(1, 9, 3).astype(float)
+        if w == 4:
+            weights[1] = 0.0
+        rows.append((w, [spots[i].tolist() if weights[i] else None for i in order], weights[order].tolist()))
+        if held is None:
+            held, first = [weights.copy(), spots.copy()], order
+        else:
+            n = held[0] * alpha + weights
+            some = weights > 0
+            held[1][some] = (
+                (held[1] * held[0][:, None] * alpha + spots * weights[:, None])[some] / n[some, None]
+            )
+            held[0] = n
+        want[w] = held[0][first].copy(), held[1][first].copy()
     df = spark.createDataFrame(
         rows, "window_id long, centers array<array<double>>, weights array<double>"
     )
-    found = decay_centers(df, None, alpha, fan=fan).collect()
-    assert len(found) == 9
-    for r in found:
-        for a, b in zip(r.centers, want[r.window_id]):
-            assert (a is None) == (b is None)
-            assert a is None or np.allclose(a, b)
+    for part in (df, df.withColumn("k", F.lit("a"))):
+        found = decay_centers(part.repartition(3), "k" if "k" in part.columns else None, alpha).collect()
+        assert len(found) == 9
+        for r in found:
+            assert np.allclose(r.weights, want[r.window_id][0])
+            assert np.allclose(r.centers, want[r.window_id][1])
+    # A continued history gives the same.
+    early = decay_centers(df.where("window_id < 5"), None, alpha)
+    start = early.where("window_id = 4").select(F.col("history").alias("acc"))
+    late = decay_centers(df.where("window_id >= 5"), None, alpha, start).collect()
+    assert all(np.allclose(r.centers, want[r.window_id][1]) for r in late)
+
+
+def test_decay_fills_empty_places(spark):
+    rows = [(0, [[1.0], None], [3.0, 0.0]), (1, [[1.0], [9.0]], [2.0, 1.0]), (2, [None, None], [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "window_id long, centers array<array<double>>, weights array<double>")
+    found = {r.window_id: r for r in decay_centers(df, None, 0.5).collect()}
+    assert found[0].centers == [[1.0], None] and found[1].centers == [[1.0], [9.0]]
+    assert found[1].weights == [3.5, 1.0] and found[2].weights == [1.75, 0.5]
 
 
 def test_assign_and_weights(spark):

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideline.config import KMeansOptions, LearnType
 from tideline.functions.vectors import format_center, nearest_center
@@ -14,9 +17,8 @@ from tideline.plans.arrival import RN, as_names, same_keys
 from tideline.plans.count_windows import WINDOW_ID, CountWindows
 from tideline.plans.gram import feature
 from tideline.plans.lloyd import GATHER_DOUBLES, fit_windows
-from tideline.plans.prefix import exclusive_prefix
+from tideline.plans.ordered import ordered_map, out_batch
 from tideline.plans.rows import as_columns, attach_models, check_numeric, index_rows, safe_keys, typed, with_one_row
-from tideline.scratch import materialise
 
 
 @dataclass
@@ -66,103 +68,97 @@ def decay_centers(
     keys: str | Sequence[str] | None,
     alpha: float,
     start: DataFrame | None = None,
-    fan: int = 256,
 ) -> DataFrame:
-    """Merge each window's centres into a history that loses weight.
-
-    Per cluster id: weight ``n' = n·alpha + m`` and centre
-    ``(c·n·alpha + x·m) / n'``, with m rows of mean x in the window. With alpha 1
-    all history counts alike, with 0 none. ``models`` holds keys, window_id,
-    centers, weights; other columns pass through. ``start`` (keys, acc) is the
-    history before the first window.
+    """Merge each window's centres into held centres that lose weight.
+
+    Every window is trained from scratch, so its cluster ids mean nothing to the next
+    one. Each of its centres (mean x of m rows) goes to the nearest held centre, the
+    first of equally near ones: ``n' = n·alpha + m`` and ``c' = (c·n·alpha + x·m) / n'``.
+    A held centre that gets none keeps its place. The first window is held as it is; a
+    place that it left empty is taken by the first later centre that is held nowhere.
+    With alpha 1 all history counts alike, with 0 none.
+
+    ``models`` holds keys, window_id, centers, weights; other columns pass through, and
+    ``history`` is added. ``start`` (keys, acc) is the history before the first window.
+    One ordered walk per key reads k centres a window.
     """
     keys = as_names(keys)
-    names = [f"`{k}`" for k in keys]
-    models = materialise(models, "models")
-    # Weight and weighted sum of coordinates both follow a linear recurrence, so
-    # windows can be combined in any grouping: [factor, weights…, sums…].
-    dims_of = F.transform("centers", lambda c: F.size(c))
-    dims, low, high = models.agg(
-        F.max(F.array_max(dims_of)), F.min(WINDOW_ID), F.max(WINDOW_ID)
-    ).first()
-    if dims is None:
-        return models
-    flat_sums = F.flatten(
-        F.zip_with(
-            F.col("centers"),
-            F.col("weights"),
-            lambda c, m: F.coalesce(
-                F.transform(c, lambda v: v * m), F.array_repeat(F.lit(0.0), dims)
-            ),
-        )
-    )
-    own = F.concat(F.array(F.lit(float(alpha))), F.col("weights"), flat_sums)
-    parts = models.select(*names, F.col(WINDOW_ID).alias("idx"), own.alias("acc"))
-    parts = parts.withColumn("idx", F.col("idx") - F.lit(low))
-
-    def fold(a, b):
-        out = b + b[0] * a
-        out[0] = a[0] * b[0]
-        return out
-
-    before = exclusive_prefix(parts, keys, fold, high - low + 1, fan).select(
-        *[F.col(n).alias(f"_tl_d{i}") for i, n in enumerate(names)],
-        (F.col("idx") + F.lit(low)).alias("_tl_dw"),
-        F.col("acc").alias("_tl_before"),
-    )
-    match = F.col(WINDOW_ID) == F.col("_tl_dw")
-    if keys:
-        match = match & same_keys(
-            [F.col(n) for n in names], [F.col(f"_tl_d{i}") for i in range(len(keys))]
-        )
-    joined = models.withColumn("_tl_own", own).join(before, match)
-    history = F.col("_tl_before")
-    if start is not None:
+    history = F.lit(None).cast("array<double>").alias("_tl_acc")
+    if start is None:
+        models = models.select("*", history)
+    elif not keys:
+        models = with_one_row(models, start.select(F.col("acc").alias("_tl_acc")))
+    else:
         first = start.select(
-            *[F.col(n).alias(f"_tl_e{i}") for i, n in enumerate(names)],
-            F.col("acc").alias("_tl_start"),
+            *[F.col(f"`{k}`").alias(f"_tl_e{i}") for i, k in enumerate(keys)],
+            F.col("acc").alias("_tl_acc"),
         )
-        if keys:
-            match = same_keys(
-                [F.col(n) for n in names], [F.col(f"_tl_e{i}") for i in range(len(keys))]
-            )
-            joined = joined.join(first, match, "left")
-        else:
-            joined = with_one_row(joined, first)
-        history = F.when(F.col("_tl_start").isNull(), history).otherwise(
-            F.coalesce(_fold_columns(F.col("_tl_start"), history), F.col("_tl_start"))
+        match = same_keys(
+            [F.col(f"`{k}`") for k in keys], [F.col(f"_tl_e{i}") for i in range(len(keys))]
         )
-    acc = F.coalesce(_fold_columns(history, F.col("_tl_own")), F.col("_tl_own"))
-    kept = [c for c in models.columns if c not in ("centers", "weights")]
-    k = F.size("weights")
-    merged = joined.select(*kept, k.alias("_tl_size"), acc.alias("acc"))
-    size = F.col("_tl_size")
-    weights = F.slice("acc", F.lit(2), size)
-    centers = F.transform(
-        weights,
-        lambda n, i: F.when(
-            n > 0,
-            F.transform(
-                F.slice("acc", F.lit(2) + size + i * F.lit(dims), F.lit(dims)), lambda s: s / n
-            ),
-        ),
+        models = models.join(first, match, "left").select(*models.columns, "_tl_acc")
+    kept = [c for c in models.columns if c not in ("centers", "weights", "_tl_acc")]
+    schema = T.StructType(
+        [models.schema[c] for c in kept]
+        + [models.schema["centers"], models.schema["weights"]]
+        + [T.StructField("history", T.ArrayType(T.DoubleType()))]
     )
-    return merged.select(
-        *kept, centers.alias("centers"), weights.alias("weights"), F.col("acc").alias("history")
+    arrow = to_arrow_schema(schema)
+
+    def body(marked):
+        held = None  # weights, centres with NaN in empty places
+        for batch, flags in marked:
+            centers, weights = batch.column("centers").to_pylist(), batch.column("weights").to_pylist()
+            starts = batch.column("_tl_acc").to_pylist()
+            out = {"centers": [], "weights": [], "history": []}
+            for i, first in enumerate(flags):
+                if first:
+                    held = unpack_history(starts[i], len(weights[i])) if starts[i] else None
+                held = absorb_centers(held, centers[i], weights[i], alpha)
+                n, c = held
+                out["centers"].append([None if x[0] != x[0] else x for x in c.tolist()])
+                out["weights"].append(n.tolist())
+                out["history"].append([*n.tolist(), *c.ravel().tolist()])
+            yield out_batch({c: batch.column(c) for c in kept} | out, arrow)
+
+    return ordered_map(
+        models.withColumn("_tl_all", F.lit(0)), [*keys, "_tl_all"], [WINDOW_ID], body, schema
     )
 
 
-def _fold_columns(a: Column, b: Column) -> Column:
-    """The fold of ``decay_centers`` as a column expression."""
-    factor = F.get(b, F.lit(0))
-    return F.concat(
-        F.array(factor * F.get(a, F.lit(0))),
-        F.zip_with(
-            F.slice(a, F.lit(2), F.size(a) - 1),
-            F.slice(b, F.lit(2), F.size(b) - 1),
-            lambda u, v: factor * u + v,
-        ),
-    )
+def unpack_history(acc: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.array(acc, dtype=float)
+    return flat[:k], flat[k:].reshape(k, -1)
+
+
+def absorb_centers(held, centers, weights, alpha: float):
+    """Held (weights, centres) after the centres of one window."""
+    dims = next((len(c) for c in centers if c is not None), 0 if held is None else held[1].shape[1])
+    new = np.array([[np.nan] * dims if c is None else c for c in centers], dtype=float)
+    m = np.array([0.0 if c is None else w for c, w in zip(centers, weights)])
+    new = new.reshape(len(centers), dims)
+    if held is None:
+        return m, new
+    n, c = held[0] * alpha, held[1].copy()
+    if c.shape[1] != dims:
+        c = np.full((len(n), dims), np.nan)
+    gain, moved = np.zeros(len(n)), np.zeros_like(c)
+    for x, w in zip(new, m):
+        if w == 0:
+            continue
+        apart = ((c - x) ** 2).sum(axis=1)
+        full = ~np.isnan(apart)
+        if not full.all() and (not full.any() or np.nanmin(apart) > 0):
+            j = int(np.argmin(full))
+            c[j] = x
+        else:
+            j = int(np.nanargmin(apart))
+        gain[j] += w
+        moved[j] += w * x
+    total = n + gain
+    some = gain > 0
+    c[some] = (c[some] * n[some, None] + moved[some]) / total[some, None]
+    return total, c
 
 
 def center_columns(k: int, error: str = "wssse") -> list[Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tideline.functions.vectors import hash_unit
+from tideline.functions.vectors import text_unit
 from tideline.plans.arrival import RN
 from tideline.plans.count_windows import PANE, WINDOW_ID, CountWindows, window_sums
 from tideline.plans.ordered import double_arrays, doubles, out_batch
@@ -132,7 +132,7 @@ def gram_stats(
             all_steps,
             lambda i: F.struct(
                 i.alias(STEP),
-                (hash_unit(rn, i, F.lit(seed)) < F.lit(fraction)).cast("double").alias("_tl_hit"),
+                (text_unit(rn, i, F.lit(seed)) < F.lit(fraction)).cast("double").alias("_tl_hit"),
             ),
         )
         # The first row of a pane reports to every step, with weight 0 where it
