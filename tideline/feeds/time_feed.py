@@ -46,7 +46,8 @@ def run_time_windows(
     """Train on each event-time window once the watermark has passed it.
 
     Rows more than ``delay`` behind the latest time seen are late, and dropped
-    when their window has closed.
+    when their window has closed. With ``on_null="drop"`` a row without values still
+    shows that time has passed, so such a row closes the last windows of a feed.
     """
     if options.mini_batch_fraction < 1:
         raise ValueError("time windows train on all their rows: mini_batch_fraction must be 1")
@@ -56,17 +57,17 @@ def run_time_windows(
     p = len(features) - 1
     check_numeric(stream, features)
     stream = checked_time(stream, ts, on_null)
-    if on_null == "drop":
-        stream = stream.where(~missing(features))
     kind = stream.schema[ts].dataType.simpleString()
     if not isinstance(stream.schema[ts].dataType, T.TimestampType):
         # Watermarks need a timestamp with a time zone.
         stream = stream.withColumn(ts, as_instant(F.col(f"`{ts}`"), kind))
     length = duration_micros(spark, frame)
     step = duration_micros(spark, slide) if slide else length
-    closed = time_stats(
-        stream.withWatermark(ts, delay), ts, keys, features, frame, slide, on_null
-    )
+    stream = stream.withWatermark(ts, delay)
+    if on_null == "drop":
+        # The condition names the time, or it would be moved before the watermark.
+        stream = stream.where(F.when(F.col(f"`{ts}`").isNotNull(), ~missing(features)).otherwise(False))
+    closed = time_stats(stream, ts, keys, features, frame, slide, on_null)
 
     def advance(micro: DataFrame, batch_id: int) -> None:
         session = micro.sparkSession
