@@ -68,13 +68,13 @@ def test_long_texts_are_walked_in_steps(spark, monkeypatch):
 def test_repeats_of_edge_rows(edge, nothing):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     assert results(remove_repeats(edge)) == expected(rows, 400)
-    out = remove_repeats(nothing, with_text=True, keep=("lang",))
+    out = remove_repeats(nothing, with_text="bytes", keep=("lang",))
     assert out.count() == 0 and out.columns[-2:] == ["_kept", "_lang"]
 
 
 def test_what_stays_is_the_text_without_its_spans(edge):
     texts = {(r.doc_id, r.text) for r in edge.collect()}
-    for r in remove_repeats(edge, with_text=True).collect():
+    for r in remove_repeats(edge, with_text="bytes").collect():
         assert any(
             i == r._id and bytes(r._kept) == b"".join(
                 (t or "").encode()[a:z]

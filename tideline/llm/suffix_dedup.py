@@ -217,7 +217,7 @@ def covered(first: np.ndarray, last: np.ndarray, threshold: int) -> tuple[np.nda
     return start[new], end[np.append(new[1:], len(start)) - 1]
 
 
-def _cut(threshold: int, with_text: bool, keep: tuple[str, ...]):
+def _cut(threshold: int, with_text: str | None, keep: tuple[str, ...]):
     fields = [
         ("_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
         ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
@@ -225,7 +225,8 @@ def _cut(threshold: int, with_text: bool, keep: tuple[str, ...]):
     ]
 
     def run(batches):
-        schema = pa.schema(fields + [("_kept", pa.binary())] * with_text)
+        kept_type = pa.string() if with_text == "text" else pa.binary()
+        schema = pa.schema(fields + [("_kept", kept_type)] * bool(with_text))
         for b in batches:
             ranges, n = b.column("ranges").to_pylist(), b.num_rows
             out = [[] for _ in schema.names]
@@ -238,7 +239,9 @@ def _cut(threshold: int, with_text: bool, keep: tuple[str, ...]):
                     edges = [0, *(x for s in spans for x in s), len(text)]
                     kept = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2]))
                 row = (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans)
-                for column, x in zip(out[1:], row + (kept,) * with_text):
+                if with_text:
+                    row += (kept.decode("utf-8", "replace") if with_text == "text" else kept,)
+                for column, x in zip(out[1:], row):
                     column.append(x)
             out[0] = b.column("_id")
             if n:
@@ -325,7 +328,7 @@ def repeated_ranges(
 
 def remove_repeats(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    threshold: int = THRESHOLD, digit: int = DIGIT, with_text: bool = False,
+    threshold: int = THRESHOLD, digit: int = DIGIT, with_text: str | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: what stays after repeated passages have been cut out.
@@ -336,12 +339,15 @@ def remove_repeats(
     Repeated rows count as other texts, so both lose everything; texts shorter than
     the threshold stay whole. Null and repeated identifiers are passed on. Columns:
     ``_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (start and end of each
-    cut), ``keep`` as ``_<name>`` and, with ``with_text``, the bytes that stay as ``_kept``.
+    cut), ``keep`` as ``_<name>`` and what stays as ``_kept``: with ``with_text="bytes"`` its
+    bytes, with ``"text"`` a string, where a character that was cut apart becomes a mark.
     """
     if not 0 < digit <= threshold:
         raise ValueError("digit must lie between 1 and threshold")
     if threshold > 0xFFFF:
         raise ValueError("threshold must be below 65,536")
+    if with_text not in (None, "bytes", "text"):
+        raise ValueError("with_text must be None, bytes or text")
     rows = texts(df, id_col, text_col, *keep).withColumns(
         {"s1": F.xxhash64("_text"), "s2": F.xxhash64(F.lit("second"), "_text")}
     )
@@ -353,8 +359,9 @@ def remove_repeats(
         "_id", "_text", *more, F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("ranges")
     )
     cut = rows.where("_maybe").join(per_text, ["s1", "s2"], "left").select("_id", "_text", *more, "ranges")
+    kind = "string" if with_text == "text" else "binary"
     schema = (
         "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-        "spans array<array<long>>" + ", _kept binary" * with_text + ddl(df, keep)
+        "spans array<array<long>>" + (f", _kept {kind}" if with_text else "") + ddl(df, keep)
     )
     return whole.union(cut).mapInArrow(_cut(threshold, with_text, keep), schema)
