@@ -18,8 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch: texts are long, and a task holds a few batches.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of what goes to Python at once, unless the session sets less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Identifier and text under fixed names, so that other columns cannot clash; null is empty."""
+    bounded_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").alias("_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"),

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_bytes, texts
+from tideline.llm.common import as_bytes, bounded_batches
 from tideline.scratch import materialise, scratch_path
 
 STATES, ROUNDS, CLASSES = 4, 4, 1 << 15
@@ -338,6 +338,7 @@ def score_texts(
     over it; rows where it is true or null teach nothing. Repeated rows count as often
     as they occur. Without any training text all words are unknown.
     """
+    bounded_batches(df.sparkSession)
     held = F.lit(False) if held_out is None else held_out
     rows = df.select(
         F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"),

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import SPACE, as_bytes, by_size, with_more
+from tideline.llm.common import SPACE, as_bytes, bounded_batches, by_size, with_more
 from tideline.scratch import materialise
 
 ORDER = 4
@@ -316,22 +316,25 @@ def _rule_rows(arrays, bits: int, keep: tuple[str, ...]):
 def quality(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
     width: float = WIDTH, bits: int = SLOT_BITS, keep: tuple[str, ...] = (),
+    with_text: bool = False,
 ) -> DataFrame:
     """One row per input row with counts, perplexity, and whether the text is kept.
 
     Columns: ``_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, log_perplexity`` (log10 for each character, null for an empty text),
-    ``lower, upper`` (the band of the language), ``kept``, and ``keep`` as ``_<name>``. Null texts are empty and
+    ``lower, upper`` (the band of the language), ``kept``, ``keep`` as ``_<name>`` and, with ``with_text``, ``_text``. Null texts are empty and
     fail; a null language is a language of its own, as is every text if there is no
     language column. The bands come from texts that pass the base rules, so a language
     without any keeps none. Repeated rows count as often as they occur.
     """
+    bounded_batches(df.sparkSession)
     lang = F.lit("") if lang_col is None else F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
     rows = df.select(
         F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"),
         lang.alias("_lang"), *[F.col(f"`{c}`").alias(f"_{c}_") for c in keep],
     )
-    passed = tuple(f"{c}_" for c in keep)  # so that they cannot clash with the language
+    # Named so that they cannot clash with the language.
+    passed = ("text",) * with_text + tuple(f"{c}_" for c in keep)
     raw = rows.select("_lang", "_text").mapInArrow(_gram_rows(), "lang string, key long, c long")
     raw = materialise(raw.groupBy("lang", "key").agg(F.sum("c").alias("c")), "grams")
     arrays = df.sparkSession.sparkContext.broadcast(stored(kneser_ney(raw), bits))
@@ -339,6 +342,7 @@ def quality(
         _rule_rows(arrays, bits, passed),
         "_id long, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, n_chars long, log_perplexity double"
+        + ", _text string" * with_text
         + "".join(f", `_{c}_` {df.schema[c].dataType.simpleString()}" for c in keep),
     ).withColumn(
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -350,7 +354,7 @@ def quality(
     bands = bands.select(
         "_lang", F.col("`q0.25`").alias("low"), F.col("`q0.75`").alias("high"), spread.alias("spread")
     )
-    wider = F.col("spread") * F.sqrt(1 + SHORT / F.col("n_chars"))
+    wider = F.col("spread") * F.sqrt(1 + SHORT / F.greatest(F.col("n_chars"), F.lit(1)))
     inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
     return (
         scored.join(bands, "_lang", "left")
