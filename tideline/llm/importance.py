@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_bytes
+from tideline.llm.common import as_bytes, bounded_batches
 from tideline.scratch import materialise
 
 BUCKETS = 1 << 16
@@ -36,7 +36,7 @@ class Features:
         memory = self.memory
         if len(memory) > self.most:
             memory.clear()
-        for w in set(words) - memory.keys():
+        for w in [w for w in set(words) if w not in memory]:
             memory[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
         pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
@@ -130,6 +130,7 @@ def resample(
     identifier, so repeated rows tie. An empty target leaves a model without data,
     which prefers no text.
     """
+    bounded_batches(df.sparkSession)
     rows = df.select(
         F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
     )
