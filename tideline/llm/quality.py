@@ -30,6 +30,8 @@ WIDTH = 3.0
 #: A short text varies more: its band is wider by sqrt(1 + SHORT / characters).
 SHORT = 500
 WINDOW = 8
+#: Bands of so many languages are sent to all tasks; more are joined.
+BROADCAST_LANGUAGES = 100_000
 _START = 1  # the character before a text, a control character
 _PART = 1 << 20
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -354,6 +356,10 @@ def quality(
     bands = bands.select(
         "_lang", F.col("`q0.25`").alias("low"), F.col("`q0.75`").alias("high"), spread.alias("spread")
     )
+    bands = materialise(bands, "bands")
+    if bands.count() <= BROADCAST_LANGUAGES:
+        # A join would bring all texts of a language to one task.
+        bands = F.broadcast(bands)
     wider = F.col("spread") * F.sqrt(1 + SHORT / F.greatest(F.col("n_chars"), F.lit(1)))
     inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
     return (
