@@ -195,3 +195,35 @@ def test_components_of_chains_and_stars(spark):
     want = dict.fromkeys(range(1, 41), 1) | dict.fromkeys(range(100, 130), 100) | {500: 500}
     assert got == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_all_that_meet_at_a_crowded_value_are_compared(spark):
+    """Families of long fingerprints share one block, in which hundreds meet."""
+    from tideline.llm.simhash import fingerprint_links
+
+    rnd = random.Random(4)
+    shared = rnd.getrandbits(32)
+    centres = [rnd.getrandbits(224) for _ in range(3)] + [rnd.getrandbits(224) for _ in range(40)]
+    prints = {}
+    for i in range(300):
+        family = i % 3 if i < 220 else 3 + i // 2 % 40
+        bits = centres[family]
+        for block in range(7):
+            for at in rnd.sample(range(32), 4 * (i % 2) if i >= 220 else 2):
+                bits ^= 1 << 32 * block + at
+        prints[i] = bits << 32 | shared
+    signed = [
+        (rnd.getrandbits(62), *(((p >> 64 * w) & (1 << 64) - 1 ^ 1 << 63) - (1 << 63) for w in range(4)))
+        for p in prints.values()
+    ]
+    nodes = dict(zip((r[0] for r in signed), prints.values()))
+    df = spark.createDataFrame(signed, "node long, f0 long, f1 long, f2 long, f3 long")
+    links = fingerprint_links(df, 4, 39)
+    got = {r.node: r.component for r in components(links).collect()}
+    want = {n: n for n in nodes}
+    for a in nodes:
+        for b in nodes:
+            if a < b and (nodes[a] ^ nodes[b]).bit_count() <= 39 and want[a] != want[b]:
+                x, y = sorted((want[a], want[b]))
+                want = {n: x if c == y else c for n, c in want.items()}
+    assert {n: got.get(n, n) for n in nodes} == want

@@ -12,7 +12,8 @@ them would grow with the square, they are sent on instead to the ball of the who
 fingerprint, where all that meet are linked by construction, as a star.
 
 Longer fingerprints, for wider radii, meet in the same blocks. Rows then carry the number
-of a fingerprint only; who meets is a candidate, and is verified by a join.
+of a fingerprint only; who meets is a candidate, and is verified by a join. All that meet
+are compared, however many, except those that verified links have already joined.
 
 Equal fingerprints are one node. Links are never expanded into all pairs of a group.
 """
@@ -35,8 +36,10 @@ SEED = 42
 BLOCK = 32
 #: More fingerprints than this at one value of a block go on to the whole ball.
 COMPARED = 256
-#: Neighbours at one value that are candidates of each other, for longer fingerprints.
-NEIGHBOURS = 16
+#: Up to so many at one value are all paired by the first round of ``links_of_meetings``.
+PAIRED = 3
+#: Pairs that a task makes at once.
+PAIRS = 1 << 18
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -263,6 +266,64 @@ def _stars(neighbours: int = 0):
     return run
 
 
+def _across():
+    """All pairs of nodes of different components at the same value, from rows sorted by
+    value and component; what is held is the nodes of one value."""
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        value = own = None
+        before, run_ = [], []  # nodes of earlier components at the value, and of this one
+        for b in batches:
+            meet, component, node = (b.column(c).to_numpy() for c in ("meet", "component", "node"))
+            if len(meet) == 0:
+                continue
+            new = (meet[1:] != meet[:-1]) | (component[1:] != component[:-1])
+            cuts = np.append(np.flatnonzero(np.append(True, new)), len(meet))
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if meet[s] != value:
+                    value, own, before, run_ = meet[s], component[s], [], []
+                elif component[s] != own:
+                    own, before, run_ = component[s], before + run_, []
+                run_.append(node[s:e])
+                if not before:
+                    continue
+                before = [np.concatenate(before)]
+                step = max(1, PAIRS // (e - s))
+                for at in range(0, len(before[0]), step):
+                    part = before[0][at : at + step]
+                    for of in range(s, e, PAIRS):
+                        some = node[of : min(e, of + PAIRS)]
+                        yield batch(schema, np.repeat(part, len(some)), np.tile(some, len(part)))
+
+    return run
+
+
+def links_of_meetings(met: DataFrame, verified) -> DataFrame:
+    """Links (a, b) that span all groups of nodes that meet and that ``verified`` lets pass.
+
+    ``met`` has distinct rows of ``meet`` and ``node``; ``verified`` keeps the pairs (a, b)
+    that link. A first round pairs every node with the first and the previous one at its
+    value. Where more than PAIRED meet, a second round compares all that its links have
+    not joined yet, so no link between two groups is missed.
+    """
+    def ordered(pairs):
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return materialise(pairs.where("a != b").distinct(), "pairs")
+
+    first = ordered(_sorted(met).mapInArrow(_stars(1), "a long, b long"))
+    links = materialise(verified(first), "links")
+    groups = materialise(components(links), "groups")
+    crowded = met.groupBy("meet").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("meet")
+    known = met.join(crowded, "meet").join(groups, "node", "left")
+    known = materialise(known.select("meet", "node", F.coalesce("component", "node").alias("component")), "crowded")
+    mixed = known.groupBy("meet").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    rows = known.join(mixed.select("meet"), "meet").repartition("meet")
+    rows = rows.sortWithinPartitions("meet", "component", "node")
+    more = ordered(rows.mapInArrow(_across(), "a long, b long")).join(first, ["a", "b"], "left_anti")
+    return links.union(verified(more))
+
+
 def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("meet").sortWithinPartitions("meet", "node")
 
@@ -274,26 +335,27 @@ def fingerprint_links(
 
     ``prints`` has ``node`` and ``f0 ...``. With one word of 64 bits no link that joins two
     groups is missed. With more words, pairs are found if a block of theirs differs by at
-    most 2 bits: certain up to ``6 * length - 1`` bits and likely beyond. Where more than
-    NEIGHBOURS meet, each is compared with its neighbours and with the first.
+    most 2 bits: certain up to ``6 * length - 1`` bits and likely beyond; of those that meet
+    none is left out.
     """
     distinct = materialise(prints.select("node", *[f"f{i}" for i in range(length)]).distinct(), "distinct")
-    met = _sorted(distinct.mapInArrow(_block_rows(length, 1), "meet long, node long"))
+    rows = distinct.mapInArrow(_block_rows(length, 1), "meet long, node long")
     if length == 1:
+        met = _sorted(rows)
         found = met.mapInArrow(_compared(radius, compared), "kind long, a long, b long")
         found = materialise(found.distinct(), "meetings")
         crowded = found.where("kind = 1").select(F.col("a").alias("node")).distinct()
         whole = _sorted(crowded.mapInArrow(_ball_rows(radius // 2), "meet long, node long"))
         return found.where("kind = 0").select("a", "b").union(whole.mapInArrow(_stars(), "a long, b long"))
-    pairs = met.mapInArrow(_stars(NEIGHBOURS), "a long, b long").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    )
-    pairs = materialise(pairs.where("a != b").distinct(), "pairs")
-    for side in "ab":
-        own = distinct.select(F.col("node").alias(side), *[F.col(f"f{i}").alias(f"{side}{i}") for i in range(length)])
-        pairs = pairs.join(own, side)
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(length)), F.lit(0))
-    return pairs.where(apart <= radius).select("a", "b")
+
+    def verified(pairs):
+        for side in "ab":
+            own = distinct.select(F.col("node").alias(side), *[F.col(f"f{i}").alias(f"{side}{i}") for i in range(length)])
+            pairs = pairs.join(own, side)
+        apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(length)), F.lit(0))
+        return pairs.where(apart <= radius).select("a", "b")
+
+    return links_of_meetings(rows, verified)
 
 
 def near_duplicates(
