@@ -227,3 +227,49 @@ def test_all_that_meet_at_a_crowded_value_are_compared(spark):
                 x, y = sorted((want[a], want[b]))
                 want = {n: x if c == y else c for n, c in want.items()}
     assert {n: got.get(n, n) for n in nodes} == want
+
+
+def test_pairs_around_the_similarity_match_brute_force(spark, edge, nothing):
+    """Pairs at 0.75, 0.8 and 0.85, and a crowd that shares a passage."""
+    from tideline.llm.jaccard import similar_groups
+
+    rnd = random.Random(12)
+
+    def some(n):
+        return [f"q{rnd.randrange(99_999)}" for _ in range(n)]
+
+    rows, passage = [], some(40)
+    for _ in range(12):
+        for shared in (300, 320, 340):  # of 400 shingles in all
+            same = shared + 4
+            start, rest = some(same), 400 - shared
+            rows.append((len(rows), " ".join(start + some(rest // 2))))
+            rows.append((len(rows), " ".join(start + some(rest - rest // 2))))
+    for family in range(4):
+        base = some(60)
+        for _ in range(15):
+            words = list(base)
+            words[rnd.randrange(60)] = "other"
+            rows.append((len(rows), " ".join(passage + words)))
+    rows += [(r.doc_id, r.text) for r in edge.collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    sets = []
+    for _, t in rows:
+        parts = (t or "").encode().lower().split()
+        n = min(5, len(parts))
+        sets.append({b" ".join(parts[i : i + n]) for i in range(len(parts) - n + 1)} if parts else set())
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if group[i] != group[j] and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, rows):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    want = sorted(((i, least.get(g)) for (i, _), g in zip(rows, group)), key=repr)
+    got = sorted(((r._id, r.component_id) for r in similar_groups(df).collect()), key=repr)
+    assert got == want
+    assert similar_groups(nothing, keep=("lang",)).count() == 0
