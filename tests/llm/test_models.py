@@ -348,6 +348,26 @@ def test_bands_reject_a_stranger(spark):
     assert not kept.pop(999) and sum(kept.values()) >= 98
 
 
+def test_copies_do_not_narrow_the_band(spark):
+    """Two thirds of the rows of a language are one text; the others stay all the same."""
+    rnd = random.Random(16)
+    pool = ["".join(rnd.choice("etaoinshrdlu") for _ in range(5)) for _ in range(200)]
+
+    def text():
+        return " ".join(rnd.choice(pool) for _ in range(rnd.randrange(60, 120)))
+
+    rows = [(i, text(), "en") for i in range(60)]
+    copy = text()
+    plain = spark.createDataFrame([*rows, (60, copy, "en")], "doc_id long, text string, lang string")
+    rows += [(60 + i, copy, "en") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r._id: r for r in quality.quality(df).collect()}
+    for r in quality.quality(plain).collect():
+        assert abs(r.log_perplexity - found[r._id].log_perplexity) < 1e-9
+        assert (r.kept, r.lower, r.upper) == (found[r._id].kept, found[r._id].lower, found[r._id].upper)
+    assert sum(r.kept for i, r in found.items() if i < 60) >= 58
+
+
 def test_resampling_prefers_the_target(spark, edge, nothing):
     rnd = random.Random(7)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]

@@ -8,8 +8,8 @@ slots for each order, however many n-grams and languages there are. Two n-grams
 share a slot share the higher probability.
 
 A text is rejected if its perplexity lies outside the band of its language. The band is
-set by the quartiles of all texts of the language, so it follows the corpus, and is
-wider for short texts, whose perplexity varies more.
+set by the quartiles of the different texts of the language, so it follows the corpus, and
+is wider for short texts, whose perplexity varies more. Copies count once, for the model too.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import SPACE, as_bytes, bounded_batches, by_size, with_more
+from tideline.llm.common import SPACE, as_bytes, bounded_batches, by_size, key_filter, with_filter, with_more
 from tideline.scratch import materialise
 
 ORDER = 4
@@ -315,6 +315,15 @@ def _rule_rows(arrays, bits: int, keep: tuple[str, ...]):
     return run
 
 
+def _different(rows: DataFrame) -> DataFrame:
+    """(_lang, _text) once for each text of a language; texts that occur once are not shuffled."""
+    key = ["_lang", "_text1", "_text2"]
+    copied = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    filtered = with_filter(rows.select(*key, "_text"), materialise(key_filter(copied, *key), "filter"), *key)
+    once = filtered.where("_maybe").groupBy(*key).agg(F.first("_text").alias("_text"))
+    return filtered.where("not _maybe").select("_lang", "_text").union(once.select("_lang", "_text"))
+
+
 def quality(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
     width: float = WIDTH, bits: int = SLOT_BITS, keep: tuple[str, ...] = (),
@@ -327,7 +336,7 @@ def quality(
     ``lower, upper`` (the band of the language), ``kept``, ``keep`` as ``_<name>`` and, with ``with_text``, ``_text``. Null texts are empty and
     fail; a null language is a language of its own, as is every text if there is no
     language column. The bands come from texts that pass the base rules, so a language
-    without any keeps none. Repeated rows count as often as they occur.
+    without any keeps none. Equal texts of a language count once, for the model and the bands.
     """
     bounded_batches(df.sparkSession)
     lang = F.lit("") if lang_col is None else F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
@@ -336,14 +345,15 @@ def quality(
         lang.alias("_lang"), *[F.col(f"`{c}`").alias(f"_{c}_") for c in keep],
     )
     # Named so that they cannot clash with the language.
-    passed = ("text",) * with_text + tuple(f"{c}_" for c in keep)
-    raw = rows.select("_lang", "_text").mapInArrow(_gram_rows(), "lang string, key long, c long")
+    passed = ("text1", "text2") + ("text",) * with_text + tuple(f"{c}_" for c in keep)
+    rows = rows.withColumns({"_text1": F.xxhash64("_text"), "_text2": F.xxhash64(F.lit("second"), "_text")})
+    raw = _different(rows).mapInArrow(_gram_rows(), "lang string, key long, c long")
     raw = materialise(raw.groupBy("lang", "key").agg(F.sum("c").alias("c")), "grams")
     arrays = df.sparkSession.sparkContext.broadcast(stored(kneser_ney(raw), bits))
     scored = rows.mapInArrow(
         _rule_rows(arrays, bits, passed),
         "_id long, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, n_chars long, log_perplexity double"
+        "n_repeat_words long, n_chars long, log_perplexity double, _text1 long, _text2 long"
         + ", _text string" * with_text
         + "".join(f", `_{c}_` {df.schema[c].dataType.simpleString()}" for c in keep),
     ).withColumn(
@@ -351,7 +361,8 @@ def quality(
     )
     scored = materialise(scored, "scored")
     quartile = [F.percentile_approx("log_perplexity", q, 10_000).alias(f"q{q}") for q in (0.25, 0.75)]
-    bands = scored.where("not base_failed").groupBy("_lang").agg(*quartile)
+    different = scored.where("not base_failed").groupBy("_lang", "_text1", "_text2")
+    bands = different.agg(F.min("log_perplexity").alias("log_perplexity")).groupBy("_lang").agg(*quartile)
     spread = width * F.greatest(F.col("`q0.75`") - F.col("`q0.25`"), F.lit(0.01))
     bands = bands.select(
         "_lang", F.col("`q0.25`").alias("low"), F.col("`q0.75`").alias("high"), spread.alias("spread")
@@ -366,6 +377,6 @@ def quality(
         scored.join(bands, "_lang", "left")
         .withColumns({"lower": F.col("low") - wider, "upper": F.col("high") + wider})
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
-        .drop("_lang", "n_chars", "low", "high", "spread")
+        .drop("_lang", "_text1", "_text2", "n_chars", "low", "high", "spread")
         .withColumnsRenamed({f"_{c}_": f"_{c}" for c in keep})
     )
