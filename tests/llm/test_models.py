@@ -368,6 +368,22 @@ def test_copies_do_not_narrow_the_band(spark):
     assert sum(r.kept for i, r in found.items() if i < 60) >= 58
 
 
+@pytest.mark.parametrize("bits", [8, 22])
+def test_perplexity_does_not_depend_on_the_space(spark, bits):
+    """Far more n-grams than 2**8: none takes the probability of another."""
+    rnd = random.Random(17)
+    texts = ["".join(chr(rnd.randrange(0x4E00, 0x4E40)) for _ in range(rnd.randrange(1, 50))) for _ in range(25)]
+    df = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)] + [(99, None, "zh")], "doc_id long, text string, lang string")
+    p = brute_kneser_ney(texts)
+    for r in quality.quality(df, bits=bits).collect():
+        if r._id == 99:
+            assert r.log_perplexity is None
+            continue
+        line = "\x01" * 3 + texts[r._id]
+        logs = [math.log10(p(line[i - 3 : i], line[i])) for i in range(3, len(line))]
+        assert abs(r.log_perplexity + sum(logs) / len(logs)) < 1e-4
+
+
 def test_resampling_prefers_the_target(spark, edge, nothing):
     rnd = random.Random(7)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]

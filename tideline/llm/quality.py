@@ -3,9 +3,10 @@
 The language model is a modified Kneser-Ney model over the characters of a language,
 up to four at a time. Every task counts the n-grams of its texts; Spark adds them up,
 derives continuation counts, discounts and back-off weights, and interpolates the
-orders. What comes out is stored in sorted arrays of hashes: at most 2**SLOT_BITS
-slots for each order, however many n-grams and languages there are. Two n-grams that
-share a slot share the higher probability.
+orders. Every text that is scored has been counted, so the probabilities of the n-grams
+of four characters are all that scoring needs. They are kept under the whole n-gram, in
+sorted arrays for each language. At most 2**GRAM_BITS of them are sent out at once; if
+there are more, they are split by hash, and the texts are read once for each part.
 
 A text is rejected if its perplexity lies outside the band of its language. The band is
 set by the quartiles of the different texts of the language, so it follows the corpus, and
@@ -24,7 +25,8 @@ from tideline.llm.common import SPACE, as_bytes, bounded_batches, by_size, key_f
 from tideline.scratch import materialise
 
 ORDER = 4
-SLOT_BITS = 22
+#: At most 2**GRAM_BITS n-grams are in one broadcast.
+GRAM_BITS = 22
 #: The band reaches so many quartile ranges beyond the quartiles of log perplexity.
 WIDTH = 3.0
 #: A short text varies more: its band is wider by sqrt(1 + SHORT / characters).
@@ -142,11 +144,10 @@ def _bits(order: int) -> int:
 
 
 def kneser_ney(raw: DataFrame) -> DataFrame:
-    """(order, lang, key, p, back_off) of a modified Kneser-Ney model over (lang, key, c).
+    """(lang, key, p) of a modified Kneser-Ney model over (lang, key, c).
 
     ``p`` is the interpolated probability of the last character after the ones before
-    it, and ``back_off`` the weight of the lower order after the whole key. Discounts
-    follow from the numbers of n-grams seen once to four times; a corpus too small to
+    it. Discounts follow from the numbers of n-grams seen once to four times; a corpus too small to
     have them takes 0.5, 1 and 1.5.
     """
     tables = {ORDER: raw}
@@ -157,7 +158,7 @@ def kneser_ney(raw: DataFrame) -> DataFrame:
             .groupBy("lang", "key").agg(F.count("*").alias("c"))
         )
         tables[order] = materialise(tables[order], f"grams{order}")
-    below, out = None, []
+    below = None
     for order in range(1, ORDER + 1):
         grams_ = tables[order].withColumn("context", F.shiftrightunsigned("key", 16))
         many = [F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
@@ -190,108 +191,71 @@ def kneser_ney(raw: DataFrame) -> DataFrame:
             lower = F.col("p_low")
         p = (F.col("c") - F.col("less")) / F.col("total") + gamma * lower
         below = materialise(grams_.select("lang", "key", p.alias("p")), f"model{order}")
-        back = contexts.select("lang", F.col("context").alias("key"), gamma.alias("back_off"))
-        if order == 1:
-            unseen = contexts.select(
-                F.lit(0).alias("order"), "lang", F.lit(0).cast("long").alias("key"),
-                (gamma / (F.col("kinds") + 1)).alias("p"), F.lit(None).cast("double").alias("back_off"),
-            )
-            out.append(unseen)
-        else:
-            out.append(back.select(F.lit(order - 1).alias("order"), "lang", "key", F.lit(None).cast("double").alias("p"), "back_off"))
-        out.append(below.select(F.lit(order).alias("order"), "lang", "key", "p", F.lit(None).cast("double").alias("back_off")))
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.union(part)
-    return whole.groupBy("order", "lang", "key").agg(F.max("p").alias("p"), F.max("back_off").alias("back_off"))
-
-
-def lang_seed(lang: str) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode("utf-8"))
-
-
-def slots(key: np.ndarray, seed: int, order: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """Slot of each key of an order in the arrays of the model."""
-    h = (key ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93 + 2 * order)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _slot_rows(bits: int):
-    schema = pa.schema([("order", pa.int32()), ("slot", pa.int32()), ("p", pa.float32()), ("back_off", pa.float32())])
+    return below
+
+
+def stored(model: DataFrame) -> dict:
+    """Sorted keys and log10 probabilities of each language."""
+    t = model.toArrow()
+    langs = t["lang"].combine_chunks().dictionary_encode()
+    which, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+    key, p = t["key"].to_numpy().view(np.uint64), np.log10(t["p"].to_numpy())
+    order = np.lexsort((key, which))
+    cuts = np.searchsorted(which[order], np.arange(len(names) + 1))
+    return {
+        lang: (key[order[a:z]], p[order[a:z]].astype(np.float32))
+        for lang, a, z in zip(names, cuts[:-1], cuts[1:])
+    }
+
+
+def look(arrays: dict, key: np.ndarray, lang: str) -> np.ndarray:
+    """log10 probability of each n-gram, 0 if it is not in the arrays."""
+    if lang not in arrays:
+        return np.zeros(len(key), np.float32)
+    keys, p = arrays[lang]
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, p[at], np.float32(0))
+
+
+def log_sums(arrays: dict, langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of log10 probabilities over the characters of each text, and the characters."""
+    total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for lang in dict.fromkeys(langs):
+        own = [k for k, x in enumerate(langs) if x == lang and texts[k]]
+        if own:
+            size[own] = n = np.array([len(characters(texts[k])) for k in own])
+            p = look(arrays, grams([texts[k] for k in own]), lang)
+            total[own] = np.add.reduceat(p, np.cumsum(n) - n, dtype=np.float64)
+    return total, size
+
+
+def _sum_rows(arrays):
+    """(_lang, _text1, _text2, total, size) of each text by one part of the model."""
+    schema = pa.schema([
+        ("_lang", pa.string()), *((c, pa.int64()) for c in ("_text1", "_text2")), ("total", pa.float64()), ("size", pa.int64()),
+    ])
 
     def run(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            for (order, lang), part in t.to_pandas().groupby(["order", "lang"]):
-                key = part["key"].to_numpy(np.int64).view(np.uint64)
+            langs, texts = b.column("_lang").to_pylist(), as_bytes(b.column("_text"))
+            for part in by_size(range(len(texts)), lambda k: len(texts[k]), _PART):
+                sums = log_sums(arrays.value, [langs[k] for k in part], [texts[k] for k in part])
+                some = b.slice(part[0], len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(key), order, np.int32)),
-                        pa.array(slots(key, lang_seed(lang), int(order), bits).astype(np.int32)),
-                        pa.array(part["p"].to_numpy(np.float32), from_pandas=True),
-                        pa.array(part["back_off"].to_numpy(np.float32), from_pandas=True),
-                    ],
+                    [pa.array([langs[k] for k in part], pa.string()), some.column("_text1"), some.column("_text2"), *map(pa.array, sums)],
                     schema=schema,
                 )
 
     return run
 
 
-def stored(model: DataFrame, bits: int = SLOT_BITS) -> dict:
-    """Sorted slots with log10 probabilities and back-offs of each order: a fixed size at most."""
-    rows = (
-        model.mapInArrow(_slot_rows(bits), "order int, slot int, p float, back_off float")
-        .groupBy("order", "slot").agg(F.max("p").alias("p"), F.max("back_off").alias("back_off"))
-    )
-    rows = materialise(rows, "slots")
-    out = {}
-    for order in range(ORDER + 1):
-        t = rows.where(F.col("order") == order).toArrow().sort_by("slot")
-        columns = [np.log10(t[c].to_numpy().astype(np.float32)) for c in ("p", "back_off")]
-        out[order] = (t["slot"].to_numpy().astype(np.int32), *columns)
-    return out
-
-
-class Scorer:
-    """log10 probability of texts by the stored arrays, which a task spreads out once."""
-
-    def __init__(self, arrays: dict, bits: int):
-        self.bits, self.tables = bits, {}
-        for order, (slot, p, back) in arrays.items():
-            # Places of the slots in the sorted arrays, the last one for those without.
-            place = np.full(1 << bits, len(slot), np.int32)
-            place[slot] = np.arange(len(slot), dtype=np.int32)
-            self.tables[order] = (place, np.append(p, np.float32(np.nan)), np.append(back, np.float32(np.nan)))
-
-    def look(self, order: int, key: np.ndarray, seed: int, which: int) -> np.ndarray:
-        place = self.tables[order][0][slots(key, seed, order, self.bits)]
-        return self.tables[order][which][place]
-
-    def __call__(self, key: np.ndarray, lang: str) -> np.ndarray:
-        seed = lang_seed(lang)
-        p0 = self.look(0, np.zeros(1, np.uint64), seed, 1)[0]
-        out = np.full(len(key), p0 if p0 == p0 else np.float32(-6))
-        for order in range(1, ORDER + 1):
-            if order > 1:
-                context = (key >> np.uint64(16)) & np.uint64((1 << 16 * (order - 1)) - 1)
-                back = self.look(order - 1, context, seed, 2)
-                out += np.where(np.isnan(back), 0, back)
-            own = key if order == ORDER else key & np.uint64((1 << 16 * order) - 1)
-            p = self.look(order, own, seed, 1)
-            out = np.where(np.isnan(p), out, p)
-        return out
-
-
-def _rule_rows(arrays, bits: int, keep: tuple[str, ...]):
+def _rule_rows(arrays, keep: tuple[str, ...]):
     names = ["_id", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     names.append("n_chars")
     kinds = [pa.int64(), pa.string()] + [pa.int64()] * 6
     schema = pa.schema([*zip(names, kinds), ("log_perplexity", pa.float64())])
 
     def run(batches):
-        scorer = Scorer(arrays.value, bits)
         for b in batches:
             ids, langs = b.column("_id").to_pylist(), b.column("_lang").to_pylist()
             texts = as_bytes(b.column("_text"))
@@ -301,13 +265,9 @@ def _rule_rows(arrays, bits: int, keep: tuple[str, ...]):
                     for k in part
                 ]
                 log = np.full(len(part), np.nan)
-                for lang in dict.fromkeys(langs[k] for k in part):
-                    own = [j for j, k in enumerate(part) if langs[k] == lang and texts[k]]
-                    if not own:
-                        continue
-                    sizes = np.array([len(characters(texts[part[j]])) for j in own])
-                    p = scorer(grams([texts[part[j]] for j in own]), lang)
-                    log[own] = -np.add.reduceat(p, np.cumsum(sizes) - sizes, dtype=np.float64) / sizes
+                if arrays is not None:
+                    total, size = log_sums(arrays.value, [langs[k] for k in part], [texts[k] for k in part])
+                    np.divide(-total, size, out=log, where=size > 0)
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
                 out = pa.RecordBatch.from_arrays([*columns, pa.array(log, from_pandas=True)], schema=schema)
                 yield with_more(out, b.slice(part[0], len(part)), keep)
@@ -315,18 +275,33 @@ def _rule_rows(arrays, bits: int, keep: tuple[str, ...]):
     return run
 
 
-def _different(rows: DataFrame) -> DataFrame:
-    """(_lang, _text) once for each text of a language; texts that occur once are not shuffled."""
+def _different(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` once for each text of a language; texts that occur once are not shuffled."""
     key = ["_lang", "_text1", "_text2"]
     copied = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
     filtered = with_filter(rows.select(*key, "_text"), materialise(key_filter(copied, *key), "filter"), *key)
     once = filtered.where("_maybe").groupBy(*key).agg(F.first("_text").alias("_text"))
-    return filtered.where("not _maybe").select("_lang", "_text").union(once.select("_lang", "_text"))
+    return filtered.where("not _maybe").select(*columns).union(once.select(*columns))
+
+
+def _logs(rows: DataFrame, model: DataFrame, parts: int) -> DataFrame:
+    """(_lang, _text1, _text2, log_perplexity) of each text, by one part of the model after another."""
+    different, sums = _different(rows, "_lang", "_text1", "_text2", "_text"), None
+    for part in range(parts):
+        own = model.where(F.pmod(F.xxhash64("lang", "key"), F.lit(parts)) == part)
+        arrays = rows.sparkSession.sparkContext.broadcast(stored(own))
+        kinds = "_lang string, _text1 long, _text2 long, total double, size long"
+        one = materialise(different.mapInArrow(_sum_rows(arrays), kinds), "sums")
+        arrays.unpersist()
+        sums = one if sums is None else sums.union(one)
+    totals = sums.groupBy("_lang", "_text1", "_text2").agg(F.sum("total").alias("total"), F.max("size").alias("size"))
+    log = F.when(F.col("size") > 0, -F.col("total") / F.col("size"))
+    return totals.select("_lang", "_text1", "_text2", log.alias("log_perplexity"))
 
 
 def quality(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
-    width: float = WIDTH, bits: int = SLOT_BITS, keep: tuple[str, ...] = (),
+    width: float = WIDTH, bits: int = GRAM_BITS, keep: tuple[str, ...] = (),
     with_text: bool = False,
 ) -> DataFrame:
     """One row per input row with counts, perplexity, and whether the text is kept.
@@ -347,11 +322,14 @@ def quality(
     # Named so that they cannot clash with the language.
     passed = ("text1", "text2") + ("text",) * with_text + tuple(f"{c}_" for c in keep)
     rows = rows.withColumns({"_text1": F.xxhash64("_text"), "_text2": F.xxhash64(F.lit("second"), "_text")})
-    raw = _different(rows).mapInArrow(_gram_rows(), "lang string, key long, c long")
+    raw = _different(rows, "_lang", "_text").mapInArrow(_gram_rows(), "lang string, key long, c long")
     raw = materialise(raw.groupBy("lang", "key").agg(F.sum("c").alias("c")), "grams")
-    arrays = df.sparkSession.sparkContext.broadcast(stored(kneser_ney(raw), bits))
+    model = kneser_ney(raw)
+    parts = -(-model.count() // (1 << bits))
+    spark = df.sparkSession.sparkContext
+    arrays = spark.broadcast(stored(model)) if parts <= 1 else None
     scored = rows.mapInArrow(
-        _rule_rows(arrays, bits, passed),
+        _rule_rows(arrays, passed),
         "_id long, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, n_chars long, log_perplexity double, _text1 long, _text2 long"
         + ", _text string" * with_text
@@ -359,6 +337,8 @@ def quality(
     ).withColumn(
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     )
+    if parts > 1:
+        scored = scored.drop("log_perplexity").join(_logs(rows, model, parts), ["_lang", "_text1", "_text2"], "left")
     scored = materialise(scored, "scored")
     quartile = [F.percentile_approx("log_perplexity", q, 10_000).alias(f"q{q}") for q in (0.25, 0.75)]
     different = scored.where("not base_failed").groupBy("_lang", "_text1", "_text2")
