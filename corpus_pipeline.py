@@ -1,93 +1,5 @@
-"""The corpus pipeline: quality rules, three kinds of deduplication, packing."""
+"""The corpus pipeline; its stages are in the subpackage of the text operators."""
 
-from __future__ import annotations
+from tideline.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tideline.llm.common import key_filter, with_filter
-from tideline.llm.exact_dedup import exact_groups
-from tideline.llm.jaccard import similar_groups
-from tideline.llm.packing import pack
-from tideline.llm.quality import quality
-from tideline.llm.suffix_dedup import remove_repeats
-from tideline.scratch import materialise
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-REST = COLUMNS[2:]
-
-
-def _document(frame: DataFrame, **own) -> DataFrame:
-    """The columns of documents from a frame with ``_id``, ``_text`` and ``_<name>``."""
-    names = {"doc_id": "_id"} | {c: f"_{c}" for c in COLUMNS[1:]}
-    return frame.select(*[own.get(c, F.col(names[c])).alias(c) for c in COLUMNS])
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; null texts are empty and go."""
-    return _document(quality(docs, keep=REST, with_text=True).where("kept"))
-
-
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest identifier."""
-    return _document(exact_groups(docs, keep=REST, with_text=True).where("kept"))
-
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest identifier.
-
-    Documents link if their sets of shingles of five words have a Jaccard similarity of 0.8
-    or more. Rows that share the smallest identifier of a group all stay, as do groups
-    without any identifier.
-    """
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("second"), text)})
-    groups = similar_groups(keyed, words=5, keep=("k1", "k2"))
-    gone = groups.where("_id is not null and _id != component_id")
-    gone = materialise(
-        gone.select(F.col("_id").alias("doc_id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")).distinct(),
-        "gone",
-    )
-    key = ["doc_id", "k1", "k2"]
-    filtered = with_filter(keyed, materialise(key_filter(gone, *key), "filter"), *key)
-    stay = filtered.where("not _maybe").select(*COLUMNS)
-    return stay.union(filtered.where("_maybe").join(gone, key, "left_anti").select(*COLUMNS))
-
-
-def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur elsewhere too.
-
-    A cut may fall inside a character; what is left of it becomes a replacement mark.
-    Documents of which nothing is left stay, with an empty text.
-    """
-    cut = remove_repeats(docs, with_text="text", keep=REST)
-    return _document(cut.withColumnRenamed("_kept", "_text"), n_chars=F.char_length("_text").cast("long"))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2,048 tokens."""
-    from tideline.llm.queries import tokenizer_path
-
-    return pack(docs, tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("_id", "doc_id")
-
-
-STAGES = [
-    ("quality rules", quality_stage),
-    ("exact dedup", exact_stage),
-    ("near dedup", near_stage),
-    ("passage dedup", passage_stage),
-    ("packing", packing_stage),
-]
-
-#: Fingerprints and tokens are beyond SQL; the tests compare with a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialise(docs, "stage")
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]

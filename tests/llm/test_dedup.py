@@ -163,17 +163,7 @@ def test_components_match_brute_force(spark, edge, compared):
     assert got == brute_components(rows, 4, 4)
 
 
-def test_longer_fingerprints_find_near_copies(spark, nothing):
-    rnd = random.Random(8)
-    rows = []
-    for i in range(40):
-        words = [f"u{rnd.randrange(9999)}" for _ in range(400)]
-        rows.append((2 * i, " ".join(words)))
-        words[200] = "changed"
-        rows.append((2 * i + 1, " ".join(words)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r._id: r.component_id for r in near_duplicates(df, words=5, length=4, radius=39).collect()}
-    assert found == {i: i // 2 * 2 for i in range(80)}
+def test_near_duplicates_of_an_empty_table(nothing):
     assert near_duplicates(nothing, keep=("lang",)).count() == 0
 
 
@@ -195,81 +185,3 @@ def test_components_of_chains_and_stars(spark):
     want = dict.fromkeys(range(1, 41), 1) | dict.fromkeys(range(100, 130), 100) | {500: 500}
     assert got == want
     assert components(df.limit(0)).count() == 0
-
-
-def test_all_that_meet_at_a_crowded_value_are_compared(spark):
-    """Families of long fingerprints share one block, in which hundreds meet."""
-    from tideline.llm.simhash import fingerprint_links
-
-    rnd = random.Random(4)
-    shared = rnd.getrandbits(32)
-    centres = [rnd.getrandbits(224) for _ in range(3)] + [rnd.getrandbits(224) for _ in range(40)]
-    prints = {}
-    for i in range(300):
-        family = i % 3 if i < 220 else 3 + i // 2 % 40
-        bits = centres[family]
-        for block in range(7):
-            for at in rnd.sample(range(32), 4 * (i % 2) if i >= 220 else 2):
-                bits ^= 1 << 32 * block + at
-        prints[i] = bits << 32 | shared
-    signed = [
-        (rnd.getrandbits(62), *(((p >> 64 * w) & (1 << 64) - 1 ^ 1 << 63) - (1 << 63) for w in range(4)))
-        for p in prints.values()
-    ]
-    nodes = dict(zip((r[0] for r in signed), prints.values()))
-    df = spark.createDataFrame(signed, "node long, f0 long, f1 long, f2 long, f3 long")
-    links = fingerprint_links(df, 4, 39)
-    got = {r.node: r.component for r in components(links).collect()}
-    want = {n: n for n in nodes}
-    for a in nodes:
-        for b in nodes:
-            if a < b and (nodes[a] ^ nodes[b]).bit_count() <= 39 and want[a] != want[b]:
-                x, y = sorted((want[a], want[b]))
-                want = {n: x if c == y else c for n, c in want.items()}
-    assert {n: got.get(n, n) for n in nodes} == want
-
-
-def test_pairs_around_the_similarity_match_brute_force(spark, edge, nothing):
-    """Pairs at 0.75, 0.8 and 0.85, and a crowd that shares a passage."""
-    from tideline.llm.jaccard import similar_groups
-
-    rnd = random.Random(12)
-
-    def some(n):
-        return [f"q{rnd.randrange(99_999)}" for _ in range(n)]
-
-    rows, passage = [], some(40)
-    for _ in range(12):
-        for shared in (300, 320, 340):  # of 400 shingles in all
-            same = shared + 4
-            start, rest = some(same), 400 - shared
-            rows.append((len(rows), " ".join(start + some(rest // 2))))
-            rows.append((len(rows), " ".join(start + some(rest - rest // 2))))
-    for family in range(4):
-        base = some(60)
-        for _ in range(15):
-            words = list(base)
-            words[rnd.randrange(60)] = "other"
-            rows.append((len(rows), " ".join(passage + words)))
-    rows += [(r.doc_id, r.text) for r in edge.collect()]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-
-    sets = []
-    for _, t in rows:
-        parts = (t or "").encode().lower().split()
-        n = min(5, len(parts))
-        sets.append({b" ".join(parts[i : i + n]) for i in range(len(parts) - n + 1)} if parts else set())
-    group = list(range(len(rows)))
-    for i, x in enumerate(sets):
-        for j, y in enumerate(sets[:i]):
-            if group[i] != group[j] and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
-    least = {}
-    for g, (i, _) in zip(group, rows):
-        if i is not None:
-            least[g] = min(i, least.get(g, i))
-    want = sorted(((i, least.get(g)) for (i, _), g in zip(rows, group)), key=repr)
-    got = sorted(((r._id, r.component_id) for r in similar_groups(df).collect()), key=repr)
-    assert got == want
-    assert similar_groups(nothing, keep=("lang",)).count() == 0

@@ -40,6 +40,11 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     )
 
 
+def id_type(df: DataFrame, id_col: str) -> str:
+    """Type of the identifiers in a schema: operators pass them on as they are."""
+    return df.schema[id_col].dataType.simpleString()
+
+
 def ddl(df: DataFrame, names: tuple[str, ...]) -> str:
     """Further columns of a schema: those of ``df``, under the names that texts() gives them."""
     return "".join(f", `_{c}` {df.schema[c].dataType.simpleString()}" for c in names)

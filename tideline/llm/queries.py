@@ -12,6 +12,7 @@ from tideline.llm.exact_dedup import exact_groups
 from tideline.llm.hmm import score_texts
 from tideline.llm.importance import resample
 from tideline.llm.packing import pack
+from tideline.llm.pipeline import run as pipeline
 from tideline.llm.quality import quality
 from tideline.llm.simhash import near_duplicates
 from tideline.llm.suffix_dedup import remove_repeats
@@ -22,7 +23,7 @@ from tideline.scratch import scratch_path
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(
-        F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
+        F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"
     )
 
 
@@ -94,19 +95,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_id", "doc_id")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_warc, op3_exact_dedup, op4_simhash, op5_hmm, op6_importance,
-        op7_packing, op8_quality, op9_chat_format, op10_bpe, pipeline,
+        op7_packing, op8_quality, op9_chat_format, op10_bpe,
     )
-}
+} | {"pipeline": pipeline}
 
 ORACLES = {
     "op3_exact_dedup": """

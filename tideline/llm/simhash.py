@@ -11,10 +11,6 @@ in such a block is compared in full. If so many meet at one value that comparing
 them would grow with the square, they are sent on instead to the ball of the whole
 fingerprint, where all that meet are linked by construction, as a star.
 
-Longer fingerprints, for wider radii, meet in the same blocks. Rows then carry the number
-of a fingerprint only; who meets is a candidate, and is verified by a join. All that meet
-are compared, however many, except those that verified links have already joined.
-
 Equal fingerprints are one node. Links are never expanded into all pairs of a group.
 """
 
@@ -28,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_bytes, batch, ddl, texts, with_more
+from tideline.llm.common import as_bytes, batch, ddl, id_type, texts, with_more
 from tideline.llm.components import components
 from tideline.scratch import materialise
 
@@ -36,10 +32,6 @@ SEED = 42
 BLOCK = 32
 #: More fingerprints than this at one value of a block go on to the whole ball.
 COMPARED = 256
-#: Up to so many at one value are all paired by the first round of ``links_of_meetings``.
-PAIRED = 3
-#: Pairs that a task makes at once.
-PAIRS = 1 << 18
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -56,51 +48,35 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:z], SEED) for a, z in pairs), np.uint64)
 
 
-def _mixed(h: np.ndarray, word: int) -> np.ndarray:
-    """The hashes of the given further 64 bits; word 0 leaves them as they are."""
-    if word == 0:
-        return h
-    h = h * np.uint64(2 * word * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(29)
-
-
-def simhash(hashes: np.ndarray, length: int = 1) -> np.ndarray:
-    """``length`` words of 64 bits, each bit 1 if set in over half of the hashes."""
-    out = np.zeros(length, np.uint64)
+def simhash(hashes: np.ndarray) -> np.uint64:
+    """64 bits, each 1 if set in over half of the hashes."""
     if len(hashes) == 0:
-        return out
-    for word in range(length):
-        votes = np.zeros(64, np.int64)
-        mixed = _mixed(hashes, word).astype(">u8")
-        for at in range(0, len(mixed), 1 << 14):
-            part = mixed[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
-            votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-        bits = np.packbits(2 * votes > len(hashes))
-        out[word] = bits.view(">u8")[0]
-    return out
+        return np.uint64(0)
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes)).view(">u8")[0]
 
 
-def _fingerprint_rows(words: int, length: int, keep: tuple[str, ...]):
+def _fingerprint_rows(words: int, keep: tuple[str, ...]):
     def run(batches):
-        schema = pa.schema([("_id", pa.int64()), *((f"f{i}", pa.int64()) for i in range(length))])
         for b in batches:
-            found = [simhash(shingle_hashes(t, words), length) for t in as_bytes(b.column("_text"))]
-            prints = np.array(found, np.uint64).reshape(-1, length).view(np.int64)
-            out = batch(schema, b.column("_id"), *np.ascontiguousarray(prints.T))
-            yield with_more(out, b, keep)
+            found = [simhash(shingle_hashes(t, words)) for t in as_bytes(b.column("_text"))]
+            prints = pa.array(np.array(found, np.uint64).view(np.int64))
+            ids = b.column("_id")
+            schema = pa.schema([("_id", ids.type), ("f0", pa.int64())])
+            yield with_more(batch(schema, ids, prints), b, keep)
 
     return run
 
 
 def fingerprints(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, length: int = 1,
-    keep: tuple[str, ...] = (),
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(_id, f0, f1 ...) of every row, and ``keep`` as ``_<name>``; texts without a word get zero."""
-    kinds = "_id long" + "".join(f", f{i} long" for i in range(length)) + ddl(df, keep)
-    return texts(df, id_col, text_col, *keep).mapInArrow(_fingerprint_rows(words, length, keep), kinds)
+    """(_id, f0) of every row, and ``keep`` as ``_<name>``; texts without a word get zero."""
+    kinds = f"_id {id_type(df, id_col)}, f0 long" + ddl(df, keep)
+    return texts(df, id_col, text_col, *keep).mapInArrow(_fingerprint_rows(words, keep), kinds)
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -111,17 +87,17 @@ def ball(bits: int, radius: int) -> np.ndarray:
     )
 
 
-def _block_rows(length: int, radius: int):
-    """Every value within the radius of each block, tagged with the number of the block."""
+def _block_rows(radius: int):
+    """Every value within the radius of both blocks, tagged with the number of the block."""
 
     def run(batches):
         schema = pa.schema([("meet", pa.int64()), ("node", pa.int64())])
         flips = ball(BLOCK, radius)
         for b in batches:
-            node = np.repeat(b.column("node").to_numpy(), len(flips))
-            for block in range(2 * length):
-                word = b.column(f"f{block // 2}").to_numpy().view(np.uint64)
-                half = word >> np.uint64(BLOCK * (block % 2)) & np.uint64(0xFFFFFFFF)
+            prints = b.column("node").to_numpy().view(np.uint64)
+            node = np.repeat(prints.view(np.int64), len(flips))
+            for block in range(2):
+                half = prints >> np.uint64(BLOCK * block) & np.uint64(0xFFFFFFFF)
                 meet = (half[:, None] ^ flips[None, :]) | np.uint64(block << BLOCK)
                 yield batch(schema, meet.ravel().view(np.int64), node)
 
@@ -237,147 +213,62 @@ def _by_run(meet: np.ndarray, node: np.ndarray, value, first) -> np.ndarray:
     return np.where(lead >= 0, node[lead], node[0] if first is None else first)
 
 
-def _stars(neighbours: int = 0):
-    """Pairs of every node with the first one at the same value, and with ``neighbours``
-    before it, from rows sorted by value."""
+def _stars():
+    """Pairs of every node with the first one at the same value, from rows sorted by value."""
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         value = first = None
-        tail_meet, tail_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             meet, node = b.column("meet").to_numpy(), b.column("node").to_numpy()
             if len(meet) == 0:
                 continue
             heads = _by_run(meet, node, value, first)
-            pairs = [np.stack([heads, node], 1)[heads != node]]
             value, first = meet[-1], heads[-1]
-            meet, node = np.concatenate([tail_meet, meet]), np.concatenate([tail_node, node])
-            for d in range(1, neighbours + 1):
-                same = np.flatnonzero(meet[d:] == meet[:-d])
-                if len(same) == 0:
-                    break
-                pairs.append(np.stack([node[same], node[same + d]], 1))
-            tail_meet, tail_node = meet[len(meet) - neighbours :], node[len(node) - neighbours :]
-            found = np.unique(np.concatenate(pairs), axis=0)
+            found = np.unique(np.stack([heads, node], 1)[heads != node], axis=0)
             if len(found):
                 yield batch(schema, *np.ascontiguousarray(found.T))
 
     return run
 
 
-def _across():
-    """All pairs of nodes of different components at the same value, from rows sorted by
-    value and component; what is held is the nodes of one value."""
-
-    def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        value = own = None
-        before, run_ = [], []  # nodes of earlier components at the value, and of this one
-        for b in batches:
-            meet, component, node = (b.column(c).to_numpy() for c in ("meet", "component", "node"))
-            if len(meet) == 0:
-                continue
-            new = (meet[1:] != meet[:-1]) | (component[1:] != component[:-1])
-            cuts = np.append(np.flatnonzero(np.append(True, new)), len(meet))
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if meet[s] != value:
-                    value, own, before, run_ = meet[s], component[s], [], []
-                elif component[s] != own:
-                    own, before, run_ = component[s], before + run_, []
-                run_.append(node[s:e])
-                if not before:
-                    continue
-                before = [np.concatenate(before)]
-                step = max(1, PAIRS // (e - s))
-                for at in range(0, len(before[0]), step):
-                    part = before[0][at : at + step]
-                    for of in range(s, e, PAIRS):
-                        some = node[of : min(e, of + PAIRS)]
-                        yield batch(schema, np.repeat(part, len(some)), np.tile(some, len(part)))
-
-    return run
-
-
-def links_of_meetings(met: DataFrame, verified) -> DataFrame:
-    """Links (a, b) that span all groups of nodes that meet and that ``verified`` lets pass.
-
-    ``met`` has distinct rows of ``meet`` and ``node``; ``verified`` keeps the pairs (a, b)
-    that link. A first round pairs every node with the first and the previous one at its
-    value. Where more than PAIRED meet, a second round compares all that its links have
-    not joined yet, so no link between two groups is missed.
-    """
-    def ordered(pairs):
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return materialise(pairs.where("a != b").distinct(), "pairs")
-
-    first = ordered(_sorted(met).mapInArrow(_stars(1), "a long, b long"))
-    links = materialise(verified(first), "links")
-    groups = materialise(components(links), "groups")
-    crowded = met.groupBy("meet").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("meet")
-    known = met.join(crowded, "meet").join(groups, "node", "left")
-    known = materialise(known.select("meet", "node", F.coalesce("component", "node").alias("component")), "crowded")
-    mixed = known.groupBy("meet").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rows = known.join(mixed.select("meet"), "meet").repartition("meet")
-    rows = rows.sortWithinPartitions("meet", "component", "node")
-    more = ordered(rows.mapInArrow(_across(), "a long, b long")).join(first, ["a", "b"], "left_anti")
-    return links.union(verified(more))
-
-
 def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("meet").sortWithinPartitions("meet", "node")
 
 
-def fingerprint_links(
-    prints: DataFrame, length: int = 1, radius: int = 4, compared: int = COMPARED
-) -> DataFrame:
-    """Links (a, b) between nodes that span all groups of fingerprints within the radius.
+def fingerprint_links(prints: DataFrame, radius: int = 4, compared: int = COMPARED) -> DataFrame:
+    """Links (a, b) between fingerprints that span all groups within the radius.
 
-    ``prints`` has ``node`` and ``f0 ...``. With one word of 64 bits no link that joins two
-    groups is missed. With more words, pairs are found if a block of theirs differs by at
-    most 2 bits: certain up to ``6 * length - 1`` bits and likely beyond; of those that meet
-    none is left out.
+    ``prints`` has ``node``, the fingerprint. No link that joins two groups is missed.
     """
-    distinct = materialise(prints.select("node", *[f"f{i}" for i in range(length)]).distinct(), "distinct")
-    rows = distinct.mapInArrow(_block_rows(length, 1), "meet long, node long")
-    if length == 1:
-        met = _sorted(rows)
-        found = met.mapInArrow(_compared(radius, compared), "kind long, a long, b long")
-        found = materialise(found.distinct(), "meetings")
-        crowded = found.where("kind = 1").select(F.col("a").alias("node")).distinct()
-        whole = _sorted(crowded.mapInArrow(_ball_rows(radius // 2), "meet long, node long"))
-        return found.where("kind = 0").select("a", "b").union(whole.mapInArrow(_stars(), "a long, b long"))
-
-    def verified(pairs):
-        for side in "ab":
-            own = distinct.select(F.col("node").alias(side), *[F.col(f"f{i}").alias(f"{side}{i}") for i in range(length)])
-            pairs = pairs.join(own, side)
-        apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(length)), F.lit(0))
-        return pairs.where(apart <= radius).select("a", "b")
-
-    return links_of_meetings(rows, verified)
+    distinct = materialise(prints.select("node").distinct(), "distinct")
+    met = _sorted(distinct.mapInArrow(_block_rows(1), "meet long, node long"))
+    found = met.mapInArrow(_compared(radius, compared), "kind long, a long, b long")
+    found = materialise(found.distinct(), "meetings")
+    crowded = found.where("kind = 1").select(F.col("a").alias("node")).distinct()
+    whole = _sorted(crowded.mapInArrow(_ball_rows(radius // 2), "meet long, node long"))
+    return found.where("kind = 0").select("a", "b").union(whole.mapInArrow(_stars(), "a long, b long"))
 
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-    length: int = 1, radius: int = 4, compared: int = COMPARED, keep: tuple[str, ...] = (),
+    radius: int = 4, compared: int = COMPARED, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: ``_id, f0 ..., component_id``, the smallest identifier reachable.
+    """One row per input row: ``_id, f0, component_id``, the smallest identifier reachable.
 
-    ``keep`` names columns to pass on, as ``_<name>``.
+    ``keep`` names columns to pass on, as ``_<name>``; identifiers keep their type.
 
     Texts are lower-cased (A-Z) and cut into shingles of ``words`` words; null counts
     as empty, and texts without a word share the fingerprint zero. Two fingerprints
-    link if they differ in at most ``radius`` of ``64 * length`` bits. Repeated rows
+    link if they differ in at most ``radius`` of 64 bits. Repeated rows
     and equal texts have one fingerprint; rows without an identifier count for the
     smallest one only if their component has no other.
     """
-    if length == 1 and radius not in (0, 2, 4):
-        raise ValueError("one word of fingerprint takes a radius of 0, 2 or 4")
-    prints = materialise(fingerprints(df, id_col, text_col, words, length, keep), "prints")
-    node = F.col("f0") if length == 1 else F.xxhash64(*[f"f{i}" for i in range(length)])
-    prints = prints.withColumn("node", node)
-    found = components(materialise(fingerprint_links(prints, length, radius, compared).distinct(), "links"))
+    if radius not in (0, 2, 4):
+        raise ValueError("the radius must be 0, 2 or 4")
+    prints = materialise(fingerprints(df, id_col, text_col, words, keep), "prints")
+    prints = prints.withColumn("node", F.col("f0"))
+    found = components(materialise(fingerprint_links(prints, radius, compared).distinct(), "links"))
     found = materialise(found, "components")
     named = prints.groupBy("node").agg(F.min("_id").alias("_least"))
     roots = named.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
