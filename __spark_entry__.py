@@ -19,14 +19,18 @@ from tideline.operators import (  # noqa: E402
     cluster_weights,
     eval_split,
     held_out_ssq,
+    horizon_clusters,
+    kmeans_held_out,
     kmeans_models,
     kmeans_time_windows,
     limit_rows,
     linreg_models,
+    linreg_prequential,
     linreg_time_windows,
     micro_clusters,
     microcluster_models,
     score,
+    score_as_of,
     stream_kmeans,
     stream_kmeans_call,
     stream_linreg,
@@ -44,7 +48,9 @@ from tideline.feeds import (  # noqa: E402
     KMeansStream,
     LinRegStream,
     MicroClusterStream,
+    run_keyed_stream,
     run_stream,
+    run_time_clusters,
     run_time_windows,
 )
 
@@ -427,25 +433,22 @@ def csv_round_trip(spark, sf):
     return _betas(stream_linreg(back, "value", ["hour", F.lit(1.0)], "event_id", options=options), 2)
 
 
-FILES = 3
+PARTS = 3
 
 
-def _replay(spark, sf, table, op, columns, key, restart=False):
+def _replay(spark, sf, table, op, columns, key, start=run_stream, **more):
     """Run an operator over a table that arrives in three micro-batches, and read its sink.
 
-    The cuts lie at thirds of the range of ``key``, inside windows. With ``restart`` the
-    feed is stopped after the first micro-batch and started again.
+    The cuts lie at thirds of the range of ``key``, inside windows. Each third is written by as
+    many tasks as Spark takes, and the feed is started anew for it.
     """
     rows = spark.read.parquet(f"{sf}/{table}.parquet").select(*columns)
     low, high = rows.agg(F.min(key), F.max(key)).first()
-    part = F.least(F.floor((F.col(key) - low) * FILES / (high - low + 1)), F.lit(FILES - 1))
+    part = F.least(F.floor((F.col(key) - low) * PARTS / (high - low + 1)), F.lit(PARTS - 1))
     folder, sink, state = (scratch_path(spark, n) for n in ("pieces", "sink", "feed"))
-    for i in range(FILES):
-        # One file is one micro-batch.
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-        if restart or i == FILES - 1:
-            feed = stream_table(spark, folder, rows.schema, files_per_trigger=1)
-            run_stream(op, feed, sink, state).awaitTermination()
+    for i in range(PARTS):
+        rows.where(part == i).write.mode("append").parquet(folder)
+        start(op, stream_table(spark, folder, rows.schema), sink, state, **more).awaitTermination()
     return spark.read.parquet(sink).drop("batch_id")
 
 
@@ -459,13 +462,105 @@ def feed_linreg(spark, sf):
 
 
 def feed_restart(spark, sf):
-    """The regression over a feed that is started anew for each of three files."""
+    """The regression over a feed whose parts arrive with a few files a micro-batch, and restarts."""
     op = LinRegStream(
         "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEY,
         options=LinRegOptions(batch_size=SIZE, num_iterations=STEPS, step_size=RATE),
     )
     columns = [*LINE_KEY, "l_quantity", "l_discount"]
-    return _betas(_replay(spark, sf, "lineitem", op, columns, "l_orderkey", restart=True), 2, 0)
+    return _betas(_replay(spark, sf, "lineitem", op, columns, "l_orderkey"), 2, 0)
+
+
+def feed_history(spark, sf):
+    """The models of a feed, read back from the CSV files that it writes beside its rows."""
+    op = LinRegStream(
+        "l_extendedprice", ["l_quantity"], LINE_KEY,
+        options=LinRegOptions(batch_size=SIZE, num_iterations=STEPS, step_size=RATE),
+    )
+    folder = scratch_path(spark, "history")
+    _replay(spark, sf, "lineitem", op, [*LINE_KEY, "l_quantity"], "l_orderkey", history_to=folder)
+    schema = "window_id long, n long, stderr double, intercept double, weights string, iterations int"
+    found = spark.read.schema(schema).option("header", True).csv(f"{folder}/batch_id=*")
+    weight = F.get(F.from_json("weights", "array<double>"), F.lit(0))
+    return found.select(
+        "window_id", "n", F.round("stderr", 0).alias("stderr"), "intercept",
+        F.round(weight, 6).alias("weight"), "iterations",
+    )
+
+
+def feed_keyed(spark, sf):
+    """A model for each event type, with the state of the types in the state store."""
+    op = LinRegStream(
+        "value", [F.col("user_id") % 24, F.lit(1.0)], "event_id", "event_type",
+        options=LinRegOptions(batch_size=100, num_iterations=STEPS, step_size=1e-3),
+    )
+    columns = ["event_id", "user_id", "event_type", "value"]
+    return _betas(_replay(spark, sf, "events", op, columns, "event_id", run_keyed_stream), 2)
+
+
+def feed_keyed_kmeans(spark, sf):
+    """Clusters for each event type, with the state of the types in the state store."""
+    op = KMeansStream(
+        ["value", F.col("user_id") % 24], "event_id", "event_type",
+        options=KMeansOptions(batch_size=120, num_iterations=4, num_clusters=3, init="first_k", epsilon=0.0),
+    )
+    columns = ["event_id", "user_id", "event_type", "value"]
+    return _numbers(_replay(spark, sf, "events", op, columns, "event_id", run_keyed_stream), 3, 2)
+
+
+def linreg_prequential_lines(spark, sf):
+    """Each row scored by the model of the last window that closed before it."""
+    options = LinRegOptions(batch_size=SIZE, num_iterations=STEPS, step_size=RATE)
+    df = linreg_prequential(
+        _line(spark, sf, "l_quantity", "l_discount"),
+        "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEY, options=options,
+    )
+    return df.withColumn("prediction", F.round("prediction", 2))
+
+
+def linreg_time_as_of(spark, sf):
+    """Each event scored by the model of its type whose time window was the last to end by then."""
+    rows = _events(spark, sf).withColumn("hour", F.hour("ts").cast("double"))
+    xs = ["hour", F.lit(1.0)]
+    options = LinRegOptions(num_iterations=STEPS, step_size=1e-3)
+    models = linreg_time_windows(rows, "ts", "value", xs, "1 day", partition_by="event_type", options=options)
+    df = score_as_of(rows, xs, models, "ts", partition_by="event_type")
+    return df.withColumn("prediction", F.round("prediction", 4))
+
+
+def kmeans_held_out_windows(spark, sf):
+    """Half of the rows of each window teach its centres; the error on both halves."""
+    options = KMeansOptions(batch_size=SIZE, num_iterations=3, num_clusters=2, init="first_k", epsilon=0.0)
+    df = kmeans_held_out(_line(spark, sf, "l_quantity"), _points(), LINE_KEY, 0.5, options=options)
+    return df.select(
+        "window_id", "n_train", F.round("ssq_train", 3).alias("ssq_train"),
+        "n_held", F.round("ssq_held", 3).alias("ssq_held"),
+    )
+
+
+def microcluster_horizon(spark, sf):
+    """Kernels of the last 2,500 rows after every period: their sums are the sums of the rows."""
+    options = MicroClusterOptions(batch_size=250, num_clusters=2, num_iterations=2, horizon=10**12)
+    df = horizon_clusters(_line(spark, sf, "l_quantity"), _points(), LINE_KEY, 2500, options=options)
+    width = 7
+    cut = F.transform(
+        F.sequence(F.lit(0), (F.size("kernels") / width - 1).cast("int")),
+        lambda i: F.slice("kernels", i * width + 1, F.lit(width)),
+    )
+    each = df.select("window_id", "since", "n", F.explode(cut).alias("k"))
+    return each.groupBy("window_id", "since", "n").agg(
+        F.round(F.sum(F.get("k", F.lit(3))), 2).alias("ls0"), F.round(F.sum(F.get("k", F.lit(4))), 2).alias("ls1"),
+        F.round(F.sum(F.get("k", F.lit(5))), 0).alias("ss0"), F.round(F.sum(F.get("k", F.lit(6))), 0).alias("ss1"),
+    )
+
+
+def microcluster_tree(spark, sf):
+    """Kernels combined as a tree over the periods: their sums are those of all rows so far."""
+    options = MicroClusterOptions(batch_size=SIZE, num_clusters=1, num_iterations=1, mode="tree", block_rows=400)
+    df = stream_microcluster(
+        _line(spark, sf, "l_quantity"), _points(), LINE_KEY, options=options, with_ssq=True
+    )
+    return _numbers(df, 1, 2).withColumn("ssq", F.round(F.col("ssq"), 1))
 
 
 def feed_kmeans(spark, sf):
@@ -526,17 +621,36 @@ def feed_time_window(spark, sf):
     middle = rows.agg(F.percentile_approx("event_id", 0.5)).first()[0]
     first = F.col("event_id") <= middle
     for part in (rows.where(first), rows.where(~first), end):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    feed = stream_table(spark, folder, rows.schema, files_per_trigger=1)
-    query = run_time_windows(
-        feed.withColumn("hour", F.hour("ts").cast("double")), "ts", "value",
-        ["hour", F.lit(1.0)], "1 day", sink, state,
-        options=LinRegOptions(num_iterations=STEPS, step_size=1e-3), on_null="drop",
-    )
-    query.awaitTermination()
+        part.write.mode("append").parquet(folder)
+        feed = stream_table(spark, folder, rows.schema)
+        run_time_windows(
+            feed.withColumn("hour", F.hour("ts").cast("double")), "ts", "value",
+            ["hour", F.lit(1.0)], "1 day", sink, state,
+            options=LinRegOptions(num_iterations=STEPS, step_size=1e-3), on_null="drop",
+        ).awaitTermination()
     return _betas(spark.read.parquet(sink).drop("batch_id"), 2)
 
 
+def feed_kmeans_time(spark, sf):
+    """Clusters of the event-time windows of a feed; a row without a value closes the last ones."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "value")
+    folder, sink, state = (scratch_path(spark, n) for n in ("pieces", "sink", "feed"))
+    end = rows.agg((F.max("ts") + F.expr("interval 3 days")).alias("ts"))
+    end = end.select(
+        F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(None).cast("double").alias("value")
+    )
+    middle = rows.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    first = F.col("event_id") <= middle
+    options = KMeansOptions(num_iterations=3, num_clusters=2, init="first_k", epsilon=0.0)
+    for part in (rows.where(first), rows.where(~first), end):
+        part.write.mode("append").parquet(folder)
+        feed = stream_table(spark, folder, rows.schema).withColumn("hour", F.hour("ts").cast("double"))
+        run_time_clusters(
+            feed, "ts", ["value", "hour"], "1 day", sink, state, options=options, on_null="drop"
+        ).awaitTermination()
+    return _numbers(spark.read.parquet(sink).drop("batch_id"), 2, 2)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Tumbling-window regression on the smallest tables."""
     return linreg_tumbling(spark, "/root/testdata/sf0.001")
@@ -558,6 +672,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             window_index, window_index_per_key, instance_limit, evaluation_split, evaluation_ssq,
             center_text, csv_round_trip, feed_linreg, feed_kmeans, feed_time_window,
             feed_restart, microcluster_long, feed_microcluster, linreg_over_kmeans,
+            feed_history, feed_keyed, feed_keyed_kmeans, linreg_prequential_lines,
+            linreg_time_as_of, kmeans_held_out_windows, microcluster_horizon, microcluster_tree,
+            feed_kmeans_time,
         )
     }
     return found | (llm_queries.QUERIES if llm_queries else {})
@@ -760,6 +877,66 @@ def oracle_sql() -> dict[str, str]:
         f"(SELECT event_id, value, {hour} AS hour FROM events) events", ["event_id"], evy,
         ["event_id", "value", "hour"], 2, 500, 500, STEPS, 1e-3,
     )
+    out["microcluster_tree"] = out["microcluster_one_center"]
+    out["feed_kmeans_time"] = out["kmeans_time_window"]
+    out["feed_history"] = out["linreg_model_history"]
+    fold = "value AS y, CAST(user_id % 24 AS DOUBLE) AS x1, CAST(1 AS DOUBLE) AS x2"
+    out["feed_keyed"] = O.linreg(
+        "events", ["event_id"], fold, ["event_id", "user_id", "event_type", "value"], 2, 100, 100, STEPS, 1e-3,
+        ["event_type"],
+    )
+    out["feed_keyed_kmeans"] = O.kmeans(
+        "events", ["event_id"], "value AS x1, CAST(user_id % 24 AS DOUBLE) AS x2",
+        ["event_id", "user_id", "event_type", "value"], 2, 3, 120, 120, 4, ["event_type"],
+    )
+    out["linreg_prequential_lines"] = (
+        f"WITH RECURSIVE idx AS ({O.indexed('lineitem', LINE_KEY, line2)}), "
+        f"mem AS ({O.members(SIZE, SIZE)}), g AS ({O.gram(2, 'mem', (), SIZE)}), "
+        f"{O.chain(2, STEPS, RATE)}, {O.trained(2)} "
+        f"SELECT {', '.join('idx.' + c for c in LINE_KEY)}, l_quantity, l_discount, "
+        f"CASE WHEN rn >= {SIZE} THEN (rn - {SIZE}) // {SIZE} END AS model_window, "
+        "round(x1 * w1 + x2 * w2, 2) AS prediction "
+        f"FROM idx LEFT JOIN m ON idx.rn >= {SIZE} AND (idx.rn - {SIZE}) // {SIZE} = m.win"
+    )
+    out["linreg_time_as_of"] = (
+        f"WITH RECURSIVE mem AS ({day} date_diff('day', DATE '1970-01-01', ts) AS win FROM events), "
+        f"raw AS ({O.gram(2, 'mem', ['event_type'])}), "
+        "g AS (SELECT raw.* REPLACE (row_number() OVER (PARTITION BY event_type ORDER BY win) - 1 "
+        "AS win), win AS at FROM raw), "
+        f"{O.chain(2, STEPS, 1e-3, ['event_type'])}, {O.trained(2, ['event_type'])}, "
+        "ends AS (SELECT event_type, TIMESTAMP '1970-01-01' + to_days(CAST(g.at + 1 AS INTEGER)) AS model_since, "
+        "w1, w2 FROM m JOIN g USING (event_type, win)) "
+        "SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, e.x1 AS hour, model_since, "
+        "round(x1 * w1 + x2 * w2, 4) AS prediction FROM mem e ASOF LEFT JOIN ends "
+        "ON e.event_type = ends.event_type AND e.ts >= ends.model_since"
+    )
+    out["kmeans_held_out_windows"] = (
+        f"WITH idx AS ({O.indexed(marked, LINE_KEY, xy)}), "
+        + O.kmeans_steps(2, 2, 3, SIZE, SIZE).replace(
+            "mem AS (SELECT alls.* FROM alls JOIN full_w USING (win))",
+            "mem AS (SELECT alls.* FROM alls JOIN full_w USING (win) WHERE NOT held_out)",
+        )
+        + ", cost AS (SELECT r.win, r.rn, r.held_out, min((r.x1 - c.x1) ** 2 + (r.x2 - c.x2) ** 2) AS d "
+        "FROM alls r JOIN full_w USING (win) JOIN c3 c ON c.win = r.win GROUP BY r.win, r.rn, r.held_out) "
+        "SELECT win AS window_id, count(*) FILTER (NOT held_out) AS n_train, "
+        "round(sum(d) FILTER (NOT held_out), 3) AS ssq_train, count(*) FILTER (held_out) AS n_held, "
+        "round(sum(d) FILTER (held_out), 3) AS ssq_held FROM cost GROUP BY win"
+    )
+    # Of each order of snapshots the last five are left: those with fewer than five later ones.
+    out["microcluster_horizon"] = (
+        f"WITH idx AS ({O.indexed('lineitem', LINE_KEY, xy)}), "
+        "p AS (SELECT rn // 250 AS win, count(*) AS n, sum(x1) AS a, sum(x2) AS b, sum(x1 * x1) AS c, "
+        "sum(x2 * x2) AS d FROM idx GROUP BY 1 HAVING count(*) = 250), "
+        "s AS (SELECT *, sum(n) OVER w AS n1, sum(a) OVER w AS a1, sum(b) OVER w AS b1, sum(c) OVER w AS c1, "
+        "sum(d) OVER w AS d1 FROM p WINDOW w AS (ORDER BY win)), "
+        "o AS (SELECT win + 1 AS t, list_max(list_filter(range(40), lambda i: (win + 1) % (1::BIGINT << i) = 0)) AS o FROM p), "
+        "kept AS (SELECT x.win, max(o.t) AS t FROM p x JOIN o ON o.t <= x.win + 1 - 10 AND "
+        "((x.win // (1::BIGINT << o.o) + 1) // 2) - ((o.t // (1::BIGINT << o.o) + 1) // 2) < 5 GROUP BY x.win) "
+        "SELECT s.win AS window_id, coalesce(k.t, 0) * 250 AS since, CAST(s.n1 - coalesce(z.n1, 0) AS BIGINT) AS n, "
+        "round(s.a1 - coalesce(z.a1, 0), 2) AS ls0, round(s.b1 - coalesce(z.b1, 0), 2) AS ls1, "
+        "round(s.c1 - coalesce(z.c1, 0), 0) AS ss0, round(s.d1 - coalesce(z.d1, 0), 0) AS ss1 "
+        "FROM s LEFT JOIN kept k USING (win) LEFT JOIN s z ON z.win + 1 = k.t"
+    )
     # The watermark ends at the latest time seen, so the last day stays open.
     out["feed_time_window"] = out["linreg_time_window"]
     return out | (llm_queries.ORACLES if llm_queries else {})

@@ -175,7 +175,9 @@ class MicroClusterOptions(_Options):
     ``batch_size`` is the number of rows between two emitted clusterings. A period is
     summarised in blocks of ``block_rows`` rows at most, each in one task; the kernels
     of a longer period depend on it. Any integer is taken as ``learn_type``: all
-    types run alike.
+    types run alike. ``mode="tree"`` combines the kernels of all periods so far as a tree:
+    no key is one sequential walk, rows never leave, and ``horizon`` and
+    ``radius_factor`` have no effect.
     """
 
     learn_type: int = LearnType.BATCH
@@ -192,6 +194,7 @@ class MicroClusterOptions(_Options):
     instance_limit: int = -1
     seed: int = 42
     block_rows: int = 10_000
+    mode: str = "walk"
 
     POSITIONAL = KMeansOptions.POSITIONAL
     CONSTANT_TYPES = KMeansOptions.CONSTANT_TYPES
@@ -213,6 +216,8 @@ class MicroClusterOptions(_Options):
         _check_real("radius_factor", self.radius_factor)
         if self.radius_factor <= 0:
             raise ValueError(f"radius_factor must be positive, got {self.radius_factor}")
+        if self.mode not in ("walk", "tree"):
+            raise ValueError(f"mode must be 'walk' or 'tree', got {self.mode!r}")
 
     @property
     def shift(self) -> int:

@@ -1,3 +1,4 @@
+from tideline.feeds.keyed import run_keyed_stream
 from tideline.feeds.runner import (
     KMeansStream,
     LinRegStream,
@@ -5,9 +6,9 @@ from tideline.feeds.runner import (
     late_rows,
     run_stream,
 )
-from tideline.feeds.time_feed import run_time_windows
+from tideline.feeds.time_feed import run_time_clusters, run_time_windows
 
 __all__ = [
-    "KMeansStream", "LinRegStream", "MicroClusterStream", "late_rows", "run_stream",
-    "run_time_windows",
+    "KMeansStream", "LinRegStream", "MicroClusterStream", "late_rows", "run_keyed_stream",
+    "run_stream", "run_time_clusters", "run_time_windows",
 ]

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
 
 from tideline.config import KMeansOptions, LinRegOptions, MicroClusterOptions
 from tideline.operators.kmeans import center_columns, fit_kmeans
@@ -34,6 +34,7 @@ class Step:
     output: DataFrame
     windows: CountWindows
     state: DataFrame | None
+    models: DataFrame
 
 
 @dataclass
@@ -56,7 +57,7 @@ class LinRegStream:
             fit.rows, fit.models, fit.keys, fit.windows, beta_columns(len(as_columns(self.xs)))
         )
         last = last_of(fit.models, fit.keys, F.col("weights").alias("w"))
-        return Step(fit.rows, output, fit.windows, last)
+        return Step(fit.rows, output, fit.windows, last, fit.models)
 
 
 @dataclass
@@ -81,7 +82,7 @@ class KMeansStream:
         last = None
         if self.options.update == "decay" and "history" in models.columns:
             last = last_of(models, fit.keys, F.col("history").alias("acc"))
-        return Step(fit.rows, output, fit.windows, last)
+        return Step(fit.rows, output, fit.windows, last, models)
 
 
 @dataclass
@@ -94,6 +95,10 @@ class MicroClusterStream:
     options: MicroClusterOptions = field(default_factory=MicroClusterOptions)
     on_null: str = "error"
 
+    def __post_init__(self):
+        if self.options.mode != "walk":
+            raise ValueError("a feed continues its kernels in order: use mode='walk'")
+
     def step(self, rows: DataFrame, base: DataFrame | None, state: DataFrame | None) -> Step:
         fit = fit_microclusters(
             rows, self.features, self.order_by, self.partition_by,
@@ -104,7 +109,7 @@ class MicroClusterStream:
         columns[0] = F.lit(0.0).alias("stderr")
         output = attach_models(fit.rows, models, fit.keys, fit.windows, columns)
         last = next_history(models, fit.keys)
-        return Step(fit.rows, output, fit.windows, last)
+        return Step(fit.rows, output, fit.windows, last, models)
 
 
 def last_of(models: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
@@ -159,12 +164,25 @@ def read_version(
     return spark.read.parquet(path) if found else None
 
 
+def as_text(models: DataFrame) -> DataFrame:
+    """Models with arrays as JSON, which CSV can hold; helper columns leave."""
+    return models.select(
+        *[
+            F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f"`{f.name}`")
+            for f in models.schema.fields if not f.name.startswith("_tl_")
+        ]
+    )
+
+
 class _Feed:
     """Reads version n-1, runs the operator, writes the output and version n."""
 
-    def __init__(self, op, sink: str | Callable, checkpoint: str, fmt: str, late_to: str | None = None):
+    def __init__(
+        self, op, sink: str | Callable, checkpoint: str, fmt: str, late_to: str | None = None,
+        history_to: str | None = None,
+    ):
         self.op, self.sink, self.checkpoint, self.fmt = op, sink, checkpoint, fmt
-        self.late_to = late_to
+        self.late_to, self.history_to = late_to, history_to
         self.keys = as_names(op.partition_by)
         self.order = as_names(op.order_by)
 
@@ -214,6 +232,12 @@ class _Feed:
                 f"{self.sink.rstrip('/')}/batch_id={batch_id}"
             )
 
+        if self.history_to is not None:
+            # Written before the state of this micro-batch, and again if it is replayed.
+            as_text(step.models).write.mode("overwrite").csv(
+                f"{self.history_to.rstrip('/')}/batch_id={batch_id}", header=True
+            )
+
         windows = step.windows
         order = F.struct(*[F.col(f"`{o}`") for o in self.order])
         ends = step.rows.groupBy(*names).agg(
@@ -249,7 +273,8 @@ def run_stream(
     fmt: str = "parquet",
     trigger: dict | None = None,
     late_to: str | None = None,
-) -> StreamingQuery:
+    history_to: str | None = None,
+):
     """Run an operator over the frame of a feed and return the started query.
 
     The output of micro-batch n goes to ``sink/batch_id=n`` (overwritten when it
@@ -258,12 +283,13 @@ def run_stream(
     rows so far if order values are unique and micro-batches arrive in their order;
     if not, rows out of order count where they arrive, and none is lost. Rows before
     the last one taken for their key are counted (``late_rows``). With ``late_to``
-    they are written to that folder and take no part; ties are never late.
+    they are written to that folder and take no part; ties are never late. ``history_to`` is a
+    folder for the models of the closed windows, as CSV with a header (arrays as JSON).
 
     ``checkpoint`` holds the query's own checkpoint and the operator state; both
     survive a restart together.
     """
-    feed = _Feed(op, sink, checkpoint, fmt, late_to)
+    feed = _Feed(op, sink, checkpoint, fmt, late_to, history_to)
     writer = (
         stream.writeStream.foreachBatch(feed)
         .option("checkpointLocation", f"{checkpoint.rstrip('/')}/query")

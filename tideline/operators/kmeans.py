@@ -16,7 +16,7 @@ from tideline.functions.vectors import format_center, nearest_center
 from tideline.plans.arrival import RN, as_names, same_keys
 from tideline.plans.count_windows import WINDOW_ID, CountWindows
 from tideline.plans.gram import feature
-from tideline.plans.lloyd import GATHER_DOUBLES, fit_windows
+from tideline.plans.lloyd import GATHER_DOUBLES, fit_windows, slide_windows
 from tideline.plans.ordered import ordered_map, out_batch
 from tideline.plans.rows import as_columns, attach_models, check_numeric, index_rows, safe_keys, typed, with_one_row
 
@@ -54,10 +54,13 @@ def fit_kmeans(
         RN,
         *[v.alias(feature(i)) for i, v in enumerate(typed(given, on_null))],
     )
-    models = fit_windows(
-        windows.members(numeric), keys, dims, options, windows.size, gather,
-        most=arrived.total // windows.shift + 1,
-    )
+    most = arrived.total // windows.shift + 1
+    if not windows.tumbling and windows.size * dims <= gather:
+        models = slide_windows(numeric, keys, dims, options, windows, most)
+    else:
+        models = fit_windows(
+            windows.members(numeric), keys, dims, options, windows.size, gather, most=most
+        )
     if options.update == "decay":
         models = decay_centers(models, keys, options.alpha, start)
     return ClusterFit(arrived.rows, models, keys, windows)

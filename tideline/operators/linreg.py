@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tideline.config import LearnType, LinRegOptions
 from tideline.functions.vectors import dot
 from tideline.plans.arrival import RN, as_names, same_keys
+from tideline.plans.as_of import as_of_join, small
 from tideline.plans.count_windows import PANE, WINDOW_ID, CountWindows
 from tideline.plans.gram import LABEL, feature, gram_stats
 from tideline.plans.rows import as_columns, attach_models, index_rows, safe_keys, typed
@@ -171,6 +172,72 @@ def linreg_models(
     return fit_linreg(df, y, xs, order_by, partition_by, options, on_null).models
 
 
+def linreg_prequential(
+    df: DataFrame,
+    y: str | Column,
+    xs: Sequence[str | Column],
+    order_by: str | Sequence[str],
+    partition_by: str | Sequence[str] | None = None,
+    options: LinRegOptions = LinRegOptions(),
+    on_null: str = "error",
+) -> DataFrame:
+    """Every row with the prediction of the last model trained before it (test, then train).
+
+    Adds ``model_window`` and ``prediction``, null for the rows before the first model is there.
+    Which model that is follows from the index of the row, so rows are joined with the
+    history by number, broadcast if its counted size allows it.
+    """
+    df, partition_by, helpers = safe_keys(df, partition_by)
+    fit = fit_linreg(df, y, xs, order_by, partition_by, options, on_null)
+    windows, keys, p = fit.windows, fit.keys, len(as_columns(xs))
+    known = F.when(F.col(RN) >= windows.size, windows.closed_by(F.col(RN) - 1))
+    rows = fit.rows.withColumn("_tl_known", known)
+    history = fit.models.select(
+        *[F.col(f"`{k}`").alias(f"_tl_p{i}") for i, k in enumerate(keys)],
+        F.col(WINDOW_ID).alias("_tl_w"), F.col("weights").alias("_tl_weights"),
+    )
+    match = F.col("_tl_known") == F.col("_tl_w")
+    if keys:
+        match = match & same_keys(
+            [F.col(f"`{k}`") for k in keys], [F.col(f"_tl_p{i}") for i in range(len(keys))]
+        )
+    values = typed(as_columns(xs), on_null)
+    kept = [c for c in df.columns if c not in ("model_window", "prediction")]
+    return rows.join(small(history, 8 * p + 64), match, "left").select(
+        *[F.col(f"`{c}`") for c in kept], F.col("_tl_known").alias("model_window"),
+        predict(values, F.col("_tl_weights")).alias("prediction"),
+    ).drop(*helpers)
+
+
+def score_as_of(
+    df: DataFrame,
+    xs: Sequence[str | Column],
+    history: DataFrame,
+    time: str,
+    since: str = "window_end",
+    partition_by: str | Sequence[str] | None = None,
+) -> DataFrame:
+    """Every row with the prediction of the last model whose ``since`` is not after its ``time``.
+
+    ``history`` holds ``since``, ``beta0 …`` and the key columns, as ``linreg_time_windows``
+    returns them. Adds ``model_since`` and ``prediction``, null before the first model.
+    """
+    features, keys = as_columns(xs), as_names(partition_by)
+    betas = [F.col(f"beta{i}") for i in range(len(features) + 1)]
+    models = history.select(
+        *[F.col(f"`{k}`") for k in keys], F.col(f"`{since}`").alias("model_since"), F.array(*betas).alias("_tl_betas")
+    ).withColumn("_tl_since", F.col("model_since"))
+    kept = [c for c in df.columns if c not in ("model_since", "prediction")]
+    found = as_of_join(
+        df.select(*[F.col(f"`{c}`") for c in kept]), models, time, "_tl_since", keys, ["model_since", "_tl_betas"]
+    )
+    value = predict([f.cast("double") for f in features], F.slice("_tl_betas", 2, len(features)))
+    return found.select(
+        *[F.col(f"`{c}`") for c in kept], "model_since",
+        (value + F.get("_tl_betas", F.lit(0))).alias("prediction"),
+    )
+
+
 def stream_linreg_call(
     df: DataFrame,
     *arguments,

@@ -15,9 +15,11 @@ from tideline.operators.kmeans import ClusterFit, center_columns
 from tideline.plans.arrival import RN, as_names, same_keys
 from tideline.plans.count_windows import WINDOW_ID, CountWindows, int_div
 from tideline.plans.gram import feature
-from tideline.plans.kernels import macro_centers, merge, summarise_block, width
+from tideline.plans.kernels import macro_centers, merge, reduce_kernels, summarise_block, width
 from tideline.plans.ordered import double_arrays, joined, ordered_map, out_batch
+from tideline.plans.prefix import exclusive_prefix
 from tideline.plans.rows import as_columns, attach_models, index_rows, safe_keys, typed
+from tideline.scratch import materialise
 
 _DOUBLES = T.ArrayType(T.DoubleType())
 
@@ -95,6 +97,19 @@ def _merger(options: MicroClusterOptions, dims: int):
     return fold
 
 
+def _period_schema(blocks: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType(
+        [blocks.schema[c] for c in keys]
+        + [
+            T.StructField(WINDOW_ID, T.LongType()),
+            T.StructField("n", T.LongType()),
+            T.StructField("ssq", T.DoubleType()),
+            T.StructField("centers", T.ArrayType(_DOUBLES)),
+            T.StructField("kernels", _DOUBLES),
+        ]
+    )
+
+
 def _walk_periods(
     blocks: DataFrame,
     keys: Sequence[str],
@@ -111,16 +126,7 @@ def _walk_periods(
     fold = _merger(options, dims)
     size, k, seed = options.batch_size, options.num_clusters, options.seed
     steps, weighted = options.num_iterations, options.weighted
-    schema = T.StructType(
-        [blocks.schema[c] for c in keys]
-        + [
-            T.StructField(WINDOW_ID, T.LongType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("ssq", T.DoubleType()),
-            T.StructField("centers", T.ArrayType(_DOUBLES)),
-            T.StructField("kernels", _DOUBLES),
-        ]
-    )
+    schema = _period_schema(blocks, keys)
     arrow = to_arrow_schema(schema)
 
     def vector(scalar):
@@ -161,6 +167,82 @@ def _walk_periods(
     )
 
 
+#: Kernels of so many periods are combined in one sequence; the shape of the tree is
+#: given by the numbers of the periods, so it does not depend on the size of the input.
+_FAN = 16
+
+
+def _tree_periods(
+    blocks: DataFrame,
+    keys: Sequence[str],
+    dims: int,
+    options: MicroClusterOptions,
+    longest: int,
+    start: DataFrame | None,
+) -> DataFrame:
+    """Kernels after each full period, as a tree over the periods of a key (merge and reduce).
+
+    Blocks of a period are combined first, then groups of ``_FAN`` periods, groups of groups
+    and so on; each period is then combined with the totals before it. No task reads more
+    than ``_FAN`` sets of kernels in sequence, however long the key.
+    """
+    names, limit, size = [f"`{k}`" for k in keys], options.max_kernels, options.batch_size
+    if start is not None:
+        raise ValueError("a feed continues its kernels in order: use mode='walk'")
+
+    def fold(earlier, later):
+        return reduce_kernels(earlier, later, limit, dims)
+
+    # Periods of several blocks: the blocks are the lowest groups of the tree.
+    per = -(-size // min(size, options.block_rows))
+    nodes = materialise(blocks.withColumn("idx", F.col(WINDOW_ID) * F.lit(per) + F.col("block")), "nodes")
+    span = (longest // size + 1) * per
+    before = exclusive_prefix(nodes.select(*names, "idx", "acc"), keys, fold, span, _FAN)
+    full = nodes.groupBy(*names, WINDOW_ID).agg(F.sum("n").alias("n"), F.max("idx").alias("idx"))
+    full = full.where(F.col("n") == size)
+    renamed = [F.col(n).alias(f"_tl_b{i}") for i, n in enumerate(names)]
+    right = [F.col(f"_tl_b{i}") for i in range(len(keys))]
+    left = [F.col(n) for n in names]
+
+    def attached(frame, other, value):
+        other = other.select(*renamed, F.col("idx").alias("_tl_bi"), F.col("acc").alias(value))
+        match = F.col("idx") == F.col("_tl_bi")
+        if keys:
+            match = match & same_keys(left, right)
+        return frame.join(other, match).drop("_tl_bi", *[f"_tl_b{i}" for i in range(len(keys))])
+
+    both = attached(attached(full, nodes, "own"), before, "before")
+    k, seed = options.num_clusters, options.seed
+    schema = _period_schema(blocks, keys)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            states = []
+            for own, earlier in zip(batch.column("own"), batch.column("before")):
+                mine = own.values.to_numpy(zero_copy_only=False)
+                states.append(
+                    fold(earlier.values.to_numpy(zero_copy_only=False), mine) if earlier.is_valid else mine
+                )
+            found = [
+                macro_centers(
+                    state.reshape(-1, width(dims)), dims, k, options.num_iterations, options.weighted, [seed, w]
+                )
+                for state, w in zip(states, batch.column(WINDOW_ID).to_pylist())
+            ]
+            columns = {c: batch.column(c) for c in [*keys, WINDOW_ID, "n"]}
+            columns |= {
+                "ssq": [ssq for _, ssq in found],
+                "centers": [[c.tolist() for c in cs] + [None] * (k - len(cs)) for cs, _ in found],
+                "kernels": double_arrays(states),
+            }
+            yield out_batch(columns, arrow)
+
+    return both.select(*names, WINDOW_ID, "n", "own", "before").mapInArrow(run, schema)
+
+
 def fit_microclusters(
     df: DataFrame,
     features: Sequence[str | Column],
@@ -175,7 +257,7 @@ def fit_microclusters(
 
     Rows are summarised block by block in parallel; the kernels of a key are then
     carried from block to block in order, in one walk over the small summaries.
-    ``start`` (keys, ``state``) continues a feed.
+    ``start`` (keys, ``state``) continues a feed. With ``mode="tree"`` there is no such walk.
     """
     keys = as_names(partition_by)
     given = as_columns(features)
@@ -188,6 +270,9 @@ def fit_microclusters(
         *[v.alias(feature(i)) for i, v in enumerate(typed(given, on_null))],
     )
     blocks = _blocks(numeric, keys, dims, options, arrived.total)
+    if options.mode == "tree":
+        models = _tree_periods(blocks, keys, dims, options, arrived.longest, start)
+        return ClusterFit(arrived.rows, models, keys, windows)
     if start is None:
         started = blocks.withColumn("_tl_state", F.lit(None).cast(_DOUBLES))
     else:

@@ -20,6 +20,7 @@ from tideline.plans.time_stats import (
     chain_input,
     checked_time,
     duration_micros,
+    paned_stats,
     time_stats,
     window_bounds,
     window_number,
@@ -54,10 +55,12 @@ def linreg_time_windows(
         df = df.where(~missing(features))
     length = duration_micros(spark, frame)
     step = duration_micros(spark, slide) if slide else length
-    stats = materialise(
-        time_stats(df, ts, keys, features, frame, slide, on_null), "time"
-    )
-    chained = chain_input(stats, keys, step, options.num_iterations + 1)
+    full = options.num_iterations + 1
+    if step < length:
+        chained = materialise(paned_stats(df, ts, keys, features, length, step, full, on_null), "time")
+    else:
+        stats = materialise(time_stats(df, ts, keys, features, frame, slide, on_null), "time")
+        chained = chain_input(stats, keys, step, full)
     low, high, most = chained.agg(
         F.min(WINDOW_ID), F.max(WINDOW_ID), F.count("*")
     ).first()

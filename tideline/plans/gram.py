@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tideline.functions.vectors import text_unit
 from tideline.plans.arrival import RN
 from tideline.plans.count_windows import PANE, WINDOW_ID, CountWindows, window_sums
-from tideline.plans.ordered import double_arrays, doubles, out_batch
+from tideline.plans.ordered import changes, double_arrays, doubles, out_batch
 
 LABEL = "_tl_y"
 STEP = "_tl_it"
@@ -71,21 +71,19 @@ def _partial_matrices(vectors: DataFrame, keys: Sequence[str], p: int) -> DataFr
         + [T.StructField("acc", T.ArrayType(T.DoubleType()))]
     )
     arrow = to_arrow_schema(schema)
-    # Row and column of each kept product in [1, y, x…]ᵀ[1, y, x…]:
-    # count, squared label, label times feature, feature times feature.
-    take = [(0, 0), (1, 1)] + [(1, 2 + i) for i in range(p)]
-    take += [(2 + i, 2 + j) for i, j in upper(p)]
-    left, right = (np.array(side) for side in zip(*take))
+    left, right = products(p)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             z = doubles(batch, "_tl_z")
-            columns = [batch.column(g).to_pylist() for g in groups]
-            labels = list(zip(*columns))
-            edges = [i for i in range(len(labels)) if i == 0 or labels[i] != labels[i - 1]]
-            ends = edges[1:] + [len(labels)]
+            differs = np.zeros(batch.num_rows, bool)
+            differs[0] = True
+            for g in groups:
+                differs[1:] |= changes(batch.column(g))
+            edges = np.flatnonzero(differs).tolist()
+            ends = edges[1:] + [batch.num_rows]
             sums = []
             for a, b in zip(edges, ends):
                 product = z[a:b].T @ z[a:b]
@@ -122,28 +120,21 @@ def gram_stats(
     pane = windows.pane_of(rn).alias(PANE)
     names = [f"`{k}`" for k in keys]
     data = [LABEL, *[feature(i) for i in range(p)]]
-    if fraction >= 1 or steps == 0:
-        picked = rows.select(
-            *names, pane, *data, F.lit(full).alias(STEP), F.lit(1.0).alias("_tl_hit")
-        )
-    else:
-        all_steps = F.sequence(F.lit(1), F.lit(steps))
-        drawn = F.transform(
-            all_steps,
-            lambda i: F.struct(
-                i.alias(STEP),
-                (text_unit(rn, i, F.lit(seed)) < F.lit(fraction)).cast("double").alias("_tl_hit"),
-            ),
-        )
-        # The first row of a pane reports to every step, with weight 0 where it
-        # is not drawn, so that each pane exists in each step.
-        opens = rn % F.lit(windows.pane) == 0
-        kept = F.filter(drawn, lambda s: opens | (s["_tl_hit"] > 0))
-        whole = F.array(F.struct(F.lit(full).alias(STEP), F.lit(1.0).alias("_tl_hit")))
-        picked = rows.select(*names, pane, *data, F.inline(F.concat(kept, whole)))
+    if fraction < 1 and steps > 0:
+        return _drawn_stats(rows, keys, p, windows, steps, fraction, seed)
+    picked = rows.select(
+        *names, pane, *data, F.lit(full).alias(STEP), F.lit(1.0).alias("_tl_hit")
+    )
     panes, groups, values = pane_sums(picked, keys, p)
-    sums = window_sums(panes, groups, values, windows)
-    if p <= NARROW:
+    return _packed(window_sums(panes, groups, values, windows), keys, p, full, windows)
+
+
+def _packed(
+    sums: DataFrame, keys: Sequence[str], p: int, full: int, windows: CountWindows
+) -> DataFrame:
+    """Window sums as (keys, window, step, n, yy, b, g), complete windows only."""
+    names = [f"`{k}`" for k in keys]
+    if "_tl_at" not in sums.columns:
         stats = sums.select(
             *names, WINDOW_ID, STEP,
             F.col("_tl_n").alias("n"),
@@ -164,3 +155,88 @@ def gram_stats(
             F.slice(flat, 3 + p, p * (p + 1) // 2).alias("g"),
         )
     return stats.where((F.col(STEP) < full) | (F.col("n") == windows.size))
+
+
+def drawn_products(z: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Sums of the products of rows, for each step over the rows it has drawn.
+
+    ``z`` has rows [1, y, x...], ``hits`` is a 0/1 matrix of rows and steps; the result holds
+    for each step the kept products, in the order of ``products``.
+    """
+    left, right = products(z.shape[1] - 2)
+    return hits.T.astype(float) @ (z[:, left] * z[:, right])
+
+
+def products(p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each kept product in [1, y, x...] times itself: count, squared
+    label, label times feature, feature times feature."""
+    take = [(0, 0), (1, 1)] + [(1, 2 + i) for i in range(p)]
+    take += [(2 + i, 2 + j) for i, j in upper(p)]
+    left, right = (np.array(side) for side in zip(*take))
+    return left, right
+
+
+def _drawn_stats(
+    rows: DataFrame, keys: Sequence[str], p: int, windows: CountWindows, steps: int,
+    fraction: float, seed: int,
+) -> DataFrame:
+    """Statistics of every step of a mini-batch descent.
+
+    No row is copied for the steps that draw it: a task multiplies, for each run of rows
+    of one pane, the matrix of its draws with the products of its rows.
+    """
+    rn, names, full = F.col(RN), [f"`{k}`" for k in keys], steps + 1
+    drawn = F.transform(
+        F.sequence(F.lit(1), F.lit(steps)),
+        lambda i: (text_unit(rn, i, F.lit(seed)) < F.lit(fraction)).cast("double"),
+    )
+    sent = rows.select(
+        *names, windows.pane_of(rn).alias(PANE),
+        F.array(F.lit(1.0), F.col(LABEL), *[F.col(feature(i)) for i in range(p)]).alias("_tl_z"),
+        F.concat(drawn, F.array(F.lit(1.0))).alias("_tl_hits"),
+    )
+    values = ["_tl_n", "_tl_yy", *[f"_tl_b{i}" for i in range(p)], *[f"_tl_g{i}_{j}" for i, j in upper(p)]]
+    groups = [*keys, PANE]
+    schema = T.StructType(
+        [sent.schema[g] for g in groups]
+        + [T.StructField(STEP, T.IntegerType())]
+        + (
+            [T.StructField(v, T.DoubleType()) for v in values]
+            if p <= NARROW else [T.StructField("acc", T.ArrayType(T.DoubleType()))]
+        )
+    )
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            z, hits = doubles(batch, "_tl_z"), doubles(batch, "_tl_hits")
+            differs = np.zeros(batch.num_rows, bool)
+            differs[0] = True
+            for g in groups:
+                differs[1:] |= changes(batch.column(g))
+            edges = np.flatnonzero(differs)
+            ends = np.append(edges[1:], batch.num_rows)
+            # Every pane reports to every step, so that it exists in each, drawn or not.
+            sums = np.concatenate([drawn_products(z[a:b], hits[a:b]) for a, b in zip(edges, ends)])
+            at = pa.array(np.repeat(edges, full))
+            out = {g: batch.column(g).take(at) for g in groups}
+            out[STEP] = np.tile(np.arange(1, full + 1, dtype=np.int32), len(edges))
+            if p <= NARROW:
+                out |= {v: sums[:, i] for i, v in enumerate(values)}
+            else:
+                out["acc"] = double_arrays(sums)
+            yield out_batch(out, arrow)
+
+    parts = sent.mapInArrow(run, schema)
+    if p > NARROW:
+        parts = parts.select(*names, STEP, PANE, F.posexplode("acc").alias("_tl_at", "_tl_v"))
+        panes = parts.groupBy(*names, STEP, "_tl_at", PANE).agg(F.sum("_tl_v").alias("_tl_v"))
+        sums = window_sums(panes, [*keys, STEP, "_tl_at"], ["_tl_v"], windows)
+        return _packed(sums, keys, p, full, windows)
+    panes = parts.groupBy(*names, STEP, PANE).agg(*[F.sum(v).alias(v) for v in values])
+    sums = window_sums(panes, [*keys, STEP], values, windows)
+    return _packed(sums, keys, p, full, windows)

@@ -45,7 +45,11 @@ def summarise_block(points: np.ndarray, times: np.ndarray, limit: int) -> np.nda
 class Kernels:
     """A bounded set of kernels that absorbs others, oldest first."""
 
-    def __init__(self, rows: np.ndarray, limit: int, factor: float, horizon: int, dims: int):
+    def __init__(
+        self, rows: np.ndarray, limit: int, factor: float, horizon: int, dims: int, moved=None
+    ):
+        # Told of slots whose rows go to another slot, or are dropped (-1).
+        self.moved = moved or (lambda slot, to: None)
         self.limit, self.factor, self.horizon, self.dims = limit, factor, horizon, dims
         self.count = len(rows)
         self.rows = np.zeros((limit, width(dims)))
@@ -146,9 +150,11 @@ class Kernels:
             flat = int(self.gaps.argmin())
             keep, free = divmod(flat, self.limit)
             merged = self.rows[keep] + self.rows[free]
+            self.moved(free, keep)
             self._place(free, row)
             self._place(keep, merged)
             return
+        self.moved(free, -1)
         self._place(free, row)
 
 
@@ -159,6 +165,27 @@ def merge(earlier, later, limit: int, factor: float, horizon: int, dims: int) ->
     return held.used().ravel().copy()
 
 
+def reduce_kernels(earlier, later, limit: int, dims: int) -> np.ndarray:
+    """At most ``limit`` kernels of the rows of two sets of kernels; flat in, flat out.
+
+    Unlike ``merge`` it does not depend on which rows came first, so sets can be combined
+    as a tree. The heaviest kernels of both are moved to the means of what is nearest to
+    them, and all kernels join these; sums are kept exactly.
+    """
+    both = np.concatenate([earlier, later]).reshape(-1, width(dims))
+    if len(both) <= limit:
+        return both.ravel()
+    points, weights = both[:, 3 : 3 + dims] / both[:, :1], both[:, 0]
+    heaviest = np.lexsort((both[:, 1] / weights, -weights))
+    centers = first_distinct(points, heaviest, limit)
+    centers = lloyd(points, centers, _BLOCK_STEPS, 0.0, weights, nearest=assign_by_products)
+    cid, _ = assign_by_products(points, centers)
+    out = np.zeros((len(centers), both.shape[1]))
+    np.add.at(out, cid, both)
+    out = out[out[:, 0] > 0]
+    return out[np.argsort(out[:, 1] / out[:, 0], kind="stable")].ravel()
+
+
 def macro_centers(kernels: np.ndarray, dims: int, k: int, steps: int, weighted: bool, seed):
     """``k`` centres over the kernels, and the squared error of their rows."""
     points = kernels[:, 3 : 3 + dims] / kernels[:, :1]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tideline.config import KMeansOptions
 from tideline.functions.vectors import hash_unit, nearest_center, squared_distance
 from tideline.plans.arrival import RN, same_keys
-from tideline.plans.count_windows import WINDOW_ID
+from tideline.plans.count_windows import WINDOW_ID, CountWindows, int_div
 from tideline.plans.gram import feature
 from tideline.plans.ordered import joined, ordered_map, out_batch
 from tideline.scratch import materialise
@@ -130,15 +131,33 @@ def _start(points, draws, window, options: KMeansOptions):
     return pick_candidates(candidates, weights, k, options.seed, window)
 
 
+def draw_rounds(options: KMeansOptions) -> int:
+    """Uniform values that a start needs for each row: one for the order, one per round."""
+    return {"first_k": 0, "random": 1, "parallel": 1 + _PARALLEL_ROUNDS}[options.init]
+
+
 def _draw_columns(options: KMeansOptions):
-    """Reproducible uniform values per row: one for the order, one per round."""
-    rounds = {"first_k": 0, "random": 1, "parallel": 1 + _PARALLEL_ROUNDS}[options.init]
+    """Reproducible uniform values per row."""
     return [
         hash_unit(F.col(RN), F.lit(i), F.lit(options.seed)).alias(f"_tl_u{i}")
-        for i in range(rounds)
+        for i in range(draw_rounds(options))
     ]
 
 
+def solve_window(points, chances, window, options: KMeansOptions):
+    """(error, centres, weights) of a window from its rows and their uniform values.
+
+    Missing centres are None at the end.
+    """
+    k = options.num_clusters
+    centers = _start(points, chances, window, options)
+    centers = lloyd(points, centers, options.num_iterations, options.epsilon)
+    cid, dist = assign(points, centers)
+    weights = np.bincount(cid, minlength=k).astype(float)
+    padded = [c.tolist() for c in centers] + [None] * (k - len(centers))
+    return float(dist.sum()), padded, weights.tolist()
+
+
 def model_schema(rows: DataFrame, keys: Sequence[str]) -> T.StructType:
     return T.StructType(
         [rows.schema[k] for k in keys]
@@ -160,24 +179,96 @@ def fit_windows(
     size: int | None,
     gather: int = GATHER_DOUBLES,
     most: int | None = None,
+    partial: bool = False,
 ) -> DataFrame:
     """(keys, window_id, n, wssse, centers, weights) of every complete window.
 
+    ``partial`` solves windows of fewer rows than ``size`` too.
+
     ``rows`` holds keys, window_id, the arrival index and the features. ``size``
     is the row count of a complete window; None takes every window as it is.
     ``most`` bounds the number of windows.
     """
     if size is not None and size * dims <= gather:
-        return _gathered(rows, keys, dims, options, size, most)
-    return _aggregated(rows, keys, dims, options, size)
+        return _gathered(rows, keys, dims, options, size, most, partial)
+    return _aggregated(rows, keys, dims, options, None if partial else size)
+
+
+#: Rows of a group of overlapping windows, in windows; rows are in two groups at most.
+_GROUP = 4
+
+
+def slide_windows(
+    rows: DataFrame,
+    keys: Sequence[str],
+    dims: int,
+    options: KMeansOptions,
+    windows: CountWindows,
+    most: int | None = None,
+) -> DataFrame:
+    """Models of overlapping windows, without a copy of each row for every window.
+
+    Windows that follow each other are solved together by one task, which cuts them out of
+    the rows of the group. Groups start ``_GROUP`` window lengths apart, so a row is in one
+    group, or in two if it is within a window's length of the second. ``rows`` holds keys, the
+    arrival index and the features.
+    """
+    schema = model_schema(rows.withColumn(WINDOW_ID, F.lit(0).cast("long")), keys)
+    arrow = to_arrow_schema(schema)
+    names, draws = [f"`{k}`" for k in keys], _draw_columns(options)
+    n_draws, size, shift = len(draws), windows.size, windows.shift
+    each = -(-_GROUP * size // shift)  # windows of a group
+    rn, group = F.col(RN), "_tl_group"
+    sent = rows.select(*names, RN, *[feature(i) for i in range(dims)], *draws)
+    own = int_div(rn, each * shift)
+    over = (own > 0) & (rn - own * F.lit(each * shift) < size - shift)
+    copies = sent.withColumn(group, own).unionByName(sent.where(over).withColumn(group, own - 1))
+    groups = [*keys, group]
+
+    def matrix(batch, prefix, count):
+        columns = [batch.column(f"{prefix}{i}").to_numpy(zero_copy_only=False) for i in range(count)]
+        return np.column_stack(columns) if columns else np.empty((batch.num_rows, 0))
+
+    def finish(head, pieces):
+        points = np.concatenate([p for p, _ in pieces])
+        chances = np.concatenate([c for _, c in pieces])
+        first = head.column(group)[0].as_py() * each
+        found = []
+        for k in range(min(each, windows.count(len(points)))):
+            at = slice(k * shift, k * shift + size)
+            found.append((first + k, *solve_window(points[at], chances[at], first + k, options)))
+        if not found:
+            return []
+        at, wssse, centers, weights = zip(*found)
+        columns = {k: pa.array([head.column(k)[0].as_py()] * len(at), head.column(k).type) for k in keys}
+        columns |= {WINDOW_ID: list(at), "n": [size] * len(at), "wssse": list(wssse)}
+        return [out_batch(columns | {"centers": list(centers), "weights": list(weights)}, arrow)]
+
+    def body(marked):
+        head, pieces = None, []
+        for batch, flags in marked:
+            points, chances = matrix(batch, "_tl_x", dims), matrix(batch, "_tl_u", n_draws)
+            at = 0
+            for edge in [*np.flatnonzero(flags).tolist(), batch.num_rows]:
+                if edge > at:
+                    pieces.append((points[at:edge], chances[at:edge]))
+                if edge < batch.num_rows:
+                    if pieces:
+                        yield from finish(head, pieces)
+                    head, pieces = batch.slice(edge, 1).select(groups), []
+                at = edge
+        if pieces:
+            yield from finish(head, pieces)
 
+    return ordered_map(copies, groups, [RN], body, schema, most)
 
-def _gathered(rows, keys, dims, options: KMeansOptions, size, most) -> DataFrame:
+
+def _gathered(rows, keys, dims, options: KMeansOptions, size, most, partial) -> DataFrame:
     schema = model_schema(rows, keys)
     arrow = to_arrow_schema(schema)
     groups = [*keys, WINDOW_ID]
     draws = _draw_columns(options)
-    n_draws, k = len(draws), options.num_clusters
+    n_draws = len(draws)
     sent = rows.select(
         *[f"`{g}`" for g in groups], RN, *[feature(i) for i in range(dims)], *draws
     )
@@ -186,23 +277,15 @@ def _gathered(rows, keys, dims, options: KMeansOptions, size, most) -> DataFrame
         columns = [batch.column(f"{prefix}{i}").to_numpy(zero_copy_only=False) for i in range(count)]
         return np.column_stack(columns) if columns else np.empty((batch.num_rows, 0))
 
-    def solve(points, chances, window):
-        centers = _start(points, chances, window, options)
-        centers = lloyd(points, centers, options.num_iterations, options.epsilon)
-        cid, dist = assign(points, centers)
-        weights = np.bincount(cid, minlength=k).astype(float)
-        padded = [c.tolist() for c in centers] + [None] * (k - len(centers))
-        return float(dist.sum()), padded, weights.tolist()
-
     def finish(head, pieces):
         points = np.concatenate([p for p, _ in pieces])
-        if len(points) != size:
+        if len(points) != size and not partial:
             return None
         chances = np.concatenate([c for _, c in pieces])
         window = head.column(WINDOW_ID)[0].as_py()
-        wssse, centers, weights = solve(points, chances, window)
+        wssse, centers, weights = solve_window(points, chances, window, options)
         columns = {g: head.column(g) for g in groups}
-        columns |= {"n": [size], "wssse": [wssse], "centers": [centers], "weights": [weights]}
+        columns |= {"n": [len(points)], "wssse": [wssse], "centers": [centers], "weights": [weights]}
         return out_batch(columns, arrow)
 
     def body(marked):

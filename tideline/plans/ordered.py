@@ -46,7 +46,7 @@ def _plain(scalar: pa.Scalar):
     return "NaN" if isinstance(value, float) and value != value else value
 
 
-def _changes(column: pa.Array) -> np.ndarray:
+def changes(column: pa.Array) -> np.ndarray:
     """For each row but the first, whether it differs from the row before."""
     a, b = column.slice(1), column.slice(0, len(column) - 1)
     differs = pc.fill_null(pc.not_equal(a, b), False)
@@ -90,7 +90,7 @@ def ordered_map(
                     continue
                 flags = np.zeros(batch.num_rows, dtype=bool)
                 for name in group_names:
-                    flags[1:] |= _changes(batch.column(name))
+                    flags[1:] |= changes(batch.column(name))
                 key = [_plain(batch.column(g)[0]) for g in group_names]
                 flags[0] = key != last
                 last = [_plain(batch.column(g)[batch.num_rows - 1]) for g in group_names]

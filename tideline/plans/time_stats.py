@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.plans.count_windows import WINDOW_ID, int_div
+from tideline.plans.count_windows import PANE, WINDOW_ID, int_div
 from tideline.plans.gram import LABEL, STEP, feature, upper
 from tideline.plans.rows import typed
 
@@ -87,6 +88,73 @@ def time_stats(
     )
 
 
+def paned_stats(
+    df: DataFrame,
+    ts: str,
+    keys: Sequence[str],
+    features: Sequence[Column],
+    length: int,
+    step: int,
+    full: int,
+    on_null: str,
+) -> DataFrame:
+    """Statistics of overlapping windows in the shape of the count-window chain.
+
+    Rows are summed once, by panes of the largest duration that no window boundary cuts.
+    Panes are put in blocks of one window's length; a window is the tail of a block, or a
+    tail and the head of the next block, so no row and no pane is copied for every window it
+    is in. Empty panes do not exist: the sums of an existing pane stand for the boundaries up
+    to its neighbour.
+    """
+    p, names = len(features) - 1, [f"`{k}`" for k in keys]
+    pane = math.gcd(length, step)
+    m, stride = length // pane, step // pane
+    values = typed(features, on_null)
+    kind = df.schema[ts].dataType.simpleString()
+    micros = F.unix_micros(as_instant(F.col(f"`{ts}`"), kind))
+    rows = df.select(
+        *names, int_div(micros - F.pmod(micros, F.lit(pane)), pane).alias(PANE),
+        values[0].alias(LABEL), *[v.alias(feature(i)) for i, v in enumerate(values[1:])],
+    )
+    y, xs = F.col(LABEL), [F.col(feature(i)) for i in range(p)]
+    sums = {"n": F.count("*").cast("double"), "yy": F.sum(y * y)}
+    sums |= {f"_tl_b{i}": F.sum(xs[i] * y) for i in range(p)}
+    sums |= {f"_tl_g{i}_{j}": F.sum(xs[i] * xs[j]) for i, j in upper(p)}
+    panes = rows.groupBy(*names, PANE).agg(*[c.alias(n) for n, c in sums.items()])
+    at = F.col(PANE)
+    panes = panes.withColumn("_tl_low", at - F.pmod(at, F.lit(m)))
+    block = Window.partitionBy(*names, "_tl_low")
+    ahead = block.orderBy(PANE).rowsBetween(Window.unboundedPreceding, 0)
+    behind = block.orderBy(F.desc(PANE)).rowsBetween(Window.unboundedPreceding, 0)
+    running = panes.select(
+        *names, PANE, "_tl_low",
+        F.coalesce(F.lag(PANE).over(block.orderBy(PANE)) + 1, F.col("_tl_low")).alias("_tl_from"),
+        F.coalesce(F.lead(PANE).over(block.orderBy(PANE)) - 1, F.col("_tl_low") + F.lit(m - 1)).alias("_tl_to"),
+        F.struct(*[F.sum(v).over(ahead).alias(v) for v in sums]).alias("_tl_head"),
+        F.struct(*[F.sum(v).over(behind).alias(v) for v in sums]).alias("_tl_tail"),
+    )
+
+    def starts(low: Column, high: Column) -> Column:
+        """Numbers of the windows that start at one of the panes ``low`` to ``high``."""
+        first, last = low + F.pmod(-low, F.lit(stride)), high - F.pmod(high, F.lit(stride))
+        found = F.sequence(int_div(first, stride), int_div(last, stride))
+        return F.when(first <= last, found).otherwise(F.array().cast("array<bigint>"))
+
+    # A window that starts here takes the tail; one that ends here, and started before, the head.
+    tails = starts(F.col("_tl_from"), at)
+    ends = F.least(F.col("_tl_to"), F.col("_tl_low") + F.lit(m - 2)) - F.lit(m - 1)
+    heads = starts(at - F.lit(m - 1), ends)
+    parts = running.select(*names, F.explode(tails).alias(WINDOW_ID), "_tl_tail.*").union(
+        running.select(*names, F.explode(heads).alias(WINDOW_ID), "_tl_head.*")
+    )
+    whole = parts.groupBy(*names, WINDOW_ID).agg(*[F.sum(v).alias(v) for v in sums])
+    return whole.select(
+        *names, WINDOW_ID, F.lit(full).alias(STEP), "n", "yy",
+        F.array(*[f"_tl_b{i}" for i in range(p)]).alias("b"),
+        F.array(*[f"_tl_g{i}_{j}" for i, j in upper(p)]).alias("g"),
+    )
+
+
 def chain_input(stats: DataFrame, keys: Sequence[str], step: int, full: int) -> DataFrame:
     """The statistics in the shape of the count-window chain."""
     kind = stats.schema["window_start"].dataType.simpleString()
