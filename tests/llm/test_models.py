@@ -231,7 +231,9 @@ def test_forward_recursion_by_segments_is_exact():
         assert abs(log - got[k]) < 1e-8
 
 
-def test_expected_counts_equal_a_sum_over_paths():
+@pytest.mark.parametrize("segment", [1, 2, 3, 256])
+def test_expected_counts_equal_a_sum_over_paths(segment):
+    """The uncut text and its segments teach the same."""
     rng = np.random.default_rng(1)
     model = hmm.Model.from_counts(rng.random(2), rng.random((2, 2)), rng.random((2, 4)), np.full(4, 1 / 4))
     seen = np.array([0, 3, 1, 1, 2])
@@ -242,7 +244,7 @@ def test_expected_counts_equal_a_sum_over_paths():
             p *= model.move[path[t - 1], path[t]] * model.emit[path[t], seen[t]]
         weight[path] = p
     total = sum(weight.values())
-    start, move, emit, log = model.expected(hmm.Segments(seen, np.array([5])))
+    start, move, emit, log = model.expected(hmm.Segments(seen, np.array([5]), segment), 1)
     assert abs(log - math.log10(total)) < 1e-12
     for i in range(2):
         assert np.isclose(start[i], sum(p for q, p in weight.items() if q[0] == i) / total)
@@ -257,7 +259,7 @@ def test_more_rounds_never_lower_the_likelihood():
     kinds = np.bincount(flat, minlength=6).astype(float)
     model, logs = hmm.Model.first(kinds, 3), []
     for _ in range(6):
-        start, move, emit, log = model.expected(hmm.Segments(flat, sizes))
+        start, move, emit, log = model.expected(hmm.Segments(flat, sizes, 7), 8)
         logs.append(log)
         model = hmm.Model.from_counts(start, move, emit.T, (kinds + 0.1) / (kinds + 0.1).sum())
     assert all(b > a - 0.05 for a, b in zip(logs, logs[1:])) and logs[-1] > logs[0]

@@ -4,7 +4,8 @@ Rows are grouped by length, then by a hash of their first bytes, then by a hash
 the whole text. A row that is alone in its group leaves at once, so the whole text
 is hashed only for rows that still have a partner (and the few that a filter of
 fixed size cannot rule out). Groups are only counted: one that a third of all rows
-fall into meets as one row from each task. No text moves for rows without a partner.
+fall into meets as one row from each task. No text moves for rows without a partner, and
+none at all while the groups are few enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from tideline.scratch import materialise
 PREFIX = 64
 
 
-def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).count().where("count > 1").select(*keys)
+#: Groups that are broadcast, about 150 bytes each; beyond it texts are joined by a shuffle.
+BROADCAST_GROUPS = 1 << 18
 
 
 def exact_groups(
@@ -39,9 +40,11 @@ def exact_groups(
             "_head": F.xxhash64(F.substring(F.encode("_text", "UTF-8"), 1, prefix)),
         }
     )
-    narrow = rows.select("_length", "_head")
-    lengths = _shared(narrow, "_length")
-    heads = _shared(narrow.join(lengths, "_length", "left_semi"), "_length", "_head")
+    # Counted once by both digits, with partial sums in each task: no row is shuffled by its
+    # length. Lengths that only one row has have no head that repeats.
+    counted = materialise(rows.groupBy("_length", "_head").agg(F.count("*").alias("rows")), "counts")
+    lengths = counted.groupBy("_length").agg(F.sum("rows").alias("of_length")).where("of_length > 1")
+    heads = counted.where("rows > 1").join(lengths, "_length", "left_semi").select("_length", "_head")
     words = materialise(key_filter(heads, "_length", "_head"), "filter")
 
     rows = with_filter(rows, words, "_length", "_head")
@@ -59,6 +62,8 @@ def exact_groups(
         ),
         "groups",
     )
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     passed = [*(["_text"] if with_text else []), *[f"_{c}" for c in keep]]
 
     def shape(frame: DataFrame, keep_id, size, kept) -> DataFrame:

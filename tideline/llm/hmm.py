@@ -9,7 +9,9 @@ words by a join.
 
 The likelihood of a text is the sum over all state sequences, by the scaled forward
 recursion over its whole length. Segments of a text are worked on at the same time, as
-products of matrices, which are then multiplied in order.
+products of matrices, which are then multiplied in order. Training carries the state across
+the cuts of a long text in the same way, forward and backward, so it learns what it would
+from the uncut text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import as_bytes, bounded_batches
@@ -29,9 +31,11 @@ from tideline.scratch import materialise, scratch_path
 
 STATES, ROUNDS, CLASSES = 4, 4, 1 << 15
 #: Text bytes of a block, and tokens of a segment.
-BLOCK_BYTES, SEGMENT = 1 << 24, 256
+BLOCK_BYTES, SEGMENT = 4 << 20, 256
 #: Segments that are trained or scored at once.
-TOGETHER = 4096
+TOGETHER = 1024
+#: Steps whose expected counts are added up at once.
+FOLDED = 32
 ALPHA = 0.1
 END = b""
 SEED = 1
@@ -177,41 +181,82 @@ class Model:
             emit / emit.sum(axis=1, keepdims=True),
         )
 
-    def expected(self, segments: Segments):
-        """Expected counts (start, move, emit) over segments, and their log likelihood."""
+    def expected(self, segments: Segments, n: int):
+        """Expected counts (start, move, emit) over ``n`` texts, and their log likelihood."""
         k, classes = self.emit.shape
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k))
         total, table = 0.0, np.ascontiguousarray(self.emit.T)
-        for _, steps in segments.parts():
-            alphas, shown, scales = [], [], []
+        before, after = self._carried(segments, n)
+        for part, steps in segments.parts():
+            first = segments.nth[part] == 0
+            alphas, scales = [], []
             for t, kinds in enumerate(steps):
                 b = table[kinds]
-                a = (np.broadcast_to(self.start, b.shape) if t == 0 else alphas[-1][: len(b)] @ self.move) * b
+                if t == 0:
+                    # The first state of a text has no move before it; others come over a cut.
+                    coming = np.where(first[:, None], self.start, before[part] @ self.move)
+                else:
+                    coming = alphas[-1][: len(b)] @ self.move
+                a = coming * b
                 s = a.sum(axis=1, keepdims=True)
                 alphas.append(a / s)
-                shown.append(b)
                 scales.append(s)
                 total += np.log10(s).sum()
-            gammas = [None] * len(steps)
-            beta = np.ones((0, k))
+            behind, ahead, held = after[part], np.zeros((0, k)), []
             for t in range(len(steps) - 1, -1, -1):
-                n, m = len(steps[t]), len(beta)
-                now = np.ones((n, k))
+                c, m = len(steps[t]), len(ahead)
+                beta = np.empty((c, k))
                 if m:
-                    ahead = shown[t + 1] * beta / scales[t + 1]
                     move += self.move * (alphas[t][:m].T @ ahead)
-                    now[:m] = ahead @ self.move.T
-                beta = now
-                gammas[t] = alphas[t] * beta
+                    beta[:m] = ahead @ self.move.T
+                # Segments that end here, scaled so that their states sum to one.
+                ends = behind[m:c]
+                beta[m:] = ends / (alphas[t][m:] * ends).sum(axis=1, keepdims=True)
+                gamma = alphas[t] * beta
+                # Folded into the counts every few steps: only the forward states are held.
+                held.append((steps[t], gamma))
+                if len(held) == FOLDED or t == 0:
+                    kinds, shares = (np.concatenate(x) for x in zip(*held))
+                    for i in range(k):
+                        emit[:, i] += np.bincount(kinds, shares[:, i], minlength=classes)
+                    held = []
+                ahead = table[steps[t]] * beta / scales[t]
             if steps:
-                start += gammas[0].sum(axis=0)
-                flat, gamma = np.concatenate(steps), np.concatenate(gammas)
-                for i in range(k):
-                    emit[:, i] += np.bincount(flat, gamma[:, i], minlength=classes)
+                start += gamma[first].sum(axis=0)
+                # Moves over the cuts, from the state before a segment to its first one.
+                move += self.move * (before[part][~first].T @ ahead[~first])
         return start, move, emit, total
 
-    def log10(self, segments: Segments, n: int) -> np.ndarray:
-        """Exact log10 likelihood of the classes of each of ``n`` texts."""
+    def _carried(self, segments: Segments, n: int):
+        """State before each segment, and the backward vector after it, both scaled."""
+        k, count = len(self.start), len(segments.text)
+        before, after = np.tile(self.start, (count, 1)), np.ones((count, k))
+        pieces = np.bincount(segments.text, minlength=n)
+        cut = np.flatnonzero(pieces[segments.text] > 1)
+        if len(cut) == 0:
+            return before, after
+        # Only texts of several segments need the products.
+        some = Segments.__new__(Segments)
+        some.flat, some.text = segments.flat, segments.text[cut]
+        some.nth, some.start, some.length = segments.nth[cut], segments.start[cut], segments.length[cut]
+        products, _ = self._products(some)
+        state, back = np.tile(self.start, (n, 1)), np.ones((n, k))
+        last = int(some.nth.max())
+        for nth in range(last + 1):
+            here = np.flatnonzero(some.nth == nth)
+            before[cut[here]] = state[some.text[here]]
+            state[some.text[here]] = _scaled(np.einsum("ni,nij->nj", state[some.text[here]], products[here]))
+        for nth in range(last, -1, -1):
+            here = np.flatnonzero(some.nth == nth)
+            after[cut[here]] = back[some.text[here]]
+            back[some.text[here]] = _scaled(np.einsum("nij,nj->ni", products[here], back[some.text[here]]))
+        return before, after
+
+    def _products(self, segments: Segments):
+        """Scaled product of the matrices of each segment, and the log10 of its scale.
+
+        The first segment of a text begins with its first state, others with a move.
+        """
         k = len(self.start)
         table = np.ascontiguousarray(self.emit.T)
         products = np.empty((len(segments.text), k, k))
@@ -230,6 +275,11 @@ class Model:
                 m[:c] = ahead / s
                 log[:c] += np.log10(s[:, 0, 0])
             products[part], logs[part] = m, log
+        return products, logs
+
+    def log10(self, segments: Segments, n: int) -> np.ndarray:
+        """Exact log10 likelihood of the classes of each of ``n`` texts."""
+        products, logs = self._products(segments)
         out = np.zeros(n)
         state = np.tile(self.start, (n, 1))
         for nth in range(int(segments.nth.max()) + 1 if len(segments.nth) else 0):
@@ -242,6 +292,10 @@ class Model:
         return out
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    return rows / rows.sum(axis=1, keepdims=True)
+
+
 def _unpacked(row: dict):
     """(flat token numbers, sizes, held out, classes of the dictionary) of a block."""
     return (
@@ -258,10 +312,10 @@ def _expected_rows(model: Model):
     def run(batches):
         start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k)), 0.0
         for b in batches:
-            for row in b.to_pylist():
-                flat, sizes, held, kinds = _unpacked(row)
-                flat = kinds[flat[np.repeat(~held, sizes)]]
-                found = model.expected(Segments(flat, sizes[~held]))
+            for at in range(b.num_rows):
+                flat, sizes, held, kinds = _unpacked(b.slice(at, 1).to_pylist()[0])
+                flat, sizes = kinds[flat[np.repeat(~held, sizes)]], sizes[~held]
+                found = model.expected(Segments(flat, sizes), len(sizes))
                 start, move, emit = start + found[0], move + found[1], emit + found[2]
                 total += found[3]
         some = np.flatnonzero(emit.any(axis=1))
@@ -308,7 +362,8 @@ def _score(model: Model, n: int, v: int, kind_n: np.ndarray, kind_v: np.ndarray)
             count = np.zeros(right.num_rows, np.int64)
             count[right["nth"].to_numpy()] = right["c"].to_numpy()
         out = []
-        for row in left.to_pylist():
+        for at in range(left.num_rows):
+            row = left.slice(at, 1).to_pylist()[0]
             flat, sizes, held, kinds = _unpacked(row)
             base = np.log10((count + ALPHA) / (n + ALPHA * (v + 1)))
             share = np.log10((count + ALPHA) / (kind_n[kinds] + ALPHA * (kind_v[kinds] + 1)))
@@ -336,7 +391,8 @@ def score_texts(
     are the words of the text, lower-cased (A-Z), and one end; null is the empty text,
     which is its end alone. ``held_out`` is a boolean column of ``df`` or an expression
     over it; rows where it is true or null teach nothing. Repeated rows count as often
-    as they occur. Without any training text all words are unknown.
+    as they occur. Without any training text all words are unknown. A very long text is cut
+    into segments, which changes no result; further columns of ``df`` are not read.
     """
     bounded_batches(df.sparkSession)
     held = F.lit(False) if held_out is None else held_out
@@ -352,14 +408,12 @@ def score_texts(
     entries = blocks.select("block", "hashes", "kinds", "counts").mapInArrow(
         _dictionary_rows(), "hash long, block long, nth int, n long, kind int"
     )
-    # A word has one entry a block, so no word is hot.
-    word = Window.partitionBy("hash")
-    counted = entries.withColumn("c", F.sum("n").over(word)).withColumn("lead", F.min("block").over(word))
-    counted = materialise(
-        counted.select("block", "nth", "c", "n", "kind", ((F.col("lead") == F.col("block")) & (F.col("c") > 0)).alias("one")),
-        "counted",
-    )
-    sums = counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.col("one").cast("long")).alias("v")).toArrow()
+    # A common word has an entry in every block, so counts are summed before they are shuffled,
+    # and go back to the entries by a join that splits hot words.
+    words = materialise(entries.groupBy("hash", "kind").agg(F.sum("n").alias("c")), "words")
+    counted = entries.join(words.select("hash", "c"), "hash").select("block", "nth", "c")
+    known = (F.col("c") > 0).cast("long")
+    sums = words.groupBy("kind").agg(F.sum("c").alias("n"), F.sum(known).alias("v")).toArrow()
     kind_n, kind_v = np.zeros(classes + 1), np.zeros(classes + 1)
     at = sums["kind"].to_numpy()
     kind_n[at], kind_v[at] = sums["n"].to_numpy(), sums["v"].to_numpy()
@@ -368,7 +422,7 @@ def score_texts(
     model = train(blocks, kind_n, states, rounds)
     score = _score(model, n, v, kind_n, kind_v)
     return (
-        blocks.groupBy("block").cogroup(counted.select("block", "nth", "c").groupBy("block"))
+        blocks.groupBy("block").cogroup(counted.groupBy("block"))
         .applyInArrow(
             score,
             "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "

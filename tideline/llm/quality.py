@@ -173,6 +173,10 @@ def kneser_ney(raw: DataFrame) -> DataFrame:
                 for i in (1, 2, 3)
             ],
         )
+        discounts = materialise(discounts, f"discounts{order}")
+        if discounts.count() <= BROADCAST_LANGUAGES:
+            # A join would bring all n-grams of a language to one task.
+            discounts = F.broadcast(discounts)
         grams_ = grams_.join(discounts, "lang")
         less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         grams_ = grams_.withColumn("less", F.least(less, F.col("c")))
