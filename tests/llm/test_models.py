@@ -3,6 +3,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import gzip
 import zlib
 
 import numpy as np
@@ -185,6 +187,52 @@ def test_damage_costs_one_record(compress):
     assert [r[1] for r in warc.read_rows("f", b"junk")] == ["gap"]
 
 
+def members(n, size=200):
+    """Plain records with their digests."""
+    return [warc.page_record(i, f"u{i}", bytes([65 + i]) * size, compress=False) for i in range(n)]
+
+
+def test_a_damaged_record_inside_a_member_costs_only_itself():
+    records = members(5)
+    records[2] = records[2].replace(b"CCC", b"CxC", 1)
+    packed = gzip.compress(b"".join(records))
+    found = list(warc.salvage(packed + gzip.compress(members(6)[5])))
+    assert [f[0] for f in found] == ["record", "record", "gap", "record", "record", "record"]
+    assert [f[4][-1:] for f in found if f[0] == "record"] == [b"A", b"B", b"D", b"E", b"F"]
+    assert found[2][1:3] == (0, len(packed)) and found[5][1] == len(packed)
+    plain = list(warc.salvage(b"".join(records)))
+    assert [f[0] for f in plain] == ["record", "record", "gap", "record", "record"]
+
+
+def test_a_member_that_is_cut_off_gives_what_it_holds():
+    rnd = random.Random(1)
+    records = [warc.page_record(i, f"u{i}", rnd.randbytes(3000), compress=False) for i in range(6)]
+    packed = gzip.compress(b"".join(records))
+    after = gzip.compress(members(1)[0])
+    found = list(warc.salvage(packed[:-30] + after))
+    assert [f[0] for f in found] == ["record"] * 5 + ["gap", "gap", "record"] or [f[0] for f in found] == ["record"] * 5 + ["gap", "record"]
+    assert found[-1][4].endswith(b"A" * 200) and found[-1][1] == len(packed) - 30
+    broken = bytearray(packed)
+    broken[len(packed) // 2] ^= 255
+    found = list(warc.salvage(bytes(broken) + after))
+    assert [f[0] for f in found].count("record") >= 3 and found[-1][0] == "record"
+
+
+def test_salvage_time_grows_with_the_file():
+    rnd = random.Random(2)
+    for data in (b"WARC/1.1\r\n" * 26_000, b"\x1f\x8b\x08\x00" * 250_000, b"".join(b"\x1f\x8b\x08" + rnd.randbytes(9) for _ in range(80_000))):
+        begin = time.time()
+        found = list(warc.salvage(data + members(1)[0]))
+        assert found[-1][0] == "record" and found[0][0] == "gap" and time.time() - begin < 8
+
+
+def test_headers_have_a_bound():
+    long = warc.VERSION + b"X: y\r\n" * 20_000 + b"Content-Length: 0\r\n\r\n\r\n\r\n"
+    found = list(warc.salvage(long + members(1)[0]))
+    assert [f[0] for f in found] == ["gap", "record"] and found[0][2] == len(long)
+
+
+
 def test_language_model_counts_and_likelihood(spark, nothing):
     rnd = random.Random(4)
     pools = [[f"a{i}on" for i in range(40)], [f"z{i}ent" for i in range(40)]]

@@ -5,6 +5,10 @@ length of the block, the digests, and the end of the record. After a failed chec
 looks for the next place where a valid gzip member or version line begins, goes on
 there, and reports the bytes in between as a quarantined gap. Bytes that only look like
 the beginning of a record cost no record, since records are never searched inside.
+
+A member may hold many records. It is inflated piece by piece, its records are salvaged one
+by one in the same way, and a member that is cut off or damaged gives what comes before.
+Headers have a bound, and each pattern is searched once, so time grows with the file.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ _MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 END = b"\r\n\r\n"
 #: Payload bytes of an archive; a larger record has an archive of its own.
 ARCHIVE_BYTES = 1 << 24
+#: Bytes of a record's headers at most, and of a member that are inflated at once.
+HEADER_BYTES, PIECE = 1 << 16, 1 << 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2026-01-01T00:00:00Z"
 
@@ -67,83 +73,200 @@ def page_record(page_id, url, payload: bytes, refers_to=None, revisit=False, com
     return write_record(headers, http.encode() + (b"" if revisit else payload), compress)
 
 
-def _parse(data: bytes, at: int):
-    """(end of the record, headers, block) of a plain record at ``at``; ValueError if a check fails."""
-    line = _VERSION_LINE.match(data, at)
+class _Plain:
+    """Bytes that are all there."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def more(self) -> bool:
+        return False
+
+
+class _Inflated:
+    """The content of a gzip member, inflated piece by piece as far as it is whole.
+
+    ``data`` is what has been inflated and not ``cut`` off yet; ``gone`` bytes were.
+    """
+
+    def __init__(self, source: bytes, at: int):
+        self.source, self.at, self.gone, self.data = source, at, 0, b""
+        self.unpacker = zlib.decompressobj(wbits=31)
+
+    def more(self) -> bool:
+        if self.unpacker is None or self.unpacker.eof or self.at >= len(self.source):
+            return False
+        rest = self.unpacker.unconsumed_tail
+        piece = rest or self.source[self.at : self.at + PIECE]
+        before = self.unpacker.copy()
+        try:
+            self.data += self.unpacker.decompress(piece, 16 * PIECE)
+        except zlib.error:
+            # What comes before the damage, to the byte.
+            for i in range(len(piece)):
+                try:
+                    self.data += before.decompress(piece[i : i + 1])
+                except zlib.error:
+                    break
+            self.unpacker = None
+            return True
+        self.at += 0 if rest else len(piece)
+        return True
+
+    def cut(self, n: int) -> None:
+        self.data, self.gone = self.data[n:], self.gone + n
+
+
+def _parse(source, at: int):
+    """(end of the record, headers, block) of a record at ``at``; ValueError if a check fails."""
+    while len(source.data) - at < 12 and source.more():
+        pass
+    line = _VERSION_LINE.match(source.data, at)
     if not line:
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", line.end() - 2)
-    if stop < 0:
-        raise ValueError("headers do not end")
-    headers = {}
-    for text in data[line.end() : stop].split(b"\r\n"):
+    headers, begin = {}, line.end()
+    while True:
+        stop = source.data.find(b"\r\n", begin, at + HEADER_BYTES)
+        if stop < 0:
+            if len(source.data) - at >= HEADER_BYTES or not source.more():
+                raise ValueError("headers do not end")
+            continue
+        text, begin = source.data[begin:stop], stop + 2
+        if not text:
+            break
         name, colon, value = text.partition(b":")
         if not colon:
             raise ValueError("a header has no colon")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     size = headers.get("content-length", "")
-    if not size.isascii() or not size.isdigit():
+    if not size.isascii() or not size.isdigit() or len(size) > 18:
         raise ValueError("no length")
-    begin = stop + 4
     end = begin + int(size)
-    if data[end : end + 4] != END:
+    while len(source.data) < end + 4 and source.more():
+        pass
+    if source.data[end : end + 4] != END:
         raise ValueError("the record does not end where it should")
-    block = data[begin:end]
+    block = source.data[begin:end]
     named = headers.get("warc-block-digest")
     if named and named.removeprefix("sha1:") != digest(block):
         raise ValueError("block digest differs")
     return end + 4, headers, block
 
 
-def _member(data: bytes, at: int):
-    """(end of the gzip member, its content); ValueError if it is damaged."""
+def _extent(data: bytes, at: int):
+    """(end of the gzip member at ``at``, what is wrong with it or None); keeps no content."""
     unpacker = zlib.decompressobj(wbits=31)
-    try:
-        content = unpacker.decompress(memoryview(data)[at:])
-    except zlib.error as problem:
-        raise ValueError(f"gzip: {problem}") from None
-    if not unpacker.eof:
-        raise ValueError("gzip member does not end")
-    return len(data) - len(unpacker.unused_data), content
-
-
-def _record(data: bytes, at: int):
-    """(end, list of records) of the member or plain record at ``at``."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        end, headers, block = _parse(data, at)
-        return end, [(headers, block)]
-    end, content = _member(data, at)
-    found, inner = [], 0
-    while inner < len(content):
-        inner, headers, block = _parse(content, inner)
-        found.append((headers, block))
-    return end, found
-
-
-def salvage(data: bytes):
-    """Yield ("record", start, end, headers, block) and ("gap", start, end, reason, None)."""
-    at = 0
     while at < len(data):
+        piece = data[at : at + PIECE]
         try:
-            end, found = _record(data, at)
+            unpacker.decompress(piece, 16 * PIECE)
+            while unpacker.unconsumed_tail:
+                unpacker.decompress(unpacker.unconsumed_tail, 16 * PIECE)
+        except zlib.error as problem:
+            return at, f"gzip: {problem}"
+        at += len(piece)
+        if unpacker.eof:
+            return at - len(unpacker.unused_data), None
+    return at, "gzip member does not end"
+
+
+def _begins(data: bytes, at: int) -> bool:
+    """Whether a valid record begins here, plain or as the first of a gzip member."""
+    try:
+        if data[at : at + 2] != b"\x1f\x8b":
+            _parse(_Plain(data), at)
+            return True
+        head = zlib.decompressobj(wbits=31).decompress(data[at : at + 512], 5)
+        if not head or not b"WARC/".startswith(head):
+            return False
+        _parse(_Inflated(data, at), 0)
+        return True
+    except (ValueError, zlib.error):
+        return False
+
+
+class _Search:
+    """Places where a record may begin, each pattern searched once over the file."""
+
+    def __init__(self, data: bytes):
+        self.data, self.nexts = data, {}
+
+    def after(self, at: int) -> int:
+        """The first valid beginning at ``at`` or later, or the end of the file."""
+        while at < len(self.data):
+            for pattern in (_MEMBER, _VERSION_LINE):
+                if self.nexts.get(pattern, -1) < at:
+                    found = pattern.search(self.data, at)
+                    self.nexts[pattern] = found.start() if found else len(self.data)
+            at = min(self.nexts.values())
+            if at == len(self.data) or _begins(self.data, at):
+                return at
+            at += 1
+        return len(self.data)
+
+
+def _inside(data: bytes, at: int, end: int):
+    """Records and gaps of the member from ``at`` to ``end``; returns whether it had a record."""
+    source, found = _Inflated(data, at), False
+    while source.data or source.more():
+        try:
+            stop, headers, block = _parse(source, 0)
         except ValueError as problem:
-            start, reason = at, str(problem)
+            reason, first = str(problem), source.gone
+            # The next version line with a whole record.
             while True:
-                nexts = [m.start() for m in (_MEMBER.search(data, at + 1), _VERSION_LINE.search(data, at + 1)) if m]
-                if not nexts:
-                    at = len(data)
-                    break
-                at = min(nexts)
+                line = _VERSION_LINE.search(source.data, 1)
+                if line is None:
+                    # A version line may begin in the last bytes that are there.
+                    source.cut(max(0, len(source.data) - 12))
+                    if not source.more():
+                        source.cut(len(source.data))
+                        break
+                    continue
+                source.cut(line.start())
                 try:
-                    _record(data, at)
+                    _parse(source, 0)
                     break
                 except ValueError:
                     continue
-            yield "gap", start, at, reason, None
+            yield "gap", at, end, f"{reason} (bytes {first} to {source.gone} of the member)", None
             continue
-        for headers, block in found:
-            yield "record", at, end, headers, block
-        at = end
+        found = True
+        yield "record", at, end, headers, block
+        source.cut(stop)
+    return found
+
+
+def salvage(data: bytes):
+    """Yield ("record", start, end, headers, block) and ("gap", start, end, reason, None).
+
+    Places are bytes of the file; the records of a gzip member all have the places of the member,
+    and so has a gap inside of it, whose reason names the bytes of the content.
+    """
+    at, search = 0, _Search(data)
+    while at < len(data):
+        start = at
+        if data[at : at + 2] == b"\x1f\x8b":
+            end, problem = _extent(data, at)
+            if _begins(data, at) or problem is None:
+                whole = yield from _inside(data, at, max(end, at + 2))
+                if problem is None:
+                    at = end
+                    continue
+                start = max(end, at + 2) if whole else at
+            reason = problem or "no record in the member"
+        else:
+            try:
+                end, headers, block = _parse(_Plain(data), at)
+            except ValueError as problem:
+                reason = str(problem)
+            else:
+                yield "record", at, end, headers, block
+                at = end
+                continue
+        at = search.after(max(start, at + 1))
+        if at > start:
+            yield "gap", start, at, reason, None
 
 
 def _chunks():
@@ -267,7 +390,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records and quarantined gaps of all archives below ``path``, plain or gzip.
 
     ``kind`` is record or gap; ``start`` and ``end`` are bytes of the file. A damaged
-    record costs only itself. A file without any valid record is one gap; an empty
+    record costs only itself, also within a member of several; its headers have HEADER_BYTES
+    at most. A file is one value of its task, so 2 GB at most. A file without any valid record is one gap; an empty
     file gives no row.
     """
     kinds = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
