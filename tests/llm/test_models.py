@@ -226,6 +226,11 @@ def test_salvage_time_grows_with_the_file():
         assert found[-1][0] == "record" and found[0][0] == "gap" and time.time() - begin < 8
 
 
+def test_an_empty_member_is_no_gap():
+    data = members(1)[0] + gzip.compress(b"") + gzip.compress(members(2)[1]) + gzip.compress(b"")
+    assert [f[0] for f in warc.salvage(data)] == ["record", "record"]
+
+
 def test_headers_have_a_bound():
     long = warc.VERSION + b"X: y\r\n" * 20_000 + b"Content-Length: 0\r\n\r\n\r\n\r\n"
     found = list(warc.salvage(long + members(1)[0]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import per_worker, texts
+from tideline.llm.common import id_type, per_worker, texts
 
 _NONE = np.int64(1 << 62)
 _LATIN = 0x250
@@ -247,15 +247,12 @@ class WordEncoder:
 
 def _encode_rows(path: str, with_ids: bool):
     def run(batches):
-        fields = [
-            ("_id", pa.int64()), ("n_tokens", pa.int64()),
-            ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
-        ]
+        fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
         more = [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-        schema = pa.schema(fields + more * with_ids)
         encoder = per_worker(("bpe", path), lambda: WordEncoder(path))
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for b in batches:
+            schema = pa.schema([("_id", b.column("_id").type)] + fields + more * with_ids)
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 found = encoder.encode_batch(part.column("_text").to_pylist())
@@ -276,10 +273,10 @@ def encode(
 ) -> DataFrame:
     """One row per input row: ``_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    Null and empty texts have no ids. Null identifiers and repeated rows are passed
-    on. ``with_ids`` adds ``ids`` and ``decoded``. ``tokenizer`` is the path of a
+    Null and empty texts have no ids. Identifiers of any type, null ones and repeated rows
+    are passed on. ``with_ids`` adds ``ids`` and ``decoded``. ``tokenizer`` is the path of a
     tokenizer file that every executor can read.
     """
-    schema = "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"_id {id_type(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>, decoded string" * with_ids
     return texts(df, id_col, text_col).mapInArrow(_encode_rows(tokenizer, with_ids), schema)

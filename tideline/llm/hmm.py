@@ -22,6 +22,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,13 @@ from tideline.scratch import materialise, scratch_path
 
 STATES, ROUNDS, CLASSES = 4, 4, 1 << 15
 #: Text bytes of a block, and tokens of a segment.
-BLOCK_BYTES, SEGMENT = 4 << 20, 256
+BLOCK_BYTES, SEGMENT = 8 << 20, 512
 #: Segments that are trained or scored at once.
 TOGETHER = 1024
 #: Steps whose expected counts are added up at once.
 FOLDED = 32
+#: Steps after which products of matrices are scaled: probabilities of 1e-12 a step stay in range.
+SCALED = 16
 ALPHA = 0.1
 END = b""
 SEED = 1
@@ -61,6 +64,15 @@ _BLOCK_DDL = (
 )
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: blocks are read and shuffled more often than they are made."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def _block_rows(classes: int):
     """Texts as numbers of words in the dictionary of their block, one row per block."""
 
@@ -77,8 +89,8 @@ def _block_rows(classes: int):
             flat = np.concatenate(trained) if trained else np.zeros(0, np.uint32)
             counts = np.bincount(flat, minlength=len(words)).astype(np.int64)
             row = (
-                base + nth, ids, held, [len(x) for x in tokens], np.concatenate(tokens).tobytes(),
-                hashes.tobytes(), kinds.tobytes(), counts.tobytes(),
+                base + nth, ids, held, [len(x) for x in tokens], packed(np.concatenate(tokens)),
+                hashes.tobytes(), packed(kinds), counts.tobytes(),
             )
             nth += 1
             return pa.RecordBatch.from_arrays(
@@ -115,7 +127,7 @@ def _dictionary_rows():
         for b in batches:
             for block, hashes, kinds, counts in zip(*(b.column(c).to_pylist() for c in ("block", "hashes", "kinds", "counts"))):
                 h, n = np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.int64)
-                k = np.frombuffer(kinds, np.int32)
+                k = unpacked(kinds, np.int32)
                 for at in range(0, len(h), 1 << 16):
                     part = slice(at, at + (1 << 16))
                     m = len(h[part])
@@ -201,7 +213,8 @@ class Model:
                 s = a.sum(axis=1, keepdims=True)
                 alphas.append(a / s)
                 scales.append(s)
-                total += np.log10(s).sum()
+            if scales:
+                total += np.log10(np.concatenate(scales)).sum()
             behind, ahead, held = after[part], np.zeros((0, k)), []
             for t in range(len(steps) - 1, -1, -1):
                 c, m = len(steps[t]), len(ahead)
@@ -262,18 +275,24 @@ class Model:
         products = np.empty((len(segments.text), k, k))
         logs = np.zeros(len(segments.text))
         for part, steps in segments.parts():
-            m = np.broadcast_to(np.eye(k), (len(part), k, k)).copy()
+            m = np.tile(np.eye(k), (len(part), 1, 1))
             log = np.zeros(len(part))
             first = segments.nth[part] == 0
             for t, kinds in enumerate(steps):
                 c = len(kinds)
-                ahead = m[:c] @ self.move
+                # All rows of all matrices at once: one product, not one for each matrix.
+                ahead = (m[:c].reshape(-1, k) @ self.move).reshape(c, k, k)
                 if t == 0:
                     ahead[first[:c]] = m[:c][first[:c]]  # a text's first state has no move before it
                 ahead *= table[kinds][:, None, :]
-                s = ahead.max(axis=(1, 2), keepdims=True)
-                m[:c] = ahead / s
-                log[:c] += np.log10(s[:, 0, 0])
+                ended = len(steps[t + 1]) if t + 1 < len(steps) else 0
+                if t % SCALED == SCALED - 1:
+                    ended = 0
+                # Scaled now and then, and where a segment ends.
+                s = ahead[ended:].reshape(c - ended, k * k).max(axis=1)
+                ahead[ended:] /= s[:, None, None]
+                log[ended:c] += np.log10(s)
+                m[:c] = ahead
             products[part], logs[part] = m, log
         return products, logs
 
@@ -299,8 +318,8 @@ def _scaled(rows: np.ndarray) -> np.ndarray:
 def _unpacked(row: dict):
     """(flat token numbers, sizes, held out, classes of the dictionary) of a block."""
     return (
-        np.frombuffer(row["tokens"], np.uint32).astype(np.int64), np.array(row["sizes"], np.int64),
-        np.array(row["held"], bool), np.frombuffer(row["kinds"], np.int32).astype(np.int64),
+        unpacked(row["tokens"], np.uint32).astype(np.int64), np.array(row["sizes"], np.int64),
+        np.array(row["held"], bool), unpacked(row["kinds"], np.int32).astype(np.int64),
     )
 
 
@@ -422,7 +441,8 @@ def score_texts(
     model = train(blocks, kind_n, states, rounds)
     score = _score(model, n, v, kind_n, kind_v)
     return (
-        blocks.groupBy("block").cogroup(counted.groupBy("block"))
+        blocks.select("block", "ids", "held", "sizes", "tokens", "kinds").groupBy("block")
+        .cogroup(counted.groupBy("block"))
         .applyInArrow(
             score,
             "_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "

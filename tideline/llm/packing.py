@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tideline.llm.bpe import byte_letters
-from tideline.llm.common import by_size, per_worker, texts
+from tideline.llm.common import by_size, id_type, per_worker, texts
 
 WINDOW = 2048
 #: Texts and tokens of a block.
@@ -178,14 +179,16 @@ def pack_tails(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int
 
 
 _FIELDS = [
-    ("_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
+    ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
 ]
 
 
-def _pack_rows(path: str, window: int, end: int, with_ids: bool):
+def _pack_rows(path: str, window: int, end: int, with_ids: bool, kind: pa.DataType):
+    fields = [("_id", kind), *_FIELDS]
+
     def run(batches):
-        schema = pa.schema(_FIELDS + [("ids", pa.list_(pa.int32()))] * with_ids)
+        schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
         encoder = per_worker(("packing", path), lambda: Encoder(path))
         tail_end = np.array([end], "<u4").tobytes()
         base, used = TaskContext.get().partitionId() << 33, 0
@@ -201,7 +204,7 @@ def _pack_rows(path: str, window: int, end: int, with_ids: bool):
         def emit(rows):
             columns = list(zip(*rows))
             ids = columns.pop() if with_ids else None
-            arrays = [pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS)]
+            arrays = [pa.array(c, t) for c, (_, t) in zip(columns, fields)]
             if with_ids:
                 flat = np.frombuffer(b"".join(ids), "<i4")
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
@@ -251,8 +254,9 @@ def pack(
     """
     if window < 2 or window & window - 1:
         raise ValueError("window must be a power of two")
+    kind = to_arrow_type(df.schema[id_col].dataType)
     schema = (
-        "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+        f"_id {id_type(df, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
         "offset long" + ", ids array<int>" * with_ids
     )
-    return texts(df, id_col, text_col).mapInArrow(_pack_rows(tokenizer, window, end, with_ids), schema)
+    return texts(df, id_col, text_col).mapInArrow(_pack_rows(tokenizer, window, end, with_ids, kind), schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import as_bytes, batch, ddl, key_filter, texts, with_filter, with_more
+from tideline.llm.common import as_bytes, batch, ddl, id_type, key_filter, texts, with_filter, with_more
 from tideline.scratch import materialise
 
 THRESHOLD = 400
@@ -219,15 +219,16 @@ def covered(first: np.ndarray, last: np.ndarray, threshold: int) -> tuple[np.nda
 
 def _cut(threshold: int, with_text: str | None, keep: tuple[str, ...]):
     fields = [
-        ("_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+        ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
         ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
         ("spans", pa.list_(pa.list_(pa.int64()))),
     ]
 
     def run(batches):
         kept_type = pa.string() if with_text == "text" else pa.binary()
-        schema = pa.schema(fields + [("_kept", kept_type)] * bool(with_text))
         for b in batches:
+            own = [("_id", b.column("_id").type)]
+            schema = pa.schema(own + fields + [("_kept", kept_type)] * bool(with_text))
             ranges, n = b.column("ranges").to_pylist(), b.num_rows
             out = [[] for _ in schema.names]
             for i, text in enumerate(as_bytes(b.column("_text"))):
@@ -337,7 +338,7 @@ def remove_repeats(
     another place, in the same or in another text; overlapping places count. Texts
     are compared as UTF-8 bytes, null as empty, and matches never cross texts.
     Repeated rows count as other texts, so both lose everything; texts shorter than
-    the threshold stay whole. Null and repeated identifiers are passed on. Columns:
+    the threshold stay whole. Identifiers of any type, null and repeated ones too, are passed on. Columns:
     ``_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (start and end of each
     cut), ``keep`` as ``_<name>`` and what stays as ``_kept``: with ``with_text="bytes"`` its
     bytes, with ``"text"`` a string, where a character that was cut apart becomes a mark.
@@ -361,7 +362,7 @@ def remove_repeats(
     cut = rows.where("_maybe").join(per_text, ["s1", "s2"], "left").select("_id", "_text", *more, "ranges")
     kind = "string" if with_text == "text" else "binary"
     schema = (
-        "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+        f"_id {id_type(df, id_col)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<array<long>>" + (f", _kept {kind}" if with_text else "") + ddl(df, keep)
     )
     return whole.union(cut).mapInArrow(_cut(threshold, with_text, keep), schema)

@@ -209,6 +209,8 @@ def _inside(data: bytes, at: int, end: int):
     """Records and gaps of the member from ``at`` to ``end``; returns whether it had a record."""
     source, found = _Inflated(data, at), False
     while source.data or source.more():
+        if not source.data:
+            continue
         try:
             stop, headers, block = _parse(source, 0)
         except ValueError as problem:
