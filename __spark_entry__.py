@@ -501,7 +501,7 @@ def feed_keyed(spark, sf):
 def feed_keyed_kmeans(spark, sf):
     """Clusters for each event type, with the state of the types in the state store."""
     op = KMeansStream(
-        ["value", F.col("user_id") % 24], "event_id", "event_type",
+        [F.col("value") / 3, F.col("user_id") % 24], "event_id", "event_type",
         options=KMeansOptions(batch_size=120, num_iterations=4, num_clusters=3, init="first_k", epsilon=0.0),
     )
     columns = ["event_id", "user_id", "event_type", "value"]
@@ -886,7 +886,7 @@ def oracle_sql() -> dict[str, str]:
         ["event_type"],
     )
     out["feed_keyed_kmeans"] = O.kmeans(
-        "events", ["event_id"], "value AS x1, CAST(user_id % 24 AS DOUBLE) AS x2",
+        "events", ["event_id"], "value / 3 AS x1, CAST(user_id % 24 AS DOUBLE) AS x2",
         ["event_id", "user_id", "event_type", "value"], 2, 3, 120, 120, 4, ["event_type"],
     )
     out["linreg_prequential_lines"] = (
