@@ -69,6 +69,16 @@ def scratch_scope(spark: SparkSession):
             delete_path(spark, path)
 
 
+@contextmanager
+def scratch_list(made: list[str]):
+    """Add the paths of the tables made inside the block to ``made``; nothing is deleted."""
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application.
 
