@@ -4,7 +4,6 @@ import random
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from tideline.llm.prefix_trie import Block, Strand, numbered, prefix_nodes, rebuilt
 

@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, three kinds of deduplication, packing.
 
-Each stage is one operator over all rows that its predecessor kept. A stage writes its
-result and then deletes the tables it made on the way, so the disk holds one stage's work.
+Each stage is one operator over all rows that its predecessor kept. The result of a stage
+must be written and read again before the next one is called, as ``run`` does: the next
+call deletes the tables that the result was made from, so the disk holds one stage's work.
 """
 
 from __future__ import annotations
@@ -17,22 +18,25 @@ from tideline.llm.packing import pack
 from tideline.llm.quality import quality
 from tideline.llm.simhash import near_duplicates
 from tideline.llm.suffix_dedup import remove_repeats
-from tideline.scratch import materialise, scratch_path, scratch_scope
+from tideline.scratch import delete_path, materialise, scratch_list, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[2:]
 
 
-def _written(stage):
-    """The stage, with its result written and its own intermediate tables deleted."""
+#: Tables that the last stage made on its way; its result needs them until it is written.
+_MADE: list[str] = []
+
+
+def _frugal(stage):
+    """The stage; when it is called, the tables that the stage before it made are deleted."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        path = scratch_path(spark, stage.__name__)
-        with scratch_scope(spark):
-            out = stage(spark, docs, sf_dir)
-            out.write.parquet(path)
-        return spark.read.schema(out.schema).parquet(path)
+        while _MADE:
+            delete_path(spark, _MADE.pop())
+        with scratch_list(_MADE):
+            return stage(spark, docs, sf_dir)
 
     return run
 
@@ -43,19 +47,19 @@ def _document(frame: DataFrame, **own) -> DataFrame:
     return frame.select(*[own.get(c, F.col(names[c])).alias(c) for c in COLUMNS])
 
 
-@_written
+@_frugal
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; null texts are empty and go."""
     return _document(quality(docs, keep=REST, with_text=True).where("kept"))
 
 
-@_written
+@_frugal
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the largest identifier."""
     return _document(exact_groups(docs, keep=REST, with_text=True).where("kept"))
 
 
-@_written
+@_frugal
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest identifier.
 
@@ -78,7 +82,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return stay.union(filtered.where("_maybe").join(gone, key, "left_anti").select(*COLUMNS))
 
 
-@_written
+@_frugal
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere too.
 
@@ -89,6 +93,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _document(cut.withColumnRenamed("_kept", "_text"), n_chars=F.char_length("_text").cast("long"))
 
 
+@_frugal
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 tokens."""
     from tideline.llm.queries import tokenizer_path
@@ -114,7 +119,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Nulls, empty and repeated rows, and empty tables are treated as by the operator of each
     stage; only the columns of ``documents`` are read, so further ones cannot clash.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs.select(*COLUMNS), sf_dir)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        found, path = stage(spark, docs.select(*COLUMNS), sf_dir), scratch_path(spark, "stage")
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before is not None:
+            delete_path(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs.select(*COLUMNS), sf_dir)
