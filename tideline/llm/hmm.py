@@ -32,7 +32,9 @@ from tideline.scratch import materialise, scratch_path
 
 STATES, ROUNDS, CLASSES = 4, 4, 1 << 15
 #: Text bytes of a block, and tokens of a segment.
-BLOCK_BYTES, SEGMENT = 8 << 20, 512
+BLOCK_BYTES, SEGMENT = 16 << 20, 512
+#: Counts of words that go back to their blocks in one go.
+RETURNED = 1 << 20
 #: Segments that are trained or scored at once.
 TOGETHER = 1024
 #: Steps whose expected counts are added up at once.
@@ -65,12 +67,18 @@ _BLOCK_DDL = (
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers as compressed bytes: blocks are read and shuffled more often than they are made."""
-    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+    """Numbers as compressed bytes: blocks are read and shuffled more often than they are made.
+
+    Bytes of equal weight are stored together; the upper ones are mostly alike.
+    """
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).reshape(-1)
 
 
 def _block_rows(classes: int):
@@ -90,7 +98,7 @@ def _block_rows(classes: int):
             counts = np.bincount(flat, minlength=len(words)).astype(np.int64)
             row = (
                 base + nth, ids, held, [len(x) for x in tokens], packed(np.concatenate(tokens)),
-                hashes.tobytes(), packed(kinds), counts.tobytes(),
+                hashes.tobytes(), packed(kinds), packed(counts),
             )
             nth += 1
             return pa.RecordBatch.from_arrays(
@@ -126,7 +134,7 @@ def _dictionary_rows():
     def run(batches):
         for b in batches:
             for block, hashes, kinds, counts in zip(*(b.column(c).to_pylist() for c in ("block", "hashes", "kinds", "counts"))):
-                h, n = np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.int64)
+                h, n = np.frombuffer(hashes, np.int64), unpacked(counts, np.int64)
                 k = unpacked(kinds, np.int32)
                 for at in range(0, len(h), 1 << 16):
                     part = slice(at, at + (1 << 16))
@@ -142,6 +150,35 @@ def _dictionary_rows():
     return run
 
 
+def _returned_rows():
+    """Counts of words as one compressed row for each block, out of (block, nth, c)."""
+    schema = pa.schema([("block", pa.int64()), ("nths", pa.binary()), ("cs", pa.binary())])
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            block, nth, c = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((nth, block))
+            block, nth, c = block[order], nth[order], c[order]
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
+                row = block[at], packed(np.diff(nth[at:to], prepend=nth.dtype.type(0))), packed(c[at:to])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
+
+        for b in batches:
+            if b.num_rows:
+                held.append([b.column(x).to_numpy() for x in ("block", "nth", "c")])
+                size += b.num_rows
+            if size >= RETURNED:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
+
+    return run
+
+
 class Segments:
     """Sequences cut into segments, in steps over all of them, the longest first.
 
@@ -378,8 +415,11 @@ def _score(model: Model, n: int, v: int, kind_n: np.ndarray, kind_v: np.ndarray)
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         count = np.zeros(0, np.int64)
         if right.num_rows:
-            count = np.zeros(right.num_rows, np.int64)
-            count[right["nth"].to_numpy()] = right["c"].to_numpy()
+            nth, c = (
+                [unpacked(x, kind) for x in right[name].to_pylist()] for name, kind in (("nths", np.int32), ("cs", np.int64))
+            )
+            count = np.zeros(sum(map(len, nth)), np.int64)
+            count[np.concatenate([np.cumsum(x) for x in nth])] = np.concatenate(c)
         out = []
         for at in range(left.num_rows):
             row = left.slice(at, 1).to_pylist()[0]
@@ -431,6 +471,7 @@ def score_texts(
     # and go back to the entries by a join that splits hot words.
     words = materialise(entries.groupBy("hash", "kind").agg(F.sum("n").alias("c")), "words")
     counted = entries.join(words.select("hash", "c"), "hash").select("block", "nth", "c")
+    counted = counted.mapInArrow(_returned_rows(), "block long, nths binary, cs binary")
     known = (F.col("c") > 0).cast("long")
     sums = words.groupBy("kind").agg(F.sum("c").alias("n"), F.sum(known).alias("v")).toArrow()
     kind_n, kind_v = np.zeros(classes + 1), np.zeros(classes + 1)
