@@ -301,6 +301,47 @@ def kmeans_call(spark, sf):
     )
 
 
+def _sides():
+    """Two features that split the rows into two far groups, by the parity of the line number."""
+    return [F.col("l_linenumber") % 2 * 1000 + F.col("l_quantity"), F.col("l_extendedprice") / 1000]
+
+
+def _low_high(df):
+    """Two centres in the order of their first coordinate: their ids depend on a random start."""
+    out = _numbers(df, 2, 2)
+    low = F.col("c0_0") < F.col("c1_0")
+    for j in range(2):
+        a, b = F.col(f"c0_{j}"), F.col(f"c1_{j}")
+        out = out.withColumns({f"low_{j}": F.when(low, a).otherwise(b), f"high_{j}": F.when(low, b).otherwise(a)})
+    return out.drop("c0_0", "c0_1", "c1_0", "c1_1")
+
+
+def kmeans_default_start(spark, sf):
+    """The positional call with the default start: it finds two far groups in every window."""
+    df = stream_kmeans_call(
+        _line(spark, sf, "l_quantity"), 0, 0, SIZE, 10, 2, 1, 0.95, *_sides(), order_by=LINE_KEY
+    )
+    return _low_high(df).withColumn("stderr", F.round("stderr", 2))
+
+
+def kmeans_default_start_large(spark, sf):
+    """The same by aggregations over all windows at once, as for windows of any length."""
+    from tideline.operators.kmeans import center_columns, fit_kmeans
+    from tideline.plans.rows import attach_models
+
+    options = KMeansOptions(batch_size=5000, num_iterations=10, num_clusters=2)
+    fit = fit_kmeans(_line(spark, sf, "l_quantity"), _sides(), LINE_KEY, options=options, gather=0)
+    df = attach_models(fit.rows, fit.models, fit.keys, fit.windows, center_columns(2))
+    return _low_high(df).withColumn("stderr", F.round("stderr", 2))
+
+
+def microcluster_two_groups(spark, sf):
+    """Two macro centres of the default 100 kernels, with its random start: the two far groups so far."""
+    options = MicroClusterOptions(batch_size=SIZE, num_clusters=2, num_iterations=10, horizon=10**12)
+    df = stream_microcluster(_line(spark, sf, "l_quantity"), _sides(), LINE_KEY, options=options)
+    return _low_high(df)
+
+
 def kmeans_embeddings(spark, sf):
     options = KMeansOptions(batch_size=250, num_iterations=10, num_clusters=10)
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -665,7 +706,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             linreg_per_key, linreg_sliding_per_key, linreg_model_history, linreg_mini_batch,
             linreg_gram_tumbling, linreg_score, linreg_time_window, linreg_time_window_sliding,
             kmeans_tumbling_first_k, kmeans_sliding, kmeans_per_key, kmeans_large_windows,
-            kmeans_decay, kmeans_call, kmeans_embeddings, kmeans_assign, kmeans_weights,
+            kmeans_decay, kmeans_default_start, kmeans_default_start_large, microcluster_two_groups, kmeans_call, kmeans_embeddings, kmeans_assign, kmeans_weights,
             kmeans_wssse, kmeans_time_window,
             microcluster_cf, microcluster_one_center, microcluster_centers,
             microcluster_closing_rows, microcluster_embeddings,
@@ -834,6 +875,18 @@ def oracle_sql() -> dict[str, str]:
         "TIMESTAMP '1970-01-01' + to_days(CAST(win + 1 AS INTEGER)) AS window_end, "
         "n, stderr, wide.* EXCLUDE (win) FROM cost JOIN wide USING (win)"
     )
+    sides = "l_linenumber % 2 * 1000 + l_quantity AS x1, l_extendedprice / 1000 AS x2"
+    out["kmeans_default_start"] = O.two_groups("lineitem", LINE_KEY, sides, [*LINE_KEY, "l_quantity"], SIZE)
+    out["kmeans_default_start_large"] = O.two_groups("lineitem", LINE_KEY, sides, [*LINE_KEY, "l_quantity"], 5000)
+    so_far = ", ".join(
+        f"round(avg(x{j}) FILTER ({test}) OVER (ORDER BY rn), 6) AS {name}_{j - 1}"
+        for name, test in (("low", "x1 < 500"), ("high", "x1 >= 500")) for j in (1, 2)
+    )
+    out["microcluster_two_groups"] = (
+        f"WITH idx AS ({O.indexed('lineitem', LINE_KEY, sides)}), acc AS (SELECT *, {so_far} FROM idx) "
+        f"SELECT {key}, l_quantity, 0.0::DOUBLE AS stderr, low_0, low_1, high_0, high_1 "
+        f"FROM acc WHERE rn % {SIZE} = {SIZE - 1}"
+    )
     out["microcluster_cf"] = (
         f"WITH idx AS ({O.indexed('lineitem', LINE_KEY, xy)}) "
         f"SELECT rn // {SIZE} AS window_id, count(*) AS n, CAST(sum(rn) AS BIGINT) AS lst, "

@@ -179,6 +179,21 @@ def kmeans(
     )
 
 
+def two_groups(table: str, order: list[str], columns: str, carried: list[str], size: int) -> str:
+    """The means of the rows with x1 below 500 and of the others, in each window, on its closing row."""
+    sides = (("low", "x1 < 500"), ("high", "x1 >= 500"))
+    means = ", ".join(f"avg(x{j}) FILTER ({test}) AS {name}_{j - 1}" for name, test in sides for j in (1, 2))
+    gaps = " + ".join(f"(x{j} - CASE WHEN x1 < 500 THEN low_{j - 1} ELSE high_{j - 1} END) ** 2" for j in (1, 2))
+    rounded = ", ".join(f"round({name}_{j}, 6) AS {name}_{j}" for name, _ in sides for j in (0, 1))
+    return (
+        f"WITH idx AS (SELECT *, rn // {size} AS win FROM ({indexed(table, order, columns)})), "
+        f"m AS (SELECT win, {means} FROM idx GROUP BY win), "
+        f"cost AS (SELECT win, round(sum({gaps}), 2) AS stderr FROM idx JOIN m USING (win) GROUP BY win) "
+        f"SELECT {', '.join(carried)}, stderr, {rounded} FROM idx JOIN m USING (win) JOIN cost USING (win) "
+        f"WHERE rn % {size} = {size - 1}"
+    )
+
+
 def kmeans_history(
     table: str, order: list[str], columns: str, size: int, steps: int, alpha: float,
 ) -> str:
