@@ -342,6 +342,13 @@ def microcluster_two_groups(spark, sf):
     return _low_high(df)
 
 
+def kmeans_few_points(spark, sf):
+    """More clusters than different points: the centres that are missing are null."""
+    options = KMeansOptions(batch_size=SIZE, num_iterations=5, num_clusters=3, init="first_k")
+    side = [F.col("l_linenumber") % 2]
+    return _numbers(stream_kmeans(_line(spark, sf, "l_quantity"), side, LINE_KEY, options=options), 3, 1)
+
+
 def kmeans_embeddings(spark, sf):
     options = KMeansOptions(batch_size=250, num_iterations=10, num_clusters=10)
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -706,7 +713,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             linreg_per_key, linreg_sliding_per_key, linreg_model_history, linreg_mini_batch,
             linreg_gram_tumbling, linreg_score, linreg_time_window, linreg_time_window_sliding,
             kmeans_tumbling_first_k, kmeans_sliding, kmeans_per_key, kmeans_large_windows,
-            kmeans_decay, kmeans_default_start, kmeans_default_start_large, microcluster_two_groups, kmeans_call, kmeans_embeddings, kmeans_assign, kmeans_weights,
+            kmeans_decay, kmeans_default_start, kmeans_default_start_large, microcluster_two_groups,
+            kmeans_few_points, kmeans_call, kmeans_embeddings, kmeans_assign, kmeans_weights,
             kmeans_wssse, kmeans_time_window,
             microcluster_cf, microcluster_one_center, microcluster_centers,
             microcluster_closing_rows, microcluster_embeddings,
@@ -878,6 +886,15 @@ def oracle_sql() -> dict[str, str]:
     sides = "l_linenumber % 2 * 1000 + l_quantity AS x1, l_extendedprice / 1000 AS x2"
     out["kmeans_default_start"] = O.two_groups("lineitem", LINE_KEY, sides, [*LINE_KEY, "l_quantity"], SIZE)
     out["kmeans_default_start_large"] = O.two_groups("lineitem", LINE_KEY, sides, [*LINE_KEY, "l_quantity"], 5000)
+    out["kmeans_few_points"] = (
+        f"WITH idx AS (SELECT *, rn // {SIZE} AS win FROM "
+        f"({O.indexed('lineitem', LINE_KEY, 'CAST(l_linenumber % 2 AS DOUBLE) AS x1')})), "
+        "seen AS (SELECT win, x1, row_number() OVER (PARTITION BY win ORDER BY min(rn)) AS nth FROM idx GROUP BY win, x1), "
+        "c AS (SELECT win, max(x1) FILTER (nth = 1) AS c0_0, max(x1) FILTER (nth = 2) AS c1_0, "
+        "max(x1) FILTER (nth = 3) AS c2_0 FROM seen GROUP BY win) "
+        f"SELECT {key}, l_quantity, 0.0::DOUBLE AS stderr, c0_0, c1_0, c2_0 FROM idx JOIN c USING (win) "
+        f"WHERE rn % {SIZE} = {SIZE - 1}"
+    )
     so_far = ", ".join(
         f"round(avg(x{j}) FILTER ({test}) OVER (ORDER BY rn), 6) AS {name}_{j - 1}"
         for name, test in (("low", "x1 < 500"), ("high", "x1 >= 500")) for j in (1, 2)
