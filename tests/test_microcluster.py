@@ -10,7 +10,15 @@ from tideline.operators import (
     stream_microcluster_call,
 )
 from tideline.operators.microcluster import fit_microclusters
-from tideline.plans.kernels import Kernels, merge, summarise_block, width
+from tideline.plans.kernels import (
+    FewKernels,
+    Kernels,
+    macro_centers,
+    macro_centers_of,
+    merge,
+    summarise_block,
+    width,
+)
 
 
 def frame(spark, n, seed=0):
@@ -137,3 +145,43 @@ def test_merge_conserves_mass():
         sum(p.reshape(-1, width(3)).sum(axis=0) for p in parts),
     )
     assert len(acc) <= 8 * width(3)
+
+
+@pytest.mark.parametrize("limit,dims", [(1, 1), (2, 1), (2, 3), (5, 2)])
+def test_a_few_kernels_take_rows_as_many_do(limit, dims):
+    rng = np.random.default_rng(limit + dims)
+    for horizon in (30, 10**9):
+        points = np.round(rng.normal(size=(600, dims)) * 3 + 10 * rng.integers(0, 3, (600, 1)), 1)
+        few = FewKernels(np.empty((0, width(dims))), limit, 2.0, horizon, dims)
+        many = Kernels(np.empty((0, width(dims))), limit, 2.0, horizon, dims)
+        for t, x in enumerate(points):
+            row = np.array([1.0, t, t * t, *x, *x * x])
+            few.insert(row.tolist())
+            many.take(row[None])
+            assert np.allclose(np.array(few.flat()).reshape(-1, width(dims)), many.used(), rtol=1e-9)
+
+
+def test_centres_of_many_sets_equal_those_of_each():
+    rng = np.random.default_rng(4)
+    sets = []
+    for i in range(60):
+        n, x = rng.integers(1, 9, 1 + i % 5).astype(float), rng.integers(0, 4, (1 + i % 5, 2))
+        sets.append(np.column_stack([n, n, n, n[:, None] * x, n[:, None] * (x * x + 0.5)]).ravel())
+    sets.append(np.empty(0))
+    for weighted, steps in ((True, 2), (False, 1), (True, 0)):
+        found = macro_centers_of(sets, 2, 3, steps, weighted, 7, list(range(61)))
+        assert len(found[60][0]) == 0 and found[60][1] == 0.0
+        for i in range(60):
+            centers, ssq = macro_centers(sets[i].reshape(-1, 7), 2, 3, steps, weighted, [7, i])
+            assert np.array_equal(found[i][0], centers) and found[i][1] == pytest.approx(ssq)
+
+
+def test_blocks_of_one_row_need_no_python(spark):
+    """Each row was a block with a Python call and an Arrow batch of its own."""
+    df, _ = frame(spark, 40)
+    options = MicroClusterOptions(batch_size=1, max_kernels=2, num_clusters=2)
+    cf = micro_clusters(df, ["a", "b"], "seq", "k", options)
+    assert "MapInArrow" not in cf._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.k, r.window_id): r for r in cf.collect()}
+    assert len(rows) == 40 and all(r.n == 1 and r.sst == w * w for (_, w), r in rows.items())
+    assert sum(r.ls[0] for r in rows.values()) == pytest.approx(df.agg(F.sum("a")).first()[0])

@@ -15,10 +15,20 @@ from tideline.operators.kmeans import ClusterFit, center_columns
 from tideline.plans.arrival import RN, as_names, same_keys
 from tideline.plans.count_windows import WINDOW_ID, CountWindows, int_div
 from tideline.plans.gram import feature
-from tideline.plans.kernels import macro_centers, merge, reduce_kernels, summarise_block, width
+from tideline.plans.kernels import (
+    FEW,
+    FewKernels,
+    Kernels,
+    macro_centers,
+    macro_centers_of,
+    reduce_kernels,
+    summarise_block,
+    width,
+)
 from tideline.plans.ordered import double_arrays, joined, ordered_map, out_batch
 from tideline.plans.prefix import exclusive_prefix
 from tideline.plans.rows import as_columns, attach_models, index_rows, safe_keys, typed
+from tideline.plans.walk import walk_blocks
 from tideline.scratch import materialise
 
 _DOUBLES = T.ArrayType(T.DoubleType())
@@ -36,7 +46,7 @@ def _blocks(
     A block is a period, or ``block_rows`` rows of it where a period is longer.
     """
     size = options.batch_size
-    length = min(size, options.block_rows)
+    length = block_length(options)
     rn = F.col(RN)
     sent = rows.select(
         *[f"`{k}`" for k in keys],
@@ -46,6 +56,10 @@ def _blocks(
         *[feature(i) for i in range(dims)],
     )
     groups = [*keys, WINDOW_ID, "block"]
+    if length == 1:
+        t, xs = F.col(RN).cast("double"), [F.col(feature(i)) for i in range(dims)]
+        acc = F.array(F.lit(1.0), t, t * t, *xs, *[x * x for x in xs])
+        return sent.select(*[f"`{g}`" for g in groups], F.lit(1).cast("long").alias("n"), acc.alias("acc"))
     schema = T.StructType(
         [sent.schema[g] for g in groups]
         + [T.StructField("n", T.LongType()), T.StructField("acc", _DOUBLES)]
@@ -84,25 +98,45 @@ def _blocks(
     return ordered_map(sent, groups, [RN], body, schema, most=total // length + 1)
 
 
-def _empty() -> np.ndarray:
-    return np.empty(0)
+class _Walk:
+    """Kernels of a key as its blocks come."""
 
+    def __init__(self, state, options: MicroClusterOptions, dims: int):
+        rows = np.empty((0, width(dims))) if state is None else state.reshape(-1, width(dims))
+        given = (rows, options.max_kernels, options.radius_factor, options.horizon, dims)
+        self.wide = width(dims)
+        self.few = block_length(options) == 1 and options.max_kernels * dims <= FEW
+        self.held = FewKernels(*given) if self.few else Kernels(*given)
 
-def _merger(options: MicroClusterOptions, dims: int):
-    limit, factor, horizon = options.max_kernels, options.radius_factor, options.horizon
+    def take(self, acc: np.ndarray) -> None:
+        if self.few:
+            self.held.insert(acc.tolist())
+        else:
+            self.held.take(acc.reshape(-1, self.wide))
+
+    def state(self):
+        return self.held.flat() if self.few else self.held.used().ravel().copy()
+
+    def close(self, window: int):
+        return (), self.state()
+
+
+def block_length(options: MicroClusterOptions) -> int:
+    """Rows that are summarised at once."""
+    return min(options.batch_size, options.block_rows)
 
-    def fold(earlier, later):
-        return merge(earlier, later, limit, factor, horizon, dims)
 
-    return fold
+def period_doubles(options: MicroClusterOptions, dims: int) -> int:
+    """Most doubles in the kernels of the blocks of a period."""
+    length = block_length(options)
+    return -(-options.batch_size // length) * min(length, options.max_kernels) * width(dims)
 
 
-def _period_schema(blocks: DataFrame, keys: Sequence[str]) -> T.StructType:
+def _period_schema(blocks: DataFrame, keys: Sequence[str], extras: Sequence[str] = ()) -> T.StructType:
     return T.StructType(
         [blocks.schema[c] for c in keys]
+        + [T.StructField(c, T.LongType()) for c in [WINDOW_ID, *extras, "n"]]
         + [
-            T.StructField(WINDOW_ID, T.LongType()),
-            T.StructField("n", T.LongType()),
             T.StructField("ssq", T.DoubleType()),
             T.StructField("centers", T.ArrayType(_DOUBLES)),
             T.StructField("kernels", _DOUBLES),
@@ -110,61 +144,67 @@ def _period_schema(blocks: DataFrame, keys: Sequence[str]) -> T.StructType:
     )
 
 
-def _walk_periods(
-    blocks: DataFrame,
+def with_centers(
+    walked: DataFrame,
     keys: Sequence[str],
     dims: int,
     options: MicroClusterOptions,
+    extras: Sequence[str] = (),
 ) -> DataFrame:
-    """Fold the blocks of each key in order; one row per full period.
+    """Row counts, centres and errors beside the kernels of each period.
 
-    The rows are summarised already, so a key's walk reads at most ``max_kernels``
-    kernels a block. ``blocks`` carries ``_tl_state``: the kernels that a feed had
-    reached, or null.
+    They need no order, so the periods of a key are spread over all tasks.
     """
-    groups = [*keys, "_tl_all"]
-    fold = _merger(options, dims)
-    size, k, seed = options.batch_size, options.num_clusters, options.seed
-    steps, weighted = options.num_iterations, options.weighted
-    schema = _period_schema(blocks, keys)
+    schema = _period_schema(walked, keys, extras)
     arrow = to_arrow_schema(schema)
+    kept, k = [*keys, WINDOW_ID, *extras], options.num_clusters
+    wide = width(dims)
 
-    def vector(scalar):
-        return scalar.values.to_numpy(zero_copy_only=False) if scalar.is_valid else _empty()
-
-    def period(row, n, state):
-        window = row.column(WINDOW_ID)[0].as_py()
-        kernels = state.reshape(-1, width(dims))
-        centers, ssq = macro_centers(kernels, dims, k, steps, weighted, [seed, window])
-        columns = {c: row.column(c) for c in [*keys, WINDOW_ID]}
-        columns |= {
-            "n": [n],
-            "ssq": [ssq],
-            "centers": [[c.tolist() for c in centers] + [None] * (k - len(centers))],
-            "kernels": double_arrays([state]),
-        }
-        return out_batch(columns, arrow)
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            lists = batch.column("kernels")
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            states = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            found = macro_centers_of(
+                states, dims, k, options.num_iterations, options.weighted, options.seed,
+                batch.column(WINDOW_ID).to_pylist(),
+            )
+            columns = {c: batch.column(c) for c in kept}
+            columns |= {
+                "n": [int(round(s[::wide].sum())) for s in states],
+                "ssq": [ssq for _, ssq in found],
+                "centers": [[c.tolist() for c in cs] + [None] * (k - len(cs)) for cs, _ in found],
+                "kernels": lists,
+            }
+            yield out_batch(columns, arrow)
 
-    def body(marked):
-        state, window, n = _empty(), None, 0
-        for batch, flags in marked:
-            accs, sizes = batch.column("acc"), batch.column("n").to_pylist()
-            windows, starts = batch.column(WINDOW_ID).to_pylist(), batch.column("_tl_state")
-            done = []
-            for i, first in enumerate(flags):
-                if first:
-                    state, window = vector(starts[i]), None
-                if windows[i] != window:
-                    window, n = windows[i], 0
-                state = fold(state, vector(accs[i]))
-                n += sizes[i]
-                if n == size:
-                    done.append(period(batch.slice(i, 1), n, state))
-            yield from joined(done)
+    names = [f"`{k}`" for k in keys]
+    return walked.repartition(*names, WINDOW_ID).mapInArrow(run, schema)
+
+
+def _walk_periods(
+    blocks: DataFrame,
+    keys: Sequence[str],
+    dims: int,
+    options: MicroClusterOptions,
+    periods: int,
+    total: int,
+    start: DataFrame | None,
+) -> DataFrame:
+    """Fold the blocks of each key in order; one row per full period.
 
-    return ordered_map(
-        blocks.withColumn("_tl_all", F.lit(0)), groups, [WINDOW_ID, "block"], body, schema
+    The rows are summarised already, so a key's walk reads at most ``max_kernels``
+    kernels a block, and gives kernels alone.
+    """
+    walked = walk_blocks(
+        blocks, keys, options.batch_size, lambda state: _Walk(state, options, dims), [],
+        periods, period_doubles(options, dims), total, start,
     )
+    size = F.lit(options.batch_size).cast("long")
+    return with_centers(walked, keys, dims, options).withColumn("n", size)
 
 
 #: Kernels of so many periods are combined in one sequence; the shape of the tree is
@@ -273,27 +313,10 @@ def fit_microclusters(
     if options.mode == "tree":
         models = _tree_periods(blocks, keys, dims, options, arrived.longest, start)
         return ClusterFit(arrived.rows, models, keys, windows)
-    if start is None:
-        started = blocks.withColumn("_tl_state", F.lit(None).cast(_DOUBLES))
-    else:
-        started = _with_state(blocks, keys, start)
-    return ClusterFit(arrived.rows, _walk_periods(started, keys, dims, options), keys, windows)
-
-
-def _with_state(blocks: DataFrame, keys: Sequence[str], start: DataFrame) -> DataFrame:
-    """Attach the kernels that a feed had reached to the blocks of their key."""
-    if not keys:
-        row = start.first()
-        state = None if row is None else row["state"]
-        return blocks.withColumn("_tl_state", F.lit(state).cast(_DOUBLES))
-    renamed = start.select(
-        *[F.col(f"`{k}`").alias(f"_tl_h{i}") for i, k in enumerate(keys)],
-        F.col("state").alias("_tl_state"),
-    )
-    match = same_keys(
-        [F.col(f"`{k}`") for k in keys], [F.col(f"_tl_h{i}") for i in range(len(keys))]
-    )
-    return blocks.join(renamed, match, "left").select(*blocks.columns, "_tl_state")
+    periods = min(arrived.longest, arrived.total) // options.batch_size + 2
+    every = arrived.total // options.batch_size + 2
+    models = _walk_periods(blocks, keys, dims, options, periods, every, start)
+    return ClusterFit(arrived.rows, models, keys, windows)
 
 
 def next_history(models: DataFrame, keys: Sequence[str]) -> DataFrame:

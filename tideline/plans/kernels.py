@@ -158,6 +158,83 @@ class Kernels:
         self._place(free, row)
 
 
+# Up to so many coordinates of kernels, plain numbers cost less than array calls.
+FEW = 16
+
+
+class FewKernels:
+    """``Kernels`` that takes rows one at a time, for a limit of a few."""
+
+    def __init__(self, rows: np.ndarray, limit: int, factor: float, horizon: int, dims: int):
+        self.limit, self.reach, self.horizon, self.dims = limit, factor**2, horizon, dims
+        self.rows: list[list[float]] = rows.tolist()
+        self.centers = [self._center(row) for row in self.rows]
+
+    def flat(self) -> list[float]:
+        return [v for row in self.rows for v in row]
+
+    def _center(self, row: list[float]) -> list[float]:
+        n = row[0]
+        return [v / n for v in row[3 : 3 + self.dims]]
+
+    def _gap(self, a: list[float], b: list[float]) -> float:
+        gap = 0.0
+        for u, v in zip(a, b):
+            gap += (u - v) * (u - v)
+        return gap
+
+    def _place(self, i: int, row: list[float]) -> None:
+        self.rows[i] = row
+        self.centers[i] = self._center(row)
+
+    def _reach(self, i: int) -> float:
+        row, center = self.rows[i], self.centers[i]
+        if row[0] < 2:
+            return min((self._gap(center, c) for j, c in enumerate(self.centers) if j != i), default=0.0)
+        spread, n = 0.0, row[0]
+        for c, ss in zip(center, row[3 + self.dims :]):
+            spread += ss / n - c * c
+        return self.reach * max(0.0, spread)
+
+    def _stalest(self, now: float) -> int | None:
+        means = [row[1] / row[0] for row in self.rows]
+        stamp = min(means)
+        i, edge = means.index(stamp), now - self.horizon
+        if stamp >= edge:
+            return None
+        row = self.rows[i]
+        n = row[0]
+        if n >= 2 * self.limit:
+            deviation = math.sqrt(max(0.0, row[2] / n - stamp * stamp))
+            stamp += deviation * NormalDist().inv_cdf(1 - self.limit / (2 * n))
+        return i if stamp < edge else None
+
+    def insert(self, row: list[float]) -> None:
+        center, count = self._center(row), len(self.rows)
+        if count:
+            gaps = [self._gap(c, center) for c in self.centers]
+            gap = min(gaps)
+            i = gaps.index(gap)
+            if gap <= self._reach(i):
+                self._place(i, [a + b for a, b in zip(self.rows[i], row)])
+                return
+        if count < self.limit:
+            self.rows.append(row)
+            self.centers.append(center)
+            return
+        free = self._stalest(row[1] / row[0])
+        if free is None:
+            if count == 1:
+                self._place(0, [a + b for a, b in zip(self.rows[0], row)])
+                return
+            _, keep, free = min(
+                (self._gap(self.centers[i], self.centers[j]), i, j)
+                for i in range(count) for j in range(i + 1, count)
+            )
+            self._place(keep, [a + b for a, b in zip(self.rows[keep], self.rows[free])])
+        self._place(free, row)
+
+
 def merge(earlier, later, limit: int, factor: float, horizon: int, dims: int) -> np.ndarray:
     """Kernels of a span of rows followed by another; flat in, flat out."""
     held = Kernels(earlier.reshape(-1, width(dims)), limit, factor, horizon, dims)
@@ -197,3 +274,43 @@ def macro_centers(kernels: np.ndarray, dims: int, k: int, steps: int, weighted:
     within = kernels[:, 3 + dims :].sum(axis=1) - kernels[:, 0] * (points**2).sum(axis=1)
     ssq = float(np.maximum(within, 0.0).sum() + (kernels[:, 0] * dist).sum())
     return centers, ssq
+
+
+def macro_centers_of(batches, dims: int, k: int, steps: int, weighted: bool, seed: int, windows):
+    """``macro_centers`` of many sets of kernels, flat; those of at most ``k`` kernels at once.
+
+    Where each kernel is nearest to its own centre, it is a cluster by itself.
+    """
+    found, wide = [None] * len(batches), width(dims)
+    counts = np.array([len(b) // wide for b in batches])
+    for m in range(1, min(k, int(counts.max(initial=0))) + 1):
+        at = np.flatnonzero(counts == m)
+        if not len(at):
+            continue
+        rows = np.stack([batches[i] for i in at]).reshape(-1, m, wide)
+        n = rows[:, :, 0]
+        points = rows[:, :, 3 : 3 + dims] / n[:, :, None]
+        centers = points
+        if weighted and steps > 0:
+            centers = points * n[:, :, None] / np.maximum(n, 1e-300)[:, :, None]
+
+        def alone(to):
+            gaps = ((points[:, :, None, :] - to[:, None, :, :]) ** 2).sum(axis=3)
+            own = gaps[:, range(m), range(m)].copy()
+            gaps[:, range(m), range(m)] = np.inf
+            return (own < gaps.min(axis=2)).all(axis=1), own
+
+        apart, dist = alone(centers)
+        apart &= alone(points)[0]
+        within = rows[:, :, 3 + dims :].sum(axis=2) - n * (points**2).sum(axis=2)
+        errors = np.maximum(within, 0.0).sum(axis=1) + (n * dist).sum(axis=1)
+        for j in np.flatnonzero(apart).tolist():
+            i = int(at[j])
+            order = np.random.default_rng([seed, windows[i]]).permutation(m) if m > 1 else [0]
+            found[i] = centers[j][order], float(errors[j])
+    for i in np.flatnonzero(counts == 0).tolist():
+        found[i] = [], 0.0
+    return [
+        f or macro_centers(b.reshape(-1, wide), dims, k, steps, weighted, [seed, w])
+        for f, b, w in zip(found, batches, windows)
+    ]
