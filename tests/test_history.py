@@ -15,6 +15,7 @@ from tideline.operators import (
     microcluster_models,
     score_as_of,
 )
+from tideline.plans import walk
 from tideline.plans.as_of import as_of_join
 from tideline.plans.gram import drawn_products, gram_stats
 from tideline.plans.kernels import Kernels, reduce_kernels
@@ -231,3 +232,41 @@ def test_drawn_rows_are_not_copied(spark):
     assert stats.count() == 4 * 6
     z = np.array([[1.0, 2.0, 3.0], [1.0, 5.0, 7.0]])
     assert drawn_products(z, np.array([[1, 0], [1, 1]])).tolist() == [[2, 29, 41, 58], [1, 25, 35, 49]]
+
+
+@pytest.mark.parametrize("keys", [None, "k"])
+def test_a_walk_in_parts_equals_the_whole(spark, monkeypatch, keys):
+    """A task read the kernels of all periods of a key; now it reads a part of them."""
+    df = frame(spark, 300, seed=8)
+    options = MicroClusterOptions(batch_size=10, num_clusters=2, max_kernels=4, horizon=90, block_rows=7)
+
+    def run():
+        recent = horizon_clusters(df, ["x0", "x1"], "seq", 40, keys, options)
+        models = microcluster_models(df, ["x0", "x1"], "seq", keys, options)
+        order = [*([keys] if keys else []), "window_id"]
+        return [f.orderBy(*order).collect() for f in (recent, models)]
+
+    whole, read = run(), []
+    ordered_map = walk.ordered_map
+
+    def counted(rows, *args, **more):
+        read.append(rows.where("window_id >= 0").count())
+        return ordered_map(rows, *args, **more)
+
+    monkeypatch.setattr(walk, "ordered_map", counted)
+    monkeypatch.setattr(walk, "PART_DOUBLES", 5 * 2 * 4 * 7)
+    assert run() == whole
+    # Five periods of two blocks each, for three keys at most.
+    assert len(read) >= 6 and max(read) <= 5 * 2 * (3 if keys else 1)
+
+
+def test_snapshots_survive_a_hand_over():
+    rng = np.random.default_rng(2)
+    pyramid, other = Pyramid(), Pyramid()
+    for t in range(1, 30):
+        pyramid.take(t, rng.normal(size=(1 + t % 3, 5)))
+    pyramid.moved(1, 0)
+    other.restore(pyramid.flat(), 5)
+    assert [s[0] for s in other.shots] == [s[0] for s in pyramid.shots]
+    for a, b in zip(pyramid.shots, other.shots):
+        assert np.array_equal(a[1], b[1]) and np.array_equal(a[2], b[2])

@@ -7,20 +7,15 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideline.config import MicroClusterOptions
-from tideline.operators.microcluster import _blocks, limit_rows
+from tideline.operators.microcluster import _blocks, limit_rows, period_doubles, with_centers
 from tideline.plans.arrival import RN, as_names
-from tideline.plans.count_windows import WINDOW_ID
 from tideline.plans.gram import feature
-from tideline.plans.kernels import Kernels, macro_centers, width
-from tideline.plans.ordered import double_arrays, joined, ordered_map, out_batch
+from tideline.plans.kernels import Kernels, width
 from tideline.plans.pyramid import Pyramid
 from tideline.plans.rows import as_columns, index_rows, typed
-
-_DOUBLES = T.ArrayType(T.DoubleType())
+from tideline.plans.walk import walk_blocks
 
 
 def horizon_clusters(
@@ -43,6 +38,7 @@ def horizon_clusters(
     exact. Rows of kernels that gave way to others (see ``horizon`` of the options) are in
     neither. Blocks of rows are summarised in parallel; one walk per key over the summaries
     holds the kernels and some snapshots, whose number grows with the logarithm of the periods.
+    A long walk is cut into parts, and the centres are found after it, in parallel.
     """
     if rows < 1:
         raise ValueError("rows must be at least 1")
@@ -57,62 +53,37 @@ def horizon_clusters(
     )
     blocks = _blocks(numeric, keys, dims, options, arrived.total)
     back = -(-rows // size)
-    k, w = options.num_clusters, width(dims)
-    schema = T.StructType(
-        [blocks.schema[c] for c in keys]
-        + [
-            T.StructField(WINDOW_ID, T.LongType()),
-            T.StructField("since", T.LongType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("ssq", T.DoubleType()),
-            T.StructField("centers", T.ArrayType(_DOUBLES)),
-            T.StructField("kernels", _DOUBLES),
-        ]
+    periods = min(arrived.longest, arrived.total) // size + 2
+    walked = walk_blocks(
+        blocks, keys, size, lambda state: _Recent(state, options, dims, base, depth, back), ["since"],
+        periods, period_doubles(options, dims), arrived.total // size + 2,
     )
-    arrow = to_arrow_schema(schema)
+    return with_centers(walked, keys, dims, options, ["since"])
 
-    def period(row, held: Kernels, pyramid: Pyramid):
-        window = row.column(WINDOW_ID)[0].as_py()
-        shot = pyramid.since(window + 1 - back)
-        kernels = Pyramid.after(held.used(), shot)
-        centers, ssq = [], 0.0
-        if len(kernels):
-            centers, ssq = macro_centers(
-                kernels, dims, k, options.num_iterations, options.weighted, [options.seed, window]
-            )
-        columns = {c: row.column(c) for c in [*keys, WINDOW_ID]}
-        columns |= {
-            "since": [0 if shot is None else shot[0] * size],
-            "n": [int(round(kernels[:, 0].sum()))],
-            "ssq": [ssq],
-            "centers": [[c.tolist() for c in centers] + [None] * (k - len(centers))],
-            "kernels": double_arrays([kernels]),
-        }
-        return out_batch(columns, arrow)
 
-    def body(marked):
-        held = pyramid = window = None
-        n = 0
-        for batch, flags in marked:
-            accs, sizes = batch.column("acc"), batch.column("n").to_pylist()
-            windows, done = batch.column(WINDOW_ID).to_pylist(), []
-            for i, first in enumerate(flags):
-                if first:
-                    pyramid = Pyramid(base, depth)
-                    held = Kernels(
-                        np.empty((0, w)), options.max_kernels, options.radius_factor, options.horizon, dims,
-                        pyramid.moved,
-                    )
-                    window = None
-                if windows[i] != window:
-                    window, n = windows[i], 0
-                held.take(accs[i].values.to_numpy(zero_copy_only=False).reshape(-1, w))
-                n += sizes[i]
-                if n == size:
-                    done.append(period(batch.slice(i, 1), held, pyramid))
-                    pyramid.take(window + 1, held.used())
-            yield from joined(done)
+class _Recent:
+    """Kernels of a key as its blocks come, and snapshots of them."""
 
-    return ordered_map(
-        blocks.withColumn("_tl_all", F.lit(0)), [*keys, "_tl_all"], [WINDOW_ID, "block"], body, schema
-    )
+    def __init__(self, state, options: MicroClusterOptions, dims: int, base: int, depth: int, back: int):
+        self.wide, self.back, self.size = width(dims), back, options.batch_size
+        self.pyramid, rows = Pyramid(base, depth), np.empty((0, self.wide))
+        if state is not None:
+            end = 1 + int(state[0]) * self.wide
+            rows = state[1:end].reshape(-1, self.wide)
+            self.pyramid.restore(state[end:], self.wide)
+        self.held = Kernels(
+            rows, options.max_kernels, options.radius_factor, options.horizon, dims, self.pyramid.moved
+        )
+
+    def take(self, acc: np.ndarray) -> None:
+        self.held.take(acc.reshape(-1, self.wide))
+
+    def state(self) -> np.ndarray:
+        held = self.held.used()
+        return np.concatenate([[float(len(held))], held.ravel(), self.pyramid.flat()])
+
+    def close(self, window: int):
+        shot = self.pyramid.since(window + 1 - self.back)
+        kernels = Pyramid.after(self.held.used(), shot)
+        self.pyramid.take(window + 1, self.held.used())
+        return (0 if shot is None else shot[0] * self.size,), kernels.ravel().copy()

@@ -34,6 +34,22 @@ class Pyramid:
         self.base, self.kept = base, base**depth + 1
         self.shots: list[tuple[int, np.ndarray, np.ndarray]] = []
 
+    def flat(self) -> np.ndarray:
+        """The snapshots as doubles, from which ``restore`` gets them back."""
+        parts = [[len(self.shots)]]
+        for time, kernels, into in self.shots:
+            parts += [[time, len(kernels)], kernels.ravel(), into]
+        return np.concatenate(parts).astype(float)
+
+    def restore(self, flat: np.ndarray, width: int) -> None:
+        at, self.shots = 1, []
+        for _ in range(int(flat[0])):
+            time, count = (int(v) for v in flat[at : at + 2])
+            mid = at + 2 + count * width
+            kernels, into = flat[at + 2 : mid].reshape(count, width), flat[mid : mid + count]
+            self.shots.append((time, kernels.copy(), into.astype(np.int64)))
+            at = mid + count
+
     def moved(self, slot: int, to: int) -> None:
         """The rows of a kernel went to another one, or were dropped (-1)."""
         for _, _, into in self.shots:
