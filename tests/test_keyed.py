@@ -2,14 +2,17 @@
 
 import glob
 import os
+import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.config import KMeansOptions, LinRegOptions, MicroClusterOptions
 from tideline.feeds import KMeansStream, LinRegStream, MicroClusterStream, late_rows, run_keyed_stream
-from tideline.feeds.keyed import units, window_sums
+from tideline.feeds.keyed import _advance, _solver, units, window_sums
 from tideline.functions.vectors import hash_unit
 from tideline.operators import stream_kmeans, stream_linreg, stream_microcluster
 from test_feeds import CUTS, feed, frame, pieces, same_rows
@@ -112,3 +115,53 @@ def test_sliding_sums_and_draws(spark):
     assert np.allclose(got, want) and len(window_sums(panes[:4], 5, 2)) == 0
     rows = spark.range(0, 40).select(hash_unit("id", F.lit(2), F.lit(-7)).alias("u")).collect()
     assert np.array_equal(units(np.arange(40), 2, -7), [r.u for r in rows])
+
+
+def test_a_key_is_held_in_few_bytes():
+    """A row of a key took more than 1,000 bytes of a worker's Python; texts are now in Arrow columns."""
+    solver, held = _solver(CASES["kmeans"][0], 2), []
+    n, each = 60_000, 5_000
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            held.append(value[0])
+
+    def parts():
+        for at in range(n - each, -1, -each):
+            i = np.arange(at, at + each)
+            yield pd.DataFrame({
+                "_tl_c0": i.astype(str), "_tl_c1": [None if v % 5 == 0 else f"t{v}" for v in i],
+                "_tl_values": [np.array([v % 7, v % 11], float) for v in i],
+                "_tl_some0": True, "_tl_order0": i, "_tl_tie": 0,
+            })
+
+    tracemalloc.start()
+    pools = pa.total_allocated_bytes()
+    peak = []
+
+    def watched():
+        for part in parts():
+            yield part
+            peak.append(tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - pools)
+
+    out = list(_advance(solver, 2, 1)(("k",), watched(), State()))
+    tracemalloc.stop()
+    # What is held grows by less than 150 bytes a row.
+    assert (peak[-1] - peak[0]) / (n - each) < 150
+    assert held == [n] and out[0]["_tl_c0"].tolist() == [str(i) for i in range(11, n, 12)]
+    assert out[0]["_tl_c1"].isna().sum() == sum(i % 5 == 0 for i in range(11, n, 12))
+
+
+def test_order_by_text_and_gaps(spark, tmp_path):
+    """Nulls first, then texts by their code points, across the parts of a feed."""
+    df = frame(spark, 120, seed=9).withColumn(
+        "word", F.when(F.col("seq") % 9 > 0, F.concat(F.lit("é\U0001f600z".join("ab")), F.lpad("seq", 4, "0")))
+    )
+    op = KMeansStream(["x0", "x1"], ["word", "seq"], "k", CASES["kmeans"][0].options)
+    pieces(df, f"{tmp_path}/in", [0, 120])
+    args = (f"{tmp_path}/out", f"{tmp_path}/state")
+    run_keyed_stream(op, feed(spark, f"{tmp_path}/in", df.schema), *args).awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").drop("batch_id")
+    same_rows(found, stream_kmeans(df, ["x0", "x1"], ["word", "seq"], "k", op.options), digits=6)

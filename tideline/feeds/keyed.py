@@ -12,12 +12,15 @@ are worked on by one task. Bound the micro-batch (files or rows per trigger) acc
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -317,35 +320,55 @@ def _use_state_store(spark: SparkSession) -> None:
         spark.conf.set(f"{name}rocksdb.changelogCheckpointing.enabled", "true")
 
 
+def _compact(part: pd.DataFrame, kept: Sequence[str], order: Sequence[str]) -> tuple[pa.Table, np.ndarray]:
+    """The rows of a part as Arrow columns, whose texts take their bytes and no objects, and their values."""
+    columns = {c: pa.array(part[c], pa.large_string(), from_pandas=True) for c in kept}
+    # NaN stays a number, and sorts last.
+    columns |= {c: pa.array(part[c].to_numpy()) for c in order}
+    for c, column in columns.items():
+        if pa.types.is_string(column.type):
+            columns[c] = column.cast(pa.large_string())
+    return pa.table(columns), np.array(part["_tl_values"].tolist(), float).reshape(len(part), -1)
+
+
 def _advance(solver, columns: int, orders: int):
     """Advance one key by its rows of a micro-batch."""
     windows: CountWindows = solver.windows
     rank = [c for i in range(orders) for c in (f"_tl_some{i}", f"_tl_order{i}")]
     kept = [f"_tl_c{i}" for i in range(columns)]
+    sorting = [(c, "ascending") for c in [*rank, "_tl_tie"]]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))
-        rows = rows.sort_values([*rank, "_tl_tie"], kind="stable").reset_index(drop=True)
+        tables, pieces = [], []
+        for part in parts:
+            table, matrix = _compact(part, kept, [*rank, "_tl_tie"])
+            tables.append(table)
+            pieces.append(matrix)
+        rows = pa.concat_tables(tables)
+        at = pc.sort_indices(rows, sort_keys=sorting).to_numpy()
         position, carry, model, last = state.get if state.exists else (0, b"", b"", None)
-        values = np.array(rows["_tl_values"].tolist(), float).reshape(len(rows), -1)
-        late = 0
-        ranks = list(zip(*(rows[c].tolist() for c in rank)))
+        values = np.concatenate(pieces)[at]
+        del tables, pieces
+
+        def rank_of(i: int) -> tuple:
+            return tuple(rows.column(c)[int(at[i])].as_py() for c in rank)
+
+        late, top = 0, rank_of(-1)
         if last is not None:
             before = tuple(json.loads(last))
-            late = sum(r < before for r in ranks)
-            top = max(before, ranks[-1])
-        else:
-            top = ranks[-1]
+            # Rows are sorted, so the late ones are the first.
+            late = bisect.bisect_left(range(len(at)), True, key=lambda i: not rank_of(i) < before)
+            top = max(before, top)
         held = np.frombuffer(carry).reshape(-1, values.shape[1])
         first = position - len(held)
         every = np.concatenate([held, values])
         found, model = solver.solve(every, first, model)
         # Rows from the start of the first window that is still open.
         base = windows.count(len(every)) * windows.shift
-        state.update((position + len(rows), every[base:].tobytes(), model, json.dumps(list(top))))
+        state.update((position + len(at), every[base:].tobytes(), model, json.dumps(list(top))))
         if found:
             closing = [w * windows.shift + windows.size - 1 - position for w, *_ in found]
-            out = rows.iloc[closing][kept].reset_index(drop=True)
+            out = rows.select(kept).take(pa.array(at[closing])).to_pandas()
             out["_tl_error"] = [e for _, e, _ in found]
             out["_tl_model"] = [m for *_, m in found]
             out["_tl_late"] = pd.Series([None] * len(out), dtype="Int64")
