@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from brute import linreg, sgd
 from tideline.config import LinRegOptions
+from tideline.feeds.keyed import drawn
+from tideline.functions.vectors import text_unit
 from tideline.operators import linreg_models, score, stream_linreg, stream_linreg_call
 from tideline.operators.linreg import fit_linreg
+from tideline.plans.arrival import RN
+from tideline.plans.count_windows import CountWindows
+from tideline.plans.draws import drawn_rows
+from tideline.plans.gram import gram_stats
 
 
 def frame(spark, n, p, seed=0, noise=1.0):
@@ -198,3 +204,31 @@ def test_null_key_is_a_key_of_its_own(spark):
     wanted = [linreg(data[:20], 10, 10, 5, 0.01), linreg(data[20:], 10, 10, 5, 0.01)]
     for row, (mse, w, _) in zip(rows, wanted[0] + wanted[1]):
         assert row.beta1 == pytest.approx(w[0], rel=1e-9)
+
+
+@pytest.mark.parametrize("fraction", [0.0, 1e-10, 1 / 3, 0.5, 1 - 1e-12])
+def test_draws_of_arrays_are_those_of_texts(spark, fraction):
+    index = [0, 9, 10, 12345, 999_999_999, 10**12, 10**17 + 3, 9 * 10**18]
+    for seed in (42, -7, 1 << 40):
+        got = drawn_rows(np.array(index), 11, seed, fraction)
+        assert all(np.array_equal(got[:, s - 1], drawn(index, s, seed, fraction)) for s in range(1, 12))
+    by_number = text_unit(F.col("id"), F.lit(3), F.lit(42)) < F.lit(fraction)
+    rows = spark.range(2000).select("id", by_number.alias("hit")).orderBy("id").collect()
+    assert np.array_equal(drawn_rows(np.arange(2000), 3, 42, fraction)[:, 2], [r.hit for r in rows])
+
+
+@pytest.mark.parametrize("steps", [6, 70])
+def test_mini_batches_send_rows_without_their_draws(spark, steps):
+    rows = spark.range(64).select(
+        F.col("id").alias(RN), (F.col("id") % 7).cast("double").alias("_tl_y"),
+        (F.col("id") % 5).cast("double").alias("_tl_x0"),
+    )
+    stats = gram_stats(rows, [], 1, CountWindows(16, 16), steps, 0.5, 42)
+    assert "md5" not in stats._jdf.queryExecution().toString()
+    got = {(r.window_id, r._tl_it): (r.n, r.yy, r.b[0], r.g[0]) for r in stats.collect()}
+    for w in range(4):
+        index = np.arange(16 * w, 16 * w + 16)
+        for step in range(1, steps + 2):
+            hit = drawn(index, step, 42, 0.5) if step <= steps else np.ones(16, bool)
+            y, x = index[hit] % 7, index[hit] % 5
+            assert got[w, step] == (hit.sum(), (y * y).sum(), (x * y).sum(), (x * x).sum())

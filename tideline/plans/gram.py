@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tideline.functions.vectors import text_unit
 from tideline.plans.arrival import RN
 from tideline.plans.count_windows import PANE, WINDOW_ID, CountWindows, window_sums
+from tideline.plans.draws import drawn_rows
 from tideline.plans.ordered import changes, double_arrays, doubles, out_batch
 
 LABEL = "_tl_y"
@@ -182,19 +182,12 @@ def _drawn_stats(
 ) -> DataFrame:
     """Statistics of every step of a mini-batch descent.
 
-    No row is copied for the steps that draw it: a task multiplies, for each run of rows
-    of one pane, the matrix of its draws with the products of its rows.
+    No row is copied for the steps that draw it, and no draw leaves its task, which multiplies,
+    for each run of rows of one pane, the matrix of its draws with the products of its rows.
     """
     rn, names, full = F.col(RN), [f"`{k}`" for k in keys], steps + 1
-    drawn = F.transform(
-        F.sequence(F.lit(1), F.lit(steps)),
-        lambda i: (text_unit(rn, i, F.lit(seed)) < F.lit(fraction)).cast("double"),
-    )
-    sent = rows.select(
-        *names, windows.pane_of(rn).alias(PANE),
-        F.array(F.lit(1.0), F.col(LABEL), *[F.col(feature(i)) for i in range(p)]).alias("_tl_z"),
-        F.concat(drawn, F.array(F.lit(1.0))).alias("_tl_hits"),
-    )
+    data = [LABEL, *[feature(i) for i in range(p)]]
+    sent = rows.select(*names, windows.pane_of(rn).alias(PANE), RN, *data)
     values = ["_tl_n", "_tl_yy", *[f"_tl_b{i}" for i in range(p)], *[f"_tl_g{i}_{j}" for i, j in upper(p)]]
     groups = [*keys, PANE]
     schema = T.StructType(
@@ -213,7 +206,10 @@ def _drawn_stats(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            z, hits = doubles(batch, "_tl_z"), doubles(batch, "_tl_hits")
+            ones = np.ones((batch.num_rows, 1))
+            z = np.column_stack([ones, *[batch.column(c).to_numpy(zero_copy_only=False) for c in data]])
+            index = batch.column(RN).to_numpy(zero_copy_only=False)
+            hits = np.column_stack([drawn_rows(index, steps, seed, fraction), ones])
             differs = np.zeros(batch.num_rows, bool)
             differs[0] = True
             for g in groups:
