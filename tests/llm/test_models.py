@@ -226,6 +226,20 @@ def test_salvage_time_grows_with_the_file():
         assert found[-1][0] == "record" and found[0][0] == "gap" and time.time() - begin < 8
 
 
+@pytest.mark.parametrize("size", [(1 << 20) - 300, (1 << 20) + 5, 3_000_000, 4 << 20])
+def test_a_record_that_inflates_to_much_more_is_whole(size):
+    """A piece of a member may inflate to more than is taken at once, also the last one of the file."""
+    packed = warc.page_record(1, "u", b"x" * size)
+    assert len(packed) < warc.PIECE
+    for data in (packed, packed + packed, packed + members(1)[0]):
+        found = list(warc.salvage(data))
+        assert [f[0] for f in found] == ["record"] * (1 if data is packed else 2)
+        assert (found[0][1], found[0][2]) == (0, len(packed)) and found[-1][2] == len(data)
+        assert found[0][4].endswith(b"x" * size)
+    cut = list(warc.salvage(packed[:-20] + packed))
+    assert [f[0] for f in cut] == ["gap", "record"] and cut[1][4].endswith(b"x" * size)
+
+
 def test_an_empty_member_is_no_gap():
     data = members(1)[0] + gzip.compress(b"") + gzip.compress(members(2)[1]) + gzip.compress(b"")
     assert [f[0] for f in warc.salvage(data)] == ["record", "record"]

@@ -94,13 +94,14 @@ class _Inflated:
         self.unpacker = zlib.decompressobj(wbits=31)
 
     def more(self) -> bool:
-        if self.unpacker is None or self.unpacker.eof or self.at >= len(self.source):
+        if self.unpacker is None or self.unpacker.eof:
             return False
         rest = self.unpacker.unconsumed_tail
         piece = rest or self.source[self.at : self.at + PIECE]
         before = self.unpacker.copy()
         try:
-            self.data += self.unpacker.decompress(piece, 16 * PIECE)
+            # Without input it gives what the bound held back.
+            found = self.unpacker.decompress(piece, 16 * PIECE)
         except zlib.error:
             # What comes before the damage, to the byte.
             for i in range(len(piece)):
@@ -110,8 +111,9 @@ class _Inflated:
                     break
             self.unpacker = None
             return True
+        self.data += found
         self.at += 0 if rest else len(piece)
-        return True
+        return bool(piece or found)
 
     def cut(self, n: int) -> None:
         self.data, self.gone = self.data[n:], self.gone + n
@@ -159,9 +161,10 @@ def _extent(data: bytes, at: int):
     while at < len(data):
         piece = data[at : at + PIECE]
         try:
-            unpacker.decompress(piece, 16 * PIECE)
-            while unpacker.unconsumed_tail:
-                unpacker.decompress(unpacker.unconsumed_tail, 16 * PIECE)
+            found = unpacker.decompress(piece, 16 * PIECE)
+            # At the end of a member the tail stays as it was, so it does not end the loop.
+            while not unpacker.eof and (unpacker.unconsumed_tail or len(found) == 16 * PIECE):
+                found = unpacker.decompress(unpacker.unconsumed_tail, 16 * PIECE)
         except zlib.error as problem:
             return at, f"gzip: {problem}"
         at += len(piece)
